@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import shards, simhash
 from .common import read
 
 
@@ -10,5 +10,9 @@ def op4_simhash_near_dedup(spark, sf_dir):
     return simhash.op_query(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_simhash_near_dedup": op4_simhash_near_dedup}
+def op5_sharding(spark, sf_dir):
+    return shards.op_query(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op4_simhash_near_dedup": op4_simhash_near_dedup, "op5_sharding": op5_sharding}
 ORACLE_SQL: dict[str, str] = {}
