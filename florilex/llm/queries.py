@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import shards, simhash
+from . import shards, simhash, toxicity
 from .common import read
 
 
@@ -14,5 +14,9 @@ def op5_sharding(spark, sf_dir):
     return shards.op_query(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_simhash_near_dedup": op4_simhash_near_dedup, "op5_sharding": op5_sharding}
+def op10_toxicity(spark, sf_dir):
+    return toxicity.op_query(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op4_simhash_near_dedup, op5_sharding, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {}
