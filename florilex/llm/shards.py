@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 MOST_BUCKETS = 1_000_000
+#: Rows that are put in order and handed back at once.
+BATCH = 500
 SEED = 20_240_601
 
 
@@ -53,7 +55,8 @@ def shuffled(docs: DataFrame, n_shards: int = 8, seed: int = SEED, bucket_bytes:
         held = [b for b in batches if b.num_rows]
         if not held:
             return
-        t = pa.Table.from_batches(held)
+        t = pa.Table.from_batches(held).combine_chunks()
+        del held
         n, key = t.num_rows, t.column("_fx_hash").to_numpy()
         order = np.argsort(key, kind="stable")
         for i in range(n - 1) if (np.diff(key[order]) == 0).any() else ():  # equal hashes: by the rows themselves
@@ -64,9 +67,10 @@ def shuffled(docs: DataFrame, n_shards: int = 8, seed: int = SEED, bucket_bytes:
                 order[i:j] = sorted(order[i:j].tolist(), key=lambda k: repr(t.slice(k, 1).to_pylist()))
         np.random.Generator(np.random.PCG64([seed, t.column("_fx_bucket")[0].as_py()])).shuffle(order)
         place = t.column("_fx_first")[0].as_py() + np.arange(n)
-        out = t.take(pa.array(order)).select(names)
-        out = out.append_column("shard", pa.array((place % n_shards).astype(np.int32))).append_column("slot", pa.array(place // n_shards))
-        yield from out.combine_chunks().to_batches(max_chunksize=2000)
+        for k in range(0, n, BATCH):
+            out, at = t.take(pa.array(order[k : k + BATCH])).select(names), place[k : k + BATCH]
+            out = out.append_column("shard", pa.array((at % n_shards).astype(np.int32))).append_column("slot", pa.array(at // n_shards))
+            yield from out.combine_chunks().to_batches()
 
     return scattered.repartitionById(buckets, F.col("_fx_bucket")).mapInArrow(work, schema)
 
