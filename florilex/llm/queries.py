@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import pieces, shards, simhash, toxicity
+from . import pieces, shards, simhash, toxicity, units
 from .common import read
 
 
@@ -10,6 +10,10 @@ def op1_sentencepiece(spark, sf_dir):
     return pieces.op_query(read(spark, sf_dir, "documents"))
 
 
+def op3_unit_dedup(spark, sf_dir):
+    return units.op_query(read(spark, sf_dir, "documents"))
+
+
 def op4_simhash_near_dedup(spark, sf_dir):
     return simhash.op_query(read(spark, sf_dir, "documents"))
 
@@ -22,5 +26,5 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.op_query(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op4_simhash_near_dedup, op5_sharding, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op3_unit_dedup, op4_simhash_near_dedup, op5_sharding, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {}
