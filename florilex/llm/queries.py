@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import media, pieces, shards, simhash, toxicity, units
+from . import media, pieces, shards, simhash, suffixes, toxicity, units
 from .common import read
 
 
@@ -26,9 +26,13 @@ def op7_media_columns(spark, sf_dir):
     return media.op_query(read(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark, sf_dir):
+    return suffixes.op_query(read(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark, sf_dir):
     return toxicity.op_query(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op3_unit_dedup, op4_simhash_near_dedup, op5_sharding, op7_media_columns, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op3_unit_dedup, op4_simhash_near_dedup, op5_sharding, op7_media_columns, op8_suffix_dedup, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {}
