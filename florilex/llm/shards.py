@@ -39,12 +39,16 @@ def record_size(text: str = "text"):
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
 
 
-def shuffled(docs: DataFrame, n_shards: int = 8, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """All columns of docs, shard int and slot long."""
+def bucket_count(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> int:
+    total = docs.agg(F.coalesce(F.sum(record_size()), F.lit(0))).first()[0]
+    return max(1, min(MOST_BUCKETS, -(-total // bucket_bytes)))
+
+
+def shuffled(docs: DataFrame, n_shards: int = 8, seed: int = SEED, buckets: int | None = None) -> DataFrame:
+    """All columns of docs, shard int and slot long. buckets: as many as make them memory-sized, unless given."""
+    buckets = buckets or bucket_count(docs)
     names = docs.columns
     h = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
-    total = docs.agg(F.coalesce(F.sum(record_size()), F.lit(0))).first()[0]
-    buckets = max(1, min(MOST_BUCKETS, -(-total // bucket_bytes)))
     bucket = F.pmod(h, F.lit(buckets)).cast("int")
     counts = docs.groupBy(bucket.alias("_fx_bucket")).agg(F.count("*").alias("_fx_n"))
     first = counts.select("_fx_bucket", (F.sum("_fx_n").over(Window.orderBy("_fx_bucket")) - F.col("_fx_n")).alias("_fx_first"))
@@ -82,7 +86,10 @@ def write_shards(docs: DataFrame, path: str, n_shards: int = 8, seed: int = SEED
 
 def op_query(docs: DataFrame) -> DataFrame:
     """The columns of the op5 contract, under the law `rows`."""
-    return shuffled(docs.select("doc_id", "text"), 8).select(
+    records = docs.select("doc_id", "text")
+    buckets = bucket_count(records)
+    # what is left of a record is small: the rows of eight buckets make one file
+    return shuffled(records, 8, buckets=buckets).coalesce(-(-buckets // 8)).select(
         "doc_id",
         record_size().alias("size"),
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),

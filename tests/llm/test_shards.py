@@ -23,10 +23,10 @@ def test_counts_slots_and_content(spark):
 
 def test_many_buckets_and_repeatable(spark):
     df = spark.createDataFrame([(i, "x" * (i % 50)) for i in range(500)], "doc_id long, text string")
-    one = {(x.doc_id, x.shard, x.slot) for x in shards.shuffled(df, 8, 1, 1000).collect()}
-    two = {(x.doc_id, x.shard, x.slot) for x in shards.shuffled(df.repartition(7), 8, 1, 1000).collect()}
+    one = {(x.doc_id, x.shard, x.slot) for x in shards.shuffled(df, 8, 1, 13).collect()}
+    two = {(x.doc_id, x.shard, x.slot) for x in shards.shuffled(df.repartition(7), 8, 1, 13).collect()}
     assert one == two and len(one) == 500
-    other = {(x.doc_id, x.shard, x.slot) for x in shards.shuffled(df, 8, 2, 1000).collect()}
+    other = {(x.doc_id, x.shard, x.slot) for x in shards.shuffled(df, 8, 2, 13).collect()}
     assert one != other
 
 
