@@ -281,7 +281,7 @@ def encode(docs: DataFrame, proto: bytes, keep: list[str], giant: int = GIANT) -
                 idx = pa.array([0] * n)
                 yield pa.RecordBatch.from_arrays([one.column("_fx_row").take(idx), one.column("_fx_keep").take(idx), pa.array(range(n), pa.int32()), pa.array([k == n - 1 for k in range(n)]), pa.array(lead, pa.int32()), pa.array([x + e - a for a, e, x in zip(at, at[1:], lead, strict=False)], pa.int32()), pa.array(parts)], cut_schema.names)
 
-    chunks = stored(rows.mapInArrow(cut, cut_schema), "chunks")
+    chunks = stored(rows.mapInArrow(cut, cut_schema).repartition("_fx_row", "_fx_chunk"), "chunks")
     if chunks.isEmpty():
         return plain
 
