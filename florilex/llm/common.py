@@ -5,9 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of text that Python code handles at once.
+STEP = 1 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
@@ -37,3 +41,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def text_bytes(name: str = "text"):
     """A text's UTF-8 bytes; a null text counts as empty."""
     return F.coalesce(F.col(name), F.lit("")).cast("binary")
+
+
+def in_steps(batches, column: str, size: int = STEP):
+    """Arrow batches cut into slices of at most about size bytes (or items) in a column: Python objects take many times that."""
+    for b in batches:
+        col, at = b.column(column), 0
+        offsets = np.frombuffer(col.buffers()[1], np.int32)[col.offset :][: b.num_rows + 1] if b.num_rows else None
+        while at < b.num_rows:
+            end = min(b.num_rows, max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, side="right")) - 1))
+            yield b.slice(at, end - at)
+            at = end

@@ -33,20 +33,17 @@ from __future__ import annotations
 import json
 from functools import cached_property
 
-import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored
+from .common import STEP, in_steps, stored
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters from which a text is cut into chunks of about half as many.
 GIANT = 50_000
-#: Bytes of text, or numbers of ids, that are handled at once.
-STEP = 1 << 20
 SPACE = "▁"
 START = (0, 0)
 
@@ -240,16 +237,6 @@ def cuts(n: int, size: int) -> list[int]:
     return [n * k // parts for k in range(parts + 1)]
 
 
-def in_steps(batches, column: str, size: int = STEP):
-    """Batches cut into slices of at most about size bytes in a column, as lists of Python numbers take many times that."""
-    for b in batches:
-        offsets, at = np.frombuffer(b.column(column).buffers()[1], np.int32)[b.column(column).offset :][: b.num_rows + 1], 0
-        while at < b.num_rows:
-            end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, side="right")) - 1)
-            yield b.slice(at, min(end, b.num_rows) - at)
-            at = end
-
-
 def encode(docs: DataFrame, proto: bytes, keep: list[str], giant: int = GIANT) -> DataFrame:
     """The kept columns, ids array<int> and n_chunks int of each row."""
     spark = docs.sparkSession

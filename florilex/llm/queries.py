@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import media, pieces, shards, simhash, suffixes, toxicity, units
+from . import decontaminate, media, pieces, shards, simhash, suffixes, toxicity, units
 from .common import read
 
 
@@ -30,9 +30,13 @@ def op8_suffix_dedup(spark, sf_dir):
     return suffixes.op_query(read(spark, sf_dir, "documents"))
 
 
+def op9_benchmark_decontamination(spark, sf_dir):
+    return decontaminate.op_query(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op10_toxicity(spark, sf_dir):
     return toxicity.op_query(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op3_unit_dedup, op4_simhash_near_dedup, op5_sharding, op7_media_columns, op8_suffix_dedup, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op3_unit_dedup, op4_simhash_near_dedup, op5_sharding, op7_media_columns, op8_suffix_dedup, op9_benchmark_decontamination, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {}
