@@ -42,13 +42,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import in_steps, text_bytes
 
 MATCH = 50
 GRAM = 20
 LAST = 2**63 - 1
 #: Text bytes for each hash range of anchors, and for the pieces in which anchors are sought.
-RANGE_BYTES, PIECE = 32 << 20, 2 << 20
+RANGE_BYTES, PIECE = 16 << 20, 1 << 20
+#: Text bytes whose anchors or regions are packed together.
+SLICE = 8 << 20
 #: Region bytes for one suffix array.
 ARRAY_BYTES = 1 << 20
 CROWDED = 20_000
@@ -263,7 +265,7 @@ def anchor_rows(texts: DataFrame, parts: int, match: int) -> DataFrame:
             yield held
 
     def work(batches):
-        for b in batches:
+        for b in in_steps(batches, "_fx_text", SLICE):
             got = []
             for held in blocks(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 sizes = np.array([len(x) for _, _, x in held])
@@ -347,12 +349,13 @@ def shared_anchors(rows: DataFrame, match: int) -> DataFrame:
 
 
 def region_rows(joined: DataFrame, parts: int, match: int) -> DataFrame:
-    """Packed regions by hash (key null), and ranges known to be removed (key: the document's). joined has (_fx_key, _fx_rank, _fx_text, blobs)."""
+    """Packed regions by hash (key null), and ranges known to be removed (key: the document's). joined has (_fx_key, doc_id, _fx_text, blobs)."""
 
     def work(batches):
-        for b in batches:
+        for b in in_steps(batches, "_fx_text", SLICE):
             merged: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}
-            for key, rank, text, blobs in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+            for key, doc, text, blobs in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                rank = LAST if doc is None else doc
                 for blob in blobs or ():
                     for h, first, n in zip(*(x.tolist() for x in unpack(blob, "<u8", "<u4", "u1")), strict=True):
                         flag, n = n >> 6, n & 63
@@ -447,19 +450,19 @@ def spans(docs: DataFrame, match: int = MATCH) -> DataFrame:
     """doc_id, text (its bytes) and blobs of the removed ranges."""
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     parts = max(4, -(-total // RANGE_BYTES))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("_fx_text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_fx_rank")).withColumn("_fx_key", F.xxhash64("doc_id", "_fx_text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("_fx_text")).withColumn("_fx_key", F.xxhash64("doc_id", "_fx_text"))
     gather = lambda df, name: df.groupBy("key").agg(F.collect_list("blob").alias(name)).withColumnRenamed("key", "_fx_key")
     shared = gather(shared_anchors(anchor_rows(texts, parts, match), match), "blobs")
-    first = texts.join(shared, "_fx_key", "left").select("_fx_key", "_fx_rank", "_fx_text", "blobs")
+    first = texts.join(shared, "_fx_key", "left").select("_fx_key", "doc_id", "_fx_text", "blobs")
     gone = gather(removed_ranges(region_rows(first, 8 * parts, match), match), "gone")
-    return texts.join(gone, "_fx_key", "left").select("doc_id", "_fx_rank", "_fx_text", "gone")
+    return texts.join(gone, "_fx_key", "left").select("doc_id", "_fx_text", "gone")
 
 
 def deduplicated(docs: DataFrame, match: int = MATCH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) of each document."""
 
     def work(batches):
-        for b in batches:
+        for b in in_steps(batches, "_fx_text"):
             n, removed, count, kept = [], [], [], []
             for text, blobs in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 runs_ = merge(blobs) if blobs else []
