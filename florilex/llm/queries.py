@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, media, pieces, shards, simhash, suffixes, toxicity, units
+from . import decontaminate, lines, media, pieces, shards, simhash, suffixes, toxicity, units
 from .common import read
 
 
@@ -22,6 +22,10 @@ def op5_sharding(spark, sf_dir):
     return shards.op_query(read(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark, sf_dir):
+    return lines.op_query(read(spark, sf_dir, "documents"))
+
+
 def op7_media_columns(spark, sf_dir):
     return media.op_query(read(spark, sf_dir, "documents"))
 
@@ -38,5 +42,5 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.op_query(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op3_unit_dedup, op4_simhash_near_dedup, op5_sharding, op7_media_columns, op8_suffix_dedup, op9_benchmark_decontamination, op10_toxicity)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op3_unit_dedup, op4_simhash_near_dedup, op5_sharding, op6_line_dedup, op7_media_columns, op8_suffix_dedup, op9_benchmark_decontamination, op10_toxicity)}
+ORACLE_SQL = {"op6_line_dedup": lines.ORACLE}
