@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, lines, media, pieces, shards, simhash, suffixes, toxicity, units
+from . import chat, decontaminate, lines, media, pieces, shards, simhash, suffixes, toxicity, units
 from .common import read
 
 
@@ -10,6 +10,10 @@ def op1_sentencepiece(spark, sf_dir):
     return pieces.op_query(read(spark, sf_dir, "documents"))
 
 
+def op2_chat_formatting(spark, sf_dir):
+    return chat.op_query(read(spark, sf_dir, "conversations"))
+
+
 def op3_unit_dedup(spark, sf_dir):
     return units.op_query(read(spark, sf_dir, "documents"))
 
@@ -42,5 +46,5 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.op_query(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op3_unit_dedup, op4_simhash_near_dedup, op5_sharding, op6_line_dedup, op7_media_columns, op8_suffix_dedup, op9_benchmark_decontamination, op10_toxicity)}
-ORACLE_SQL = {"op6_line_dedup": lines.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_chat_formatting, op3_unit_dedup, op4_simhash_near_dedup, op5_sharding, op6_line_dedup, op7_media_columns, op8_suffix_dedup, op9_benchmark_decontamination, op10_toxicity)}
+ORACLE_SQL = {"op2_chat_formatting": chat.ORACLE, "op6_line_dedup": lines.ORACLE}
