@@ -14,7 +14,7 @@ verified by Spark's banded edit distance with a bound.
 All joins are equi-joins on hashes of content; texts of distinct lines are
 shuffled once, and used three times from that exchange. Candidates must agree
 in the counts of some letters up to the edits, which is checked within the join,
-so variants of one boilerplate line don't multiply.
+so variants of one boilerplate line hardly multiply.
 
 Edge cases: null and empty texts have one empty line; lines under MIN_BYTES
 are kept. A null doc_id ranks last. Rows that repeat one another in full tie, so
@@ -26,24 +26,24 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EDITS, MIN_BYTES = 2, 20
 LAST = 2**63 - 1
-#: Letters whose counts are compared before lines are: two edits change them by four at most, in all.
-LETTERS = "etan "
+#: Letters whose counts are compared before lines are: an edit changes them by two at most, in all.
+LETTERS = "etanisorhd"
 
 
 def line_rows(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """_fx_key (document), _fx_rank, _fx_pos, line (its bytes as one character each), h1, h2: the lines that take part."""
+    """_fx_key (document), _fx_rank, _fx_pos, h1, h2 (hashes), packed (its bytes, and its letters) of each line that takes part."""
     rows = docs.select(
         F.xxhash64("doc_id", "text").alias("_fx_key"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_fx_rank"),
         F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("_fx_pos", "line"),
     )
-    rows = rows.where(F.octet_length("line") >= min_bytes).withColumn("line", F.decode(F.encode("line", "UTF-8"), "ISO-8859-1"))
-    return rows.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64("line", F.lit(1))})
+    rows = rows.where(F.octet_length("line") >= min_bytes).withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64("line", F.lit(1))})
+    return rows.withColumn("packed", F.struct(F.col("line").cast("binary").alias("line"), _letters(F.col("line")).alias("letters"))).drop("line")
 
 
 def _places(edits: int):
@@ -55,35 +55,48 @@ def _places(edits: int):
                 yield i, delta, off
 
 
-def _segment(n, i: int, parts: int):
-    """(start, length) of a segment of a line of n bytes, counted from 1."""
-    a, b = F.floor(n * i / parts).cast("int"), F.floor(n * (i + 1) / parts).cast("int")
-    return a + 1, b - a
+def _key(size: Column, i: int, parts: int, off: int = 0) -> Column:
+    """The hash of segment i of a line of size bytes, taken off places further on."""
+    a, b = F.floor(size * i / parts).cast("int"), F.floor(size * (i + 1) / parts).cast("int")
+    return F.when(a + off >= 0, F.xxhash64(size, F.lit(i), F.substring("line", a + off + 1, b - a)))
+
+
+def _letters(string: Column) -> Column:
+    """The counts of LETTERS, six bits each (modulo 64), in a long."""
+    parts = [F.shiftleft(((F.octet_length(string) - F.octet_length(F.replace(string, F.lit(c), F.lit("")))) % 64).cast("long"), 6 * j) for j, c in enumerate(LETTERS)]
+    return reduce(lambda x, y: x.bitwiseOR(y), parts)
+
+
+def _apart(x: Column, y: Column) -> Column:
+    """How far two packed counts lie apart, in all."""
+    digit = lambda v, j: F.shiftright(v, 6 * j).bitwiseAND(F.lit(63))
+    wrap = lambda d: F.least(F.abs(d), 64 - F.abs(d))
+    return reduce(lambda x, y: x + y, [wrap(digit(x, j) - digit(y, j)) for j in range(len(LETTERS))])
 
 
 def candidates(texts: DataFrame, edits: int) -> DataFrame:
-    n, parts = F.length("line"), edits + 1
-    count = F.array(*[(n - F.length(F.replace("line", F.lit(c), F.lit("")))).cast("short") for c in LETTERS])
-    key = lambda size, i, start, length: F.xxhash64(size, F.lit(i), F.substring("line", start, length))
-    index = texts.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), n.alias("an"), count.alias("ac"), F.explode(F.array(*[key(n, i, *_segment(n, i, parts)) for i in range(parts)])).alias("k"))
-    probes = []
-    for i, delta, off in _places(edits):
-        start, length = _segment(n - delta, i, parts)
-        probes.append(F.when(start + off >= 1, key(n - delta, i, start + off, length)))
-    probe = texts.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), n.alias("bn"), count.alias("bc"), F.explode(F.array_distinct(F.array(*probes))).alias("k")).where("k is not null")
-    apart = reduce(lambda x, y: x + y, [F.abs(F.col("ac")[j] - F.col("bc")[j]) for j in range(len(LETTERS))])
-    before = (F.col("an") < F.col("bn")) | (F.col("a1") < F.col("b1")) | ((F.col("a1") == F.col("b1")) & (F.col("a2") < F.col("b2")))
-    return index.join(probe, (index.k == probe.k) & (F.col("bn") - F.col("an")).between(0, edits) & before & (apart <= 2 * edits)).select("a1", "a2", "b1", "b2").distinct()
+    """(a1, b1): hashes of lines that share a segment and have nearly the same letters. texts has h1, and packed: line and letters."""
+    parts = edits + 1
+    lines = texts.select("h1", F.col("packed.line").alias("line"), F.col("packed.letters").alias("c"))
+    n = F.octet_length("line")
+    index = lines.select(F.col("h1").alias("a1"), F.col("c").alias("ac"), F.explode(F.array(*[_key(n, i, parts) for i in range(parts)])).alias("k"))
+    # the difference in length goes into the bits that the letters leave free
+    probes = [F.struct(_key(n - delta, i, parts, off).alias("k"), F.col("c").bitwiseOR(F.lit(delta << 60)).alias("bc")) for i, delta, off in _places(edits)]
+    probe = lines.select(F.col("h1").alias("b1"), F.explode(F.array(*probes)).alias("p")).select("b1", "p.*").where("k is not null")
+    longer = F.shiftright("bc", 60) > 0
+    return index.join(probe, (index.k == probe.k) & (longer | (F.col("a1") < F.col("b1"))) & (_apart(F.col("ac"), F.col("bc")) <= 2 * edits)).select("a1", "b1").distinct()
 
 
 def pairs(rows: DataFrame, edits: int = EDITS) -> DataFrame:
     """(a1, a2, b1, b2): pairs of different lines within edits edits, by their hashes."""
-    texts = rows.groupBy("h1", "h2").agg(F.first("line").alias("line"))
+    # line and letters in one column: all three uses then read the same exchange
+    texts = rows.groupBy("h1", "h2").agg(F.first("packed").alias("packed"))
     found = candidates(texts, edits)
-    left = texts.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("line").alias("a"))
-    right = texts.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("line").alias("b"))
-    near = F.levenshtein("a", "b", edits)
-    return found.join(left, ["a1", "a2"]).join(right, ["b1", "b2"]).where(near.between(0, edits)).select("a1", "a2", "b1", "b2")
+    left = texts.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("packed").alias("a"))
+    right = texts.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("packed").alias("b"))
+    string = lambda c: F.decode(F.col(f"{c}.line"), "ISO-8859-1")  # noqa: E731  a character for each byte
+    near = F.levenshtein(string("a"), string("b"), edits)
+    return found.join(left, "a1").join(right, "b1").where(near.between(1, edits)).select("a1", "a2", "b1", "b2")
 
 
 def removals(docs: DataFrame, edits: int = EDITS, min_bytes: int = MIN_BYTES) -> DataFrame:
