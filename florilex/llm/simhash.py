@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, in_steps
 from .components import components
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -77,7 +77,7 @@ def fingerprints(docs: DataFrame, size: int, words64: int, distinct: bool) -> Da
     """(doc_id, node, fp): node is a long that stands for the fingerprint (itself if it has 64 bits, else its hash)."""
 
     def work(batches):
-        for b in batches:
+        for b in in_steps(batches, "text"):
             fps = [fingerprint((t or "").encode("utf-8", "surrogatepass"), size, words64, distinct) for t in b.column(1).to_pylist()]
             nodes = [int.from_bytes(x, "big", signed=True) if words64 == 1 else xxhash.xxh64_intdigest(x) - 2**63 for x in fps]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64()), pa.array(fps, pa.binary())], ["doc_id", "node", "fp"])
@@ -294,6 +294,18 @@ def near_duplicates(docs: DataFrame, size: int = 3, words64: int = 1, bits: int
     return prints.join(rooted.join(least, "root").select("node", "component_id"), "node").select("doc_id", "fp", "component_id")
 
 
+def representatives(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs that stay if one document of each component does: the one with the least doc_id.
+
+    Rows without doc_id come after all others, in the order of a hash of their text; of rows with one doc_id one stays.
+    """
+    names = docs.columns
+    number = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**62) + F.pmod(F.xxhash64("text"), F.lit(2**61)))
+    found = near_duplicates(docs.select(number.alias("doc_id"), "text"), **options)
+    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("_fx_number")).distinct()
+    return docs.withColumn("_fx_number", number).join(keep, "_fx_number", "left_semi").dropDuplicates(["_fx_number"]).select(*names)
+
+
 def op_query(docs: DataFrame) -> DataFrame:
     """The columns of the op4 contract."""
     return near_duplicates(docs).select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import in_steps
 
 MAX_TRAIN_DOCS = 12_000
 MAX_TRAIN_BYTES = 64 << 20
@@ -140,7 +140,7 @@ def scored(docs: DataFrame, weights: dict[str, float], bias: float) -> DataFrame
 
     def work(batches):
         scorer = Scorer(weights, bias)
-        for b in batches:
+        for b in in_steps(batches, "text"):
             got = [scorer.document(t or "") for t in b.column(1).to_pylist()]
             score, worst, start, end = zip(*got, strict=True) if got else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score, pa.float64()), pa.array(worst, pa.float64()), pa.array(start, pa.int32()), pa.array(end, pa.int32())], ["doc_id", "score", "worst", "worst_start", "worst_end"])
@@ -148,6 +148,17 @@ def scored(docs: DataFrame, weights: dict[str, float], bias: float) -> DataFrame
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, score double, worst double, worst_start int, worst_end int")
 
 
+def clean(docs: DataFrame, weights: dict[str, float], bias: float) -> DataFrame:
+    """The rows of docs that score below 0.5, with all their columns."""
+
+    def work(batches):
+        scorer = Scorer(weights, bias)
+        for b in in_steps(batches, "text"):
+            yield b.filter(pa.array([scorer.document(t or "")[0] < 0.5 for t in b.column("text").to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(work, docs.schema)
+
+
 def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS, max_bytes: int = MAX_TRAIN_BYTES) -> tuple[dict[str, float], float]:
     return fit(training_rows(docs, labels, max_docs, max_bytes))
 
