@@ -11,10 +11,10 @@ of its own: line lengths and segment number bound how far edits before and
 after it can have moved it. Those substrings are probed. Candidates are
 verified by Spark's banded edit distance with a bound.
 
-All joins are equi-joins on hashes of content; texts of distinct lines are
-shuffled once, and used three times from that exchange. Candidates must agree
-in the counts of some letters up to the edits, which is checked within the join,
-so variants of one boilerplate line hardly multiply.
+All joins are equi-joins on hashes of content; texts stay where they are, but
+for those of candidates. Candidates must agree in the counts of some letters
+up to the edits, which is checked within the join, so variants of one
+boilerplate line hardly multiply.
 
 Edge cases: null and empty texts have one empty line; lines under MIN_BYTES
 are kept. A null doc_id ranks last. Rows that repeat one another in full tie, so
@@ -29,21 +29,25 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpoint
+
 EDITS, MIN_BYTES = 2, 20
+#: Candidate pairs whose line hashes (16 bytes a pair) are broadcast to pick their texts; more are joined by a shuffle.
+FEW = 500_000
 LAST = 2**63 - 1
 #: Letters whose counts are compared before lines are: an edit changes them by two at most, in all.
 LETTERS = "etanisorhd"
 
 
 def line_rows(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """_fx_key (document), _fx_rank, _fx_pos, h1, h2 (hashes), packed (its bytes, and its letters) of each line that takes part."""
+    """_fx_key (document), _fx_rank, _fx_pos, line (its bytes), letters, h1, h2 (hashes) of each line that takes part."""
     rows = docs.select(
         F.xxhash64("doc_id", "text").alias("_fx_key"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_fx_rank"),
         F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("_fx_pos", "line"),
     )
     rows = rows.where(F.octet_length("line") >= min_bytes).withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64("line", F.lit(1))})
-    return rows.withColumn("packed", F.struct(F.col("line").cast("binary").alias("line"), _letters(F.col("line")).alias("letters"))).drop("line")
+    return rows.withColumns({"letters": _letters(F.col("line")), "line": F.col("line").cast("binary")})
 
 
 def _places(edits: int):
@@ -74,27 +78,33 @@ def _apart(x: Column, y: Column) -> Column:
     return reduce(lambda x, y: x + y, [wrap(digit(x, j) - digit(y, j)) for j in range(len(LETTERS))])
 
 
-def candidates(texts: DataFrame, edits: int) -> DataFrame:
-    """(a1, b1): hashes of lines that share a segment and have nearly the same letters. texts has h1, and packed: line and letters."""
-    parts = edits + 1
-    lines = texts.select("h1", F.col("packed.line").alias("line"), F.col("packed.letters").alias("c"))
-    n = F.octet_length("line")
-    index = lines.select(F.col("h1").alias("a1"), F.col("c").alias("ac"), F.explode(F.array(*[_key(n, i, parts) for i in range(parts)])).alias("k"))
-    # the difference in length goes into the bits that the letters leave free
-    probes = [F.struct(_key(n - delta, i, parts, off).alias("k"), F.col("c").bitwiseOR(F.lit(delta << 60)).alias("bc")) for i, delta, off in _places(edits)]
-    probe = lines.select(F.col("h1").alias("b1"), F.explode(F.array(*probes)).alias("p")).select("b1", "p.*").where("k is not null")
-    longer = F.shiftright("bc", 60) > 0
-    return index.join(probe, (index.k == probe.k) & (longer | (F.col("a1") < F.col("b1"))) & (_apart(F.col("ac"), F.col("bc")) <= 2 * edits)).select("a1", "b1").distinct()
+def candidates(rows: DataFrame, edits: int) -> DataFrame:
+    """(a1, b1): hashes of lines that share a segment and have nearly the same letters."""
+    parts, n = edits + 1, F.octet_length("line")
+    places = list(_places(edits))
+    index = F.array(*[_key(n, i, parts) for i in range(parts)])
+    probe = F.array(*[_key(n - delta, i, parts, off) for i, delta, off in places])
+    # copies have equal keys, so they are merged before anything is multiplied, and texts stay where they are
+    keyed = rows.select("h1", F.struct(index.alias("index"), probe.alias("probe"), "letters").alias("keys")).groupBy("h1").agg(F.first("keys").alias("keys"))
+    left = keyed.select(F.col("h1").alias("a1"), F.col("keys.letters").alias("ac"), F.explode("keys.index").alias("k"))
+    right = keyed.select(F.col("h1").alias("b1"), F.col("keys.letters").alias("c"), F.posexplode("keys.probe").alias("at", "k")).where("k is not null")
+    # whether the probing line is longer goes into a bit that the letters leave free
+    longer = F.col("at") >= sum(delta == 0 for _, delta, _ in places)
+    right = right.select("b1", F.col("c").bitwiseOR(F.when(longer, F.lit(1 << 60)).otherwise(F.lit(0))).alias("bc"), "k")
+    once = (F.shiftright("bc", 60) > 0) | (F.col("a1") < F.col("b1"))
+    return left.join(right, (left.k == right.k) & once & (_apart(F.col("ac"), F.col("bc")) <= 2 * edits)).select("a1", "b1").distinct()
 
 
 def pairs(rows: DataFrame, edits: int = EDITS) -> DataFrame:
     """(a1, a2, b1, b2): pairs of different lines within edits edits, by their hashes."""
-    # line and letters in one column: all three uses then read the same exchange
-    texts = rows.groupBy("h1", "h2").agg(F.first("packed").alias("packed"))
-    found = candidates(texts, edits)
-    left = texts.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("packed").alias("a"))
-    right = texts.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("packed").alias("b"))
-    string = lambda c: F.decode(F.col(f"{c}.line"), "ISO-8859-1")  # noqa: E731  a character for each byte
+    found = checkpoint(candidates(rows, edits))
+    ids = found.select(F.col("a1").alias("h1")).unionByName(found.select(F.col("b1").alias("h1"))).distinct()
+    if found.count() <= FEW:  # the texts of few lines are needed: they are picked where they lie
+        ids = F.broadcast(ids)
+    texts = rows.select("h1", "h2", "line").join(ids, "h1", "left_semi").groupBy("h1", "h2").agg(F.first("line").alias("line"))
+    left = texts.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("line").alias("a"))
+    right = texts.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("line").alias("b"))
+    string = lambda c: F.decode(F.col(c), "ISO-8859-1")  # noqa: E731  a character for each byte
     near = F.levenshtein(string("a"), string("b"), edits)
     return found.join(left, "a1").join(right, "b1").where(near.between(1, edits)).select("a1", "a2", "b1", "b2")
 
@@ -104,7 +114,7 @@ def removals(docs: DataFrame, edits: int = EDITS, min_bytes: int = MIN_BYTES) ->
     rows = line_rows(docs, min_bytes)
     places = rows.select("_fx_key", "_fx_rank", "_fx_pos", "h1", "h2")
     first = places.groupBy("h1", "h2").agg(F.min(F.struct("_fx_rank", "_fx_pos")).alias("first"), F.count("*").alias("n"))
-    found = pairs(rows, edits)
+    found = checkpoint(pairs(rows, edits))
     both = found.unionByName(found.select(F.col("b1").alias("a1"), F.col("b2").alias("a2"), F.col("a1").alias("b1"), F.col("a2").alias("b2")))
     near = both.join(first.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("first").alias("f")), ["b1", "b2"]).groupBy(F.col("a1").alias("h1"), F.col("a2").alias("h2")).agg(F.min("f").alias("f"))
     best = first.join(near, ["h1", "h2"], "left").where("n > 1 or f is not null").select("h1", "h2", F.least("first", F.coalesce("f", "first")).alias("first"))
