@@ -67,25 +67,25 @@ def validated(calls: DataFrame, schemas: dict[str, dict]) -> DataFrame:
 
 
 def levels(calls: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level): layers of the calls' dependencies; calls in or behind a cycle are left out.
+    """(conv_id, call_id, level): layers of the calls' dependencies; level is null for calls in or behind a cycle.
 
-    calls has conv_id, call_id and after, an array of identifiers. Each round
-    takes off the calls that wait for nothing, so there are as many rounds as layers.
+    calls has conv_id, call_id (unique in a conversation) and after, an array of
+    identifiers. Each round gives a level to the calls all of whose predecessors
+    have one, so there are as many rounds as layers.
     """
-    pending = checkpoint(calls.select("conv_id", "call_id").distinct())
-    known = pending.withColumnRenamed("call_id", "parent")
-    edges = checkpoint(calls.select("conv_id", "call_id", F.explode("after").alias("parent")).where("parent <> call_id or parent is null").distinct().join(known, ["conv_id", "parent"], "left_semi").unionByName(calls.where("array_contains(after, call_id)").select("conv_id", "call_id", F.col("call_id").alias("parent"))))
-    out, k = None, 0
+    ids = ["conv_id", "call_id"]
+    known = calls.select("conv_id", F.col("call_id").alias("parent"))
+    edges = checkpoint(calls.select(*ids, F.explode("after").alias("parent")).distinct().join(known, ["conv_id", "parent"]))
+    out = calls.select(*ids).join(edges.select(*ids).distinct().withColumn("waits", F.lit(True)), ids, "left").select(*ids, F.when(F.col("waits").isNull(), 0).alias("level"))
+    waiting = None
     while True:
-        blocked = edges.select("conv_id", "call_id").distinct()
-        ready = checkpoint(pending.join(blocked, ["conv_id", "call_id"], "left_anti"))
-        rows = ready.withColumn("level", F.lit(k))
-        out = rows if out is None else out.unionByName(rows)
-        if ready.isEmpty() or edges.isEmpty():
+        out = checkpoint(out)
+        left = out.where("level is null").count()
+        if left in (0, waiting):
             return out
-        pending = checkpoint(blocked)
-        edges = checkpoint(edges.join(ready.withColumnRenamed("call_id", "parent"), ["conv_id", "parent"], "left_anti"))
-        k += 1
+        waiting = left
+        found = edges.join(out.withColumnRenamed("call_id", "parent"), ["conv_id", "parent"]).groupBy(*ids).agg(F.when(F.count("*") == F.count("level"), F.max("level") + 1).alias("now"))
+        out = out.join(found, ids, "left").select(*ids, F.coalesce("level", "now").alias("level"))
 
 
 def linked(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
