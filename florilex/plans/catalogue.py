@@ -1,6 +1,424 @@
-"""Query catalogue over the driver's tables, each with its SQL counterpart."""
+"""Queries over the driver's tables, one or more for each operator, and the SQL that says the same."""
 
 from __future__ import annotations
 
+import io
+import zipfile
+from xml.sax.saxutils import escape
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions import refs
+from ..functions import text as fx
+from ..functions.fixed_values import PUNCTUATION
+from ..operators import docx, expand, sequence, similarity, tei, verses
+
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+STOP_WORDS = ["the", "of", "and", "de", "la", "le", "die", "der", "und", "el", "en"]
+
+
+def query(sql: str | None = None):
+    """Registers a query, by the name of its function, and its SQL."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def tokens(spark, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(fx.tokenize(F.col("text"))).alias("pos", "word"))
+
+
+TOKENS = r"""lists AS (
+  SELECT doc_id, [x FOR x IN string_split(trim(regexp_replace(regexp_replace(text, '([.,;:!?])', ' \1 ', 'g'), '\s+', ' ', 'g')), ' ') IF x <> ''] AS l FROM documents
+), toks AS (
+  SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS word FROM lists
+)"""
+
+
+@query(f"WITH {TOKENS} SELECT regexp_replace(lower(word), '[^A-Za-zÀ-ÿ\\s.,;:!?''\\n]', '', 'g') AS word, count(*) AS n FROM toks GROUP BY 1 HAVING trim(word) <> ''")
+def tokenize_words(spark, sf_dir):
+    words = tokens(spark, sf_dir).select(fx.normalize_word(F.col("word")).alias("word"))
+    return words.where(F.trim("word") != "").groupBy("word").agg(F.count("*").alias("n"))
+
+
+def _sentences(df: DataFrame, part: str, order: list[str], boundary) -> DataFrame:
+    marked = sequence.mark_groups(df, [part], order, boundary)
+    return marked.groupBy(part, "sentence_index").agg(F.count("*").alias("n_words"), sequence.in_order(F.col("word"), order).alias("words"))
+
+
+@query(
+    rf"""WITH {TOKENS}, marked AS (
+  SELECT *, coalesce(sum((word IN ('.', '?', '!', ';'))::INT) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS sentence_index FROM toks
+) SELECT doc_id, sentence_index, count(*) AS n_words, regexp_replace(string_agg(word, ' ' ORDER BY pos), '\s+([.,;:?!])', '\1', 'g') AS sentence FROM marked GROUP BY doc_id, sentence_index"""
+)
+def sentence_segmentation(spark, sf_dir):
+    out = _sentences(tokens(spark, sf_dir), "doc_id", ["pos"], fx.is_boundary(F.col("word")))
+    return out.select("doc_id", "sentence_index", "n_words", fx.attach_punctuation(F.array_join("words", " ")).alias("sentence"))
+
+
+@query(
+    f"""WITH {TOKENS}, m AS (SELECT *, word IN ('.', ',', ';', ':', '!', '?') AS p FROM toks),
+ r AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, p ORDER BY pos) AS run FROM m),
+ k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, p, run ORDER BY pos) AS place FROM r)
+ SELECT doc_id, count(*) AS n_words, count(*) FILTER (NOT p OR place % 2 = 1) AS n_kept, md5(string_agg(CASE WHEN NOT p OR place % 2 = 1 THEN word ELSE '' END, ' ' ORDER BY pos)) AS digest FROM k GROUP BY doc_id"""
+)
+def punct_thinning(spark, sf_dir):
+    thin = sequence.thin_punctuation(tokens(spark, sf_dir), ["doc_id"], "pos", "word", PUNCTUATION)
+    return thin.groupBy("doc_id").agg(F.count("*").alias("n_words"), F.count_if(F.col("word") != "").alias("n_kept"), F.md5(F.array_join(sequence.in_order(F.col("word"), ["pos"]), " ")).alias("digest"))
+
+
+@query(
+    f"""WITH {TOKENS}, w AS (SELECT *, lag(word) OVER (PARTITION BY doc_id ORDER BY pos) AS b FROM toks)
+ SELECT doc_id, string_agg(CASE WHEN b IS NULL OR b IN ('«', '‹', '(', '[', '{{') OR word IN ('»', '›') OR (length(word) = 1 AND contains('!"#$%&''()*+,-./:;<=>?@[\\]^_`{{|}}~', word)) THEN word ELSE ' ' || word END, '' ORDER BY pos) AS text FROM w GROUP BY doc_id"""
+)
+def raw_text_rebuild(spark, sf_dir):
+    return sequence.raw_text(tokens(spark, sf_dir), ["doc_id"], "pos", "word")
+
+
+@query(f"WITH {TOKENS} SELECT doc_id, count(*) FILTER (lower(word) NOT IN ({', '.join(map(repr, STOP_WORDS))})) AS n_kept FROM toks GROUP BY doc_id")
+def stopword_filter(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("kept", fx.remove_stop_words(F.array_join(F.transform(fx.tokenize(F.col("text")), F.lower), " "), STOP_WORDS))
+    return docs.where(F.size(fx.tokenize(F.col("text"))) > 0).select("doc_id", F.when(F.col("kept") == "", 0).otherwise(F.size(F.split("kept", " "))).cast("long").alias("n_kept"))
+
+
+@query("SELECT doc_id, md5(translate(text, 'jv', 'iu')) AS folded, md5(trim(lower(text), E' \\t\\n\\r')) AS lowered FROM documents")
+def fold_jv(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(fx.fold_jv(F.col("text"))).alias("folded"), F.md5(fx.lower_strip(F.col("text"))).alias("lowered"))
+
+
+@query(
+    r"""SELECT doc_id, len([x FOR x IN string_split(regexp_replace(regexp_replace(text, '\n\s+', chr(10), 'g'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) IF trim(x, E' \t\n\r') <> ''])::INT AS n_sentences,
+  md5(regexp_replace(regexp_replace(text, '-\s', '', 'g'), '-', '', 'g')) AS joined, md5(regexp_replace(text, '[,.!?:;]', '', 'g')) AS bare FROM documents"""
+)
+def sentence_split_and_cleaning(spark, sf_dir):
+    text = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(fx.split_sentences(text)).alias("n_sentences"), F.md5(fx.join_hyphenated(text)).alias("joined"), F.md5(fx.drop_punctuation(text)).alias("bare"))
+
+
+RUNS = """WITH r AS (
+  SELECT *, CASE WHEN lag(event_type) OVER w = event_type THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
+), k AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM r)"""
+
+
+@query(RUNS + " SELECT user_id, run::INT AS run, any_value(event_type) AS event_type, count(*) AS n, min(event_id) AS first_event, round(sum(value), 4) AS total FROM k GROUP BY user_id, run")
+def event_runs(spark, sf_dir):
+    runs = sequence.mark_runs(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], F.col("event_type"))
+    return runs.groupBy("user_id", "run").agg(F.first("event_type").alias("event_type"), F.count("*").alias("n"), F.min("event_id").alias("first_event"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query(
+    """WITH m AS (SELECT *, coalesce(sum((event_type = 'error')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS sentence_index FROM events)
+ SELECT user_id, sentence_index, count(*) AS n_words, string_agg(event_type, ' ' ORDER BY ts, event_id) AS sentence FROM m GROUP BY user_id, sentence_index"""
+)
+def event_sentences(spark, sf_dir):
+    events = table(spark, sf_dir, "events").withColumn("word", F.col("event_type"))
+    return _sentences(events, "user_id", ["ts", "event_id"], F.col("event_type") == "error").select("user_id", "sentence_index", "n_words", F.array_join("words", " ").alias("sentence"))
+
+
+@query(
+    """WITH f AS (SELECT user_id, event_type, min((ts, event_id)) AS place FROM events GROUP BY ALL),
+ e AS (SELECT user_id, arg_min(event_type, (ts, event_id)) AS first_type, arg_max(event_type, (ts, event_id)) AS last_type FROM events GROUP BY user_id)
+ SELECT user_id, string_agg(event_type, ' ; ' ORDER BY place) FILTER (event_type <> 'error') AS labels, any_value(first_type) AS first_type, any_value(last_type) AS last_type FROM f JOIN e USING (user_id) GROUP BY user_id
+ HAVING labels IS NOT NULL"""
+)
+def ordered_distinct_labels(spark, sf_dir):
+    values = table(spark, sf_dir, "events").groupBy("user_id").agg(sequence.in_order(F.col("event_type"), ["ts", "event_id"]).alias("v"))
+    return values.select("user_id", sequence.joined_distinct(F.col("v"), ["error"], "o").alias("labels"), F.col("v")[0].alias("first_type"), F.element_at("v", -1).alias("last_type")).where("labels <> 'o'")
+
+
+@query("SELECT conv_id, string_agg(role, ' ; ' ORDER BY turn) AS roles, min(turn) || '-' || max(turn) AS span, sum(length(text))::BIGINT AS n_chars FROM conversations GROUP BY conv_id HAVING count(*) > 1")
+def conversation_turn_spans(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(sequence.in_order(F.col("role"), ["turn"]).alias("roles"), sequence.in_order(F.col("turn").cast("string"), ["turn"]).alias("turns"), F.sum(F.length("text")).alias("n_chars"))
+    return turns.where(F.size("turns") > 1).select("conv_id", F.array_join("roles", " ; ").alias("roles"), sequence.line_range(F.col("turns")).alias("span"), "n_chars")
+
+
+def _verses(spark, sf_dir) -> DataFrame:
+    """Parts as verse texts, by order and line number."""
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    named = lines.select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("v"), F.col("p_name").alias("text"))
+    return verses.last_by_key(named.withColumn("at", F.col("text")), ["o", "v"], "text", "at")
+
+
+VERSES = "v AS (SELECT l_orderkey AS o, l_linenumber AS n, max(p_name) AS text FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)"
+
+
+@query(f"WITH {VERSES} SELECT l.l_orderkey, l.l_linenumber, l.l_orderkey || ':' || (l.l_linenumber + 1) AS reference, coalesce(v.text, '') AS biblical_text FROM lineitem l LEFT JOIN v ON v.o = l.l_orderkey AND v.n = l.l_linenumber + 1")
+def ref_lookup_exact(spark, sf_dir):
+    texts = _verses(spark, sf_dir).select(F.concat_ws(":", "o", "v").alias("reference"), "text")
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.concat_ws(":", "l_orderkey", F.col("l_linenumber") + 1).alias("reference"))
+    return verses.attach_texts(rows, texts)
+
+
+@query(
+    f"""WITH {VERSES}, q AS (SELECT o_orderkey, 1 + o_orderkey % 4 AS a, 2 + o_custkey % 4 AS b FROM orders)
+ SELECT q.o_orderkey, q.o_orderkey || ':' || a || '-' || b AS reference, coalesce(string_agg(v.text, ' ' ORDER BY v.n), '') AS biblical_text FROM q LEFT JOIN v ON v.o = q.o_orderkey AND v.n BETWEEN a AND b GROUP BY ALL"""
+)
+def ref_lookup_range(spark, sf_dir):
+    texts = _verses(spark, sf_dir).select(F.concat_ws(":", "o", "v").alias("reference"), "text")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.col("o_orderkey"), F.lit(":"), 1 + F.col("o_orderkey") % 4, F.lit("-"), 2 + F.col("o_custkey") % 4).alias("reference"))
+    return verses.attach_texts(rows, texts)
+
+
+AGGLOMERATED = "a AS (SELECT l_orderkey AS k, string_agg('P ' || l_orderkey || ':' || l_linenumber || '.' || (l_linenumber + 1), ' ; ' ORDER BY l_linenumber, l_partkey) AS reference, string_agg(DISTINCT l_returnflag, ' ; ' ORDER BY l_returnflag) AS label FROM lineitem GROUP BY l_orderkey)"
+
+
+def _agglomerated(spark, sf_dir) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").withColumn("r", F.concat(F.lit("P "), "l_orderkey", F.lit(":"), "l_linenumber", F.lit("."), F.col("l_linenumber") + 1))
+    return lines.groupBy(F.col("l_orderkey").alias("k")).agg(F.array_join(sequence.in_order(F.col("r"), ["l_linenumber", "l_partkey"]), " ; ").alias("reference"), F.array_join(F.array_sort(F.collect_set("l_returnflag")), " ; ").alias("label"))
+
+
+def _split_sql(n: str) -> str:
+    return f"""WITH {AGGLOMERATED}, s AS (SELECT k, string_split(reference, ' ; ') AS r, string_split(label, ' ; ') AS l FROM a),
+ p AS (SELECT k, r, l, unnest(range(0, {n})) AS part_no FROM s)
+ SELECT k, part_no::INT AS part_no, r[least(part_no, len(r) - 1) + 1] AS reference, l[least(part_no, len(l) - 1) + 1] AS label FROM p"""
+
+
+@query(_split_sql("len(r)"))
+def deagglomerate(spark, sf_dir):
+    return expand.split_references(_agglomerated(spark, sf_dir)).select("k", "part_no", "reference", "label")
+
+
+@query(_split_sql("greatest(len(r), len(l))"))
+def deagglomerate_segments(spark, sf_dir):
+    return expand.split_references(_agglomerated(spark, sf_dir), longest=True).select("k", "part_no", "reference", "label")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, unnest(range(0, 2))::INT AS verse_no, unnest(['P ' || l_orderkey || ':' || l_linenumber, 'P ' || l_orderkey || ':' || (l_linenumber + 1) || '-9']) AS reference FROM lineitem")
+def verse_list_split(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.concat(F.lit("P "), "l_orderkey", F.lit(":"), "l_linenumber", F.lit(". "), F.col("l_linenumber") + 1, F.lit("-9")).alias("reference"))
+    return expand.split_verse_lists(rows).select("l_orderkey", "l_linenumber", "l_partkey", "verse_no", "reference")
+
+
+@query(
+    """SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN r_name WHEN 1 THEN substr(r_name, 1, 3) WHEN 2 THEN (n_regionkey + 1) || ' ' || substr(r_name, 1, 2) ELSE n_name END AS name,
+  CASE WHEN n_nationkey % 4 = 3 THEN n_name ELSE r_name END AS full_name, CASE WHEN n_nationkey % 4 = 3 THEN n_name ELSE substr(r_name, 1, 3) END AS abbreviation, n_nationkey % 4 <> 3 AS known FROM nation JOIN region ON n_regionkey = r_regionkey"""
+)
+def name_resolution(spark, sf_dir):
+    regions = table(spark, sf_dir, "region").orderBy("r_regionkey").collect()
+    names = verses.Names([(x.r_name, x.r_name[:3]) for x in regions], [(f"{x.r_regionkey + 1}{x.r_name[:2]}", x.r_name) for x in regions])
+    rows = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    kind = F.col("n_nationkey") % 4
+    name = F.when(kind == 0, F.col("r_name")).when(kind == 1, F.substring("r_name", 1, 3)).when(kind == 2, F.concat(F.col("n_regionkey") + 1, F.lit(" "), F.substring("r_name", 1, 2))).otherwise(F.col("n_name"))
+    return rows.select("n_nationkey", name.alias("name")).withColumn("r", names.resolve(F.col("name"))).select("n_nationkey", "name", F.col("r.full").alias("full_name"), F.col("r.abbreviation").alias("abbreviation"), F.col("r.known").alias("known"))
+
+
+@query(
+    r"""WITH q AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE l_linenumber % 4 WHEN 0 THEN 'Ps' || (l_orderkey % 900 + 1) || ' , ' || l_linenumber || '--' || (l_linenumber + 3) WHEN 1 THEN 'Ps ' || (l_orderkey % 150 + 1) || ',' || l_linenumber || ' et Mt_' || l_linenumber || ' . ' || (l_linenumber + 1)
+    WHEN 2 THEN 'Ps ' || (l_orderkey % 150 + 1) || ',' || l_linenumber || '; Rm ' || (l_linenumber + 1) || ', ' || l_linenumber || '.' || (l_linenumber + 2) ELSE 'Ps ' || (l_orderkey % 150 + 1) END AS initial FROM lineitem),
+ s AS (SELECT *, regexp_replace(regexp_replace(replace(replace(replace(replace(initial, 'et', ';'), '_', ' '), ',', ':'), '--', '-'), '\s*([.:])', '\1', 'g'), '([.:])\s*', '\1', 'g') AS a FROM q),
+ b AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(a, '([A-Za-z]):', '\1 ', 'g'), '\s+', ' ', 'g'), '\s$', ''), '([A-Za-z])(\d)', '\1 \2', 'g') AS r FROM s)
+ SELECT l_orderkey, l_linenumber, l_partkey, initial, array_to_string(regexp_extract_all(r, '[1-3]?\s?[A-Za-z]+\s+\d{1,3}:\d{1,3}(?:\.\d{1,3})*(?:-\d{1,3})?'), ' ; ') AS normalized FROM b"""
+)
+def ref_normalize(spark, sf_dir):
+    n, o = F.col("l_linenumber"), F.col("l_orderkey")
+    initial = (
+        F.when(n % 4 == 0, F.concat(F.lit("Ps"), o % 900 + 1, F.lit(" , "), n, F.lit("--"), n + 3))
+        .when(n % 4 == 1, F.concat(F.lit("Ps "), o % 150 + 1, F.lit(","), n, F.lit(" et Mt_"), n, F.lit(" . "), n + 1))
+        .when(n % 4 == 2, F.concat(F.lit("Ps "), o % 150 + 1, F.lit(","), n, F.lit("; Rm "), n + 1, F.lit(", "), n, F.lit("."), n + 2))
+        .otherwise(F.concat(F.lit("Ps "), o % 150 + 1))
+    )
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", initial.alias("initial")).withColumn("normalized", refs.normalize_ref(F.col("initial")))
+
+
+@query(
+    f"""WITH {VERSES}, q AS (SELECT o_orderkey AS k, o_custkey % 7 + 1 AS a, o_custkey % 5 + 1 AS b, o_orderpriority AS label FROM orders WHERE o_orderkey % 10 <> 3),
+ x AS (SELECT q.*, CASE WHEN k % 3 = 0 THEN a || ' - ' || b WHEN k % 3 = 1 THEN a || '.' || b ELSE a::VARCHAR END AS verse FROM q),
+ n AS (SELECT k, unnest(CASE WHEN k % 3 = 0 THEN range(a, b + 1) WHEN k % 3 = 1 THEN [a, b] ELSE [a] END) AS v, unnest(range(len(CASE WHEN k % 3 = 0 THEN range(a, b + 1) WHEN k % 3 = 1 THEN [a, b] ELSE [a] END))) AS place FROM x)
+ SELECT x.k, 'Mt ' || x.k || ':' || x.verse AS ref, coalesce(t.text, '') AS text, label FROM x LEFT JOIN (SELECT n.k, string_agg(v.text, ' ' ORDER BY n.place) AS text FROM n JOIN v ON v.o = n.k AND v.n = n.v GROUP BY n.k) t USING (k)"""
+)
+def ps_nt_parallel(spark, sf_dir):
+    k, a, b = F.col("o_orderkey"), F.col("o_custkey") % 7 + 1, F.col("o_custkey") % 5 + 1
+    verse = F.when(k % 10 == 3, F.lit("x")).when(k % 3 == 0, F.concat(a, F.lit(" - "), b)).when(k % 3 == 1, F.concat(a, F.lit("."), b)).otherwise(a.cast("string"))
+    rows = table(spark, sf_dir, "orders").select(k.alias("k"), F.lit("Mt").alias("book"), k.cast("string").alias("chapter"), verse.alias("verse"), F.col("o_orderpriority").alias("label"))
+    rows = rows.where(F.col("verse").rlike(r"\d"))
+    texts = _verses(spark, sf_dir).select(F.lit("Mt").alias("book"), F.col("o").cast("int").alias("chapter"), F.col("v").alias("verse"), "text")
+    out = verses.compound_texts(rows.withColumnRenamed("verse", "verse_"), texts, "k", "book", "chapter", "verse_", "text")
+    return out.select("k", fx.build_ref(F.col("book"), F.col("chapter"), F.col("verse_")).alias("ref"), "text", "label")
+
+
+@query(
+    r"""SELECT page_id, regexp_count(html, '<a href="[^"]*">') AS n_links, array_to_string(regexp_extract_all(html, '<a href="([^"]*)">', 1), ' ; ') AS links,
+  md5(regexp_replace(html, '<b>[\s\S]*?<br>', '', 'g')) AS cleaned FROM pages""".replace("regexp_count(html, '<a href=\"[^\"]*\">')", "len(regexp_extract_all(html, '<a href=\"[^\"]*\">'))::INT")
+)
+def html_refs_extract(spark, sf_dir):
+    found = F.regexp_extract_all("html", F.lit('<a href="([^"]*)">'), F.lit(1))
+    return table(spark, sf_dir, "pages").select("page_id", F.size(found).alias("n_links"), F.array_join(found, " ; ").alias("links"), F.md5(F.regexp_replace("html", r"<b>[\s\S]*?<br>", "")).alias("cleaned"))
+
+
+@query("SELECT DISTINCT event_type AS marker, 'user' || (user_id % 7) AS file FROM events")
+def distinct_markers(spark, sf_dir):
+    from ..sources.sinks import distinct_markers as distinct
+
+    return distinct(table(spark, sf_dir, "events").select(F.col("event_type").alias("marker"), F.concat(F.lit("user"), F.col("user_id") % 7).alias("file")), "marker", "file")
+
+
+PLAIN = "text NOT LIKE '%<%' AND text NOT LIKE '%>%' AND text NOT LIKE '%&%'"
+
+
+@query(
+    rf"""WITH d AS (SELECT doc_id, [x FOR x IN string_split(trim(regexp_replace(regexp_replace(text, '([.,;:!?])', ' \1 ', 'g'), '\s+', ' ', 'g')), ' ') IF x <> ''] AS l FROM documents WHERE {PLAIN})
+ SELECT 'doc' || doc_id AS path, len(l) + 2 AS n_words, len(l) AS n_cited, 'Mt ' || doc_id || ':1' AS reference, md5(array_to_string(l, ' ')) AS digest FROM d WHERE len(l) > 0"""
+)
+def tei_words(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where(PLAIN)
+    xml = F.concat(
+        F.lit("<TEI xmlns='x'><teiHeader>head</teiHeader><text><p>before <seg type=\"biblicalQuotation\">"), "text", F.lit('<note><seg type="biblicalRef" ana="Quotation"><!--mt-->Mt '), F.col("doc_id"), F.lit(":1</seg></note></seg> after</p></text></TEI>")
+    )
+    found = tei.tei_words(docs.select(F.concat(F.lit("doc"), "doc_id").alias("path"), xml.alias("xml")))
+    cited = F.col("reference").isNotNull()
+    out = found.groupBy("path").agg(F.count("*").alias("n_words"), F.count_if(cited).alias("n_cited"), F.max("reference").alias("reference"), sequence.in_order(F.when(cited, F.col("word")), ["pos"]).alias("w"))
+    return out.where("n_cited > 0").select("path", "n_words", "n_cited", "reference", F.md5(F.array_join("w", " ")).alias("digest"))
+
+
+@query(rf"SELECT 'doc' || doc_id AS path, len([x FOR x IN string_split_regex(text, '\s+') IF x <> '']) AS n_words, 1 AS n_notes, 1 AS n_cited FROM documents WHERE {PLAIN} AND NOT regexp_matches(text, '\(\d+\)')")
+def docx_tokens(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where(PLAIN).where(~F.col("text").rlike(r"\(\d+\)")).select("doc_id", "text")
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+
+    def package(batches):
+        for b in batches:
+            out = []
+            for text in b["text"]:
+                blob = io.BytesIO()
+                with zipfile.ZipFile(blob, "w") as z:
+                    z.writestr("word/document.xml", f'<w:document {w}><w:p><w:r><w:t>{escape(text)}</w:t><w:footnoteReference w:id="1"/></w:r></w:p></w:document>')
+                    z.writestr("word/footnotes.xml", f'<w:footnotes {w}><w:footnote w:id="1"><w:t>Mt 1,1</w:t></w:footnote></w:footnotes>')
+                out.append(blob.getvalue())
+            yield pd.DataFrame({"path": "doc" + b["doc_id"].astype(str), "content": out})
+
+    found = docx.docx_tokens(docs.mapInPandas(package, "path string, content binary"))
+    is_word = (F.col("type") == "text") & (F.trim(F.regexp_replace("content", r"\s+", "")) != "")
+    return found.groupBy("path").agg(F.count_if(is_word).alias("n_words"), F.count_if(F.col("type") == "fn_ref").cast("int").alias("n_notes"), F.count_if(F.col("citation") == "Mt 1,1").cast("int").alias("n_cited"))
+
+
+def _vectors(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    e = table(spark, sf_dir, "embeddings").withColumn("vector", F.col("embedding").cast("array<double>"))
+    return e.where("vec_id < 50").select(F.col("vec_id").alias("anchor"), "vector"), e.where("vec_id >= 50").select(F.col("vec_id").alias("cand"), "vector")
+
+
+SCORES = "s AS (SELECT a.vec_id AS anchor, b.vec_id AS cand, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score FROM embeddings a, embeddings b WHERE a.vec_id < 50 AND b.vec_id >= 50), k AS (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY round(score, 12) DESC, cand) AS rank FROM s)"
+
+
+@query(f"WITH {SCORES} SELECT anchor, cand, rank::INT AS rank, round(score, 4) AS score FROM k WHERE rank <= 10")
+def cosine_topk(spark, sf_dir):
+    return similarity.top_k(*_vectors(spark, sf_dir), 10).select("anchor", "cand", "rank", F.round("score", 4).alias("score"))
+
+
+LABELLED = "SELECT d.doc_id, CASE WHEN coalesce(l.quality, 0) = 0 THEN 'NaR' ELSE 'Quotation' END AS label, CASE WHEN l.toxic = 1 THEN d.source ELSE '' END AS biblical_text FROM documents d LEFT JOIN labels l USING (doc_id)"
+
+
+def _labelled(spark, sf_dir) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return rows.select("doc_id", F.when(F.coalesce("quality", F.lit(0)) == 0, "NaR").otherwise("Quotation").alias("label"), F.when(F.col("toxic") == 1, F.col("source")).otherwise("").alias("biblical_text"))
+
+
+@query(f"WITH {SCORES}, x AS ({LABELLED}) SELECT x.doc_id, x.label, CASE WHEN x.label = 'NaR' AND x.biblical_text = '' THEN 'text ' || k.cand ELSE x.biblical_text END AS biblical_text, CASE WHEN x.label = 'NaR' AND x.biblical_text = '' THEN round(k.score, 4) END AS score FROM x JOIN k ON k.anchor = x.doc_id AND k.rank = 1")
+def cosine_fill(spark, sf_dir):
+    anchors, cands = _vectors(spark, sf_dir)
+    rows = _labelled(spark, sf_dir).join(anchors, F.col("doc_id") == F.col("anchor"))
+    out = similarity.fill_nearest(rows, cands.withColumn("candidate", F.concat(F.lit("text "), "cand")))
+    return out.select("doc_id", "label", "biblical_text", F.round("score", 4).alias("score"))
+
+
+@query(
+    f"""WITH x AS ({LABELLED}), c AS (SELECT row_number() OVER (ORDER BY item_id) - 1 AS number, text AS candidate FROM benchmark)
+ SELECT x.doc_id, x.label, CASE WHEN x.label = 'NaR' AND x.biblical_text = '' THEN c.candidate ELSE x.biblical_text END AS biblical_text FROM x JOIN c ON c.number = ('0x' || substr(md5('s' || x.doc_id), 1, 8))::BIGINT % (SELECT count(*) FROM benchmark)"""
+)
+def random_fill(spark, sf_dir):
+    cands = table(spark, sf_dir, "benchmark").select((F.row_number().over(Window.orderBy("item_id")) - 1).cast("long").alias("number"), F.col("text").alias("candidate"))
+    return similarity.fill_random(_labelled(spark, sf_dir), cands, "doc_id", seed="s").select("doc_id", "label", "biblical_text")
+
+
+@query(
+    f"""WITH {SCORES}, t AS (SELECT vec_id, 'lab ' || label AS text FROM embeddings),
+ n AS (SELECT k.*, (contains(p.text, c.text) OR contains(c.text, p.text)) AS bad FROM k JOIN t p ON p.vec_id = k.anchor JOIN t c ON c.vec_id = k.cand),
+ h AS (SELECT anchor, min(rank) FILTER (NOT bad AND rank <= 10) AS hit, min(cand) FILTER (NOT bad) AS other FROM n GROUP BY anchor)
+ SELECT h.anchor, n.cand AS negative, round(n.score, 4) AS neg_cos_sim, CASE WHEN hit IS NOT NULL THEN hit - 1 ELSE 10 + (SELECT count(*) FROM t WHERE vec_id >= 50 AND vec_id < h.other) END AS rejected
+ FROM h LEFT JOIN n ON n.anchor = h.anchor AND (n.rank = h.hit OR (h.hit IS NULL AND n.cand = h.other))"""
+)
+def hard_negatives(spark, sf_dir):
+    anchors, cands = _vectors(spark, sf_dir)
+    texts = table(spark, sf_dir, "embeddings").select("vec_id", F.concat(F.lit("lab "), "label").alias("t"))
+    a = anchors.join(texts.select(F.col("vec_id").alias("anchor"), F.col("t").alias("positive")), "anchor")
+    c = cands.join(texts.select(F.col("vec_id").alias("cand"), F.col("t").alias("candidate")), "cand")
+    return similarity.hard_negatives(a, c).withColumn("neg_cos_sim", F.round("neg_cos_sim", 4))
+
+
+@query("SELECT d.doc_id, b.item_id FROM documents d, benchmark b WHERE contains(lower(d.text), lower(b.text))")
+def reuse_detection(spark, sf_dir):
+    """Documents that contain a benchmark passage. Passages are few (their size is checked by the optimizer, not here), texts are not moved: word groups meet the passages that hold them, and only then are texts compared."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.lower("text").alias("item"))
+    w = F.split("item", r"\s+")
+    # the longest of a passage's inner words must stand in a document that contains it
+    inner = F.slice(w, 2, F.greatest(F.size(w) - 2, F.lit(0)))
+    longest = F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("w"))))["w"]
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("text"))
+    rare = docs.select("doc_id", "text", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("key")).join(items.withColumn("key", longest), "key")
+    return rare.where(F.contains("text", "item")).select("doc_id", "item_id").distinct()
+
+
+@query(
+    f"WITH x AS ({LABELLED}) SELECT label, count(*) AS n_rows, count(*) FILTER (biblical_text <> '') AS with_text, round(avg((biblical_text <> '')::INT), 6) AS rate FROM x GROUP BY label"
+)
+def match_rate_summary(spark, sf_dir):
+    found = F.col("biblical_text") != ""
+    return _labelled(spark, sf_dir).groupBy("label").agg(F.count("*").alias("n_rows"), F.count_if(found).alias("with_text"), F.round(F.avg(found.cast("int")), 6).alias("rate"))
+
+
+def _corpus_words(spark, sf_dir) -> DataFrame:
+    """Documents as annotated words: three of ten places in a row refer to a verse."""
+    at = F.col("pos") % 10
+    ref = F.when(at < 3, F.concat(F.lit("Ps "), F.col("doc_id") % 150 + 1, F.lit(":"), (F.floor(F.col("pos") / 10) % 7 + 1).cast("string"))).otherwise("o")
+    return tokens(spark, sf_dir).select(
+        F.col("doc_id").cast("string").alias("source_path"), F.col("doc_id").cast("string").alias("source_file"), F.col("pos").alias("word_index"), F.concat(F.floor(F.col("pos") / 8) + 1, F.lit(".0")).alias("line"), "word",
+        F.when(at < 3, "Quotation").otherwise("NaR").alias("label"), ref.alias("reference"), ref.alias("reference normalized"),
+    )
+
+
+@query(
+    f"""WITH {TOKENS}, w AS (SELECT *, CASE WHEN pos % 10 < 3 THEN 'Ps ' || (doc_id % 150 + 1) || ':' || ((pos // 10) % 7 + 1) ELSE 'o' END AS ref, pos // 8 + 1 AS line FROM toks),
+ c AS (SELECT *, sum((word IN ('.', '?', '!', ';'))::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS seen, CASE WHEN lag(ref) OVER (PARTITION BY doc_id ORDER BY pos) = ref THEN 0 ELSE 1 END AS fresh FROM w),
+ r AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM c)
+ SELECT doc_id::VARCHAR AS source_file, max(seen)::INT AS sentence_index, CASE WHEN min(line) = max(line) THEN min(line)::VARCHAR ELSE min(line) || '-' || max(line) END AS line, """
+    r"""regexp_replace(string_agg(word, ' ' ORDER BY pos), '\s+([.,;:?!])', '\1', 'g') AS reuse_tag_set, ref AS reference FROM r WHERE ref <> 'o' GROUP BY doc_id, run, ref"""
+)
+def reuse_sets(spark, sf_dir):
+    return sequence.reuse_sets(_corpus_words(spark, sf_dir)).select("source_file", "sentence_index", "line", "reuse_tag_set", "reference")
+
+
+@query(
+    f"""WITH {TOKENS}, w AS (SELECT *, CASE WHEN pos % 10 < 3 THEN 'Ps ' || (doc_id % 150 + 1) || ':' || ((pos // 10) % 7 + 1) END AS ref, pos // 8 + 1 AS line,
+   coalesce(sum((word IN ('.', '?', '!', ';'))::INT) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS sentence_index FROM toks),
+ f AS (SELECT doc_id, sentence_index, ref, min(pos) AS place FROM w WHERE ref IS NOT NULL GROUP BY ALL), g AS (SELECT doc_id, sentence_index, string_agg(ref, ' ; ' ORDER BY place) AS reference FROM f GROUP BY ALL),
+ s AS (SELECT doc_id, sentence_index, CASE WHEN min(line) = max(line) THEN min(line)::VARCHAR ELSE min(line) || '-' || max(line) END AS line, count(*) AS n FROM w GROUP BY ALL)
+ SELECT s.doc_id::VARCHAR AS source_file, s.sentence_index, s.line, coalesce(g.reference, 'o') AS reference, CASE WHEN g.reference IS NULL THEN 'NaR' ELSE 'Quotation' END AS label FROM s LEFT JOIN g USING (doc_id, sentence_index)"""
+)
+def annotated_sentences(spark, sf_dir):
+    return sequence.sentences(_corpus_words(spark, sf_dir)).select("source_file", "sentence_index", "line", "reference", "label")
+
+
+@query()
+def annotated_segments(spark, sf_dir):
+    return sequence.segments(_corpus_words(spark, sf_dir))
+
+
+@query()
+def triplet_mining(spark, sf_dir):
+    from ..functions.vectors import hashing_encoder
+
+    pairs = table(spark, sf_dir, "conversations").where("turn = 0").select(F.col("text").alias("sentence"), F.col("text").alias("biblical_text"))
+    cands = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("cand"), F.col("text").alias("candidate"))
+    return similarity.triplets(pairs, cands, hashing_encoder)
