@@ -66,26 +66,59 @@ def validated(calls: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     return calls.withColumn("errors", out.otherwise(F.array(F.lit("name: unknown"))))
 
 
+def _followed(links: DataFrame) -> DataFrame:
+    """(conv_id, call_id, head, far): where chains of calls with one predecessor begin, and how far back that is.
+
+    links: conv_id, call_id, head, far, ends, with the predecessor (or the call
+    itself, if it has none or several) as head. Each round doubles the stretch
+    that is known, so a chain of any length takes logarithmically many rounds.
+    A cycle never ends; its calls are left out.
+    """
+    ids = ["conv_id", "call_id"]
+    open_ = None
+    while True:
+        links = checkpoint(links)
+        left = links.where("not ends").count()
+        if left in (0, open_) and (left == 0 or links.where("not ends").agg(F.min("far")).first()[0] > left):
+            return links.where("ends").select(*ids, "head", "far")
+        open_ = left
+        ahead = links.select("conv_id", F.col("call_id").alias("head"), F.col("head").alias("next"), F.col("far").alias("more"), F.col("ends").alias("last"))
+        links = links.join(ahead, ["conv_id", "head"]).select(*ids, F.when(F.col("ends"), F.col("head")).otherwise(F.col("next")).alias("head"), F.when(F.col("ends"), F.col("far")).otherwise(F.col("far") + F.col("more")).alias("far"), (F.col("ends") | F.col("last")).alias("ends"))
+
+
 def levels(calls: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level): layers of the calls' dependencies; level is null for calls in or behind a cycle.
+    """(conv_id, call_id, level): layers of the calls' dependencies; calls in or behind a cycle are left out.
 
     calls has conv_id, call_id (unique in a conversation) and after, an array of
-    identifiers. Each round gives a level to the calls all of whose predecessors
-    have one, so there are as many rounds as layers.
+    identifiers. Chains of calls with one predecessor are followed by pointer
+    doubling; among the calls with several, each round gives a level to those
+    all of whose predecessors have one, so there are as many rounds as such calls lie behind one another.
     """
     ids = ["conv_id", "call_id"]
     known = calls.select("conv_id", F.col("call_id").alias("parent"))
     edges = checkpoint(calls.select(*ids, F.explode("after").alias("parent")).distinct().join(known, ["conv_id", "parent"]))
-    out = calls.select(*ids).join(edges.select(*ids).distinct().withColumn("waits", F.lit(True)), ids, "left").select(*ids, F.when(F.col("waits").isNull(), 0).alias("level"))
+    parents = edges.groupBy(*ids).agg(F.count("*").alias("n"), F.min("parent").alias("parent"))
+    one = F.coalesce(F.col("n") == 1, F.lit(False))
+    links = calls.where("conv_id is not null").select(*ids).join(parents, ids, "left").select(*ids, F.when(one, F.col("parent")).otherwise(F.col("call_id")).alias("head"), one.cast("long").alias("far"), (~one).alias("ends"))
+    heads = _followed(links)
+    several = checkpoint(parents.where("n > 1").select("conv_id", F.col("call_id").alias("head"), "n"))
+    if several.isEmpty():
+        return heads.select(*ids, F.col("far").cast("int").alias("level"))
+    heads = checkpoint(heads)
+    # what each call with several predecessors waits for: the heads of those, and how far behind them it lies
+    waits = edges.join(several.select("conv_id", F.col("head").alias("call_id"), "n"), ids).join(heads.select("conv_id", F.col("call_id").alias("parent"), F.col("head").alias("behind"), (F.col("far") + 1).alias("far")), ["conv_id", "parent"], "left")
+    waits = checkpoint(waits.groupBy("conv_id", F.col("call_id").alias("head"), "n", "behind").agg(F.count("*").alias("m"), F.max("far").alias("far")))
+    level = heads.where("call_id = head").join(several.select("conv_id", "head", F.lit(True).alias("many")), ["conv_id", "head"], "left").select("conv_id", "head", F.when(F.col("many").isNull(), F.lit(0).cast("long")).alias("level"))
     waiting = None
     while True:
-        out = checkpoint(out)
-        left = out.where("level is null").count()
+        level = checkpoint(level)
+        left = level.where("level is null").count()
         if left in (0, waiting):
-            return out
+            break
         waiting = left
-        found = edges.join(out.withColumnRenamed("call_id", "parent"), ["conv_id", "parent"]).groupBy(*ids).agg(F.when(F.count("*") == F.count("level"), F.max("level") + 1).alias("now"))
-        out = out.join(found, ids, "left").select(*ids, F.coalesce("level", "now").alias("level"))
+        now = waits.join(level.select("conv_id", F.col("head").alias("behind"), F.col("level").alias("base")), ["conv_id", "behind"], "left").groupBy("conv_id", "head").agg(F.when(F.sum(F.when(F.col("base").isNotNull(), F.col("m")).otherwise(0)) == F.first("n"), F.max(F.col("base") + F.col("far"))).alias("now"))
+        level = level.join(now, ["conv_id", "head"], "left").select("conv_id", "head", F.coalesce("level", "now").alias("level"))
+    return heads.join(level.where("level is not null"), ["conv_id", "head"]).select(*ids, (F.col("level") + F.col("far")).cast("int").alias("level"))
 
 
 def linked(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:

@@ -1,4 +1,5 @@
 import json
+import random
 
 from florilex.llm import chat
 
@@ -39,6 +40,22 @@ def test_links_and_levels(spark):
     assert at["call", 1] < at["result", 6] < at["call", 2] < at["call", 3] < at["result", 5] < at["call", 4]
 
 
+def test_levels_of_random_graphs_and_long_chains(spark):
+    r = random.Random(1)
+    rows, want = [], {}
+    for conv in range(12):
+        after = {k: sorted({r.randrange(30) for _ in range(r.choice([0, 1, 1, 1, 2, 3]))}) for k in range(30)} if conv < 4 else {k: sorted({r.randrange(k) for _ in range(r.choice([0, 1, 1, 2]))}) if k else [] for k in range(30)}
+        rows += [(conv, str(k), [str(x) for x in v]) for k, v in after.items()]
+        level = {}
+        while new := {k: 1 + max((level[x] for x in v), default=-1) for k, v in after.items() if k not in level and all(x in level for x in v)}:
+            level |= new
+        want |= {(conv, str(k)): x for k, x in level.items()}
+    rows += [(99, str(k), [str(k - 1)]) for k in range(300)] + [(98, "a", ["b"]), (98, "b", ["a"]), (98, "c", ["b"])]
+    want |= {(99, str(k)): k for k in range(300)}
+    got = chat.levels(spark.createDataFrame(rows, "conv_id long, call_id string, after array<string>")).collect()
+    assert {(x.conv_id, x.call_id): x.level for x in got} == want
+
+
 def test_arguments_and_canonical_json(spark):
     args = ['{"b":"xyz", "a":2}', "{}", '{"a":"1"}', '{"a":0,"b":"long"}', '{"a":1,"c":[1,{"z":1,"y":null}],"d":2.6,"e":true}', "nonsense", None, '{"a":1.5,"c":{},"e":"true"}']
     got = run(spark, [call(i, f"k{i}", a) for i, a in enumerate(args)] + [call(90, "u", name="g")])
