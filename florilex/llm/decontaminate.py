@@ -48,7 +48,7 @@ def words(text: str | None) -> list[bytes]:
 class Hasher:
     """Shingle hashes of word sequences; word hashes are remembered, up to a bound."""
 
-    def __init__(self, limit: int = 1_000_000):
+    def __init__(self, limit: int = 200_000):
         self.known: dict[bytes, int] = {}
         self.limit = limit
 

@@ -35,7 +35,7 @@ LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvw
 #: Keys with more entries are divided by a second block.
 CROWDED = 50_000
 #: Complete keys are joined in chunks of about so many entries.
-CHUNK = 200_000
+CHUNK = 30_000
 
 
 def shingles(text: bytes, size: int) -> list[bytes]:
@@ -144,18 +144,18 @@ def trie_pairs(group: np.ndarray, value: np.ndarray, width: np.ndarray, radius:
     edge = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1], [True])))
     a0, a1 = edge[:-1], edge[1:]
     keep = a1 - a0 > 1
-    a0, a1 = a0[keep], a1[keep]
-    b0, b1, err, bit = a0, a1, np.zeros(len(a0), np.int64), width[a0].astype(np.int64)
+    a0, a1 = a0[keep].astype(np.int32), a1[keep].astype(np.int32)
+    b0, b1, err, bit = a0, a1, np.zeros(len(a0), np.int8), width[a0].astype(np.int8)
     left, right = [], []
     while len(a0):
-        bit = bit - 1
+        bit = bit - np.int8(1)
         am, bm = _turn(value, a0, a1, bit), _turn(value, b0, b1, bit)
         same = (a0 == b0) & (a1 == b1)
         new = [
             (a0, am, b0, bm, err, bit),
             (am, a1, bm, b1, err, bit),
-            (a0, am, bm, b1, err + 1, bit),
-            (am[~same], a1[~same], b0[~same], bm[~same], err[~same] + 1, bit[~same]),
+            (a0, am, bm, b1, err + np.int8(1), bit),
+            (am[~same], a1[~same], b0[~same], bm[~same], err[~same] + np.int8(1), bit[~same]),
         ]
         a0, a1, b0, b1, err, bit = (np.concatenate(x) for x in zip(*new, strict=True))
         mirror = (a0 == b0) & (a1 == b1)
@@ -181,8 +181,7 @@ def _turn(value: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: np.ndarray) ->
             return lo
         mid = (lo + hi) >> 1
         one = (value[np.minimum(mid, len(value) - 1)] >> np.maximum(bit, 0).astype(np.uint64) & np.uint64(1)).astype(bool)
-        hi = np.where(open_ & one, mid, hi)
-        lo = np.where(open_ & ~one, mid + 1, lo)
+        hi, lo = np.where(open_ & one, mid, hi), np.where(open_ & ~one, mid + np.int32(1), lo)
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
