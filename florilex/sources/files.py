@@ -25,7 +25,7 @@ def xml_files(spark: SparkSession, path: str) -> DataFrame:
 
 def _lines(spark: SparkSession, path: str, pattern: str, recursive: bool) -> DataFrame:
     """(path, at, line): the lines of files in order; a file is read whole, as its order counts."""
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", pattern).text(path)
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=recursive, pathGlobFilter=pattern)
     return files.select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")).alias("at", "line"))
 
 
