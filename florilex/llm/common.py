@@ -6,11 +6,13 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that Python code handles at once.
 STEP = 1 << 20
+BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,7 +36,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_ROWS rows: texts may be long, and a batch is built in memory. A smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -52,3 +62,15 @@ def in_steps(batches, column: str, size: int = STEP):
             end = min(b.num_rows, max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, side="right")) - 1))
             yield b.slice(at, end - at)
             at = end
+
+
+def gathered(batches, column: str, size: int):
+    """Arrow batches joined, and cut by `in_steps`, so that each has about size bytes in a column."""
+    held: list[pa.RecordBatch] = []
+    for part in (x for b in batches for x in in_steps([b], column, size)):
+        held.append(part)
+        if sum(x.column(column).nbytes for x in held) >= size:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]

@@ -42,17 +42,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_steps, text_bytes
+from .common import gathered, in_steps, text_bytes
 
 MATCH = 50
 GRAM = 20
 LAST = 2**63 - 1
 #: Text bytes for each hash range of anchors, and for the pieces in which anchors are sought.
-RANGE_BYTES, PIECE = 16 << 20, 1 << 20
+RANGE_BYTES, PIECE = 4 << 20, 1 << 19
 #: Text bytes whose anchors or regions are packed together.
 SLICE = 8 << 20
 #: Region bytes for one suffix array.
-ARRAY_BYTES = 1 << 20
+ARRAY_BYTES = 1 << 18
 CROWDED = 20_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 BYTE = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) ^ ((np.arange(1, 257, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(29))
@@ -265,7 +265,7 @@ def anchor_rows(texts: DataFrame, parts: int, match: int) -> DataFrame:
             yield held
 
     def work(batches):
-        for b in in_steps(batches, "_fx_text", SLICE):
+        for b in gathered(batches, "_fx_text", SLICE):
             got = []
             for held in blocks(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 sizes = np.array([len(x) for _, _, x in held])
@@ -352,7 +352,7 @@ def region_rows(joined: DataFrame, parts: int, match: int) -> DataFrame:
     """Packed regions by hash (key null), and ranges known to be removed (key: the document's). joined has (_fx_key, doc_id, _fx_text, blobs)."""
 
     def work(batches):
-        for b in in_steps(batches, "_fx_text", SLICE):
+        for b in gathered(batches, "_fx_text", SLICE):
             merged: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}
             for key, doc, text, blobs in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
                 rank = LAST if doc is None else doc
@@ -454,7 +454,7 @@ def spans(docs: DataFrame, match: int = MATCH) -> DataFrame:
     gather = lambda df, name: df.groupBy("key").agg(F.collect_list("blob").alias(name)).withColumnRenamed("key", "_fx_key")
     shared = gather(shared_anchors(anchor_rows(texts, parts, match), match), "blobs")
     first = texts.join(shared, "_fx_key", "left").select("_fx_key", "doc_id", "_fx_text", "blobs")
-    gone = gather(removed_ranges(region_rows(first, 8 * parts, match), match), "gone")
+    gone = gather(removed_ranges(region_rows(first, 2 * parts, match), match), "gone")
     return texts.join(gone, "_fx_key", "left").select("doc_id", "_fx_text", "gone")
 
 
