@@ -18,8 +18,8 @@ document with a smaller doc_id.
    least MATCH bytes make the groups, whose least document keeps its copy.
 4. The removed ranges are joined back to the documents and merged.
 
-Texts cross the network once (both joins use the same exchange), keyed by
-document, never by content. Hashes only select candidates: every removal rests
+Texts cross the network once (both joins use the same exchange), compressed and
+keyed by document, never by content. Hashes only select candidates: every removal rests
 on a comparison of bytes, in a suffix array or in a merge of equal regions. An
 anchor with more than CROWDED entries is dealt out by its single windows
 instead of by its gram, so that no region group grows with the corpus.
@@ -39,10 +39,11 @@ import struct
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gathered, in_steps, text_bytes
+from .common import STEP, gathered, in_steps, text_bytes
 
 MATCH = 50
 GRAM = 20
@@ -278,6 +279,8 @@ def anchor_rows(texts: DataFrame, parts: int, match: int) -> DataFrame:
             h, key, first, n = (np.concatenate(x) for x in zip(*got, strict=True))
             order = np.lexsort((key, h))
             h, key, first, n = h[order], key[order], first[order], n[order]
+            # the hash range and four bytes more tell anchors apart well enough: what they mix up is found to differ
+            h = ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
             head = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
             count = np.diff(np.append(head, len(h)))
             place = np.arange(len(h)) - np.repeat(head, count)
@@ -290,13 +293,12 @@ def anchor_rows(texts: DataFrame, parts: int, match: int) -> DataFrame:
                 for piece in np.split(a, np.flatnonzero(np.diff(key[a])) + 1):
                     yield from row_batches([(int(key[piece[0]] % parts), int(key[piece[0]]), pack(h[piece], first[piece], n[piece] | 2 << 6))], NAMES, KINDS)
             h, key, first, n = h[~alone], key[~alone], first[~alone], n[~alone]
-            part = (h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+            part = h >> np.uint64(32)
             for lo, hi in zip(*((np.searchsorted(part, np.arange(parts), side=s)) for s in ("left", "right")), strict=True):
                 if hi > lo:
                     keys, which = np.unique(key[lo:hi], return_inverse=True)
                     kind = np.uint16 if len(keys) < 2**16 else np.uint32
-                    low = h[lo:hi].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-                    blob = struct.pack("<II", hi - lo, len(keys)) + keys.astype("<i8").tobytes() + np.ascontiguousarray(low).tobytes() + which.astype(kind).tobytes() + first[lo:hi].tobytes() + n[lo:hi].tobytes()
+                    blob = struct.pack("<III", hi - lo, len(keys), int(part[lo])) + keys.astype("<i8").tobytes() + h[lo:hi].astype("<u4").tobytes() + which.astype(kind).tobytes() + first[lo:hi].tobytes() + n[lo:hi].tobytes()
                     yield from row_batches([(int(part[lo]), None, blob)], NAMES, KINDS)
 
     return texts.select("_fx_key", "_fx_text").mapInArrow(work, PACKED)
@@ -311,17 +313,16 @@ def shared_anchors(rows: DataFrame, match: int) -> DataFrame:
             if k is not None:
                 yield (k, blob)
                 continue
-            size, m = struct.unpack_from("<II", blob)
-            at = 8
+            size, m, part = struct.unpack_from("<III", blob)
+            at = 12
             keys = np.frombuffer(blob, "<i8", m, at)
             at += 8 * m
-            low = np.zeros((size, 8), np.uint8)
-            low[:, :6] = np.frombuffer(blob, np.uint8, 6 * size, at).reshape(-1, 6)
-            at += 6 * size
+            low = np.frombuffer(blob, "<u4", size, at)
+            at += 4 * size
             kind = np.dtype(np.uint16 if m < 2**16 else np.uint32)
             which = np.frombuffer(blob, kind, size, at)
             at += kind.itemsize * size
-            h.append(low.view("<u8").ravel())
+            h.append(low.astype(np.uint64) | np.uint64(part << 32))
             key.append(keys[which])
             first.append(np.frombuffer(blob, "<u4", size, at))
             n.append(np.frombuffer(blob, np.uint8, size, at + 4 * size))
@@ -349,14 +350,18 @@ def shared_anchors(rows: DataFrame, match: int) -> DataFrame:
 
 
 def region_rows(joined: DataFrame, parts: int, match: int) -> DataFrame:
-    """Packed regions by hash (key null), and ranges known to be removed (key: the document's). joined has (_fx_key, doc_id, _fx_text, blobs)."""
+    """Packed regions by hash (key null), and ranges known to be removed (key: the document's). joined has (_fx_key, doc_id, _fx_zip, blobs)."""
 
     def work(batches):
-        for b in gathered(batches, "_fx_text", SLICE):
+        zipped, plain = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+        for b in gathered(batches, "_fx_zip", SLICE // 2):
             merged: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}
             for key, doc, text, blobs in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                if not blobs:
+                    continue
+                text = plain.decompress(text)
                 rank = LAST if doc is None else doc
-                for blob in blobs or ():
+                for blob in blobs:
                     for h, first, n in zip(*(x.tolist() for x in unpack(blob, "<u8", "<u4", "u1")), strict=True):
                         flag, n = n >> 6, n & 63
                         if flag != 1:
@@ -379,7 +384,7 @@ def region_rows(joined: DataFrame, parts: int, match: int) -> DataFrame:
                 for k in range(0, len(rows), 5000):
                     h, rank, key, at, region = zip(*rows[k : k + 5000], strict=True)
                     blob = pack(np.array(h, "<u8"), np.array(rank, "<i8"), np.array(key, "<i8"), np.array(at, "<u4"), np.array([len(r) for r in region], "<u1")) + b"".join(region)
-                    yield from row_batches([(part, None, blob)], NAMES, KINDS)
+                    yield from row_batches([(part, None, zipped.compress(blob))], NAMES, KINDS)
             yield from row_batches(((k % parts, k, np.array(v, "<u4").tobytes()) for k, v in gone.items()), NAMES, KINDS, 2000)
 
     return joined.mapInArrow(work, PACKED)
@@ -395,6 +400,7 @@ def removed_ranges(rows: DataFrame, match: int) -> DataFrame:
             if k is not None:
                 yield (k, blob)
                 continue
+            blob = zstandard.ZstdDecompressor().decompress(blob)
             h, rank, key, at, size = unpack(blob, "<u8", "<i8", "<i8", "<u4", "<u1")
             pos = len(blob) - int(size.sum())
             for g, r, d, a, n in zip(h.tolist(), rank.tolist(), key.tolist(), at.tolist(), size.tolist(), strict=True):
@@ -446,25 +452,39 @@ def merge(blobs: list[bytes]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def zipped(texts: DataFrame) -> DataFrame:
+    """(_fx_key, doc_id, _fx_zip): the texts compressed, as they cross the network."""
+
+    def work(batches):
+        z = zstandard.ZstdCompressor(level=1)
+        for b in in_steps(batches, "_fx_text"):
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([z.compress(t) for t in b.column(2).to_pylist()], pa.binary())], ["_fx_key", "doc_id", "_fx_zip"])
+
+    return texts.select("_fx_key", "doc_id", "_fx_text").mapInArrow(work, "_fx_key long, doc_id long, _fx_zip binary")
+
+
 def spans(docs: DataFrame, match: int = MATCH) -> DataFrame:
-    """doc_id, text (its bytes) and blobs of the removed ranges."""
+    """doc_id, _fx_zip (the compressed text) and blobs of the removed ranges."""
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     parts = max(4, -(-total // RANGE_BYTES))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("_fx_text")).withColumn("_fx_key", F.xxhash64("doc_id", "_fx_text"))
     gather = lambda df, name: df.groupBy("key").agg(F.collect_list("blob").alias(name)).withColumnRenamed("key", "_fx_key")
     shared = gather(shared_anchors(anchor_rows(texts, parts, match), match), "blobs")
-    first = texts.join(shared, "_fx_key", "left").select("_fx_key", "doc_id", "_fx_text", "blobs")
+    moved = zipped(texts)
+    first = moved.join(shared, "_fx_key", "left").select("_fx_key", "doc_id", "_fx_zip", "blobs")
     gone = gather(removed_ranges(region_rows(first, 2 * parts, match), match), "gone")
-    return texts.join(gone, "_fx_key", "left").select("doc_id", "_fx_text", "gone")
+    return moved.join(gone, "_fx_key", "left").select("doc_id", "_fx_zip", "gone")
 
 
 def deduplicated(docs: DataFrame, match: int = MATCH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) of each document."""
 
     def work(batches):
-        for b in in_steps(batches, "_fx_text"):
+        plain = zstandard.ZstdDecompressor()
+        for b in in_steps(batches, "_fx_zip", STEP // 2):
             n, removed, count, kept = [], [], [], []
             for text, blobs in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                text = plain.decompress(text)
                 runs_ = merge(blobs) if blobs else []
                 edges = [0, *(x for r in runs_ for x in r), len(text)]
                 n.append(len(text))
@@ -473,7 +493,7 @@ def deduplicated(docs: DataFrame, match: int = MATCH) -> DataFrame:
                 kept.append(b"".join(text[a:e] for a, e in zip(edges[::2], edges[1::2], strict=True)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return spans(docs, match).select("doc_id", "_fx_text", "gone").mapInArrow(work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return spans(docs, match).select("doc_id", "_fx_zip", "gone").mapInArrow(work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op_query(docs: DataFrame) -> DataFrame:
