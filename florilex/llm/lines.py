@@ -9,7 +9,7 @@ number and the line's length. If two lines lie within EDITS edits, one segment
 of the shorter is left unchanged, and stands in the longer within a few places
 of its own: line lengths and segment number bound how far edits before and
 after it can have moved it. Those substrings are probed. Candidates are
-verified by Spark's banded edit distance with a bound.
+verified by a banded bit-parallel edit distance.
 
 All joins are equi-joins on hashes of content; texts stay where they are, but
 for those of candidates. Candidates must agree in the counts of some letters
@@ -24,6 +24,7 @@ lines are joined like others. `deduplicated` keeps all columns whatever their na
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -95,6 +96,35 @@ def candidates(rows: DataFrame, edits: int) -> DataFrame:
     return left.join(right, (left.k == right.k) & once & (_apart(F.col("ac"), F.col("bc")) <= 2 * edits)).select("a1", "b1").distinct()
 
 
+def banded_distance(a: str, b: str, edits: int) -> Column:
+    """The edit distance of two binary columns if it is at most edits, else something larger.
+
+    Lengths must be at least edits, and differ by edits at most. The columns of
+    the distance matrix are walked with a window of 2 * edits + 1 rows around
+    the diagonal, whose vertical differences are two words of bits: bit k of
+    column j is row j - edits + k. The score follows the window's last row down
+    to the last row of the matrix, and that row from there on.
+    """
+    t, w = edits, 2 * edits + 1
+    ones, top = (1 << w) - 1, w - 1
+    # places that match; a place outside of the line is null, and matches nothing
+    match = " + ".join(f"if(get(p, j - {t} + {k} - 1) <=> get(q, j - 1), {1 << k}L, 0L)" for k in range(w))
+    diagonal = f"(((((x & v.vp) + v.vp) ^ v.vp) | x | v.vn) & {ones}L)"
+    plus, minus = f"((v.vn | ~(d | v.vp)) & {ones}L)", "(d & v.vp)"
+    bit = lambda x, k: f"cast(shiftright({x}, {k}) & 1L as int)"
+    score = f"v.s + if(j <= m - {t}, 1 - {bit('d', top)}, {bit(plus, f'm - j + {t}')} - {bit(minus, f'm - j + {t}')})"
+    step = f"named_struct('vp', ({minus} | ~(shiftright(d, 1) | {plus})) & {ones}L, 'vn', shiftright(d, 1) & {plus}, 's', {score})"
+    bound = f"transform(array({match}), x -> transform(array({diagonal}), d -> {step})[0])[0]"
+    walk = f"aggregate(sequence(1, n), named_struct('vp', {ones - (1 << t) + 1}L, 'vn', 0L, 's', {t}), (v, j) -> {bound}, v -> v.s)"
+    chars = lambda c: f"split(decode({c}, 'ISO-8859-1'), '')"
+    return F.expr(f"transform(array(struct({chars(a)} as p, {chars(b)} as q, octet_length({a}) as m, octet_length({b}) as n)), z -> {_inside(walk)})[0]")
+
+
+def _inside(expression: str) -> str:
+    """p, q, m and n as fields of z."""
+    return re.sub(r"(?<![\w.'])([pqmn])(?![\w('])", r"z.\1", expression)
+
+
 def pairs(rows: DataFrame, edits: int = EDITS) -> DataFrame:
     """(a1, a2, b1, b2): pairs of different lines within edits edits, by their hashes."""
     found = checkpoint(candidates(rows, edits))
@@ -104,9 +134,10 @@ def pairs(rows: DataFrame, edits: int = EDITS) -> DataFrame:
     texts = rows.select("h1", "h2", "line").join(ids, "h1", "left_semi").groupBy("h1", "h2").agg(F.first("line").alias("line"))
     left = texts.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("line").alias("a"))
     right = texts.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("line").alias("b"))
-    string = lambda c: F.decode(F.col(c), "ISO-8859-1")  # noqa: E731  a character for each byte
-    near = F.levenshtein(string("a"), string("b"), edits)
-    return found.join(left, "a1").join(right, "b1").where(near.between(1, edits)).select("a1", "a2", "b1", "b2")
+    # one key may hold many candidates that no other task shares: they are dealt out before they are verified
+    both = found.join(left, "a1").join(right, "b1").repartition("a1", "b1")
+    close = F.abs(F.octet_length("a") - F.octet_length("b")) <= edits
+    return both.where(close & (F.col("a") != F.col("b"))).where(banded_distance("a", "b", edits) <= edits).select("a1", "a2", "b1", "b2")
 
 
 def removals(docs: DataFrame, edits: int = EDITS, min_bytes: int = MIN_BYTES) -> DataFrame:

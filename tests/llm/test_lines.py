@@ -53,6 +53,27 @@ def test_against_all_pairs(spark):
     assert lines.deduplicated(df).columns == df.columns
 
 
+def test_banded_distance(spark):
+    r = random.Random(9)
+    rows = []
+    for _ in range(400):
+        a = "".join(r.choice("abé") for _ in range(r.randrange(5, 30)))
+        x = list(a)
+        for _ in range(r.randrange(0, 5)):
+            at = r.randrange(len(x))
+            x[at : at + r.choice([0, 1])] = r.choice(["", "z", "é"])
+        b = "".join(x)
+        if len(a.encode()) >= 3 and len(b.encode()) >= 3:
+            rows.append((bytearray(a.encode()), bytearray(b.encode())))
+    df = spark.createDataFrame(rows, "a binary, b binary")
+    for edits in (1, 2, 3):
+        got = df.where(f"abs(octet_length(a) - octet_length(b)) <= {edits}").select("a", "b", lines.banded_distance("a", "b", edits).alias("d")).collect()
+        assert len(got) > 100
+        for x in got:
+            want = distance(bytes(x.a), bytes(x.b))
+            assert x.d == want if want <= edits else x.d > edits
+
+
 def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame(corpus(2, 5), "doc_id long, text string")
     plan = lines.op_query(df)._jdf.queryExecution().executedPlan().toString()
