@@ -359,15 +359,15 @@ def hard_negatives(spark, sf_dir):
 
 @query("SELECT d.doc_id, b.item_id FROM documents d, benchmark b WHERE contains(lower(d.text), lower(b.text))")
 def reuse_detection(spark, sf_dir):
-    """Documents that contain a benchmark passage. Passages are few (their size is checked by the optimizer, not here), texts are not moved: word groups meet the passages that hold them, and only then are texts compared."""
+    """Documents that contain a passage. A document only meets the passages whose longest inner word it has; texts stay where they are."""
     items = table(spark, sf_dir, "benchmark").select("item_id", F.lower("text").alias("item"))
     w = F.split("item", r"\s+")
-    # the longest of a passage's inner words must stand in a document that contains it
     inner = F.slice(w, 2, F.greatest(F.size(w) - 2, F.lit(0)))
-    longest = F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("w"))))["w"]
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("text"))
-    rare = docs.select("doc_id", "text", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("key")).join(items.withColumn("key", longest), "key")
-    return rare.where(F.contains("text", "item")).select("doc_id", "item_id").distinct()
+    items = items.withColumn("key", F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("w"))))["w"])
+    keys = items.agg(F.collect_set("key").alias("keys"))  # one row, of one word for each passage
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("text")).join(keys, F.lit(True))
+    met = docs.select("doc_id", "text", F.explode(F.array_intersect(F.split("text", r"\s+"), F.col("keys"))).alias("key")).join(items, "key")
+    return met.where(F.contains("text", "item")).select("doc_id", "item_id").distinct()
 
 
 @query(
