@@ -108,6 +108,40 @@ def sentence_split_and_cleaning(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(fx.split_sentences(text)).alias("n_sentences"), F.md5(fx.join_hyphenated(text)).alias("joined"), F.md5(fx.drop_punctuation(text)).alias("bare"))
 
 
+def _nested(expression: str, times: int) -> str:
+    out = "text"
+    for _ in range(times):
+        out = expression.format(out)
+    return out
+
+
+@query(
+    "SELECT doc_id, md5(" + _nested("regexp_replace({}, '[.;,·:!?]{{2}}', '', 'g')", 6) + ") AS pairs, md5(regexp_replace(regexp_replace(lower(text), '[^A-Za-zÀ-ÿ\\s.,;:!?''\\n]', '', 'g'), '^[a-z]\\.$', '')) AS normal,"
+    " contains(lower(text), lower(source)) OR contains(lower(source), lower(text)) AS overlap, regexp_replace(n_chars || '.0', '\\.0$', '') AS line, source || ' ' || n_chars || ':' || doc_id AS ref FROM documents"
+)
+def word_cleaning(spark, sf_dir):
+    text = F.col("text")
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", F.md5(fx.drop_punctuation_pairs(text)).alias("pairs"), F.md5(fx.drop_initials(fx.normalize_word(text))).alias("normal"), fx.overlaps(text, F.col("source")).alias("overlap"),
+        fx.repair_line(F.concat("n_chars", F.lit(".0"))).alias("line"), fx.build_ref(F.col("source"), F.col("n_chars"), F.col("doc_id")).alias("ref"),
+    )
+
+
+@query(f"WITH {TOKENS} SELECT count(*) AS n_words, count(*) FILTER (pos % 10 < 3) AS n_cited, count(DISTINCT doc_id) AS n_files FROM toks")
+def word_counts(spark, sf_dir):
+    from .corpus import word_counts as counts
+
+    return counts(_corpus_words(spark, sf_dir))
+
+
+@query("SELECT label, round(avg(embedding[1]::DOUBLE), 6) AS x, round(avg(embedding[2]::DOUBLE), 6) AS y, round(avg(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 6) AS norm FROM embeddings GROUP BY label")
+def vector_pooling(spark, sf_dir):
+    from ..functions.vectors import dot
+
+    e = table(spark, sf_dir, "embeddings").withColumn("v", F.col("embedding").cast("array<double>"))
+    return e.groupBy("label").agg(F.round(F.avg(F.col("v")[0]), 6).alias("x"), F.round(F.avg(F.col("v")[1]), 6).alias("y"), F.round(F.avg(F.sqrt(dot(F.col("v"), F.col("v")))), 6).alias("norm"))
+
+
 RUNS = """WITH r AS (
   SELECT *, CASE WHEN lag(event_type) OVER w = event_type THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
 ), k AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM r)"""
