@@ -3,9 +3,9 @@
 A byte is removed if a string of MATCH bytes that covers it also starts in a
 document with a smaller doc_id.
 
-1. Anchors. Of the grams in each MATCH-byte window the one with the least hash
-   is its anchor, so equal windows have equal anchors at equal places. A few
-   per cent of all places are anchors. Anchors' hashes, packed by hash range,
+1. Anchors. Each MATCH-byte window has an anchor, a gram of over half its length
+   at a place that its content decides, so equal windows have equal anchors at
+   equal places. A few per cent of all places are anchors. Anchors' hashes, packed by hash range,
    are grouped over all documents; those of one document only can't begin a
    repeat.
 2. Regions. For each remaining anchor, its windows (a run of places) make a
@@ -46,12 +46,15 @@ from pyspark.sql import functions as F
 from .common import STEP, gathered, in_steps, text_bytes
 
 MATCH = 50
-GRAM = 20
+#: Bytes of the seeds by which grams are placed.
+SEED = 5
 LAST = 2**63 - 1
 #: Text bytes for each hash range of anchors, and for the pieces in which anchors are sought.
-RANGE_BYTES, PIECE = 4 << 20, 1 << 19
+RANGE_BYTES, PIECE = 16 << 20, 1 << 19
 #: Text bytes whose anchors or regions are packed together.
 SLICE = 8 << 20
+#: A hash range is handled in so many parts, one after another (a power of two).
+SUBRANGES = 4
 #: Region bytes for one suffix array.
 ARRAY_BYTES = 1 << 18
 CROWDED = 20_000
@@ -77,21 +80,30 @@ def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
-def anchors(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, match: int = MATCH, gram: int = GRAM):
-    """(hash, document number, first window, number of windows) of each anchor; windows lie within a document. data: under 16 MB."""
+def anchors(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, match: int = MATCH):
+    """(hash, document number, first window, number of windows) of each anchor; windows lie within a document. data: under 16 MB.
+
+    In each window the seed (SEED bytes) of least hash is sought; its place modulo
+    half the window is where the window's gram begins. That keeps
+    anchors as rare as seeds of least hash are, with grams of over half the window.
+    """
     none = (np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)))
+    half, gram = _halves(match)
     if len(data) < match:
         return none
-    h = gram_hashes(data, gram)
+    h = gram_hashes(data, SEED)
     low = np.uint64(0xFFFFFF)
     least = h & ~low | np.arange(len(h), dtype=np.uint64)
-    span, done = match - gram + 1, 1
+    del h
+    span, done = match - SEED + 1, 1
     while done * 2 <= span:
         least = np.minimum(least[: len(least) - done], least[done:])
         done *= 2
     if span > done:
         least = np.minimum(least[: len(least) - (span - done)], least[span - done :])
-    at = (least & low).astype(np.int32)  # of each window
+    at = (least & low).astype(np.int32)  # of each window's seed
+    del least
+    at -= (at - np.arange(len(at), dtype=np.int32)) // half * half  # of its gram
     ok = np.zeros(len(at) + 1, np.int32)
     full = sizes >= match
     np.add.at(ok, starts[full], 1)
@@ -106,7 +118,13 @@ def anchors(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, match: int
     n = edge[np.searchsorted(edge, first, side="right")] - first
     doc = np.searchsorted(starts, first, side="right") - 1
     # documents without bytes share a start with the next one
-    return h[at[first]], doc, first - starts[doc], n
+    return gram_hashes(data, gram)[at[first]], doc, first - starts[doc], n
+
+
+def _halves(match: int) -> tuple[int, int]:
+    """How many places grams may begin at, and their length."""
+    half = min(31, (match - SEED + 1) // 2)
+    return half, match - half + 1
 
 
 def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
@@ -270,7 +288,7 @@ def anchor_rows(texts: DataFrame, parts: int, match: int) -> DataFrame:
             got = []
             for held in blocks(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 sizes = np.array([len(x) for _, _, x in held])
-                h, doc, first, n = anchors(np.frombuffer(b"".join(x for _, _, x in held), np.uint8), np.cumsum(sizes) - sizes, sizes, match, min(GRAM, match))
+                h, doc, first, n = anchors(np.frombuffer(b"".join(x for _, _, x in held), np.uint8), np.cumsum(sizes) - sizes, sizes, match)
                 at = np.array([x for _, x, _ in held])
                 key = np.array([x for x, _, _ in held])
                 got.append((h, key[doc], (first + at[doc]).astype(np.uint32), n.astype(np.uint8)))
@@ -307,41 +325,39 @@ def anchor_rows(texts: DataFrame, parts: int, match: int) -> DataFrame:
 def shared_anchors(rows: DataFrame, match: int) -> DataFrame:
     """(key, blob): for each document and hash range the anchors that other documents have as well."""
 
+    def entries(blob: bytes, sub: int):
+        """hash, document, first window, number of windows of a blob's anchors in one part of the range."""
+        size, m, part = struct.unpack_from("<III", blob)
+        kind = np.dtype(np.uint16 if m < 2**16 else np.uint32)
+        at = 12 + 8 * m
+        keys, low = np.frombuffer(blob, "<i8", m, 12), np.frombuffer(blob, "<u4", size, at)
+        own = (low & np.uint32(SUBRANGES - 1)) == sub
+        which = np.frombuffer(blob, kind, size, at + 4 * size)[own]
+        at += (4 + kind.itemsize) * size
+        return low[own].astype(np.uint64) | np.uint64(part << 32), keys[which], np.frombuffer(blob, "<u4", size, at)[own], np.frombuffer(blob, np.uint8, size, at + 4 * size)[own]
+
     def done(rows):
-        h, key, first, n = [], [], [], []
-        for k, blob in rows:
-            if k is not None:
-                yield (k, blob)
+        yield from ((k, blob) for k, blob in rows if k is not None)
+        packed = [blob for k, blob in rows if k is None]
+        kept = []
+        for sub in range(SUBRANGES) if packed else ():
+            h, key, first, n = (np.concatenate(x) for x in zip(*(entries(blob, sub) for blob in packed), strict=True))
+            if not len(h):
                 continue
-            size, m, part = struct.unpack_from("<III", blob)
-            at = 12
-            keys = np.frombuffer(blob, "<i8", m, at)
-            at += 8 * m
-            low = np.frombuffer(blob, "<u4", size, at)
-            at += 4 * size
-            kind = np.dtype(np.uint16 if m < 2**16 else np.uint32)
-            which = np.frombuffer(blob, kind, size, at)
-            at += kind.itemsize * size
-            h.append(low.astype(np.uint64) | np.uint64(part << 32))
-            key.append(keys[which])
-            first.append(np.frombuffer(blob, "<u4", size, at))
-            n.append(np.frombuffer(blob, np.uint8, size, at + 4 * size))
-        if not h:
-            return
-        h, key, first, n = (np.concatenate(x) for x in (h, key, first, n))
-        order = np.argsort(h, kind="stable")
-        new = np.concatenate(([True], h[order][1:] != h[order][:-1]))
-        head = np.flatnonzero(new)
-        k = key[order]
-        many = np.minimum.reduceat(k, head) != np.maximum.reduceat(k, head)
-        count = np.diff(np.append(head, len(h)))
-        keep = order[np.repeat(many, count)]
-        flag = (np.repeat(count > CROWDED, count)[np.repeat(many, count)]).astype(np.uint8) << 6
-        sort = np.argsort(key[keep], kind="stable")
-        keep, flag = keep[sort], flag[sort]
-        for piece in np.split(np.arange(len(keep)), np.flatnonzero(np.diff(key[keep])) + 1) if len(keep) else ():
-            i = keep[piece]
-            yield (int(key[i[0]]), pack(h[i], first[i], n[i] | flag[piece]))
+            order = np.argsort(h, kind="stable")
+            head = np.flatnonzero(np.concatenate(([True], h[order][1:] != h[order][:-1])))
+            k = key[order]
+            many = np.minimum.reduceat(k, head) != np.maximum.reduceat(k, head)
+            count = np.diff(np.append(head, len(h)))
+            keep = order[np.repeat(many, count)]
+            flag = np.repeat(count[many] > CROWDED, count[many]).astype(np.uint8) << 6
+            kept.append((h[keep], key[keep], first[keep], n[keep] | flag))
+        if kept:
+            h, key, first, n = (np.concatenate(x) for x in zip(*kept, strict=True))
+            order = np.argsort(key, kind="stable")
+            h, key, first, n = h[order], key[order], first[order], n[order]
+            edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True]))) if len(key) else []
+            yield from ((int(key[a]), pack(h[a:b], first[a:b], n[a:b])) for a, b in zip(edge[:-1], edge[1:], strict=False))
 
     def work(batches):
         yield from row_batches(by_part(batches, done), ["key", "blob"], KINDS[1:], 2000)
@@ -353,8 +369,8 @@ def region_rows(joined: DataFrame, parts: int, match: int) -> DataFrame:
     """Packed regions by hash (key null), and ranges known to be removed (key: the document's). joined has (_fx_key, doc_id, _fx_zip, blobs)."""
 
     def work(batches):
-        zipped, plain = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
-        for b in gathered(batches, "_fx_zip", SLICE // 2):
+        zipped, plain = zstandard.ZstdCompressor(level=6), zstandard.ZstdDecompressor()
+        for b in gathered(batches, "_fx_zip", SLICE):
             merged: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}
             for key, doc, text, blobs in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
                 if not blobs:
