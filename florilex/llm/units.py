@@ -1,6 +1,8 @@
-"""Repeated lines and sentences, by hashing normalised units.
+"""Repeated lines and runs of sentences, by hashing normalised units.
 
-A unit is a line, or a sentence within a line, of at least min_words words.
+A unit is a line of at least min_words words, or, within a line, a sentence with
+as many of those that follow as it takes to have so many words. So a passage is
+found that begins and ends amid a line, whatever the length of its sentences.
 Its digest is the 128-bit XXH3 of its words, case-folded (A-Z and all other
 cased letters) and joined by one space. Among the units of one digest, the one
 that ranks first by document and place is kept; all others are removed, and
@@ -37,19 +39,26 @@ LAST = 2**63 - 1
 
 
 def units(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, bytes]]:
-    """(start, end, digest) of each unit; a line of one sentence is one unit."""
-    out = []
+    """(start, end, digest) of each unit."""
+    found = []
     for line in LINE.finditer(text):
-        words = line[0].lower().split()
-        if len(words) < min_words:
+        begin = line.start()
+        parts = [(begin + s.start(), begin + s.end(), s[0].lower().split()) for s in SENTENCE.finditer(line[0])]
+        sizes, norms = [len(w) for *_, w in parts], [" ".join(w) for *_, w in parts]
+        if sum(sizes) < min_words:
             continue
-        out.append((line.start(), line.end(), xxhash.xxh3_128_digest(" ".join(words))))
-        parts = list(SENTENCE.finditer(line[0]))
-        for s in parts if len(parts) > 1 else ():
-            words = s[0].lower().split()
-            if len(words) >= min_words:
-                out.append((line.start() + s.start(), line.start() + s.end(), xxhash.xxh3_128_digest(" ".join(words))))
-    return out
+        found.append((begin, line.end(), " ".join(norms)))
+        end, total = 0, 0
+        for i in range(len(parts)):
+            while end < len(parts) and total < min_words:
+                total += sizes[end]
+                end += 1
+            if total < min_words:
+                break
+            if end - i < len(parts):
+                found.append((parts[i][0], parts[end - 1][1], " ".join(norms[i:end])))
+            total -= sizes[i]
+    return [(a, b, xxhash.xxh3_128_digest(x)) for a, b, x in found]
 
 
 def unit_table(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

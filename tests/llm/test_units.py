@@ -24,6 +24,15 @@ def test_removals(spark):
     assert all(len(texts[d][s:e].split()) >= 10 for d, s, e, *_ in got)
 
 
+def test_passage_of_short_sentences_amid_a_line(spark):
+    passage = " ".join(f"Short sentence {k}." for k in range(20))
+    rows = [(1, f"Begin here {passage} and so on."), (2, f"Quite other words go first. Then {passage} The end."), (3, "Begin here. Nothing else.")]
+    got = units.removals(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x.doc_id for x in got} == {2} and {x.first_doc_id for x in got} == {1}
+    text = units.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id = 2").first().text
+    assert "sentence 5" not in text and text.startswith("Quite other words go first. Then Short sentence 0.") and text.endswith("The end.")
+
+
 def test_text_and_offsets(spark):
     rows = [(1, f"{A}\nkeep this"), (2, f"before {A}\n{A}\nkeep that"), (3, None), (4, "été 日本 " + A)]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "5 as spans_", "6 as end")
