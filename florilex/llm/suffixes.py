@@ -53,6 +53,8 @@ LAST = 2**63 - 1
 RANGE_BYTES, PIECE = 16 << 20, 1 << 19
 #: Text bytes whose anchors or regions are packed together.
 SLICE = 8 << 20
+#: Hash ranges at least.
+LEAST_RANGES = 64
 #: A hash range is handled in so many parts, one after another (a power of two).
 SUBRANGES = 4
 #: Region bytes for one suffix array.
@@ -241,6 +243,12 @@ def unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
+def pack_ranges(ends: list[int]) -> bytes:
+    """Begins and ends of ranges of under 256 bytes."""
+    x = np.array(ends, np.int64).reshape(-1, 2)
+    return pack(x[:, 0].astype("<u4"), (x[:, 1] - x[:, 0]).astype("u1"))
+
+
 def by_part(batches, done):
     """Calls done(part, rows) for each run of rows of one part; rows are (key, blob). Batches are sorted by part."""
     part, rows = None, []
@@ -369,7 +377,7 @@ def region_rows(joined: DataFrame, parts: int, match: int) -> DataFrame:
     """Packed regions by hash (key null), and ranges known to be removed (key: the document's). joined has (_fx_key, doc_id, _fx_zip, blobs)."""
 
     def work(batches):
-        zipped, plain = zstandard.ZstdCompressor(level=6), zstandard.ZstdDecompressor()
+        packer, plain = zstandard.ZstdCompressor(level=6), zstandard.ZstdDecompressor()
         for b in gathered(batches, "_fx_zip", SLICE):
             merged: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}
             for key, doc, text, blobs in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
@@ -400,8 +408,8 @@ def region_rows(joined: DataFrame, parts: int, match: int) -> DataFrame:
                 for k in range(0, len(rows), 5000):
                     h, rank, key, at, region = zip(*rows[k : k + 5000], strict=True)
                     blob = pack(np.array(h, "<u8"), np.array(rank, "<i8"), np.array(key, "<i8"), np.array(at, "<u4"), np.array([len(r) for r in region], "<u1")) + b"".join(region)
-                    yield from row_batches([(part, None, zipped.compress(blob))], NAMES, KINDS)
-            yield from row_batches(((k % parts, k, np.array(v, "<u4").tobytes()) for k, v in gone.items()), NAMES, KINDS, 2000)
+                    yield from row_batches([(part, None, packer.compress(blob))], NAMES, KINDS)
+            yield from row_batches(((k % parts, k, pack_ranges(v)) for k, v in gone.items()), NAMES, KINDS, 2000)
 
     return joined.mapInArrow(work, PACKED)
 
@@ -410,18 +418,21 @@ def removed_ranges(rows: DataFrame, match: int) -> DataFrame:
     """(key, blob): removed byte ranges, from the suffix arrays of the regions that share an anchor."""
 
     def done(rows):
+        yield from ((k, blob) for k, blob in rows if k is not None)
+        packed = [zstandard.ZstdDecompressor().decompress(blob) for k, blob in rows if k is None]
         gone: dict[int, list[int]] = {}
+        for sub in range(SUBRANGES):
+            settle(packed, sub, gone)
+        yield from ((k, pack_ranges(v)) for k, v in gone.items())
+
+    def settle(packed, sub, gone):
         merged: dict[int, dict[bytes, list[tuple[int, int, int]]]] = {}
-        for k, blob in rows:
-            if k is not None:
-                yield (k, blob)
-                continue
-            blob = zstandard.ZstdDecompressor().decompress(blob)
+        for blob in packed:
             h, rank, key, at, size = unpack(blob, "<u8", "<i8", "<i8", "<u4", "<u1")
-            pos = len(blob) - int(size.sum())
-            for g, r, d, a, n in zip(h.tolist(), rank.tolist(), key.tolist(), at.tolist(), size.tolist(), strict=True):
+            begin = len(blob) - int(size.sum()) + np.cumsum(size, dtype=np.int64) - size
+            own = (h >> np.uint64(20) & np.uint64(SUBRANGES - 1)) == sub
+            for g, r, d, a, n, pos in zip(*(x[own].tolist() for x in (h, rank, key, at, size, begin)), strict=True):
                 merged.setdefault(g, {}).setdefault(blob[pos : pos + n], []).append((r, d, a))
-                pos += n
         block: list[tuple[bytes, list]] = []
         size = 0
 
@@ -447,8 +458,6 @@ def removed_ranges(rows: DataFrame, match: int) -> DataFrame:
                     block, size = [], 0
         if block:
             flush()
-        for k, v in gone.items():
-            yield (k, np.array(v, "<u4").tobytes())
 
     def work(batches):
         yield from row_batches(by_part(batches, done), ["key", "blob"], KINDS[1:], 2000)
@@ -458,9 +467,8 @@ def removed_ranges(rows: DataFrame, match: int) -> DataFrame:
 
 def merge(blobs: list[bytes]) -> list[tuple[int, int]]:
     """Maximal runs of packed byte ranges."""
-    x = np.frombuffer(b"".join(blobs), "<u4").reshape(-1, 2)
     out: list[list[int]] = []
-    for a, b in sorted(map(tuple, x.tolist())):
+    for a, b in sorted((a, a + n) for blob in blobs for a, n in zip(*(x.tolist() for x in unpack(blob, "<u4", "u1")), strict=True)):
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
         else:
@@ -482,13 +490,13 @@ def zipped(texts: DataFrame) -> DataFrame:
 def spans(docs: DataFrame, match: int = MATCH) -> DataFrame:
     """doc_id, _fx_zip (the compressed text) and blobs of the removed ranges."""
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
-    parts = max(4, -(-total // RANGE_BYTES))
+    parts = max(LEAST_RANGES, -(-total // RANGE_BYTES))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("_fx_text")).withColumn("_fx_key", F.xxhash64("doc_id", "_fx_text"))
     gather = lambda df, name: df.groupBy("key").agg(F.collect_list("blob").alias(name)).withColumnRenamed("key", "_fx_key")
     shared = gather(shared_anchors(anchor_rows(texts, parts, match), match), "blobs")
     moved = zipped(texts)
     first = moved.join(shared, "_fx_key", "left").select("_fx_key", "doc_id", "_fx_zip", "blobs")
-    gone = gather(removed_ranges(region_rows(first, 2 * parts, match), match), "gone")
+    gone = gather(removed_ranges(region_rows(first, parts, match), match), "gone")
     return moved.join(gone, "_fx_key", "left").select("doc_id", "_fx_zip", "gone")
 
 
