@@ -32,7 +32,9 @@ from __future__ import annotations
 
 import json
 from functools import cached_property
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
@@ -237,6 +239,17 @@ def cuts(n: int, size: int) -> list[int]:
     return [n * k // parts for k in range(parts + 1)]
 
 
+def as_lists(ids: list[list[int]]) -> pa.ListArray:
+    """Lists of numbers as an Arrow array, by way of one flat array."""
+    offsets = np.cumsum([0, *map(len, ids)])
+    return pa.ListArray.from_arrays(offsets.astype(np.int32), np.fromiter(chain.from_iterable(ids), np.int32, offsets[-1]))
+
+
+def from_lists(array: pa.ListArray) -> list[list[int]]:
+    flat, ends = array.flatten().to_numpy().tolist(), array.offsets.to_pylist()
+    return [flat[a - ends[0] : b - ends[0]] for a, b in zip(ends, ends[1:], strict=False)]
+
+
 def encode(docs: DataFrame, proto: bytes, keep: list[str], giant: int = GIANT) -> DataFrame:
     """The kept columns, ids array<int> and n_chunks int of each row."""
     spark = docs.sparkSession
@@ -247,8 +260,8 @@ def encode(docs: DataFrame, proto: bytes, keep: list[str], giant: int = GIANT) -
     def small(batches):
         sp = sentencepiece.SentencePieceProcessor(model_proto=model.value)
         for b in in_steps(batches, "text"):
-            ids = sp.encode(["" if t is None else t for t in b.column("text").to_pylist()], num_threads=1) if b.num_rows else []
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(ids, pa.list_(pa.int32())), pa.array([1] * b.num_rows, pa.int32())], schema.names)
+            ids = [sp.encode(t or "") for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], as_lists(ids), pa.array([1] * b.num_rows, pa.int32())], schema.names)
 
     plain = docs.where(F.coalesce(F.length("text"), F.lit(0)) <= giant).select(*keep, *[c for c in ["text"] if c not in keep]).mapInArrow(small, schema)
 
@@ -309,7 +322,7 @@ def decode(tokens: DataFrame, proto: bytes) -> DataFrame:
     def work(batches):
         sp = sentencepiece.SentencePieceProcessor(model_proto=model.value)
         for b in in_steps(batches, "ids", STEP // 4):
-            texts = sp.decode(b.column("ids").to_pylist()) if b.num_rows else []
+            texts = sp.decode(from_lists(b.column("ids"))) if b.num_rows else []
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*names, "decoded"])
 
     return tokens.mapInArrow(work, T.StructType([*tokens.schema.fields, T.StructField("decoded", T.StringType())]))
