@@ -11,6 +11,7 @@ from xml.dom import minidom
 from xml.etree import ElementTree as ET
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..schemas import DOCX_TOKENS
@@ -178,16 +179,18 @@ def pretty(root: ET.Element) -> str:
 
 def docx_tokens(files: DataFrame) -> DataFrame:
     """(path, content) of Word documents -> their tokens with citations."""
+    kinds = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string(), pa.bool_()]
     names = [f.name for f in DOCX_TOKENS.fields]
 
     def work(batches):
         for b in batches:
-            for path, content in zip(b["path"], b["content"], strict=True):
+            for path, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
                 with zipfile.ZipFile(io.BytesIO(content)) as package:
                     rows = cite(tokens(package), footnotes(package))
-                yield pd.DataFrame([{"path": path, "pos": k} | t for k, t in enumerate(rows)], columns=names).astype(object).where(lambda x: x.notna(), None)
+                fixed = {"path": [path] * len(rows), "pos": range(len(rows))}
+                yield pa.RecordBatch.from_arrays([pa.array(fixed.get(c) or [t.get(c) for t in rows], k) for c, k in zip(names, kinds, strict=True)], names)
 
-    return files.mapInPandas(work, DOCX_TOKENS)
+    return files.select("path", "content").mapInArrow(work, DOCX_TOKENS)
 
 
 def docx_to_tei(files: DataFrame) -> DataFrame:

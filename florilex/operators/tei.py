@@ -7,6 +7,7 @@ from typing import NamedTuple
 from xml.etree import ElementTree as ET
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -130,14 +131,17 @@ def words(xml: str) -> list[tuple]:
 def tei_words(files: DataFrame) -> DataFrame:
     """(path, xml) -> words in order, as they stand in the files."""
 
+    names = [f.name for f in TEI_WORDS.fields]
+
     def work(batches):
         for b in batches:
-            for path, xml in zip(b["path"], b["xml"], strict=True):
+            for path, xml in zip(b.column("path").to_pylist(), b.column("xml").to_pylist(), strict=True):
                 rows = words(xml or "")
                 if rows:
-                    yield pd.DataFrame([(path, k, *r) for k, r in enumerate(rows)], columns=[f.name for f in TEI_WORDS.fields])
+                    columns = [pa.array([path] * len(rows)), pa.array(range(len(rows)), pa.int32()), *(pa.array(c, pa.string()) for c in zip(*rows, strict=True))]
+                    yield pa.RecordBatch.from_arrays(columns, names)
 
-    return files.select("path", clean_markup(F.col("xml")).alias("xml")).mapInPandas(work, TEI_WORDS)
+    return files.select("path", clean_markup(F.col("xml")).alias("xml")).mapInArrow(work, TEI_WORDS)
 
 
 def bad_files(files: DataFrame) -> DataFrame:
