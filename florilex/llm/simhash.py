@@ -36,6 +36,8 @@ LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvw
 CROWDED = 50_000
 #: Complete keys are joined in chunks of about so many entries.
 CHUNK = 30_000
+#: Groups of more candidates than this under one key are decided in two passes.
+SMALL = 32
 
 
 def shingles(text: bytes, size: int) -> list[bytes]:
@@ -60,12 +62,20 @@ def spread(h: np.ndarray, words64: int) -> np.ndarray:
     return out
 
 
+def shingle_set(text: bytes, size: int) -> np.ndarray:
+    """The distinct 64-bit hashes of a text's shingles, in order."""
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in set(shingles(text, size))), np.uint64))
+
+
 def fingerprint(text: bytes, size: int, words64: int, distinct: bool) -> bytes:
     """Big-endian bytes; a bit is 1 if it is set in over half of the hashes."""
     found = shingles(text, size)
-    if not found:
+    return majority(np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in (set(found) if distinct else found)), np.uint64), words64)
+
+
+def majority(h: np.ndarray, words64: int) -> bytes:
+    if not len(h):
         return bytes(8 * words64)
-    h = np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in (set(found) if distinct else found)), np.uint64)
     counts = np.zeros(64 * words64, np.int64)
     for at in range(0, len(h), 255):
         bits = np.unpackbits(spread(h[at : at + 255], words64).astype(">u8").view(np.uint8).reshape(-1, 8 * words64), axis=1)
@@ -85,14 +95,28 @@ def fingerprints(docs: DataFrame, size: int, words64: int, distinct: bool) -> Da
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, node long, fp binary")
 
 
+def set_fingerprints(docs: DataFrame, size: int, words64: int) -> DataFrame:
+    """(doc_id, node, fp, n): node is a long that stands for the shingle set, n the number of its shingles."""
+
+    def work(batches):
+        for b in in_steps(batches, "text"):
+            sets = [shingle_set((t or "").encode("utf-8", "surrogatepass"), size) for t in b.column(1).to_pylist()]
+            nodes = [xxhash.xxh64_intdigest(h.tobytes()) - 2**63 for h in sets]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(nodes, pa.int64()), pa.array([majority(h, words64) for h in sets], pa.binary()), pa.array([len(h) for h in sets], pa.int32())], ["doc_id", "node", "fp", "n"]
+            )
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, node long, fp binary, n int")
+
+
 def blocks(bits: int, parts: int) -> list[tuple[int, int]]:
     """(lowest bit, width) of each of some blocks of nearly equal width."""
     cuts = [bits * k // parts for k in range(parts + 1)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def rotated(nodes: DataFrame, words64: int, bits: int, radius: int) -> DataFrame:
-    """(key, rest, width, node, fp): one row for each word of a fingerprint and rotation; rest is the word without the block that is in the key."""
+def rotated(nodes: DataFrame, words64: int, bits: int, radius: int, carried: list[str] = []) -> DataFrame:  # noqa: B006
+    """(key, rest, width, node, fp, and what is carried): one row for each word of a fingerprint and rotation; rest is the word without the block that is in the key."""
     cut = blocks(bits, radius + 1)
     per = 64 // bits
 
@@ -102,18 +126,20 @@ def rotated(nodes: DataFrame, words64: int, bits: int, radius: int) -> DataFrame
             if not n:
                 continue
             whole = np.frombuffer(b"".join(b.column("fp").to_pylist()), ">u8").astype(np.uint64).reshape(n, words64)
+            more = [b.column(x) for x in carried]
             for w in range(words64 * per):
                 word = whole[:, w // per] >> np.uint64(bits * (per - 1 - w % per)) & np.uint64((1 << bits) - 1)
                 for r, (low, width) in enumerate(cut):
                     block = word >> np.uint64(low) & np.uint64((1 << width) - 1)
                     rest = word >> np.uint64(low + width) << np.uint64(low) | word & np.uint64((1 << low) - 1)
                     key = block.astype(np.int64) | np.int64(w * (radius + 1) + r) << np.int64(48)
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(rest.view(np.int64)), pa.array(np.full(n, bits - width, np.int32)), b.column("node"), b.column("fp")], ["key", "rest", "width", "node", "fp"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(rest.view(np.int64)), pa.array(np.full(n, bits - width, np.int32)), b.column("node"), b.column("fp"), *more], ["key", "rest", "width", "node", "fp", *carried])
 
-    return nodes.select("node", "fp").mapInArrow(work, "key long, rest long, width int, node long, fp binary")
+    more = "".join(f", {x.name} {x.dataType.simpleString()}" for x in nodes.select(*carried).schema)
+    return nodes.select("node", "fp", *carried).mapInArrow(work, "key long, rest long, width int, node long, fp binary" + more)
 
 
-def divided(rows: DataFrame, radius: int, levels: int = 2) -> DataFrame:
+def divided(rows: DataFrame, radius: int, levels: int = 2, carried: list[str] = []) -> DataFrame:  # noqa: B006
     """Divides keys with over CROWDED entries by further blocks, of which one must agree as well; all else stays."""
     rows = rows.withColumn("sub", F.lit(0).cast("long"))
     for _ in range(levels):
@@ -129,7 +155,7 @@ def divided(rows: DataFrame, radius: int, levels: int = 2) -> DataFrame:
         rest = F.expr("shiftleft(shiftrightunsigned(rest, element_at(cuts, part + 2)), element_at(cuts, part + 1)) | (rest & (shiftleft(1L, element_at(cuts, part + 1)) - 1))")
         rows = split.select(
             "key", F.when(F.col("part") < 0, F.col("rest")).otherwise(rest).alias("rest"), F.when(F.col("part") < 0, F.col("width")).otherwise(F.col("width") - (high - low)).alias("width"), "node", "fp",
-            F.when(F.col("part") < 0, F.col("sub")).otherwise(F.xxhash64("sub", "part", block)).alias("sub"),
+            F.when(F.col("part") < 0, F.col("sub")).otherwise(F.xxhash64("sub", "part", block)).alias("sub"), *carried,
         )
     return rows
 
@@ -255,6 +281,12 @@ def links(rows: DataFrame, words64: int, radius: int, most: int) -> DataFrame:
             a, b = node[child], node[root[child]]
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
+    return by_keys(rows, join, "a long, b long")
+
+
+def by_keys(rows: DataFrame, join, schema: str) -> DataFrame:
+    """join over chunks of complete keys."""
+
     def work(batches):
         held: list[pa.RecordBatch] = []
         size = 0
@@ -274,20 +306,139 @@ def links(rows: DataFrame, words64: int, radius: int, most: int) -> DataFrame:
         if size:
             yield join(pa.Table.from_batches(held))
 
-    return rows.repartition("key", "sub").sortWithinPartitions("key", "sub").mapInArrow(work, "a long, b long")
+    return rows.repartition("key", "sub").sortWithinPartitions("key", "sub").mapInArrow(work, schema)
+
+
+def spanning(n: int, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The numbers of those of the edges (a, b) that make a shortest spanning forest of n items."""
+    order = np.argsort(length, kind="stable")
+    a, b, root = a[order], b[order], np.arange(n)
+    taken, live = np.zeros(len(a), bool), np.arange(len(a))
+    while len(live := live[root[a[live]] != root[b[live]]]):
+        best = np.full(n, len(a))
+        np.minimum.at(best, root[a[live]], live)
+        np.minimum.at(best, root[b[live]], live)
+        taken[best[best < len(a)]] = True
+        root = forest(n, a[taken], b[taken])
+    return order[taken]
+
+
+def candidates(rows: DataFrame, words64: int, radius: int, most: int, similarity: float, second: bool = False) -> DataFrame:
+    """(a, b, all): pairs of nodes within the budget whose set sizes allow the similarity.
 
+    Under one key, groups of up to SMALL nodes give all their pairs, larger
+    ones a shortest spanning tree (all is false). In the second pass each group
+    gives all pairs of different comp.
+    """
 
-def near_duplicates(docs: DataFrame, size: int = 3, words64: int = 1, bits: int = 64, radius: int = 2, most: int | None = None, distinct: bool = False) -> DataFrame:
+    def join(t: pa.Table) -> pa.RecordBatch:
+        node = t.column("node").to_numpy()
+        group = np.stack([t.column("key").to_numpy(), t.column("sub").to_numpy()])
+        value, width = t.column("rest").to_numpy().view(np.uint64), t.column("width").to_numpy()
+        order = np.lexsort((value, group[1], group[0]))
+        node, value, width, group, n, comp = node[order], value[order], width[order], group[:, order], t.column("n").to_numpy()[order], t.column("comp").to_numpy()[order]
+        fps = np.frombuffer(b"".join(t.column("fp").to_pylist()), ">u8").astype(np.uint64).reshape(-1, words64)[order]
+        fresh = np.concatenate(([True], (group[:, 1:] != group[:, :-1]).any(axis=0)))
+        at = np.cumsum(fresh)
+        leaf0 = np.flatnonzero(fresh | np.concatenate(([True], value[1:] != value[:-1])))
+        count = np.diff(np.append(leaf0, len(value)))
+        x, y = trie_pairs(at[leaf0], value[leaf0], width[leaf0], radius)
+        twins = np.flatnonzero(count > 1)
+        x, y = np.concatenate((x, twins)), np.concatenate((y, twins))
+        left, right, far = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        sizes, k = count[x] * count[y], 0
+        while k < len(x):  # pairs of entries, a bounded number at a time
+            end = max(k + 1, k + int(np.searchsorted(np.cumsum(sizes[k : k + 200_000]), 200_000, side="right")))
+            i, j, m = x[k:end], y[k:end], sizes[k:end]
+            nth = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+            wide = np.repeat(count[j], m)
+            p, q = np.repeat(leaf0[i], m) + nth // wide, np.repeat(leaf0[j], m) + nth % wide
+            ok = (np.repeat(i != j, m) | (p < q)) & (np.minimum(n[p], n[q]) >= similarity * np.maximum(n[p], n[q]) - 1e-9)
+            if second:
+                ok &= comp[p] != comp[q]
+            p, q = p[ok], q[ok]
+            d = np.bitwise_count(fps[p] ^ fps[q]).sum(axis=1, dtype=np.int64)
+            left.append(p[d <= most])
+            right.append(q[d <= most])
+            far.append(d[d <= most])
+            k = end
+        p, q, d = np.concatenate(left), np.concatenate(right), np.concatenate(far)
+        if second:
+            whole = np.ones(len(p), bool)
+        else:
+            root = forest(len(node), p, q)
+            whole = (np.bincount(root, minlength=len(node))[root] <= SMALL)[p]
+            big = np.flatnonzero(~whole)
+            keep = np.sort(np.concatenate((np.flatnonzero(whole), big[spanning(len(node), p[big], q[big], d[big])])))
+            p, q, whole = p[keep], q[keep], whole[keep]
+        a, b = np.minimum(node[p], node[q]), np.maximum(node[p], node[q])
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(whole)], ["a", "b", "all"])
+
+    return by_keys(rows, join, "a long, b long, all boolean")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, prints: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) of nodes whose shingle sets have the Jaccard similarity at least."""
+
+    def sets(batches):
+        for b in in_steps(batches, "text"):
+            found = [shingle_set((t or "").encode("utf-8", "surrogatepass"), size).tobytes() for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh64_intdigest(h) - 2**63 for h in found], pa.int64()), pa.array(found, pa.binary())], ["node", "hashes"])
+
+    def decide(batches):
+        for b in batches:
+            held = []
+            for s, t in zip(b.column(2), b.column(3), strict=True):
+                s, t = np.frombuffer(s.as_py(), np.uint64), np.frombuffer(t.as_py(), np.uint64)
+                both = len(np.intersect1d(s, t, assume_unique=True))
+                held.append(both >= similarity * (len(s) + len(t) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(held, pa.bool_()))
+
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = prints.join(ends, "node").groupBy("node").agg(F.min("doc_id").alias("wanted")).select("wanted").distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi").select("text")
+    own = checkpoint(texts.mapInArrow(sets, "node long, hashes binary").join(ends, "node", "left_semi").dropDuplicates(["node"]))
+    both = pairs.select("a", "b").join(own.select(F.col("node").alias("a"), F.col("hashes").alias("s")), "a").join(own.select(F.col("node").alias("b"), F.col("hashes").alias("t")), "b")
+    return both.select("a", "b", "s", "t").mapInArrow(decide, "a long, b long")
+
+
+def exact_links(docs: DataFrame, prints: DataFrame, nodes: DataFrame, size: int, words64: int, bits: int, radius: int, most: int, similarity: float) -> DataFrame:
+    """(a, b): links of at least the similarity that join all candidates which have it, in two passes."""
+
+    def found(some: DataFrame, second: bool) -> DataFrame:
+        rows = divided(rotated(some, words64, bits, radius, ["n", "comp"]), radius, carried=["n", "comp"])
+        return checkpoint(candidates(rows, words64, radius, most, similarity, second).groupBy("a", "b").agg(F.max("all").alias("all")))
+
+    pairs = found(nodes.withColumn("comp", F.lit(0).cast("long")), False)
+    out = checkpoint(verified(pairs, docs, prints, size, similarity))
+    part = pairs.where("not all")
+    crowd = checkpoint(part.select(F.col("a").alias("node")).unionByName(part.select(F.col("b").alias("node"))).distinct())
+    if crowd.isEmpty():
+        return out
+    again = nodes.join(crowd, "node", "left_semi").join(components(out), "node", "left").select("node", "fp", "n", F.coalesce("root", "node").alias("comp"))
+    rest = found(checkpoint(again), True).join(pairs, ["a", "b"], "left_anti")
+    return checkpoint(out.unionByName(verified(checkpoint(rest), docs, prints, size, similarity)))
+
+
+def near_duplicates(docs: DataFrame, size: int = 3, words64: int = 1, bits: int = 64, radius: int = 2, most: int | None = None, distinct: bool = False, similarity: float | None = None) -> DataFrame:
     """doc_id, fp, component_id (the least doc_id reachable, itself included) of each document.
 
     size: words of a shingle. words64: 64-bit words of a fingerprint, cut into
     tries of bits bits each. distinct: each shingle votes once. most: bits in
-    which whole fingerprints may differ.
+    which whole fingerprints may differ. similarity: the exact Jaccard
+    similarity of the shingle sets that a link must have (shingles are then
+    distinct); without it fingerprints decide alone.
     """
-    prints = checkpoint(fingerprints(docs, size, words64, distinct))
-    nodes = checkpoint(prints.groupBy("node").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("least")))
-    found = links(divided(rotated(nodes, words64, bits, radius), radius), words64, radius, radius if most is None else most)
-    roots = components(found.distinct())
+    most = radius if most is None else most
+    if similarity is None:
+        prints = checkpoint(fingerprints(docs, size, words64, distinct))
+        nodes = checkpoint(prints.groupBy("node").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("least")))
+        found = links(divided(rotated(nodes, words64, bits, radius), radius), words64, radius, most).distinct()
+    else:
+        prints = checkpoint(set_fingerprints(docs, size, words64))
+        nodes = checkpoint(prints.groupBy("node").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.min("doc_id").alias("least")))
+        found = exact_links(docs, prints, nodes.select("node", "fp", "n"), size, words64, bits, radius, most, similarity)
+    roots = components(found)
     rooted = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return prints.join(rooted.join(least, "root").select("node", "component_id"), "node").select("doc_id", "fp", "component_id")
