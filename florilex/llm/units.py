@@ -1,8 +1,10 @@
 """Repeated lines and runs of sentences, by hashing normalised units.
 
-A unit is a line of at least min_words words, or, within a line, a sentence with
-as many of those that follow as it takes to have so many words. So a passage is
-found that begins and ends amid a line, whatever the length of its sentences.
+A unit is a line with any word at all, or, within a line, a sentence with as
+many of those that follow as it takes to have min_words words, or a paragraph:
+a run of consecutive lines that each have fewer. So a passage is found that
+begins and ends amid a line, whatever the length of its sentences, and one laid
+out over short lines.
 Its digest is the 128-bit XXH3 of its words, case-folded (A-Z and all other
 cased letters) and joined by one space. Among the units of one digest, the one
 that ranks first by document and place is kept; all others are removed, and
@@ -40,14 +42,27 @@ LAST = 2**63 - 1
 
 def units(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, bytes]]:
     """(start, end, digest) of each unit."""
-    found = []
+    found, paragraph = [], []
+
+    def close():
+        if len(paragraph) > 1:
+            found.append((paragraph[0][0], paragraph[-1][1], " ".join(x for *_, x in paragraph)))
+        paragraph.clear()
+
     for line in LINE.finditer(text):
         begin = line.start()
         parts = [(begin + s.start(), begin + s.end(), s[0].lower().split()) for s in SENTENCE.finditer(line[0])]
         sizes, norms = [len(w) for *_, w in parts], [" ".join(w) for *_, w in parts]
-        if sum(sizes) < min_words:
+        if paragraph and paragraph[-1][1] + 1 != begin:  # an empty line between
+            close()
+        if not sum(sizes):
+            close()
             continue
         found.append((begin, line.end(), " ".join(norms)))
+        if sum(sizes) < min_words:
+            paragraph.append(found[-1])
+            continue
+        close()
         end, total = 0, 0
         for i in range(len(parts)):
             while end < len(parts) and total < min_words:
@@ -58,6 +73,7 @@ def units(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, bytes]]
             if end - i < len(parts):
                 found.append((parts[i][0], parts[end - 1][1], " ".join(norms[i:end])))
             total -= sizes[i]
+    close()
     return [(a, b, xxhash.xxh3_128_digest(x)) for a, b, x in found]
 
 

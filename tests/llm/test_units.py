@@ -45,3 +45,10 @@ def test_repeated_rows_and_empty(spark):
     df = spark.createDataFrame([(1, A), (1, A)], "doc_id long, text string")
     assert units.op_query(df).collect() == []
     assert units.op_query(df.limit(0)).collect() == []
+
+
+def test_short_lines_and_paragraphs(spark):
+    rows = [(1, "One is here\nMIT License.\n\nroses are red\nviolets are blue"), (2, "Two is there\n  mit  license.\n \nx"), (3, "roses are\nred violets are blue\n\nlast words")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((x.doc_id, dict(rows)[x.doc_id][x.start : x.end], x.first_doc_id) for x in units.op_query(df).collect())
+    assert got == [(2, "  mit  license.", 1), (3, "roses are\nred violets are blue", 1)]
