@@ -453,6 +453,6 @@ def annotated_segments(spark, sf_dir):
 def triplet_mining(spark, sf_dir):
     from ..functions.vectors import hashing_encoder
 
-    pairs = table(spark, sf_dir, "conversations").where("turn = 0").select(F.col("text").alias("sentence"), F.col("text").alias("biblical_text"))
+    pairs = table(spark, sf_dir, "conversations").select(F.col("text").alias("sentence"), F.col("text").alias("biblical_text"))
     cands = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("cand"), F.col("text").alias("candidate"))
     return similarity.triplets(pairs, cands, hashing_encoder)
