@@ -7,7 +7,8 @@ then say where the offence is.
 
 The classifier is fitted on at most max_train_docs labelled documents of at
 most max_train_bytes bytes in all (those with the least seeded hashes; both are
-parameters), on the driver. All documents are scored, in whole.
+parameters), on the driver; a text of over a quarter of max_train_bytes is left
+out of the sample, so that it can't end it. All documents are scored, in whole.
 
 Edge cases: a null or empty text has no sentence and scores 0; a very long one is
 scored sentence by sentence. A null doc_id is scored like any other, and is
@@ -50,6 +51,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_docs: int, max_bytes:
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("_fx_toxic"))
     known = known.where(~held_out()).select(F.col("doc_id").cast("long").alias("doc_id"), "_fx_toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
+    found = found.where(F.octet_length("text") <= max_bytes // 4)
     sizes = found.select("doc_id", F.octet_length("text").cast("long").alias("n"), F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").collect()
     fit = np.cumsum([x.n for x in sizes]) <= max_bytes
     if not fit.all():

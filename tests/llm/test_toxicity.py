@@ -1,6 +1,8 @@
 import random
 import zlib
 
+from pyspark.sql import functions as F
+
 from florilex.llm import toxicity
 
 
@@ -53,3 +55,12 @@ def test_bounded_sample(spark):
     docs, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     got = toxicity.training_rows(docs, lab, 50, 2000)
     assert 0 < sum(len(t) for t, _ in got) <= 2000 and len(got) <= 50
+
+
+def test_giant_texts_do_not_end_the_sample(spark):
+    rows, labels = corpus(200, 3)
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    first = next(x.doc_id for x in lab.orderBy(F.xxhash64("doc_id")).collect() if zlib.crc32(str(x.doc_id).encode()) % 5)
+    docs = spark.createDataFrame([(d, "giant " * 1000 if d == first else t) for d, t in rows], "doc_id long, text string")
+    got = [len(t) for t, _ in toxicity.training_rows(docs, lab, 200, 4000)]
+    assert 3500 < sum(got) <= 4000 and max(got) <= 1000
