@@ -16,11 +16,14 @@ BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
-    sc = spark.sparkContext._jsc.sc()
-    if sc.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="florilex-"))
-    return sc.getCheckpointDir().get()
+    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one where that is unset and Spark is local, as in tests."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="florilex-"))
+    return sc.getCheckpointDir()
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -48,6 +51,19 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def join_counted(rows: DataFrame, keyed: DataFrame, on: list[str], n: str = "n", most: int = 1000) -> DataFrame:
+    """rows joined with keyed, which has one row for each key and how many rows have it, n.
+
+    The most frequent keys, `most` of them, are broadcast, so their rows stay
+    where they are; all other keys are joined by a shuffle. A key of that rest
+    has at most one in `most` of all rows. Both tables are read more than once:
+    they should be stored or checkpointed.
+    """
+    heavy = F.broadcast(keyed.orderBy(F.col(n).desc(), *on).limit(most))
+    rest = rows.join(heavy.select(*on), on, "left_anti").join(keyed.join(heavy.select(*on), on, "left_anti"), on)
+    return rows.join(heavy, on).unionByName(rest)
+
+
 def text_bytes(name: str = "text"):
     """A text's UTF-8 bytes; a null text counts as empty."""
     return F.coalesce(F.col(name), F.lit("")).cast("binary")

@@ -1,54 +1,65 @@
 """Near-duplicate lines by a segment-partition edit join, in DataFrame operations only.
 
-A line (of at least MIN_BYTES bytes) is removed if an earlier line lies within
-EDITS edits of it, ranked by document and line number; edits count UTF-8 bytes.
-Copies of a line are one distinct line with its first place.
+A line is removed if an earlier one is equal to it, or, for lines of at least
+MIN_BYTES bytes, lies within EDITS edits of it; edits count UTF-8 bytes. Lines
+are ranked by document and line number. Copies of a line are one distinct line
+with its first place. Shorter lines are compared for equality only, as two
+edits make another line of them; empty lines are kept.
 
 Every distinct line is cut into EDITS + 1 segments, indexed by their content,
 number and the line's length. If two lines lie within EDITS edits, one segment
 of the shorter is left unchanged, and stands in the longer within a few places
 of its own: line lengths and segment number bound how far edits before and
 after it can have moved it. Those substrings are probed. Candidates are
-verified by a banded bit-parallel edit distance.
+verified by a banded bit-parallel edit distance, on what is left of them
+without their common beginning and end.
 
 All joins are equi-joins on hashes of content; texts stay where they are, but
-for those of candidates. Candidates must agree in the counts of some letters
-up to the edits, which is checked within the join, so variants of one
-boilerplate line hardly multiply.
-
-Edge cases: null and empty texts have one empty line; lines under MIN_BYTES
-are kept. A null doc_id ranks last. Rows that repeat one another in full tie, so
-neither removes the other's lines. Empty tables give empty results. Very long
-lines are joined like others. `deduplicated` keeps all columns whatever their names.
+for those of candidates. A segment that over CROWDED lines of one length share,
+as variants of one boilerplate line do, gives no pairs. Its lines go on without
+it, and without what all of them begin and end with: the rests of two lines lie
+within as many edits as the lines do, so they are cut into segments and joined
+in the same way, until groups are small or at most EDITS bytes are left.
+The segments that most lines share don't cross the network at all.
+
+Edge cases: null and empty texts have one empty line. A null doc_id ranks last;
+documents without one, or with the same one, rank by a hash of their text. Rows
+that repeat one another in full tie, so neither removes the other's lines. Empty
+tables give empty results. Very long lines are joined like others, very long
+texts line by line. `deduplicated` keeps all columns whatever their names.
 """
 
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import checkpoint
+from .common import checkpoint, join_counted, stored
 
 EDITS, MIN_BYTES = 2, 20
-#: Candidate pairs whose line hashes (16 bytes a pair) are broadcast to pick their texts; more are joined by a shuffle.
+#: Indexed lines under one segment from which on the segment alone gives no candidates.
+CROWDED = 32
+#: Segments whose lines are told apart where they lie, as so many of them share it.
+HEAVY = 1000
+#: Lines whose hashes and places (44 bytes each) are broadcast to pick their texts; more are joined by a shuffle.
 FEW = 500_000
 LAST = 2**63 - 1
-#: Letters whose counts are compared before lines are: an edit changes them by two at most, in all.
-LETTERS = "etanisorhd"
+DOC = ["_fx_key", "_fx_key2"]
 
 
-def line_rows(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """_fx_key (document), _fx_rank, _fx_pos, line (its bytes), letters, h1, h2 (hashes) of each line that takes part."""
-    rows = docs.select(
-        F.xxhash64("doc_id", "text").alias("_fx_key"),
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_fx_rank"),
-        F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("_fx_pos", "line"),
-    )
-    rows = rows.where(F.octet_length("line") >= min_bytes).withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64("line", F.lit(1))})
-    return rows.withColumns({"letters": _letters(F.col("line")), "line": F.col("line").cast("binary")})
+def _identified(docs: DataFrame, *columns) -> DataFrame:
+    """docs' columns with 128 bits that stand for a document, by its doc_id and text."""
+    keys = [F.xxhash64("doc_id", "text").alias(DOC[0]), F.xxhash64(F.lit(1), "doc_id", "text").alias(DOC[1])]
+    return docs.select(*keys, *columns)
+
+
+def line_rows(docs: DataFrame) -> DataFrame:
+    """_fx_key, _fx_key2 (document), _fx_rank, _fx_pos, line, h1, h2 (hashes) of each line that isn't empty."""
+    rows = _identified(docs, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_fx_rank"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("_fx_pos", "line"))
+    return rows.where("line <> ''").withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
 
 
 def _places(edits: int):
@@ -60,40 +71,96 @@ def _places(edits: int):
                 yield i, delta, off
 
 
-def _key(size: Column, i: int, parts: int, off: int = 0) -> Column:
-    """The hash of segment i of a line of size bytes, taken off places further on."""
-    a, b = F.floor(size * i / parts).cast("int"), F.floor(size * (i + 1) / parts).cast("int")
-    return F.when(a + off >= 0, F.xxhash64(size, F.lit(i), F.substring("line", a + off + 1, b - a)))
-
+def _cut(size: Column, i, parts: int) -> Column:
+    return F.floor(size * i / parts).cast("int")
 
-def _letters(string: Column) -> Column:
-    """The counts of LETTERS, six bits each (modulo 64), in a long."""
-    parts = [F.shiftleft(((F.octet_length(string) - F.octet_length(F.replace(string, F.lit(c), F.lit("")))) % 64).cast("long"), 6 * j) for j, c in enumerate(LETTERS)]
-    return reduce(lambda x, y: x.bitwiseOR(y), parts)
 
+def _key(line: str, size: Column, i: int, parts: int, off: int = 0, group: Column | None = None) -> Column:
+    """The hash of segment i of a line of size bytes, taken off places further on."""
+    a, b = _cut(size, i, parts), _cut(size, i + 1, parts)
+    content = F.substring(line, a + off + 1, b - a)
+    key = F.xxhash64(*([] if group is None else [group]), size, F.lit(i), content)
+    return key if off >= 0 else F.when(a + off >= 0, key)
 
-def _apart(x: Column, y: Column) -> Column:
-    """How far two packed counts lie apart, in all."""
-    digit = lambda v, j: F.shiftright(v, 6 * j).bitwiseAND(F.lit(63))
-    wrap = lambda d: F.least(F.abs(d), 64 - F.abs(d))
-    return reduce(lambda x, y: x + y, [wrap(digit(x, j) - digit(y, j)) for j in range(len(LETTERS))])
 
+def _met(index: DataFrame, probe: DataFrame, edits: int) -> DataFrame:
+    """(a1, b1) of lines that share a segment k; or, where that is crowded, its lines as (b1, k, at, carried), with null for a1.
 
-def candidates(rows: DataFrame, edits: int) -> DataFrame:
-    """(a1, b1): hashes of lines that share a segment and have nearly the same letters."""
-    parts, n = edits + 1, F.octet_length("line")
-    places = list(_places(edits))
-    index = F.array(*[_key(n, i, parts) for i in range(parts)])
-    probe = F.array(*[_key(n - delta, i, parts, off) for i, delta, off in places])
+    index: k, a1; probe: k, b1, at (the number of its place), carried.
+    """
+    same = sum(delta == 0 for _, delta, _ in _places(edits))
+    heavy = F.broadcast(index.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > CROWDED).orderBy(F.col("n").desc(), "k").limit(HEAVY).select("k"))
+    by_key = Window.partitionBy("k")
+    counted = index.join(heavy, "k", "left_anti").withColumns({"n": F.count("*").over(by_key), "least": F.min("a1").over(by_key)})
+    left = counted.where((F.col("n") <= CROWDED) | (F.col("a1") == F.col("least"))).select(F.col("k").alias("own"), "a1", (F.col("n") > CROWDED).alias("crowd"))
+    right = probe.join(heavy, "k", "left_anti")
+    # lines of one length meet twice, and count once
+    both = left.join(right, (left.own == right.k) & (F.col("crowd") | (F.col("at") >= same) | (F.col("a1") < F.col("b1"))))
+    rest = [c for c in probe.columns if c not in ("k", "b1")]
+    found = both.select(F.when(~F.col("crowd"), F.col("a1")).alias("a1"), "b1", *[F.when(F.col("crowd"), F.col(c)).alias(c) for c in ("k", *rest)])
+    return found.unionByName(probe.join(heavy, "k").select(F.lit(None).cast("long").alias("a1"), "b1", "k", *rest))
+
+
+def _shared(a: Column, b: Column, most: Column, piece) -> Column:
+    """How long a beginning (or end, as piece has it) two strings share, up to most: by halving steps."""
+    step = lambda p, s: F.when((p + s <= most) & (piece(a, p, s) == piece(b, p, s)), p + s).otherwise(p)
+    return F.aggregate(F.array(*[F.lit(1 << k) for k in range(30, -1, -1)]), F.lit(0), step)
+
+
+def _begin(x: Column, p: Column, s: Column) -> Column:
+    return F.substring(x, p + 1, s)
+
+
+def _end(x: Column, p: Column, s: Column) -> Column:
+    return F.substring(x, F.octet_length(x) - p - s + 1, s)
+
+
+def _rests(crowd: DataFrame, text: str, edits: int) -> DataFrame:
+    """(g, h1, delta, own, r, size): what is left of the lines of a crowded segment; size is that of the indexed ones, which are those with own."""
+    parts, places = edits + 1, list(_places(edits))
+    which = lambda k: F.element_at(F.array(*[F.lit(x[k]) for x in places]), F.col("at") + 1)
+    rows = crowd.select(F.col("k").alias("g"), F.col("b1").alias("h1"), which(0).alias("i"), which(1).alias("delta"), which(2).alias("off"), F.col(text).alias("s"))
+    size = F.length("s") - F.col("delta")
+    begin, width = _cut(size, F.col("i"), parts) + F.col("off"), _cut(size, F.col("i") + 1, parts) - _cut(size, F.col("i"), parts)
+    left = rows.select("g", "h1", "delta", ((F.col("delta") == 0) & (F.col("off") == 0)).alias("own"), F.concat(F.substring("s", F.lit(1), begin), F.substring("s", begin + width + 1, F.length("s"))).alias("r"))
+    left = checkpoint(left)
+    back = F.reverse("r")
+    ends = left.groupBy("g").agg(F.count("*").alias("n"), F.min(F.length("r")).alias("size"), F.min("r").alias("a"), F.max("r").alias("b"), F.min(back).alias("c"), F.max(back).alias("d"))
+    ends = ends.withColumn("p", _shared(F.col("a"), F.col("b"), F.col("size"), _begin)).withColumn("q", _shared(F.col("c"), F.col("d"), F.col("size") - F.col("p"), _begin))
+    ends = checkpoint(ends.select("g", "n", "p", "q", (F.col("size") - F.col("p") - F.col("q")).alias("size")))
+    return join_counted(left, ends, ["g"]).select("g", "h1", "delta", "own", F.substring("r", F.col("p") + 1, F.length("r") - F.col("p") - F.col("q")).alias("r"), "size")
+
+
+def candidates(rows: DataFrame, edits: int, texts) -> DataFrame:
+    """(a1, b1): hashes of lines that share a segment. texts: gives (h1, line) of those of a table of h1."""
+    parts, places = edits + 1, list(_places(edits))
+    n, line = F.octet_length("line"), F.col("line").cast("binary")
+    keys = [_key("line", n, i, parts) for i in range(parts)] + [_key("line", n - delta, i, parts, off) for i, delta, off in places]
+    names = [f"k{k}" for k in range(len(keys))]
     # copies have equal keys, so they are merged before anything is multiplied, and texts stay where they are
-    keyed = rows.select("h1", F.struct(index.alias("index"), probe.alias("probe"), "letters").alias("keys")).groupBy("h1").agg(F.first("keys").alias("keys"))
-    left = keyed.select(F.col("h1").alias("a1"), F.col("keys.letters").alias("ac"), F.explode("keys.index").alias("k"))
-    right = keyed.select(F.col("h1").alias("b1"), F.col("keys.letters").alias("c"), F.posexplode("keys.probe").alias("at", "k")).where("k is not null")
-    # whether the probing line is longer goes into a bit that the letters leave free
-    longer = F.col("at") >= sum(delta == 0 for _, delta, _ in places)
-    right = right.select("b1", F.col("c").bitwiseOR(F.when(longer, F.lit(1 << 60)).otherwise(F.lit(0))).alias("bc"), "k")
-    once = (F.shiftright("bc", 60) > 0) | (F.col("a1") < F.col("b1"))
-    return left.join(right, (left.k == right.k) & once & (_apart(F.col("ac"), F.col("bc")) <= 2 * edits)).select("a1", "b1").distinct()
+    keyed = rows.withColumn("line", line).select("h1", "h2", *[k.alias(c) for k, c in zip(keys, names, strict=True)]).groupBy("h1", "h2").agg(*[F.max(c).alias(c) for c in names])
+    index = keyed.select(F.col("h1").alias("a1"), F.explode(F.array(*names[:parts])).alias("k"))
+    probe = keyed.select(F.col("h1").alias("b1"), F.posexplode(F.array(*names[parts:])).alias("at", "k")).where("k is not null")
+    found = checkpoint(_met(index, probe, edits))
+    out = found.where("a1 is not null").select("a1", "b1")
+    crowd = found.where("a1 is null")
+    if crowd.isEmpty():
+        return out.distinct()
+    crowd = crowd.join(texts(crowd.select(F.col("b1").alias("h1")).distinct()).select(F.col("h1").alias("b1"), F.decode(F.col("line").cast("binary"), "ISO-8859-1").alias("r")), "b1")
+    while True:
+        rest = checkpoint(_rests(crowd, "r", edits))
+        # at most as many bytes as edits are left: few lines can differ so little, and those of one length are all true pairs
+        a, b = rest.where((F.col("size") <= edits) & F.col("own")).select("g", F.col("h1").alias("a1")), rest.where(F.col("size") <= edits).select("g", F.col("h1").alias("b1"), "delta")
+        out = out.unionByName(a.join(b, "g").where("delta > 0 or a1 < b1").select("a1", "b1"))
+        rest = rest.where(F.col("size") > edits)
+        index = rest.where("own").select(F.col("h1").alias("a1"), F.explode(F.array(*[_key("r", F.col("size"), i, parts, 0, F.col("g")) for i in range(parts)])).alias("k"))
+        probes = [F.when(F.col("delta") == delta, _key("r", F.col("size"), i, parts, off, F.col("g"))) for i, delta, off in places]
+        probe = rest.select(F.col("h1").alias("b1"), "r", F.posexplode(F.array(*probes)).alias("at", "k")).where("k is not null")
+        found = checkpoint(_met(index, probe.select("k", "b1", "at", "r"), edits))
+        out = out.unionByName(found.where("a1 is not null").select("a1", "b1"))
+        crowd = found.where("a1 is null")
+        if crowd.isEmpty():
+            return out.distinct()
 
 
 def banded_distance(a: str, b: str, edits: int) -> Column:
@@ -125,52 +192,61 @@ def _inside(expression: str) -> str:
     return re.sub(r"(?<![\w.'])([pqmn])(?![\w('])", r"z.\1", expression)
 
 
-def pairs(rows: DataFrame, edits: int = EDITS) -> DataFrame:
-    """(a1, a2, b1, b2): pairs of different lines within edits edits, by their hashes."""
-    found = checkpoint(candidates(rows, edits))
-    ids = found.select(F.col("a1").alias("h1")).unionByName(found.select(F.col("b1").alias("h1"))).distinct()
-    if found.count() <= FEW:  # the texts of few lines are needed: they are picked where they lie
-        ids = F.broadcast(ids)
-    texts = rows.select("h1", "h2", "line").join(ids, "h1", "left_semi").groupBy("h1", "h2").agg(F.first("line").alias("line"))
-    left = texts.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("line").alias("a"))
-    right = texts.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("line").alias("b"))
+def pairs(docs: DataFrame, first: DataFrame, edits: int = EDITS, min_bytes: int = MIN_BYTES) -> DataFrame:
+    """(a1, a2, b1, b2): pairs of different lines within edits edits, by their hashes. first: h1, h2 and the first place of each distinct line."""
+
+    def texts(hashes: DataFrame) -> DataFrame:
+        """h1, h2, line of the lines with some h1, each picked from the document that has it first."""
+        wanted = checkpoint(first.join(hashes, "h1").select("h1", "h2", *[F.col(f"first.{c}").alias(c) for c in (*DOC, "_fx_pos")]))
+        near = F.broadcast if wanted.count() <= FEW else lambda x: x
+        some = _identified(docs, "doc_id", "text").join(near(wanted.select(*DOC).distinct()), DOC, "left_semi").select("doc_id", "text")
+        return line_rows(some).join(near(wanted), ["h1", "h2", *DOC, "_fx_pos"]).groupBy("h1", "h2").agg(F.first("line").alias("line"))
+
+    found = checkpoint(candidates(line_rows(docs).where(F.octet_length("line") >= min_bytes), edits, texts))
+    line = checkpoint(texts(found.select(F.col("a1").alias("h1")).unionByName(found.select(F.col("b1").alias("h1"))).distinct()).withColumn("line", F.col("line").cast("binary")))
+    left = line.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("line").alias("a"))
+    right = line.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("line").alias("b"))
     # one key may hold many candidates that no other task shares: they are dealt out before they are verified
-    both = found.join(left, "a1").join(right, "b1").repartition("a1", "b1")
-    close = F.abs(F.octet_length("a") - F.octet_length("b")) <= edits
-    return both.where(close & (F.col("a") != F.col("b"))).where(banded_distance("a", "b", edits) <= edits).select("a1", "a2", "b1", "b2")
+    both = found.join(left, "a1").join(right, "b1").where((F.abs(F.octet_length("a") - F.octet_length("b")) <= edits) & (F.col("a") != F.col("b"))).repartition("a1", "b1")
+    # the distance of what the common beginning and end leave; at least edits bytes stay
+    room = F.least(F.octet_length("a"), F.octet_length("b")) - edits
+    both = both.withColumn("p", _shared(F.col("a"), F.col("b"), room, _begin)).withColumn("q", _shared(F.col("a"), F.col("b"), room - F.col("p"), _end))
+    middle = lambda c: F.substring(c, F.col("p") + 1, F.octet_length(c) - F.col("p") - F.col("q")).alias(c)
+    return both.select("a1", "a2", "b1", "b2", middle("a"), middle("b")).where(banded_distance("a", "b", edits) <= edits).select("a1", "a2", "b1", "b2")
 
 
 def removals(docs: DataFrame, edits: int = EDITS, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """_fx_key, _fx_rank, _fx_pos, and first, the (rank, line) of the earliest line within reach, of each removed line."""
-    rows = line_rows(docs, min_bytes)
-    places = rows.select("_fx_key", "_fx_rank", "_fx_pos", "h1", "h2")
-    first = places.groupBy("h1", "h2").agg(F.min(F.struct("_fx_rank", "_fx_pos")).alias("first"), F.count("*").alias("n"))
-    found = checkpoint(pairs(rows, edits))
+    """_fx_key, _fx_key2, _fx_rank, _fx_pos, and first, the place of the earliest line within reach, of each removed line."""
+    place = F.struct("_fx_rank", *DOC, "_fx_pos")
+    places = stored(line_rows(docs).drop("line"), "lines")
+    first = stored(places.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")), "first")
+    found = checkpoint(pairs(docs, first, edits, min_bytes))
     both = found.unionByName(found.select(F.col("b1").alias("a1"), F.col("b2").alias("a2"), F.col("a1").alias("b1"), F.col("a2").alias("b2")))
     near = both.join(first.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("first").alias("f")), ["b1", "b2"]).groupBy(F.col("a1").alias("h1"), F.col("a2").alias("h2")).agg(F.min("f").alias("f"))
-    best = first.join(near, ["h1", "h2"], "left").where("n > 1 or f is not null").select("h1", "h2", F.least("first", F.coalesce("f", "first")).alias("first"))
-    return places.join(best, ["h1", "h2"]).where(F.struct("_fx_rank", "_fx_pos") > F.col("first")).select("_fx_key", "_fx_rank", "_fx_pos", "first")
+    best = checkpoint(first.join(near, ["h1", "h2"], "left").where("n > 1 or f is not null").select("h1", "h2", "n", F.least("first", F.coalesce("f", "first")).alias("first")))
+    return join_counted(places, best, ["h1", "h2"]).where(place > F.col("first")).select(*DOC, "_fx_rank", "_fx_pos", "first")
 
 
 def deduplicated(docs: DataFrame, edits: int = EDITS, min_bytes: int = MIN_BYTES) -> DataFrame:
     """docs with the removed lines taken out of its text."""
     names = docs.columns
-    gone = removals(docs, edits, min_bytes).groupBy("_fx_key").agg(F.collect_set("_fx_pos").alias("_fx_gone"))
-    keyed = docs.withColumn("_fx_key", F.xxhash64("doc_id", "text")).join(gone, "_fx_key", "left")
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_fx_gone", i)), "\n")
+    gone = removals(docs, edits, min_bytes).groupBy(*DOC).agg(F.collect_set("_fx_pos").alias("_fx_gone"))
+    keyed = _identified(docs, "*").join(gone, DOC, "left")
+    # the array of one struct binds the lines, so that they are split once and not for each of them
+    kept = F.expr(r"transform(array(struct(split(text, '\n', -1) as x, _fx_gone as g)), z -> array_join(transform(array_except(sequence(0, size(z.x) - 1), z.g), i -> z.x[i]), '\n'))[0]")
     return keyed.withColumn("text", F.when(F.col("_fx_gone").isNull(), F.col("text")).otherwise(kept)).select(*names)
 
 
 def op_query(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_lines, n_removed, removed (line numbers from 0), first_doc_ids (documents of the earlier lines)."""
-    gone = removals(docs).groupBy("_fx_key").agg(
+    gone = removals(docs).groupBy(*DOC).agg(
         F.array_join(F.array_sort(F.collect_set("_fx_pos")), ",").alias("removed"),
         F.countDistinct("_fx_pos").alias("n_removed"),
         F.array_join(F.array_sort(F.collect_set(F.nullif("first._fx_rank", F.lit(LAST)))), ",").alias("first_doc_ids"),
     )
     n_lines = F.length(F.coalesce("text", F.lit(""))) - F.length(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(""))) + 1
-    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("_fx_key"), n_lines.cast("long").alias("n_lines"))
-    return rows.join(gone, "_fx_key", "left").select("doc_id", "n_lines", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed", F.lit("")).alias("removed"), F.coalesce("first_doc_ids", F.lit("")).alias("first_doc_ids"))
+    rows = _identified(docs, "doc_id", n_lines.cast("long").alias("n_lines"))
+    return rows.join(gone, DOC, "left").select("doc_id", "n_lines", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed", F.lit("")).alias("removed"), F.coalesce("first_doc_ids", F.lit("")).alias("first_doc_ids"))
 
 
 ORACLE = f"""
@@ -178,13 +254,13 @@ WITH lines AS (
   SELECT doc_id, coalesce(text, '') AS t, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS pos
   FROM documents
 ), long AS (
-  SELECT * FROM lines WHERE strlen(line) >= {MIN_BYTES}
+  SELECT * FROM lines WHERE line <> ''
 ), firsts AS (
   SELECT line, strlen(line) AS n, min({{'d': doc_id, 'p': pos}}) AS f FROM long GROUP BY line
 ), sizes AS (
   SELECT *, n + d AS m FROM firsts, (VALUES (-2), (-1), (0), (1), (2)) AS v(d)
 ), near AS (
-  SELECT a.line, min(b.f) AS f FROM sizes a JOIN firsts b ON a.m = b.n WHERE b.f <= a.f AND levenshtein(a.line, b.line) <= {EDITS} GROUP BY a.line
+  SELECT a.line, min(b.f) AS f FROM sizes a JOIN firsts b ON a.m = b.n WHERE b.f <= a.f AND (a.line = b.line OR a.n >= {MIN_BYTES} AND b.n >= {MIN_BYTES} AND levenshtein(a.line, b.line) <= {EDITS}) GROUP BY a.line
 ), gone AS (
   SELECT doc_id, pos, near.f.d AS first_doc FROM (SELECT l.doc_id, l.pos, n.f AS f FROM long l JOIN near n USING (line)) near WHERE {{'d': doc_id, 'p': pos}} > near.f
 )
