@@ -10,15 +10,17 @@ cased letters) and joined by one space. Among the units of one digest, the one
 that ranks first by document and place is kept; all others are removed, and
 removals carry the character offsets in the original text.
 
-First occurrences are minima, pre-aggregated before the shuffle, so a unit that
-a third of all documents share is a row per task. The join back to the units
-is left to adaptive skew handling.
-
-Edge cases: null and empty texts have no units. A null doc_id ranks after all
-others. Within one document later repeats go as well. Repeated rows (same
-doc_id and text) tie: their units have the same rank, so all of them stay.
-Empty tables give empty results. Other columns are ignored by `removals` and
-kept by `deduplicated`.
+First occurrences are minima, pre-aggregated before the shuffle. The units that
+most documents share are joined back by a broadcast of their digests (a bounded
+number), all others by a shuffle.
+
+Edge cases: null and empty texts have no units. A document is its doc_id and
+text. A null doc_id ranks after all others; documents without one, or with the
+same one, rank by a hash of their text. Within one document later repeats go as
+well. Repeated rows (same doc_id and text) tie: their units have the same rank,
+so all of them stay. Very long texts are handled one at a time. Empty tables
+give empty results. Other columns are ignored by `removals` and kept by
+`deduplicated`, whose spans take the place of a column of that name.
 """
 
 from __future__ import annotations
@@ -32,12 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored
+from .common import in_steps, join_counted, stored
 
 MIN_WORDS = 10
 LINE = re.compile(r"[^\n]+")
 SENTENCE = re.compile(r"\S.*?(?:[.!?]+(?=\s)|$)")
 LAST = 2**63 - 1
+DOC = ["_fx_key", "_fx_key2"]
 
 
 def units(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, bytes]]:
@@ -77,43 +80,50 @@ def units(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, bytes]]
     return [(a, b, xxhash.xxh3_128_digest(x)) for a, b, x in found]
 
 
+def _identified(docs: DataFrame, *columns) -> DataFrame:
+    """docs' columns with 128 bits that stand for a document, by its doc_id and text."""
+    return docs.select(F.xxhash64("doc_id", "text").alias(DOC[0]), F.xxhash64(F.lit(1), "doc_id", "text").alias(DOC[1]), *columns)
+
+
 def unit_table(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(d1, d2, rank_doc, start, end): digest halves, document and character range of each unit."""
+    """(d1, d2, rank_doc, _fx_key, _fx_key2, start, end): digest halves, document and character range of each unit."""
+    schema = f"d1 long, d2 long, rank_doc long, {DOC[0]} long, {DOC[1]} long, start int, end int"
 
     def work(batches):
-        for b in batches:
-            ids = b.column(0).to_pylist()
-            got = [(LAST if d is None else d, u) for d, t in zip(ids, b.column(1).to_pylist(), strict=True) if t for u in units(t, min_words)]
-            halves = np.frombuffer(b"".join(u[2] for _, u in got), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), pa.array([d for d, _ in got], pa.int64()), pa.array([u[0] for _, u in got], pa.int32()), pa.array([u[1] for _, u in got], pa.int32())],
-                ["d1", "d2", "rank_doc", "start", "end"],
-            )
+        for b in in_steps(batches, "text"):
+            found = [units(t, min_words) if t else [] for t in b.column("text").to_pylist()]
+            times = np.repeat(np.arange(b.num_rows), [len(x) for x in found])
+            halves = np.frombuffer(b"".join(u[2] for x in found for u in x), "<i8").reshape(-1, 2)
+            owner = [b.column(c).take(pa.array(times)) for c in ("rank_doc", *DOC)]
+            places = [pa.array([u[k] for x in found for u in x], pa.int32()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), *owner, *places], ["d1", "d2", "rank_doc", *DOC, "start", "end"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "d1 long, d2 long, rank_doc long, start int, end int")
+    return _identified(docs, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("rank_doc"), "text").mapInArrow(work, schema)
 
 
 def removals(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, start, end of each removed unit, with first_doc_id and first_start of the one that is kept."""
+    """doc_id, start, end of each removed unit, with first_doc_id and first_start of the one that is kept; and _fx_key, _fx_key2, the document's hashes."""
     found = stored(unit_table(docs, min_words), "units")
-    first = found.groupBy("d1", "d2").agg(F.min(F.struct("rank_doc", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").select("d1", "d2", "first")
+    place = F.struct("rank_doc", *DOC, "start")
+    first = stored(found.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"), "first")
     back = lambda c: F.when(c != LAST, c)
     return (
-        found.join(first, ["d1", "d2"])
-        .where((F.col("rank_doc") != F.col("first.rank_doc")) | (F.col("start") != F.col("first.start")))
-        .select(back(F.col("rank_doc")).alias("doc_id"), "start", "end", back(F.col("first.rank_doc")).alias("first_doc_id"), F.col("first.start").alias("first_start"))
+        join_counted(found, first, ["d1", "d2"])
+        .where(place > F.col("first"))
+        .select(back(F.col("rank_doc")).alias("doc_id"), "start", "end", back(F.col("first.rank_doc")).alias("first_doc_id"), F.col("first.start").alias("first_start"), *DOC)
     )
 
 
 def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with its text less the removed units, and spans, the kept (start, end) ranges of the original text."""
-    gone = removals(docs, min_words).groupBy(F.coalesce("doc_id", F.lit(LAST)).alias("_fx_doc")).agg(F.collect_set(F.struct("start", "end")).alias("_fx_gone"))
+    docs = docs.drop("spans")
+    gone = removals(docs, min_words).groupBy(*DOC).agg(F.collect_set(F.struct("start", "end")).alias("_fx_gone"))
     names = docs.columns
     spans = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
     schema = T.StructType([*docs.schema.fields, T.StructField("spans", spans)])
 
     def work(batches):
-        for b in batches:
+        for b in in_steps(batches, "text"):
             texts, kept = [], []
             for t, holes in zip(b.column("text").to_pylist(), b.column("_fx_gone").to_pylist(), strict=True):
                 if t is None:
@@ -132,9 +142,8 @@ def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             cols = [pa.array(texts, pa.string()) if c == "text" else b.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(kept, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], [*names, "spans"])
 
-    keyed = docs.withColumn("_fx_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)))
-    return keyed.join(gone, "_fx_doc", "left").drop("_fx_doc").mapInArrow(work, schema)
+    return _identified(docs, "*").join(gone, DOC, "left").drop(*DOC).mapInArrow(work, schema)
 
 
 def op_query(docs: DataFrame) -> DataFrame:
-    return removals(docs)
+    return removals(docs).drop(*DOC)
