@@ -1,20 +1,23 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences. Each sentence has a probability, the logistic
-of a sum of word weights; the document's is their noisy-or, 1 - prod(1 - p).
-Only document labels are needed to train it, and the sentence probabilities
-then say where the offence is.
+of a bias and a sum of word weights; the document's is their noisy-or,
+1 - prod(1 - p). Only document labels are needed to train it, and
+the sentence probabilities then say where the offence is. When texts are scored,
+only sentences count whose log-odds lie more than MARGIN above the bias: all
+others say no more than that they are sentences, and a text isn't offensive by its length.
 
 The classifier is fitted on at most max_train_docs labelled documents of at
-most max_train_bytes bytes in all (those with the least seeded hashes; both are
-parameters), on the driver; a text of over a quarter of max_train_bytes is left
-out of the sample, so that it can't end it. All documents are scored, in whole.
-
-Edge cases: a null or empty text has no sentence and scores 0; a very long one is
-scored sentence by sentence. A null doc_id is scored like any other, and is
-never a training row; of labels that contradict one another the largest counts;
-null labels are ignored. Without any labelled document of both kinds every
-score is 0. An empty table gives an empty result.
+most max_train_bytes bytes in all (in the order of seeded hashes; both are
+parameters), on the driver; a document of over a quarter of max_train_bytes, or
+one that no longer fits, is passed over. All documents are scored, in whole.
+
+Edge cases: a null or empty text has no sentence and scores 0; a very
+long one is scored sentence by sentence. A null doc_id is scored like any other,
+is never a training row, and its held_out is null; of labels that contradict one
+another the largest counts; null labels are ignored. Without any labelled
+document of both kinds every score is 0; if only the bounds leave one kind out,
+that is an error. Repeated rows score the same. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,6 +36,8 @@ from .common import in_steps
 
 MAX_TRAIN_DOCS = 12_000
 MAX_TRAIN_BYTES = 64 << 20
+#: Log-odds above the bias from which on a sentence counts.
+MARGIN = 4.0
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W_]+")
 #: Word starts of these lengths are features beside the whole word: offensive stems are inflected and compounded.
@@ -51,12 +56,16 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_docs: int, max_bytes:
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("_fx_toxic"))
     known = known.where(~held_out()).select(F.col("doc_id").cast("long").alias("doc_id"), "_fx_toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
-    found = found.where(F.octet_length("text") <= max_bytes // 4)
-    sizes = found.select("doc_id", F.octet_length("text").cast("long").alias("n"), F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").collect()
-    fit = np.cumsum([x.n for x in sizes]) <= max_bytes
-    if not fit.all():
-        last = sizes[int(fit.sum())]
-        found = found.where((F.xxhash64("doc_id") < last.h))
+    sizes = found.groupBy("doc_id", "_fx_toxic").agg(F.sum(F.octet_length("text").cast("long")).alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    total, fit = 0, []
+    for x in sizes:
+        if x.n <= max_bytes // 4 and total + x.n <= max_bytes:
+            total += x.n
+            fit.append(x)
+    if len({x._fx_toxic for x in fit}) < len({x._fx_toxic for x in sizes}):
+        raise ValueError("max_bytes leaves no labelled document of one kind")
+    if len(fit) < len(sizes):
+        found = found.where(F.col("doc_id").isin([x.doc_id for x in fit]))
     return [(x.text, x._fx_toxic) for x in found.orderBy(F.xxhash64("doc_id"), "doc_id", "text").collect()]
 
 
@@ -131,7 +140,8 @@ class Scorer:
                 if found:
                     hits.update(found)
             z = self.bias + sum(hits.values())
-            none += math.log1p(math.exp(z)) if z < 30 else z
+            if z > self.bias + MARGIN:
+                none += math.log1p(math.exp(z)) if z < 30 else z
             if z > worst[0]:
                 worst = (z, s.start(), s.end())
         return -math.expm1(-none), 1 / (1 + math.exp(-max(worst[0], -700))), worst[1], worst[2]

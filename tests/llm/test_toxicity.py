@@ -1,10 +1,15 @@
+import math
 import random
+import re
 import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from florilex.llm import toxicity
 
+SF = "/root/testdata/sf0.001"
+
 
 def corpus(n, seed):
     r = random.Random(seed)
@@ -36,11 +41,48 @@ def test_held_out_accuracy_and_place(spark):
     assert all(any(w in texts[d][got[d].worst_start : got[d].worst_end] for w in ("nasty", "vilest", "horrid")) for d in hits)
 
 
-def test_noisy_or():
-    s = toxicity.Scorer({"=bad": 3.0}, -2.0)
-    p = lambda z: 1 / (1 + 2.718281828459045**-z)
-    score, worst, start, end = s.document("fine. bad! fine")
-    assert abs(score - (1 - (1 - p(-2)) ** 2 * (1 - p(1)))) < 1e-12 and abs(worst - p(1)) < 1e-12 and (start, end) == (5, 9)
+def plain(text, weights, bias):
+    """The noisy-or of a text, written out."""
+    p = lambda z: 1 / (1 + math.exp(-z))
+    none = 1.0
+    for sentence in re.split(r"[.!?\n]", text or ""):
+        names = {f for w in re.findall(r"[^\W_]+", sentence.lower()) for f in [f"={w}", *(w[:k] for k in range(3, 8) if k <= len(w))]}
+        z = bias + sum(weights.get(f, 0) for f in names)
+        if z > bias + toxicity.MARGIN:
+            none *= 1 - p(z)
+    return 1 - none
+
+
+def test_against_plain_scores(spark):
+    model = ({"=bad": 9.0, "awf": 5.5, "=fine": -1.0, "the": 0.5}, -6.0)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    some = [(x.doc_id, x.text) for x in docs.collect()] + [(-1, "fine. bad! fine"), (-2, "awful and fine\nthe bad"), (-3, None), (-4, "the the")]
+    got = {x.doc_id: x for x in toxicity.scored(spark.createDataFrame(some, "doc_id long, text string"), *model).collect()}
+    assert all(abs(got[d].score - plain(t, *model)) < 1e-9 for d, t in some)
+    assert got[-1].score > 0.9 and (got[-1].worst_start, got[-1].worst_end) == (5, 9) and got[-3].score == got[-4].score == 0
+
+
+def test_labels_of_the_tables(spark):
+    """Held-out documents of a real table, and of texts without offence one of some MB."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rows = docs.join(labels, "doc_id").select("text", "toxic", toxicity.held_out().alias("held")).collect()
+    scorer = toxicity.Scorer(*toxicity.fit([(x.text, x.toxic) for x in rows if not x.held]))
+    scores = [(scorer.document(x.text)[0], x) for x in rows]
+    good, bad = [s for s, x in scores if x.held and x.toxic], [s for s, x in scores if x.held and not x.toxic]
+    assert sum((a > b) + (a == b) / 2 for a in good for b in bad) / len(good) / len(bad) > 0.95
+    assert (sum(s >= 0.5 for s in good) + sum(s < 0.5 for s in bad)) / len(good + bad) > 0.97
+    long = "\n".join(x.text for s, x in scores if not x.toxic and not s)
+    assert len(long) > 3_000_000 and scorer.document(long)[0] == 0
+    toxic = next(x.text for s, x in scores if x.toxic and s > 0.9)
+    assert scorer.document(long + "\n" + toxic)[0] > 0.9
+
+
+def test_sample_without_one_kind_is_an_error(spark):
+    docs = spark.createDataFrame([(0, "nasty " * 2000), (2, "fine words"), (3, "more words")], "doc_id long, text string")
+    lab = spark.createDataFrame([(0, 1, 1), (2, 1, 0), (3, 1, 0)], "doc_id long, quality int, toxic int").where(~toxicity.held_out())
+    if lab.select("toxic").distinct().count() == 2:
+        with pytest.raises(ValueError):
+            toxicity.training_rows(docs, lab, 10, 1000)
 
 
 def test_without_labels_and_rows(spark):
