@@ -1,24 +1,27 @@
 """Media columns: interleaved sequences of text and media references.
 
-HTML is parsed into an ordered array of parts: text runs, and references to
-media with their caption. References carry the SHA-256 of what they refer to.
+HTML is parsed into an ordered array of parts: the text of each block, and
+references to media with their caption. References carry the SHA-256 of what they refer to.
 Payloads lie in a store of their own, content-addressed: each is kept as an
 8-bit greyscale image (binary PGM, 64 samples a row), losslessly. Features are
 computed on the bytes read back from the store, where they lie; only digests
 and what was computed are joined to the references, so no payload is shuffled.
+The references to the most frequent payloads are joined by a broadcast (of a
+bounded number), so that no task gets all of them; text parts take no part in that join.
 
 Edge cases: a null text is an empty payload (one row of 64 zero bytes). A
 reference whose digest the store lacks keeps its place, with null media fields. Equal
 payloads share a digest and resolve to one row, so joins don't multiply.
-Repeated rows are kept. Null or empty HTML gives no parts. Unclosed tags,
-captions outside figures and unknown attributes are tolerated. An empty table
-gives an empty result.
+Repeated rows are kept. Null or empty HTML gives no parts. Unclosed tags
+(omitted ends of head, title or template too), captions outside figures and
+unknown attributes are tolerated. Columns of the pages that have the name of a
+column of the result give way to it. Very long texts and pages are handled one
+at a time. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
-import html
 import re
 import zlib
 from html.parser import HTMLParser
@@ -27,12 +30,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import stored, text_bytes
+from .common import in_steps, join_counted, stored, text_bytes
 
 WIDTH = 64
 MEDIA = {"img": "image", "video": "video", "audio": "audio", "source": "source", "embed": "embed"}
-HIDDEN = {"script", "style", "head", "template"}
+#: Elements whose content is not text of the page. Those of the parser's own kind (script, style) end where it says.
+HIDDEN = {"script", "style", "title"}
+BLOCKS = {"p", "div", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "table", "tr", "article", "section", "header", "footer", "nav", "main", "aside", "blockquote", "pre", "body"}
 PARTS = "array<struct<kind:string,text:string,digest:string,caption:string>>"
 
 
@@ -41,7 +47,8 @@ class _Parts(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.parts: list[dict] = []
         self.text: list[str] = []
-        self.hidden = 0
+        self.hidden: str | None = None
+        self.templates: list[int] = []
         self.figure: int | None = None
         self.caption: list[str] | None = None
 
@@ -52,8 +59,10 @@ class _Parts(HTMLParser):
             self.parts.append({"kind": "text", "text": run, "digest": None, "caption": None})
 
     def handle_starttag(self, tag, attrs):
-        if tag in HIDDEN:
-            self.hidden += 1
+        self.hidden = tag if tag in HIDDEN else None  # a title ends where another element begins
+        if tag == "template":
+            self.flush()
+            self.templates.append(len(self.parts))
         elif tag == "figure":
             self.flush()
             self.figure = len(self.parts)
@@ -65,23 +74,31 @@ class _Parts(HTMLParser):
             found = dict(attrs)
             m = re.fullmatch(r"sha256:([0-9a-f]{64})", found.get("src") or "")
             self.parts.append({"kind": MEDIA[tag], "text": found.get("src"), "digest": m and m[1], "caption": found.get("alt")})
-        elif tag in {"p", "div", "br", "li", "h1", "h2", "h3", "h4", "tr", "article", "section"}:
-            self.text.append(" ")
+        elif tag in BLOCKS and self.caption is None:
+            self.flush()
+        elif tag == "br" or tag in BLOCKS:
+            (self.text if self.caption is None else self.caption).append(" ")
 
     def handle_startendtag(self, tag, attrs):
-        if tag not in HIDDEN:
+        if tag not in HIDDEN and tag != "template":
             self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
-        if tag in HIDDEN:
-            self.hidden = max(0, self.hidden - 1)
+        if tag == self.hidden:
+            self.hidden = None
+        elif tag == "template" and self.templates:  # what a template holds is no part of the page; without an end it is none
+            self.text = []
+            del self.parts[self.templates.pop() :]
         elif tag == "figcaption" and self.caption is not None:
             said, self.caption = " ".join("".join(self.caption).split()), None
             for part in self.parts[self.figure or 0 :] if self.figure is not None else ():
                 if part["kind"] != "text":
                     part["caption"] = said
         elif tag == "figure":
+            self.flush()
             self.figure = None
+        elif tag in BLOCKS and self.caption is None:
+            self.flush()
 
     def handle_data(self, data):
         if not self.hidden:
@@ -98,14 +115,16 @@ def parse_html(source: str | None) -> list[dict]:
 
 def sequences(pages: DataFrame, column: str = "html") -> DataFrame:
     """pages with parts, the ordered text and media references of their HTML."""
+    pages = pages.drop("parts")
     names = pages.columns
     kind = pa.list_(pa.struct([(c, pa.string()) for c in ("kind", "text", "digest", "caption")]))
 
     def work(batches):
-        for b in batches:
+        for b in in_steps(batches, column):
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([parse_html(x) for x in b.column(column).to_pylist()], kind)], [*names, "parts"])
 
-    return pages.mapInArrow(work, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields) + f", parts {PARTS}")
+    parts = T.StructField("parts", T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("kind", "text", "digest", "caption")])))
+    return pages.mapInArrow(work, T.StructType([*pages.schema.fields, parts]))
 
 
 def payload(text: bytes) -> bytes:
@@ -138,7 +157,7 @@ def store_payloads(docs: DataFrame) -> DataFrame:
     """Writes each text's payload as an image; (doc_id, n_bytes, digest of the payload, blob), read back from the store."""
 
     def work(batches):
-        for b in batches:
+        for b in in_steps(batches, "data"):
             data = [payload(x) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([hashlib.sha256(x).hexdigest() for x in data], pa.string()), pa.array([encode_pgm(x) for x in data], pa.binary()), b.column(2)], ["doc_id", "digest", "blob", "n_bytes"])
 
@@ -150,7 +169,7 @@ def resolved_media(store: DataFrame) -> DataFrame:
     """One row for each stored digest: sizes, checksums and features of the bytes read back."""
 
     def work(batches):
-        for b in batches:
+        for b in in_steps(batches, "blob"):
             rows = []
             for digest, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 data = decode_pgm(blob)
@@ -163,26 +182,57 @@ def resolved_media(store: DataFrame) -> DataFrame:
     return found.groupBy("digest").agg(*[F.first(c).alias(c) for c in found.columns[1:]])
 
 
+MEDIA_FIELDS = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+
+
+def resolved(references: DataFrame, media: DataFrame) -> DataFrame:
+    """References with a digest, and the fields of what they refer to; null for those that the store lacks."""
+    refs = stored(references.where("digest is not null"), "references")
+    found = stored(refs.groupBy("digest").agg(F.count("*").alias("_fx_n")).join(media, "digest", "left"), "resolved")
+    return join_counted(refs, found, ["digest"], "_fx_n").drop("_fx_n")
+
+
+def parts(pages: DataFrame, column: str = "html") -> DataFrame:
+    """pages less their HTML, one row for each part in order: position, n_parts, kind, text, digest, caption."""
+    own = {"position", "n_parts", "kind", "text", "digest", "caption", "parts", *MEDIA_FIELDS}
+    rest = [c for c in pages.columns if c != column and c not in own]
+    whole = sequences(pages.select(*rest, column), column)
+    return whole.select(*rest, F.size("parts").alias("n_parts"), F.posexplode("parts").alias("position", "part")).select(*rest, "position", "n_parts", "part.*")
+
+
 def interleaved(pages: DataFrame, media: DataFrame, column: str = "html") -> DataFrame:
-    """pages less their HTML, one row for each part in order: position, kind, text, digest, caption and the media's fields."""
-    rest = [c for c in pages.columns if c != column]
-    parts = sequences(pages, column).select(*rest, F.posexplode("parts").alias("position", "part")).select(*rest, "position", "part.*")
-    return parts.join(media, "digest", "left")
+    """The parts of pages, and the media's fields with those that refer to media."""
+    found = parts(pages, column)
+    return found.where("digest is null").unionByName(resolved(found.where("digest is not null"), media), allowMissingColumns=True)
 
 
-def wrap(doc_id, digest: str, n_bytes: int) -> str:
-    """A document's page: its heading, its payload as a figure, and a closing line."""
-    return f'<article><h1>{html.escape(str(doc_id))}</h1><figure><img src="sha256:{digest}" alt=""><figcaption>{n_bytes} bytes</figcaption></figure><p>end</p></article>'
+def _escaped(text):
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return text
+
+
+def document_pages(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, html: each document as a page, its lines as paragraphs with its payload as a figure amid them."""
+    data = text_bytes()
+    size = F.octet_length(data)
+    digest = F.sha2(F.rpad(data, F.greatest(F.ceil(size / WIDTH), F.lit(1)).cast("int") * WIDTH, F.lit(b"\x00")), 256)
+    figure = F.concat(F.lit('<figure><img src="sha256:'), digest, F.lit('" alt=""><figcaption>'), size.cast("string"), F.lit(" bytes</figcaption></figure>"))
+    lines = F.split(_escaped(F.coalesce("text", F.lit(""))), "\n", -1)
+    rows = docs.select("doc_id", size.cast("long").alias("n_bytes"), figure.alias("figure"), lines.alias("lines"))
+    half = F.floor(F.size("lines") / 2).cast("int")
+    body = lambda part: F.concat(F.lit("<p>"), F.array_join(part, "</p><p>"), F.lit("</p>"))
+    return rows.select("doc_id", "n_bytes", F.concat(F.lit("<html><body>"), body(F.slice("lines", F.lit(1), half)), "figure", body(F.slice("lines", half + 1, F.size("lines"))), F.lit("</body></html>")).alias("html"))
 
 
 def op_query(docs: DataFrame) -> DataFrame:
     """The columns of the op7 contract, and the place and caption that the media have in their sequence."""
     store = store_payloads(docs)
+    references = parts(document_pages(docs)).where("kind = 'image'").select("doc_id", "n_bytes", "position", "n_parts", "digest", "caption")
+    return resolved(references, resolved_media(store)).select("doc_id", "n_bytes", *MEDIA_FIELDS, "position", "n_parts", "caption")
 
-    def work(batches):
-        for b in batches:
-            pages = [wrap(d, x, n) for d, x, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(pages, pa.string())], ["doc_id", "n_bytes", "html"])
 
-    pages = store.select("doc_id", "digest", "n_bytes").mapInArrow(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, html string")
-    return interleaved(pages, resolved_media(store)).where("kind = 'image'").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+def pages_query(pages: DataFrame) -> DataFrame:
+    """page_id, position, n_parts, kind, text of all parts of the raw web pages, with the media's fields where the store has them."""
+    store = store_payloads(pages.select(F.col("page_id").alias("doc_id"), F.col("html").alias("text")))
+    return interleaved(pages.select("page_id", "html"), resolved_media(store)).select("page_id", "position", "n_parts", "kind", "text", "digest", "caption", "payload_sha256")

@@ -34,6 +34,10 @@ def op7_media_columns(spark, sf_dir):
     return media.op_query(read(spark, sf_dir, "documents"))
 
 
+def media_pages(spark, sf_dir):
+    return media.pages_query(read(spark, sf_dir, "pages"))
+
+
 def op8_suffix_dedup(spark, sf_dir):
     return suffixes.op_query(read(spark, sf_dir, "documents"))
 
@@ -46,5 +50,5 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.op_query(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_chat_formatting, op3_unit_dedup, op4_simhash_near_dedup, op5_sharding, op6_line_dedup, op7_media_columns, op8_suffix_dedup, op9_benchmark_decontamination, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_chat_formatting, op3_unit_dedup, op4_simhash_near_dedup, op5_sharding, op6_line_dedup, op7_media_columns, media_pages, op8_suffix_dedup, op9_benchmark_decontamination, op10_toxicity)}
 ORACLE_SQL = {"op2_chat_formatting": chat.ORACLE, "op6_line_dedup": lines.ORACLE}
