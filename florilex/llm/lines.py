@@ -15,12 +15,17 @@ verified by a banded bit-parallel edit distance, on what is left of them
 without their common beginning and end.
 
 All joins are equi-joins on hashes of content; texts stay where they are, but
-for those of candidates. A segment that over CROWDED lines of one length share,
-as variants of one boilerplate line do, gives no pairs. Its lines go on without
-it, and without what all of them begin and end with: the rests of two lines lie
-within as many edits as the lines do, so they are cut into segments and joined
-in the same way, until groups are small or at most EDITS bytes are left.
-The segments that most lines share don't cross the network at all.
+for those of lines that share a segment with another one. Those have their letters and
+digits counted, and lines whose counts lie further apart than edits allow are no candidates.
+Counts are kept as codes of three bits that differ in as many bits as the counts do, modulo 6.
+
+Where over CROWDED lines of one length share a segment, it goes on mattering
+what else they have: without that segment, and without what all lines of the group begin and end
+with, they lie within as many edits as before. If only a few bytes are left, as
+of one boilerplate line with numbers in it, these rests are cut into segments and joined in
+the same way, until groups are small or at most EDITS bytes are left. So
+variants hardly multiply. Groups with longer rests, as of copies of one line that
+are changed in many places, are joined by the counts. The segments that most lines share don't cross the network at all.
 
 Edge cases: null and empty texts have one empty line. A null doc_id ranks last;
 documents without one, or with the same one, rank by a hash of their text. Rows
@@ -32,6 +37,7 @@ texts line by line. `deduplicated` keeps all columns whatever their names.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,10 +46,16 @@ from pyspark.sql.window import Window
 from .common import checkpoint, join_counted, stored
 
 EDITS, MIN_BYTES = 2, 20
-#: Indexed lines under one segment from which on the segment alone gives no candidates.
+#: Indexed lines under one segment from which on their rests are looked at.
 CROWDED = 32
-#: Segments whose lines are told apart where they lie, as so many of them share it.
+#: Bytes of rests that are cut into segments again.
+NARROW = 16
+#: Segments whose lines are known to be crowded where they lie, as so many of them share it.
 HEAVY = 1000
+#: Signs that are counted, and the codes of 0 to 5: a code's neighbours differ in one bit.
+SIGNS, CODES = "etanisorhd 0123456789", (0, 1, 3, 7, 6, 4)
+#: Pieces of a candidate that are looked up in the other line before the distance is taken.
+PIECES = 12
 #: Lines whose hashes and places (44 bytes each) are broadcast to pick their texts; more are joined by a shuffle.
 FEW = 500_000
 LAST = 2**63 - 1
@@ -83,22 +95,29 @@ def _key(line: str, size: Column, i: int, parts: int, off: int = 0, group: Colum
     return key if off >= 0 else F.when(a + off >= 0, key)
 
 
-def _met(index: DataFrame, probe: DataFrame, edits: int) -> DataFrame:
-    """(a1, b1) of lines that share a segment k; or, where that is crowded, its lines as (b1, k, at, carried), with null for a1.
+def _counts(string: Column) -> Column:
+    """The codes of the counts of SIGNS, in a long."""
+    codes = F.array(*[F.lit(c).cast("long") for c in CODES])
+    count = lambda c: (F.octet_length(string) - F.octet_length(F.replace(string, F.lit(c), F.lit("")))) % len(CODES)
+    return reduce(lambda x, y: x.bitwiseOR(y), [F.shiftleft(F.get(codes, count(c)), 3 * j) for j, c in enumerate(SIGNS)])
 
-    index: k, a1; probe: k, b1, at (the number of its place), carried.
-    """
-    same = sum(delta == 0 for _, delta, _ in _places(edits))
-    heavy = F.broadcast(index.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > CROWDED).orderBy(F.col("n").desc(), "k").limit(HEAVY).select("k"))
+
+def _live(rows: DataFrame) -> DataFrame:
+    """rows of segments that two lines or more share, with n, the number of indexed ones. rows: k, h1, own (whether it is indexed), and more."""
+    own = F.col("own").cast("int")
+    heavy = F.broadcast(rows.where("own").groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > CROWDED).orderBy(F.col("n").desc(), "k").limit(HEAVY))
     by_key = Window.partitionBy("k")
-    counted = index.join(heavy, "k", "left_anti").withColumns({"n": F.count("*").over(by_key), "least": F.min("a1").over(by_key)})
-    left = counted.where((F.col("n") <= CROWDED) | (F.col("a1") == F.col("least"))).select(F.col("k").alias("own"), "a1", (F.col("n") > CROWDED).alias("crowd"))
-    right = probe.join(heavy, "k", "left_anti")
-    # lines of one length meet twice, and count once
-    both = left.join(right, (left.own == right.k) & (F.col("crowd") | (F.col("at") >= same) | (F.col("a1") < F.col("b1"))))
-    rest = [c for c in probe.columns if c not in ("k", "b1")]
-    found = both.select(F.when(~F.col("crowd"), F.col("a1")).alias("a1"), "b1", *[F.when(F.col("crowd"), F.col(c)).alias(c) for c in ("k", *rest)])
-    return found.unionByName(probe.join(heavy, "k").select(F.lit(None).cast("long").alias("a1"), "b1", "k", *rest))
+    rest = rows.join(heavy, "k", "left_anti").withColumns({"n": F.sum(own).over(by_key), "least": F.min("h1").over(by_key), "most": F.max("h1").over(by_key)})
+    return rest.where("n > 0 and least <> most").drop("least", "most").unionByName(rows.join(heavy, "k"))
+
+
+def _paired(rows: DataFrame, key: str, edits: int) -> DataFrame:
+    """(a1, b1): lines of one group that may lie within edits edits. rows: the group's key, h1, counts, own, delta; probing lines have own = false."""
+    a = rows.where("own").select(F.col(key).alias("x"), F.col("h1").alias("a1"), F.col("counts").alias("ac"))
+    b = rows.where("not own").select(F.col(key).alias("y"), F.col("h1").alias("b1"), F.col("counts").alias("bc"), "delta")
+    # an edit changes two counts by one at most; lines of one length meet twice, and count once
+    close = F.bit_count(F.col("ac").bitwiseXOR(F.col("bc"))) <= 2 * edits
+    return a.join(b, (a.x == b.y) & ((F.col("delta") > 0) | (F.col("a1") < F.col("b1"))) & close).select("a1", "b1")
 
 
 def _shared(a: Column, b: Column, most: Column, piece) -> Column:
@@ -115,52 +134,60 @@ def _end(x: Column, p: Column, s: Column) -> Column:
     return F.substring(x, F.octet_length(x) - p - s + 1, s)
 
 
-def _rests(crowd: DataFrame, text: str, edits: int) -> DataFrame:
-    """(g, h1, delta, own, r, size): what is left of the lines of a crowded segment; size is that of the indexed ones, which are those with own."""
-    parts, places = edits + 1, list(_places(edits))
-    which = lambda k: F.element_at(F.array(*[F.lit(x[k]) for x in places]), F.col("at") + 1)
-    rows = crowd.select(F.col("k").alias("g"), F.col("b1").alias("h1"), which(0).alias("i"), which(1).alias("delta"), which(2).alias("off"), F.col(text).alias("s"))
-    size = F.length("s") - F.col("delta")
-    begin, width = _cut(size, F.col("i"), parts) + F.col("off"), _cut(size, F.col("i") + 1, parts) - _cut(size, F.col("i"), parts)
-    left = rows.select("g", "h1", "delta", ((F.col("delta") == 0) & (F.col("off") == 0)).alias("own"), F.concat(F.substring("s", F.lit(1), begin), F.substring("s", begin + width + 1, F.length("s"))).alias("r"))
-    left = checkpoint(left)
-    back = F.reverse("r")
-    ends = left.groupBy("g").agg(F.count("*").alias("n"), F.min(F.length("r")).alias("size"), F.min("r").alias("a"), F.max("r").alias("b"), F.min(back).alias("c"), F.max(back).alias("d"))
+def _rest(s: str, edits: int) -> Column:
+    """A line without the segment that it has at its place at."""
+    places = list(_places(edits))
+    i, delta, off = (F.element_at(F.array(*[F.lit(x[k]) for x in places]), F.col("at") + 1) for k in range(3))
+    size = F.length(s) - F.when(F.col("own"), 0).otherwise(delta)
+    begin, width = _cut(size, i, edits + 1), _cut(size, i + 1, edits + 1) - _cut(size, i, edits + 1)
+    begin = begin + F.when(F.col("own"), 0).otherwise(off)
+    return F.concat(F.substring(s, F.lit(1), begin), F.substring(s, begin + width + 1, F.length(s)))
+
+
+def _stripped(rows: DataFrame) -> DataFrame:
+    """Groups g without what all their lines begin and end with; size is what is left of the indexed ones. rows: g, h1, counts, own, delta, r."""
+    rows, back = stored(rows, "rests"), F.reverse("r")
+    ends = rows.groupBy("g").agg(F.count("*").alias("n"), F.min(F.length("r") - F.when(F.col("own"), 0).otherwise(F.col("delta"))).alias("size"), F.min("r").alias("a"), F.max("r").alias("b"), F.min(back).alias("c"), F.max(back).alias("d"))
     ends = ends.withColumn("p", _shared(F.col("a"), F.col("b"), F.col("size"), _begin)).withColumn("q", _shared(F.col("c"), F.col("d"), F.col("size") - F.col("p"), _begin))
-    ends = checkpoint(ends.select("g", "n", "p", "q", (F.col("size") - F.col("p") - F.col("q")).alias("size")))
-    return join_counted(left, ends, ["g"]).select("g", "h1", "delta", "own", F.substring("r", F.col("p") + 1, F.length("r") - F.col("p") - F.col("q")).alias("r"), "size")
+    ends = stored(ends.select("g", "n", "p", "q", (F.col("size") - F.col("p") - F.col("q")).alias("size")), "ends")
+    return join_counted(rows, ends, ["g"]).select("g", "h1", "counts", "own", "delta", F.substring("r", F.col("p") + 1, F.length("r") - F.col("p") - F.col("q")).alias("r"), "size")
 
 
 def candidates(rows: DataFrame, edits: int, texts) -> DataFrame:
-    """(a1, b1): hashes of lines that share a segment. texts: gives (h1, line) of those of a table of h1."""
+    """(a1, b1): hashes of lines that share a segment and have nearly the same letters. texts: gives (h1, line) of those of a table of h1."""
     parts, places = edits + 1, list(_places(edits))
+    delta_of = F.element_at(F.array(*[F.lit(d) for _, d, _ in places]), F.col("at") + 1)
+    indexed = [k for k, (_, delta, off) in enumerate(places) if delta == off == 0]
     n, line = F.octet_length("line"), F.col("line").cast("binary")
-    keys = [_key("line", n, i, parts) for i in range(parts)] + [_key("line", n - delta, i, parts, off) for i, delta, off in places]
-    names = [f"k{k}" for k in range(len(keys))]
+    names = [f"k{k}" for k in range(len(places))]
     # copies have equal keys, so they are merged before anything is multiplied, and texts stay where they are
-    keyed = rows.withColumn("line", line).select("h1", "h2", *[k.alias(c) for k, c in zip(keys, names, strict=True)]).groupBy("h1", "h2").agg(*[F.max(c).alias(c) for c in names])
-    index = keyed.select(F.col("h1").alias("a1"), F.explode(F.array(*names[:parts])).alias("k"))
-    probe = keyed.select(F.col("h1").alias("b1"), F.posexplode(F.array(*names[parts:])).alias("at", "k")).where("k is not null")
-    found = checkpoint(_met(index, probe, edits))
-    out = found.where("a1 is not null").select("a1", "b1")
-    crowd = found.where("a1 is null")
-    if crowd.isEmpty():
-        return out.distinct()
-    crowd = crowd.join(texts(crowd.select(F.col("b1").alias("h1")).distinct()).select(F.col("h1").alias("b1"), F.decode(F.col("line").cast("binary"), "ISO-8859-1").alias("r")), "b1")
-    while True:
-        rest = checkpoint(_rests(crowd, "r", edits))
+    keys = [_key("line", n - delta, i, parts, off).alias(c) for (i, delta, off), c in zip(places, names, strict=True)]
+    keyed = rows.withColumn("line", line).select("h1", "h2", *keys).groupBy("h1", "h2").agg(*[F.max(c).alias(c) for c in names])
+    every = keyed.select("h1", F.posexplode(F.array(*names)).alias("at", "k")).where("k is not null").withColumn("own", F.col("at").isin(indexed))
+    found = stored(_live(every), "shared")
+    own = texts(found.select("h1").distinct()).select("h1", _counts(F.col("line")).alias("counts"), F.decode(F.col("line").cast("binary"), "ISO-8859-1").alias("s"))
+    own = stored(own, "sharing")
+    # what is indexed under a segment probes it as well
+    found = found.join(own.select("h1", "counts"), "h1").withColumn("delta", delta_of)
+    small = found.where(F.col("n") <= CROWDED)
+    out = checkpoint(_paired(small.where("own").unionByName(small.withColumn("own", F.lit(False))), "k", edits).distinct())
+    crowd = found.where(F.col("n") > CROWDED).join(own.select("h1", "s"), "h1")
+    # groups by how much longer the probing lines are
+    probing = crowd.withColumn("own", F.lit(False))
+    crowd = crowd.where("own").withColumn("delta", F.explode(F.array(*[F.lit(d) for d in range(edits + 1)]))).unionByName(probing)
+    crowd = crowd.select(F.xxhash64("k", "delta").alias("g"), "h1", "counts", "own", "delta", _rest("s", edits).alias("r"))
+    while not crowd.isEmpty():
+        rest = stored(_stripped(crowd), "narrowed")
         # at most as many bytes as edits are left: few lines can differ so little, and those of one length are all true pairs
-        a, b = rest.where((F.col("size") <= edits) & F.col("own")).select("g", F.col("h1").alias("a1")), rest.where(F.col("size") <= edits).select("g", F.col("h1").alias("b1"), "delta")
-        out = out.unionByName(a.join(b, "g").where("delta > 0 or a1 < b1").select("a1", "b1"))
-        rest = rest.where(F.col("size") > edits)
-        index = rest.where("own").select(F.col("h1").alias("a1"), F.explode(F.array(*[_key("r", F.col("size"), i, parts, 0, F.col("g")) for i in range(parts)])).alias("k"))
-        probes = [F.when(F.col("delta") == delta, _key("r", F.col("size"), i, parts, off, F.col("g"))) for i, delta, off in places]
-        probe = rest.select(F.col("h1").alias("b1"), "r", F.posexplode(F.array(*probes)).alias("at", "k")).where("k is not null")
-        found = checkpoint(_met(index, probe.select("k", "b1", "at", "r"), edits))
-        out = out.unionByName(found.where("a1 is not null").select("a1", "b1"))
-        crowd = found.where("a1 is null")
-        if crowd.isEmpty():
-            return out.distinct()
+        narrow = (F.col("size") > edits) & (F.col("size") <= NARROW)
+        out = out.unionByName(checkpoint(_paired(rest.where(~narrow), "g", edits).distinct()))
+        key = lambda i, off: _key("r", F.col("size"), i, parts, off, F.col("g"))
+        chosen = [F.when(F.col("own"), key(i, off) if k in indexed else None).when(F.col("delta") == delta, key(i, off)) for k, (i, delta, off) in enumerate(places)]
+        every = rest.where(narrow).select("h1", "counts", "own", "delta", "r", F.posexplode(F.array(*chosen)).alias("at", "k")).where("k is not null")
+        found = stored(_live(every), "shared")
+        out = out.unionByName(checkpoint(_paired(found.where(F.col("n") <= CROWDED), "k", edits).distinct()))
+        crowd = found.where(F.col("n") > CROWDED).select(F.col("k").alias("g"), "h1", "counts", "own", "delta", _rest("r", edits).alias("r"))
+    return out.distinct()
 
 
 def banded_distance(a: str, b: str, edits: int) -> Column:
@@ -192,6 +219,18 @@ def _inside(expression: str) -> str:
     return re.sub(r"(?<![\w.'])([pqmn])(?![\w('])", r"z.\1", expression)
 
 
+def _alike(edits: int) -> Column:
+    """Whether all pieces of line a, but one for each edit, stand in line b, at most as many places from their own as edits."""
+    n = F.octet_length("a")
+
+    def seen(k: Column) -> Column:
+        begin, end = F.floor(n * k / PIECES).cast("int"), F.floor(n * (k + 1) / PIECES).cast("int")
+        piece = F.substring("a", begin + 1, end - begin)
+        return reduce(lambda x, y: x | y, [(begin + off >= 0) & (F.substring("b", begin + off + 1, end - begin) == piece) for off in range(-edits, edits + 1)])
+
+    return F.size(F.filter(F.array(*[F.lit(k) for k in range(PIECES)]), seen)) >= PIECES - edits
+
+
 def pairs(docs: DataFrame, first: DataFrame, edits: int = EDITS, min_bytes: int = MIN_BYTES) -> DataFrame:
     """(a1, a2, b1, b2): pairs of different lines within edits edits, by their hashes. first: h1, h2 and the first place of each distinct line."""
 
@@ -208,6 +247,7 @@ def pairs(docs: DataFrame, first: DataFrame, edits: int = EDITS, min_bytes: int
     right = line.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("line").alias("b"))
     # one key may hold many candidates that no other task shares: they are dealt out before they are verified
     both = found.join(left, "a1").join(right, "b1").where((F.abs(F.octet_length("a") - F.octet_length("b")) <= edits) & (F.col("a") != F.col("b"))).repartition("a1", "b1")
+    both = both.where(_alike(edits))
     # the distance of what the common beginning and end leave; at least edits bytes stay
     room = F.least(F.octet_length("a"), F.octet_length("b")) - edits
     both = both.withColumn("p", _shared(F.col("a"), F.col("b"), room, _begin)).withColumn("q", _shared(F.col("a"), F.col("b"), room - F.col("p"), _end))
