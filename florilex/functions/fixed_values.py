@@ -260,8 +260,44 @@ LABELS = [
     ('part="N"', ""),
 ]
 
-# Reuse types whose reference segments are normalised, in this order; the last only with its attributes in one order.
-REFERENCE_TYPES = ["allusion", "Quotation", "inexactQuotation", "Occurrence"]
+# Opening tags whose content is a reference, as they may be written and as they are written anew, in this order.
+REFERENCE_TAGS = [
+    (r'<seg\s*ana="allusion"\s*type="biblicalRef"\s*>', '<seg ana="allusion" type="biblicalRef">'),
+    (r'<seg\s*type="biblicalRef"\s*ana="allusion"\s*>', '<seg type="biblicalRef" ana="allusion">'),
+    (r'<seg\s*ana="Quotation"\s*type="biblicalRef"\s*>', '<seg ana="Quotation" type="biblicalRef">'),
+    (r'<seg\s*type="biblicalRef"\s*ana="Quotation"\s*>', '<seg type="biblicalRef" ana="Quotation">'),
+    (r'<seg\s*ana="inexactQuotation"\s*type="biblicalRef"\s*>', '<seg ana="inexactQuotation" type="biblicalRef">'),
+    (r'<seg\s*type="biblicalRef"\s*ana="inexactQuotation"\s*>', '<seg type="biblicalRef" ana="inexactQuotation">'),
+    (r'<seg\s*ana="Occurrence"\s*type="biblicalRef"\s*>', '<seg ana="Occurrence" type="biblicalRef">'),
+    (r'<p\s*rend="footnote\s*text"\s*>', '<p rend="footnote text">'),
+]
+
+# A well-formed reference; rewrites of signs and of accents, in this order.
+REFERENCE = r"[1-3]?\s?[A-Za-z]+\s+\d{1,3}:\d{1,3}(?:\.\d{1,3})*(?:-\d{1,3})?"
+SIGNS = [("et", ";"), ("_", " "), (",", ":"), ("--", "-")]
+ACCENTS = [("Ép", "Ep"), ("Éz", "Ez"), ("Co ", "Col ")]
+
+# Elements whose content is no text, and what is rewritten in TEI files before parsing, in this order.
+SKIPPED = {"note", "ref", "rdg", "teiHeader", "standOff"}
+CLEANUP = [
+    (r'(?s)<seg type="modified">(.+?)</seg>', "$1"),
+    (r'(?s)<seg type="insertion">(.+?)</seg>', "$1"),
+    (r'(?s)<seg type="insertion/modified">(.+?)</seg>', "$1"),
+    (r"<c>[^</c>]+</c>", ""),
+    (r"&.+?;", ""),
+    (r'<seg type="biblicalQuotation">[.,;:!?]</seg>', ""),
+    (r'<seg type="biblicalQuotation">[.,;:!?]</seg>', ""),
+    (r'<pb\s*break="no"\s*edRef=[\s\S]*?\s*n=[\s\S]*?\s*>\s*</pb\s*>', ""),
+    (r'<lb\s*break="no"\s*n=[\s\S]*?\s*>\s*</lb\s*>', ""),
+]
+
+# Fixed values: (element, attribute, prefix, values that don't count) of what marks a run of a Word document; texts that an insertion may be long.
+MARKS = [("color", "val", "c", {"auto"}), ("highlight", "val", "h", {"none"}), ("shd", "fill", "s", {"auto", "clear"}), ("rStyle", "val", "st", set())]
+LOOK_BACK = 500
+
+# Character classes of word cleaning.
+NOT_IN_WORDS = r"[^A-Za-zÀ-ÿ\s.,;:!?'\n]"
+PUNCTUATION_PAIR = "[.;,·:!?]{2}"
 
 # Sentinels for no reference and no reuse, and the separator of several values.
 NO_REF, NO_REUSE, SEPARATOR = "o", "NaR", " ; "

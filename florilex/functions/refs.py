@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 import pandas as pd
@@ -9,9 +10,7 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .fixed_values import CORRECTIONS, LABELS, REFERENCE_TYPES, REWRITES
-
-REFERENCE = r"[1-3]?\s?[A-Za-z]+\s+\d{1,3}:\d{1,3}(?:\.\d{1,3})*(?:-\d{1,3})?"
+from .fixed_values import ACCENTS, CORRECTIONS, LABELS, REFERENCE, REFERENCE_TAGS, REWRITES, SIGNS
 
 
 def _fold(text: Column, table) -> Column:
@@ -20,7 +19,7 @@ def _fold(text: Column, table) -> Column:
 
 def unify_signs(ref: Column) -> Column:
     """Separators: 'et' is a semicolon, '_' a blank, a comma a colon, '--' a dash; blanks around dots and colons go."""
-    ref = _fold(ref, [("et", ";"), ("_", " "), (",", ":"), ("--", "-")])
+    ref = _fold(ref, SIGNS)
     return F.regexp_replace(F.regexp_replace(ref, r"(?U)\s*([.:])", "$1"), r"(?U)([.:])\s*", "$1")
 
 
@@ -33,7 +32,7 @@ def space_books(ref: Column) -> Column:
 
 def map_books(ref: Column, rewrites=REWRITES, corrections=CORRECTIONS) -> Column:
     """Accents, then the ordered rewrites of book names (substrings), then corrections of whole references."""
-    ref = _fold(ref, [("Ép", "Ep"), ("Éz", "Ez"), ("Co ", "Col ")])
+    ref = _fold(ref, ACCENTS)
     ref = F.regexp_replace(_fold(ref, rewrites), r"([A-Za-z])(\d)", "$1 $2")
     return _fold(ref, corrections)
 
@@ -58,7 +57,16 @@ def normalize_ref(initial: Column, rewrites=REWRITES, corrections=CORRECTIONS) -
 
 def provenance(initial: Column, normalized: Column) -> Column:
     """The normalised reference, preceded by a comment with the initial one."""
-    return F.concat(F.lit("<!--"), F.regexp_replace(initial, r"[\t\n]", ""), F.lit("-->"), normalized)
+    return F.concat(F.lit("<!--"), F.regexp_replace(F.regexp_replace(initial, r"[\t\n]", ""), "-(?=-|$)", r"-\\\\"), F.lit("-->"), normalized)
+
+
+def as_comment(initial: str) -> str:
+    """A reference as the content of an XML comment: two dashes can't stand together there, nor one at the end, so a backslash follows the first."""
+    return re.sub("-(?=-|$)", r"-\\", re.sub(r"[\t\n]", "", initial))
+
+
+def from_comment(comment: str) -> str:
+    return comment.replace("-\\", "-")
 
 
 def unify_labels(xml: Column) -> Column:
@@ -67,21 +75,11 @@ def unify_labels(xml: Column) -> Column:
     return F.regexp_replace(xml, r'<hi rend="bold">[\s\S]*?</hi>', "")
 
 
-def reference_tags() -> list[tuple[str, str]]:
-    """(pattern, canonical form) of the opening tags whose content is a reference, in order."""
-    tags = []
-    for kind in REFERENCE_TYPES:
-        tags.append((rf'<seg\s*ana="{kind}"\s*type="biblicalRef"\s*>', f'<seg ana="{kind}" type="biblicalRef">'))
-        if kind != "Occurrence":
-            tags.append((rf'<seg\s*type="biblicalRef"\s*ana="{kind}"\s*>', f'<seg type="biblicalRef" ana="{kind}">'))
-    return [*tags, (r'<p\s*rend="footnote\s*text"\s*>', '<p rend="footnote text">')]
-
-
 class Normalizer:
     """`normalize_ref` for single strings, where a rewrite needs a callback."""
 
     def __init__(self, rewrites=REWRITES, corrections=CORRECTIONS):
-        self.tables = [[("et", ";"), ("_", " "), (",", ":"), ("--", "-")], [("Ép", "Ep"), ("Éz", "Ez"), ("Co ", "Col "), *rewrites], corrections]
+        self.tables = [SIGNS, [*ACCENTS, *rewrites], corrections]
         self.signs = [(regex.compile(p), r) for p, r in ((r"\s*([.:])", r"\1"), (r"([.:])\s*", r"\1"), (r"(?<!\d)\.(?!\d)", " "), ("(?<=[A-Za-z]):", " "), (r"\s+", " "), (r"\s$", ""), (r"([A-Za-z])(\d)", r"\1 \2"))]
         self.parted, self.tail = regex.compile(r"([A-Za-z])(\d)"), regex.compile("(?:s|sq|ss|etc)$")
         self.found = regex.compile(REFERENCE)
@@ -102,10 +100,9 @@ class Normalizer:
     def rewrite(self, xml: str) -> tuple[str, int]:
         """The text of every reference segment replaced by its normal form, after a comment with the initial one; and how many there were."""
         count = 0
-        for pattern, tag in reference_tags():
+        for pattern, tag in REFERENCE_TAGS:
             def put(m, tag=tag):
-                initial = m[1].replace("\t", "").replace("\n", "")
-                return f"{tag}<!--{initial}-->{self(m[1])}<"
+                return f"{tag}<!--{as_comment(m[1])}-->{self(m[1])}<"
 
             xml, n = regex.subn(pattern + r"([\s\S]*?)<", put, xml)
             count += n

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .fixed_values import BOUNDARIES
+from .fixed_values import BOUNDARIES, NOT_IN_WORDS, PUNCTUATION_PAIR
 
 
 def tokenize(text: Column) -> Column:
@@ -14,11 +14,9 @@ def tokenize(text: Column) -> Column:
     return F.filter(F.split(F.trim(spaced), " "), lambda w: w != "")
 
 
-def drop_punctuation_pairs(word: Column, rounds: int = 6) -> Column:
-    """Deletes adjacent pairs of punctuation marks until none is left; rounds passes undo runs of up to 2**rounds pairs inside one another."""
-    for _ in range(rounds):
-        word = F.regexp_replace(word, "[.;,·:!?]{2}", "")
-    return word
+def drop_punctuation_pairs(word: Column) -> Column:
+    """Deletes adjacent pairs of punctuation marks. Each run of marks shrinks to one or none, so once is enough."""
+    return F.regexp_replace(word, PUNCTUATION_PAIR, "")
 
 
 def join_hyphenated(word: Column) -> Column:
@@ -27,7 +25,7 @@ def join_hyphenated(word: Column) -> Column:
 
 def normalize_word(word: Column) -> Column:
     """Lower case; letters outside ASCII and Latin-1, digits and other signs go."""
-    return F.regexp_replace(F.lower(word), r"[^A-Za-zÀ-ÿ\s.,;:!?'\n]", "")
+    return F.regexp_replace(F.lower(word), NOT_IN_WORDS, "")
 
 
 def remove_stop_words(text: Column, stop_words: list[str]) -> Column:

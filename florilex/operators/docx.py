@@ -13,15 +13,13 @@ from xml.etree import ElementTree as ET
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..functions.fixed_values import LOOK_BACK, MARKS
 from ..schemas import DOCX_TOKENS
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 TEI = "http://www.tei-c.org/ns/1.0"
-#: (element, attribute, prefix, values that don't count) of what marks a run.
-MARKS = [("color", "val", "c", {"auto"}), ("highlight", "val", "h", {"none"}), ("shd", "fill", "s", {"auto", "clear"}), ("rStyle", "val", "st", set())]
-LOOK_BACK = 500
-
 
 def style_of(run: ET.Element) -> list[str] | None:
     """The sorted signature of a run's colour, highlight, shading and style; None without any."""
@@ -71,7 +69,8 @@ def tokens(package: zipfile.ZipFile) -> list[dict]:
 def _stretch(found: list[dict], end: int) -> list[dict]:
     """The texts before a footnote reference, nearest first, up to a paragraph start, another reference or a cited text."""
     out = []
-    for t in reversed(found[:end]):
+    for k in range(end - 1, -1, -1):
+        t = found[k]
         if t["type"] in ("p_start", "fn_ref") or t["type"] == "text" and t.get("citation"):
             break
         if t["type"] == "text":
@@ -177,31 +176,63 @@ def pretty(root: ET.Element) -> str:
     return minidom.parseString(ET.tostring(root, "utf-8")).toprettyxml(indent="  ")
 
 
-def docx_tokens(files: DataFrame) -> DataFrame:
-    """(path, content) of Word documents -> their tokens with citations."""
+def read(content: bytes) -> list[dict] | None:
+    """The cited tokens of a Word document; None if it is none."""
+    try:
+        with zipfile.ZipFile(io.BytesIO(content)) as package:
+            return cite(tokens(package), footnotes(package))
+    except (zipfile.BadZipFile, KeyError, ET.ParseError):
+        return None
+
+
+def docx_tokens(files: DataFrame, step: int = 20_000) -> DataFrame:
+    """(path, content) of Word documents -> their tokens with citations. Broken documents have none: see `bad_files`."""
     kinds = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string(), pa.bool_()]
     names = [f.name for f in DOCX_TOKENS.fields]
 
     def work(batches):
+        columns, held = [[] for _ in names], 0
+
+        def made():
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
         for b in batches:
-            for path, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as package:
-                    rows = cite(tokens(package), footnotes(package))
-                fixed = {"path": [path] * len(rows), "pos": range(len(rows))}
-                yield pa.RecordBatch.from_arrays([pa.array(fixed.get(c) or [t.get(c) for t in rows], k) for c, k in zip(names, kinds, strict=True)], names)
+            for path, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
+                rows = read(content.as_py())
+                if not rows:
+                    continue
+                columns[0] += [path] * len(rows)
+                columns[1] += range(len(rows))
+                for c, name in zip(columns[2:], names[2:], strict=True):
+                    c += [t.get(name) for t in rows]
+                held += len(rows)
+                if held >= step:
+                    yield made()
+                    columns, held = [[] for _ in names], 0
+        if held:
+            yield made()
 
     return files.select("path", "content").mapInArrow(work, DOCX_TOKENS)
 
 
 def docx_to_tei(files: DataFrame) -> DataFrame:
-    """(path, content) of Word documents -> (path, xml)."""
+    """(path, content) of Word documents -> (path, xml). Broken documents are left out: see `bad_files`."""
 
     def work(batches):
         for b in batches:
-            out = []
-            for content in b["content"]:
-                with zipfile.ZipFile(io.BytesIO(content)) as package:
-                    out.append(pretty(tei(cite(tokens(package), footnotes(package)))))
-            yield pd.DataFrame({"path": b["path"], "xml": out})
+            for path, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
+                found = read(content.as_py())
+                if found is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([pretty(tei(found))])], ["path", "xml"])
+
+    return files.select("path", "content").mapInArrow(work, "path string, xml string")
+
+
+def bad_files(files: DataFrame) -> DataFrame:
+    """The paths of files that are no Word documents."""
+
+    @F.pandas_udf("boolean")
+    def broken(contents: pd.Series) -> pd.Series:
+        return contents.map(lambda x: read(x) is None)
 
-    return files.mapInPandas(work, "path string, xml string")
+    return files.where(broken(F.col("content"))).select("path")

@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as fx
 from ..functions.fixed_values import ATTACHED_LEFT, ATTACHED_RIGHT, NO_REF, NO_REUSE, SEPARATOR
+from ..functions.vectors import loaded
 
 CHUNK = 5000
 
@@ -111,22 +112,33 @@ def rule_segmenter(texts: list[str], threshold: float = 0.5) -> list[list[str]]:
     return out
 
 
-def segments(words: DataFrame, segmenter: Callable[[list[str]], list[list[str]]] = rule_segmenter, chunk: int = CHUNK) -> DataFrame:
+def segments(words: DataFrame, segmenter: Callable[..., list[list[str]]] = rule_segmenter, chunk: int = CHUNK, threshold: float = 0.5, loader: tuple | None = None, batch: int = 64) -> DataFrame:
     """One row for each segment that a segmenter makes of chunks of words; no segment crosses a chunk.
 
-    segmenter: texts -> for each the list of its segments, as a function that can be sent to workers.
+    segmenter: (texts, threshold) -> for each text the list of its segments, as a function that can be sent to workers.
+    loader: (load, *args) instead, where load(*args) gives the segmenter; it is called once a worker process.
     """
 
-    @F.pandas_udf("array<int>")
-    def lengths(texts: pd.Series) -> pd.Series:
-        return pd.Series([[n for s in found if (n := len(s.split()))] for found in segmenter(texts.tolist())])
-
-    df = _filled(words).withColumn("chunk", F.floor(F.col("word_index") / chunk))
+    @F.pandas_udf("array<struct<begin:int,n:int>>")
+    def cuts(texts: pd.Series) -> pd.Series:
+        segment, found, out = loaded(*loader) if loader else segmenter, texts.tolist(), []
+        for k in range(0, len(found), batch):
+            for parts in segment(found[k : k + batch], threshold):
+                begin, mine = 0, []
+                for n in (len(x.split()) for x in parts):
+                    if n:
+                        mine.append({"begin": begin, "n": n})
+                    begin += n
+                out.append(mine)
+        return pd.Series(out, dtype=object)
+
+    # all of a file's words meet in one place, so that its chunks need no second exchange to be numbered
+    df = _filled(words).repartition("source_path").withColumn("chunk", F.floor(F.col("word_index") / chunk))
     rows = F.array_sort(F.collect_list(F.struct("word_index", *ARRAYS.values())))
-    chunks = df.groupBy("source_path", "source_file", "chunk").agg(rows.alias("rows")).withColumn("lengths", lengths(F.array_join(F.col("rows.word"), " ")))
-    begin = F.expr("coalesce(aggregate(slice(lengths, 1, at), 0, (s, x) -> s + x), 0)")
-    cut = chunks.select("source_path", "source_file", "chunk", "rows", "lengths", F.posexplode("lengths").alias("at", "n")).withColumn("part", F.slice("rows", begin + 1, F.col("n")))
-    numbered = cut.withColumn("sentence_index", (F.row_number().over(Window.partitionBy("source_path").orderBy("chunk", "at")) - 1).cast("int"))
+    chunks = df.groupBy("source_path", "source_file", "chunk").agg(rows.alias("rows")).withColumn("cuts", cuts(F.array_join(F.col("rows.word"), " ")))
+    cut = chunks.select("source_path", "source_file", "chunk", "rows", F.posexplode("cuts").alias("at", "cut"))
+    part = cut.select("source_path", "source_file", "chunk", "at", F.slice("rows", F.col("cut.begin") + 1, F.col("cut.n")).alias("part"))
+    numbered = part.withColumn("sentence_index", (F.row_number().over(Window.partitionBy("source_path").orderBy("chunk", "at")) - 1).cast("int"))
     return _row(numbered.select("source_path", "source_file", "sentence_index", *[F.col("part")[v].alias(k) for k, v in ARRAYS.items()]), "sentence")
 
 

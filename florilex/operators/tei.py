@@ -13,24 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as fx
-from ..functions.fixed_values import NO_REF, NO_REUSE, PUNCTUATION, SEPARATOR
+from ..functions.fixed_values import CLEANUP, NO_REF, NO_REUSE, PUNCTUATION, SEPARATOR, SKIPPED
+from ..functions.refs import from_comment
 from ..schemas import TEI_WORDS
 from .sequence import thin_punctuation
 
-SKIPPED = {"note", "ref", "rdg", "teiHeader", "standOff"}
-#: What is rewritten before parsing, in order.
-CLEANUP = [
-    (r'(?s)<seg type="modified">(.+?)</seg>', "$1"),
-    (r'(?s)<seg type="insertion">(.+?)</seg>', "$1"),
-    (r'(?s)<seg type="insertion/modified">(.+?)</seg>', "$1"),
-    (r"<c>[^</c>]+</c>", ""),
-    (r"&.+?;", ""),
-    (r'<seg type="biblicalQuotation">[.,;:!?]</seg>', ""),
-    (r'<seg type="biblicalQuotation">[.,;:!?]</seg>', ""),
-    (r'<pb\s*break="no"\s*edRef=[\s\S]*?\s*n=[\s\S]*?\s*>\s*</pb\s*>', ""),
-    (r'<lb\s*break="no"\s*n=[\s\S]*?\s*>\s*</lb\s*>', ""),
-]
-
 
 def clean_markup(xml: Column) -> Column:
     for pattern, new in CLEANUP:
@@ -57,7 +44,7 @@ def commented_text(node: ET.Element) -> tuple[str | None, str | None]:
     """(text, comment): with a comment inside, the text is what follows it."""
     comment = next((c for c in node if _is_comment(c)), None)
     if comment is not None and comment.text:
-        return (comment.tail.strip() if comment.tail else None), comment.text.strip()
+        return (comment.tail.strip() if comment.tail else None), from_comment(comment.text.strip())
     tail = comment.tail.strip() if comment is not None and comment.tail else None
     return (node.text.strip() if node.text else tail), None
 
@@ -106,11 +93,8 @@ def spans(node: ET.Element, at: Context):
         at = Context(*own, at.line)
     if node.text:
         yield node.text, at
-    elements = list(node)
-    for k, child in enumerate(elements):
-        if _is_comment(child):  # the text after a comment goes with it
-            continue
-        following = next((c for c in elements[k + 1 :] if not _is_comment(c)), None)
+    elements = [c for c in node if not _is_comment(c)]  # the text after a comment goes with it
+    for child, following in zip(elements, [*elements[1:], None], strict=False):
         if _name(child) == "lb" and child.get("n"):
             at = at._replace(line=child.get("n"))
         cited = citation(child, following)
@@ -119,27 +103,42 @@ def spans(node: ET.Element, at: Context):
             yield child.tail, at
 
 
-def words(xml: str) -> list[tuple]:
-    """(word, reference, label, initial reference, line) of a cleaned TEI file; none if it is not well-formed."""
+def words(xml: str) -> list[tuple] | None:
+    """(word, reference, label, initial reference, line) of a cleaned TEI file; None if it is not well-formed."""
     try:
         root = ET.fromstring(xml, parser=ET.XMLParser(target=ET.TreeBuilder(insert_comments=True)))
     except ET.ParseError:
-        return []
+        return None
     return [(w, c.reference, c.label, c.initial, c.line) for text, c in spans(root, Context()) for w in tokenize(text)]
 
 
-def tei_words(files: DataFrame) -> DataFrame:
-    """(path, xml) -> words in order, as they stand in the files."""
+def tei_words(files: DataFrame, step: int = 20_000) -> DataFrame:
+    """(path, xml) -> words in order, as they stand in the files. Files that are not well-formed have none: see `bad_files`."""
 
     names = [f.name for f in TEI_WORDS.fields]
 
     def work(batches):
+        columns, held = [[] for _ in names], 0
+
+        def made():
+            kinds = [pa.string(), pa.int32(), *[pa.string()] * 5]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
         for b in batches:
-            for path, xml in zip(b.column("path").to_pylist(), b.column("xml").to_pylist(), strict=True):
-                rows = words(xml or "")
-                if rows:
-                    columns = [pa.array([path] * len(rows)), pa.array(range(len(rows)), pa.int32()), *(pa.array(c, pa.string()) for c in zip(*rows, strict=True))]
-                    yield pa.RecordBatch.from_arrays(columns, names)
+            for path, xml in zip(b.column("path").to_pylist(), b.column("xml"), strict=True):
+                rows = words(xml.as_py() or "")
+                if not rows:
+                    continue
+                columns[0] += [path] * len(rows)
+                columns[1] += range(len(rows))
+                for c, values in zip(columns[2:], zip(*rows, strict=True), strict=True):
+                    c += values
+                held += len(rows)
+                if held >= step:
+                    yield made()
+                    columns, held = [[] for _ in names], 0
+        if held:
+            yield made()
 
     return files.select("path", clean_markup(F.col("xml")).alias("xml")).mapInArrow(work, TEI_WORDS)
 
@@ -149,14 +148,7 @@ def bad_files(files: DataFrame) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def broken(texts: pd.Series) -> pd.Series:
-        def check(x):
-            try:
-                ET.fromstring(x or "")
-            except ET.ParseError:
-                return True
-            return False
-
-        return texts.map(check)
+        return texts.map(lambda x: words(x or "") is None)
 
     return files.where(broken(clean_markup(F.col("xml")))).select("path")
 

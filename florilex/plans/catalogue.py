@@ -6,15 +6,16 @@ import io
 import zipfile
 from xml.sax.saxutils import escape
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import refs
 from ..functions import text as fx
-from ..functions.fixed_values import PUNCTUATION
+from ..functions.fixed_values import ACCENTS, CORRECTIONS, PUNCTUATION, REFERENCE, REWRITES, SIGNS
+from ..functions.vectors import letter_encoder
 from ..operators import docx, expand, sequence, similarity, tei, verses
+from ..storage import spread
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -37,8 +38,13 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark, sf_dir: str) -> DataFrame:
+    """The documents; a file that one task would read is dealt out before it is parsed."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def tokens(spark, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(fx.tokenize(F.col("text"))).alias("pos", "word"))
+    return documents(spark, sf_dir).select("doc_id", F.posexplode(fx.tokenize(F.col("text"))).alias("pos", "word"))
 
 
 TOKENS = r"""lists AS (
@@ -116,7 +122,7 @@ def _nested(expression: str, times: int) -> str:
 
 
 @query(
-    "SELECT doc_id, md5(" + _nested("regexp_replace({}, '[.;,·:!?]{{2}}', '', 'g')", 6) + ") AS pairs, md5(regexp_replace(regexp_replace(lower(text), '[^A-Za-zÀ-ÿ\\s.,;:!?''\\n]', '', 'g'), '^[a-z]\\.$', '')) AS normal,"
+    "SELECT doc_id, md5(" + _nested("regexp_replace({}, '[.;,·:!?]{{2}}', '', 'g')", 3) + ") AS pairs, md5(regexp_replace(regexp_replace(lower(text), '[^A-Za-zÀ-ÿ\\s.,;:!?''\\n]', '', 'g'), '^[a-z]\\.$', '')) AS normal,"
     " contains(lower(text), lower(source)) OR contains(lower(source), lower(text)) AS overlap, regexp_replace(n_chars || '.0', '\\.0$', '') AS line, source || ' ' || n_chars || ':' || doc_id AS ref FROM documents"
 )
 def word_cleaning(spark, sf_dir):
@@ -134,12 +140,11 @@ def word_counts(spark, sf_dir):
     return counts(_corpus_words(spark, sf_dir))
 
 
-@query("SELECT label, round(avg(embedding[1]::DOUBLE), 6) AS x, round(avg(embedding[2]::DOUBLE), 6) AS y, round(avg(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 6) AS norm FROM embeddings GROUP BY label")
+@query("WITH v AS (SELECT label, unnest(range(0, len(embedding)))::INT AS place, unnest(embedding)::DOUBLE AS x FROM embeddings) SELECT label, place, round(avg(x), 6) AS mean FROM v GROUP BY label, place")
 def vector_pooling(spark, sf_dir):
-    from ..functions.vectors import dot
+    from ..functions.vectors import mean_vectors
 
-    e = table(spark, sf_dir, "embeddings").withColumn("v", F.col("embedding").cast("array<double>"))
-    return e.groupBy("label").agg(F.round(F.avg(F.col("v")[0]), 6).alias("x"), F.round(F.avg(F.col("v")[1]), 6).alias("y"), F.round(F.avg(F.sqrt(dot(F.col("v"), F.col("v")))), 6).alias("norm"))
+    return mean_vectors(table(spark, sf_dir, "embeddings"), ["label"], "embedding").withColumn("mean", F.round("mean", 6))
 
 
 RUNS = """WITH r AS (
@@ -292,6 +297,105 @@ def html_refs_extract(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.size(found).alias("n_links"), F.array_join(found, " ; ").alias("links"), F.md5(F.regexp_replace("html", r"<b>[\s\S]*?<br>", "")).alias("cleaned"))
 
 
+def _replaced(expression: str, table) -> str:
+    for old, new in table:
+        expression = f"replace({expression}, '{old}', '{new}')"
+    return expression
+
+
+#: References with every book name that is rewritten, in forms that each rule meets.
+WRITTEN = """q AS (SELECT l_orderkey, l_linenumber, l_partkey, k, c, v, CASE l_linenumber WHEN 1 THEN k || c || ',' || v WHEN 2 THEN k || c || ',' || v || 's' WHEN 3 THEN k || c || ',' || v || '-' || (v + 1) || 'ss' WHEN 4 THEN k || c || ',' || v || 'sq ; ' || k || c || '.' || v
+   WHEN 5 THEN 'cf. ' || k || c || ' , ' || v || '--' || (v + 3) WHEN 6 THEN 'Éz ' || c || ',' || v || ' et ' || k || c || ',' || v || 'etc' ELSE 'Ps 15,11; ' || k || c || ',as' END AS initial
+  FROM (SELECT *, KEYS[l_orderkey % LENGTH + 1] AS k, l_orderkey % 150 + 1 AS c, l_partkey % 60 + 1 AS v FROM lineitem))""".replace("KEYS", "[" + ", ".join(f"'{a}'" for a, _ in REWRITES) + "]").replace("LENGTH", str(len(REWRITES)))
+NORMALIZED = rf"""s1 AS (SELECT *, regexp_replace(regexp_replace({_replaced("initial", SIGNS)}, '\s*([.:])', '\1', 'g'), '([.:])\s*', '\1', 'g') AS s FROM q),
+ s2 AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, '(^|[^0-9])\.([^0-9]|$)', '\1 \2', 'g'), '([A-Za-z]):', '\1 ', 'g'), '\s+', ' ', 'g'), '\s$', ''), '([A-Za-z])(\d)', '\1 \2', 'g') AS b FROM s1),
+ s3 AS (SELECT *, {_replaced(f"regexp_replace({_replaced('b', [*ACCENTS, *REWRITES])}, '([A-Za-z])([0-9])', '{chr(92)}1 {chr(92)}2', 'g')", CORRECTIONS)} AS r FROM s2),
+ s4 AS (SELECT *, regexp_replace(r, '(s|sq|ss|etc)$', '') AS bare, regexp_matches(r, '(s|sq|ss|etc)$') AS more FROM s3),
+ s5 AS (SELECT *, CASE WHEN more THEN split_part(bare, '-', 1) || '-' || (TRY_CAST(trim(string_split(string_split(bare, ':')[-1], '-')[-1]) AS INT) + 2) ELSE r END AS e FROM s4),
+ s6 AS (SELECT *, array_to_string(regexp_extract_all(coalesce(e, initial), '{REFERENCE}'), ' ; ') AS normalized FROM s5)"""
+
+
+def _written(spark, sf_dir) -> DataFrame:
+    n, keys = F.col("l_linenumber"), F.array(*[F.lit(a) for a, _ in REWRITES])
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.element_at(keys, (F.col("l_orderkey") % len(REWRITES) + 1).cast("int")).alias("k"), (F.col("l_orderkey") % 150 + 1).alias("c"), (F.col("l_partkey") % 60 + 1).alias("v"))
+    at = F.concat("k", "c", F.lit(","), "v")
+    initial = (
+        F.when(n == 1, at).when(n == 2, F.concat(at, F.lit("s"))).when(n == 3, F.concat(at, F.lit("-"), F.col("v") + 1, F.lit("ss"))).when(n == 4, F.concat(at, F.lit("sq ; "), "k", "c", F.lit("."), "v"))
+        .when(n == 5, F.concat(F.lit("cf. "), "k", "c", F.lit(" , "), "v", F.lit("--"), F.col("v") + 3)).when(n == 6, F.concat(F.lit("Éz "), "c", F.lit(","), "v", F.lit(" et "), at, F.lit("etc")))
+        .otherwise(F.concat(F.lit("Ps 15,11; "), "k", "c", F.lit(",as")))
+    )
+    return rows.withColumn("initial", initial)
+
+
+@query(f"WITH {WRITTEN}, {NORMALIZED} SELECT l_orderkey, l_linenumber, l_partkey, initial, normalized FROM s6")
+def ref_rewrites(spark, sf_dir):
+    return _written(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey", "initial", refs.normalize_ref(F.col("initial")).alias("normalized"))
+
+
+#: Opening tags as written, and as they are after labels are unified.
+TAGS = [
+    ('<seg type="biblicalRef">', '<seg type="biblicalRef" ana="Quotation">'),
+    ('<seg  type="refScripturaire" ana="citationExacte">', '<seg type="biblicalRef" ana="Quotation">'),
+    ('<seg ana="citationInexacte" type="biblicalRef" >', '<seg ana="inexactQuotation" type="biblicalRef">'),
+    ('<seg ana="Occurrence"  type="biblicalRef">', '<seg ana="Occurrence" type="biblicalRef">'),
+    ('<p rend="footnote  text">', '<p rend="footnote text">'),
+]
+
+
+@query(
+    f"""WITH {WRITTEN}, {NORMALIZED}, t AS (SELECT *, [{', '.join(f"'{b}'" for _, b in TAGS)}][l_partkey % {len(TAGS)} + 1] AS tag, CASE WHEN l_partkey % {len(TAGS)} = {len(TAGS) - 1} THEN '</p>' ELSE '</seg>' END AS shut FROM s6)
+ SELECT l_orderkey, l_linenumber, l_partkey, 1 AS n_matches, '<div>Quotation ' || tag || '<!--' || replace(initial, '--', '-{chr(92)}-') || '-->' || normalized || shut || '</div>' AS xml FROM t"""
+)
+def tei_references(spark, sf_dir):
+    """Reference segments of TEI files, by all names of labels, with what was written kept in a comment."""
+    rows = _written(spark, sf_dir)
+    kind = (F.col("l_partkey") % len(TAGS) + 1).cast("int")
+    xml = F.concat(F.lit('<div>lemma <hi rend="bold">x</hi>'), F.element_at(F.array(*[F.lit(a) for a, _ in TAGS]), kind), "initial", F.when(kind == len(TAGS), "</p>").otherwise("</seg>"), F.lit("</div>"))
+    return rows.withColumn("done", refs.rewrite_references(xml)).select("l_orderkey", "l_linenumber", "l_partkey", "done.n_matches", "done.xml")
+
+
+PATTERNS = """CASE p_partkey % 3 WHEN 0 THEN 'Ps ' || p_partkey || ':1' WHEN 1 THEN 'Ps ' || p_partkey || ':2' ELSE 'Mt ' || p_partkey || ':3' END"""
+
+
+@query(
+    f"""WITH x AS (SELECT p_partkey, {PATTERNS} AS ref, string_split(p_name, ' ') AS l FROM part), w AS (SELECT p_partkey, ref, unnest(range(len(l) + 2)) AS i, unnest(list_concat(list_concat(['ante'], l), ['post'])) AS word, len(l) AS n FROM x)
+ SELECT 'p' || p_partkey AS path, i::INT AS pos, word, CASE WHEN i BETWEEN 1 AND n THEN ref END AS reference, CASE WHEN i BETWEEN 1 AND n THEN CASE WHEN p_partkey % 3 = 2 THEN 'Occurrence' ELSE 'allusion' END END AS label,
+ CASE WHEN i BETWEEN 1 AND n THEN 'as written' END AS initial_reference, CASE WHEN i > 0 THEN p_partkey::VARCHAR END AS line FROM w"""
+)
+def tei_patterns(spark, sf_dir):
+    """Quotations whose reference stands in a note within them, in one that follows, or in a footnote paragraph."""
+    k, kind = F.col("p_partkey").cast("string"), F.col("p_partkey") % 3
+    seg = lambda verse: F.concat(F.lit('<note><seg type="biblicalRef" ana="allusion"><!--as written-->Ps '), k, F.lit(f":{verse}</seg></note>"))
+    quote = F.concat(F.lit('<seg type="biblicalQuotation">'), "p_name")
+    body = (
+        F.when(kind == 0, F.concat(quote, seg(1), F.lit("</seg>")))
+        .when(kind == 1, F.concat(quote, F.lit("</seg><!--between-->"), seg(2)))
+        .otherwise(F.concat(quote, F.lit('</seg><note><p rend="footnote text"><!--as written-->Mt '), k, F.lit(":3</p></note>")))
+    )
+    xml = F.concat(F.lit('<TEI><text><p>ante <lb n="'), k, F.lit('"/>'), body, F.lit(" post</p></text></TEI>"))
+    return tei.tei_words(table(spark, sf_dir, "part").select(F.concat(F.lit("p"), k).alias("path"), xml.alias("xml")))
+
+
+@query(
+    f"""WITH {VERSES}, q AS (SELECT o_orderkey AS k, o_custkey % 7 + 1 AS a, o_custkey % 5 + 1 AS b, o_orderpriority AS label FROM orders WHERE o_orderkey % 10 NOT IN (3, 7)),
+ x AS (SELECT q.*, CASE WHEN k % 2 = 0 THEN a || ' - ' || b ELSE a || '.' || b END AS verse, CASE k % 3 WHEN 0 THEN 'mt ' WHEN 1 THEN 'co ' ELSE 'mt ' END AS book FROM q),
+ n AS (SELECT k, book, unnest(CASE WHEN k % 2 = 0 THEN range(a, b + 1) ELSE [a, b] END) AS v, unnest(range(len(CASE WHEN k % 2 = 0 THEN range(a, b + 1) ELSE [a, b] END))) AS place FROM x),
+ t AS (SELECT n.k, string_agg(n.book || v.text, ' ' ORDER BY n.place) AS text FROM n JOIN v ON v.o = n.k AND v.n = n.v GROUP BY n.k)
+ SELECT CASE x.k % 3 WHEN 1 THEN '2 Co ' ELSE 'Mt ' END || x.k || ':' || x.verse AS "NT_ref", coalesce(t.text, '') AS "NT_text", x.label AS reuse_label, 'Ps ' || x.k || ':' || x.a AS "Ps_ref", coalesce('ps ' || p.text, '') AS "Ps_text"
+ FROM x LEFT JOIN t USING (k) LEFT JOIN v p ON p.o = x.k AND p.n = x.a"""
+)
+def parallel_reuses(spark, sf_dir):
+    """The table of reuses of psalms: names of books resolved, verses looked up, incomplete rows left out."""
+    k, a, b = F.col("o_orderkey"), F.col("o_custkey") % 7 + 1, F.col("o_custkey") % 5 + 1
+    rows = table(spark, sf_dir, "orders").select(
+        F.when(k % 3 == 0, "Mt").when(k % 3 == 1, "2Co").otherwise(" Matthew ").alias("nt_book"), k.cast("string").alias("nt_chapter"),
+        F.when(k % 10 == 3, F.lit("x")).when(k % 2 == 0, F.concat(a, F.lit(" - "), b)).otherwise(F.concat(a, F.lit("."), b)).alias("nt_verse"),
+        F.col("o_orderpriority").alias("label"), F.when(k % 10 == 7, F.lit(" ")).otherwise(k.cast("string")).alias("ps_chapter"), a.cast("string").alias("ps_verse"),
+    )
+    texts = _verses(spark, sf_dir).select(F.explode(F.array(*[F.struct(F.lit(x).alias("book"), F.lit(y).alias("mark")) for x, y in (("Matthew", "mt "), ("2 Corinthians", "co "), ("Psalms", "ps "))])).alias("b"), "o", "v", "text")
+    return verses.parallel_table(rows, texts.select("b.book", F.col("o").cast("int").alias("chapter"), F.col("v").alias("verse"), F.concat("b.mark", "text").alias("text")))
+
+
 @query("SELECT DISTINCT event_type AS marker, 'user' || (user_id % 7) AS file FROM events")
 def distinct_markers(spark, sf_dir):
     from ..sources.sinks import distinct_markers as distinct
@@ -299,56 +403,120 @@ def distinct_markers(spark, sf_dir):
     return distinct(table(spark, sf_dir, "events").select(F.col("event_type").alias("marker"), F.concat(F.lit("user"), F.col("user_id") % 7).alias("file")), "marker", "file")
 
 
-PLAIN = "text NOT LIKE '%<%' AND text NOT LIKE '%>%' AND text NOT LIKE '%&%'"
+def _escaped(text):
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return text
 
 
 @query(
-    rf"""WITH d AS (SELECT doc_id, [x FOR x IN string_split(trim(regexp_replace(regexp_replace(text, '([.,;:!?])', ' \1 ', 'g'), '\s+', ' ', 'g')), ' ') IF x <> ''] AS l FROM documents WHERE {PLAIN})
+    r"""WITH d AS (SELECT doc_id, [x FOR x IN string_split(trim(regexp_replace(regexp_replace(translate(text, '&<>', ''), '([.,;:!?])', ' \1 ', 'g'), '\s+', ' ', 'g')), ' ') IF x <> ''] AS l FROM documents)
  SELECT 'doc' || doc_id AS path, len(l) + 2 AS n_words, len(l) AS n_cited, 'Mt ' || doc_id || ':1' AS reference, md5(array_to_string(l, ' ')) AS digest FROM d WHERE len(l) > 0"""
 )
 def tei_words(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where(PLAIN)
+    """All documents as TEI files; what is written as an entity goes in cleaning."""
     xml = F.concat(
-        F.lit("<TEI xmlns='x'><teiHeader>head</teiHeader><text><p>before <seg type=\"biblicalQuotation\">"), "text", F.lit('<note><seg type="biblicalRef" ana="Quotation"><!--mt-->Mt '), F.col("doc_id"), F.lit(":1</seg></note></seg> after</p></text></TEI>")
+        F.lit("<TEI xmlns='x'><teiHeader>head</teiHeader><text><p>before <seg type=\"biblicalQuotation\">"), _escaped(F.col("text")), F.lit('<note><seg type="biblicalRef" ana="Quotation"><!--mt-->Mt '), F.col("doc_id"), F.lit(":1</seg></note></seg> after</p></text></TEI>")
     )
-    found = tei.tei_words(docs.select(F.concat(F.lit("doc"), "doc_id").alias("path"), xml.alias("xml")))
+    found = tei.tei_words(documents(spark, sf_dir).select(F.concat(F.lit("doc"), "doc_id").alias("path"), xml.alias("xml")))
     cited = F.col("reference").isNotNull()
     out = found.groupBy("path").agg(F.count("*").alias("n_words"), F.count_if(cited).alias("n_cited"), F.max("reference").alias("reference"), sequence.in_order(F.when(cited, F.col("word")), ["pos"]).alias("w"))
     return out.where("n_cited > 0").select("path", "n_words", "n_cited", "reference", F.md5(F.array_join("w", " ")).alias("digest"))
 
 
-@query(rf"SELECT 'doc' || doc_id AS path, len([x FOR x IN string_split_regex(text, '\s+') IF x <> '']) AS n_words, 1 AS n_notes, 1 AS n_cited FROM documents WHERE {PLAIN} AND NOT regexp_matches(text, '\(\d+\)')")
-def docx_tokens(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where(PLAIN).where(~F.col("text").rlike(r"\(\d+\)")).select("doc_id", "text")
-    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+WORD = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+
+
+def _package(runs: list[tuple[str, str | None]], note: str) -> bytes:
+    """A Word document of one paragraph: runs of (text, colour), and a footnote reference after the last."""
+    blob = io.BytesIO()
+    style = lambda c: f'<w:rPr><w:color w:val="{c}"/></w:rPr>' if c else ""
+    with zipfile.ZipFile(blob, "w") as z:
+        body = "".join(f"<w:r>{style(c)}<w:t>{escape(t)}</w:t></w:r>" for t, c in runs)
+        z.writestr("word/document.xml", f'<w:document {WORD}><w:p>{body}<w:r><w:footnoteReference w:id="1"/></w:r></w:p></w:document>')
+        z.writestr("word/footnotes.xml", f'<w:footnotes {WORD}><w:footnote w:id="1"><w:t>{escape(note)}</w:t></w:footnote></w:footnotes>')
+    return blob.getvalue()
+
 
+@query(
+    r"""SELECT 'doc' || doc_id AS path, len([x FOR x IN string_split_regex(regexp_replace(text, '\(\d+\)', ' ', 'g'), '\s+') IF x <> '']) AS n_words, len(regexp_extract_all(text, '\(\d+\)'))::INT AS n_breaks, 1 AS n_notes,
+  (regexp_replace(text, '\(\d+\)', '', 'g') <> '')::INT AS n_cited FROM documents"""
+)
+def docx_tokens(spark, sf_dir):
     def package(batches):
         for b in batches:
-            out = []
-            for text in b["text"]:
-                blob = io.BytesIO()
-                with zipfile.ZipFile(blob, "w") as z:
-                    z.writestr("word/document.xml", f'<w:document {w}><w:p><w:r><w:t>{escape(text)}</w:t><w:footnoteReference w:id="1"/></w:r></w:p></w:document>')
-                    z.writestr("word/footnotes.xml", f'<w:footnotes {w}><w:footnote w:id="1"><w:t>Mt 1,1</w:t></w:footnote></w:footnotes>')
-                out.append(blob.getvalue())
-            yield pd.DataFrame({"path": "doc" + b["doc_id"].astype(str), "content": out})
-
-    found = docx.docx_tokens(docs.mapInPandas(package, "path string, content binary"))
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([f"doc{doc_id}"]), pa.array([_package([(text.as_py() or "", None)], "Mt 1,1")], pa.binary())], ["path", "content"])
+
+    found = docx.docx_tokens(documents(spark, sf_dir).mapInArrow(package, "path string, content binary"))
     is_word = (F.col("type") == "text") & (F.trim(F.regexp_replace("content", r"\s+", "")) != "")
-    return found.groupBy("path").agg(F.count_if(is_word).alias("n_words"), F.count_if(F.col("type") == "fn_ref").cast("int").alias("n_notes"), F.count_if(F.col("citation") == "Mt 1,1").cast("int").alias("n_cited"))
+    count = lambda c: F.count_if(c).cast("int")
+    return found.groupBy("path").agg(F.count_if(is_word).alias("n_words"), count(F.col("type") == "lb").alias("n_breaks"), count(F.col("type") == "fn_ref").alias("n_notes"), count(F.col("citation") == "Mt 1,1").alias("n_cited"))
 
 
-def _vectors(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    e = table(spark, sf_dir, "embeddings").withColumn("vector", F.col("embedding").cast("array<double>"))
-    return e.where("vec_id < 50").select(F.col("vec_id").alias("anchor"), "vector"), e.where("vec_id >= 50").select(F.col("vec_id").alias("cand"), "vector")
+STYLED = "x AS (SELECT p_partkey AS k, p_name AS a, lower(p_type) AS b, p_brand AS c, p_partkey % 28 + 1 AS ch, p_size AS v FROM part)"
+
+
+def _styled(spark, sf_dir) -> DataFrame:
+    """Parts as Word documents: a quotation in colour with an insertion, and its reference in a footnote."""
+
+    def package(batches):
+        for b in batches:
+            rows = b.to_pylist()
+            runs = [[(f"{x['p_name']}: ", None), (f"{x['p_type'].lower()} ", "FF0000"), (f"{x['p_brand']} ", None), (x["p_name"], "FF0000")] for x in rows]
+            notes = [f"Io {x['p_partkey'] % 28 + 1},{x['p_size']}s" for x in rows]
+            yield pa.RecordBatch.from_arrays([pa.array([f"/in/part{x['p_partkey']}.docx" for x in rows], pa.string()), pa.array([_package(r, n) for r, n in zip(runs, notes, strict=True)], pa.binary())], ["path", "content"])
+
+    return table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size").mapInArrow(package, "path string, content binary")
+
+
+@query(
+    rf"""WITH {STYLED} SELECT '/in/part' || k || '.docx' AS path, 'c:FF0000' AS style, len(string_split(b, ' ')) + len(string_split(a, ' ')) AS n_quoted, len(string_split(c, ' ')) AS n_inserted, len(string_split(a, ' ')) AS n_plain,
+ 'Io ' || ch || ',' || v || 's' AS note FROM x"""
+)
+def docx_styled_quotations(spark, sf_dir):
+    found = docx.docx_tokens(_styled(spark, sf_dir)).where("type = 'text' and trim(content) <> ''")
+    cited = F.col("citation").isNotNull()
+    return found.groupBy("path").agg(
+        F.array_join(F.array_sort(F.collect_set(F.array_join("style", " "))), ",").alias("style"), F.count_if(cited & ~F.col("is_insertion")).alias("n_quoted"), F.count_if(cited & F.col("is_insertion")).alias("n_inserted"), F.count_if(~cited).alias("n_plain"), F.max("citation").alias("note")
+    )
+
+
+QUOTED = r"""w AS (SELECT *, regexp_replace(lower(b || ' ' || c || ' ' || a), '[^A-Za-zÀ-ÿ\s.,;:!?''\n]', '', 'g') AS quoted, 'Jn ' || ch || ':' || v || '-' || (v + 2) AS ref, 'Io ' || ch || ',' || v || 's' AS initial FROM x)"""
+
+
+@query(
+    rf"""WITH {STYLED}, {QUOTED} SELECT 'part' || k || '.docx' AS source_file, 0 AS sentence_index, 'o' AS line, quoted AS reuse_tag_set, 'Occurrence' AS label, initial AS initial_reference, ref AS reference,
+ CASE WHEN v % 2 = 0 THEN 'john ' || ch ELSE '' END AS biblical_text FROM w"""
+)
+def corpus_from_docx(spark, sf_dir):
+    """The whole way: Word documents, TEI, words, normalised references, quotations with their verse texts."""
+    from . import corpus
+
+    words = corpus.words_from_tei(docx.docx_to_tei(_styled(spark, sf_dir)))
+    parts = table(spark, sf_dir, "part").where("p_size % 2 = 0")
+    texts = parts.select(F.concat(F.lit("Jn "), F.col("p_partkey") % 28 + 1, F.lit(":"), "p_size", F.lit("-"), F.col("p_size") + 2).alias("reference"), F.concat(F.lit("john "), F.col("p_partkey") % 28 + 1).alias("text"))
+    return corpus.datasets(words, texts)["sets"].select("source_file", "sentence_index", "line", "reuse_tag_set", "label", "initial_reference", "reference", "biblical_text")
+
 
+SCORES = "s AS (SELECT a.vec_id AS anchor, b.vec_id AS cand, list_cosine_similarity(list_reverse(a.embedding::DOUBLE[]), b.embedding::DOUBLE[]) AS score FROM embeddings a, embeddings b), k AS (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY round(score, 12) DESC, cand) AS rank FROM s)"
 
-SCORES = "s AS (SELECT a.vec_id AS anchor, b.vec_id AS cand, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score FROM embeddings a, embeddings b WHERE a.vec_id < 50 AND b.vec_id >= 50), k AS (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY round(score, 12) DESC, cand) AS rank FROM s)"
+
+def _vectors(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """All embeddings as candidates; all of them, turned round so that none meets itself, as anchors."""
+    e = table(spark, sf_dir, "embeddings").withColumn("vector", F.col("embedding").cast("array<double>"))
+    return e.select(F.col("vec_id").alias("anchor"), F.reverse("vector").alias("vector")), e.select(F.col("vec_id").alias("cand"), "vector")
 
 
-@query(f"WITH {SCORES} SELECT anchor, cand, rank::INT AS rank, round(score, 4) AS score FROM k WHERE rank <= 10")
+@query(
+    "WITH s AS (SELECT a.vec_id AS anchor, b.vec_id AS cand, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0),"
+    " k AS (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY round(score, 12) DESC, cand) AS rank FROM s) SELECT anchor, cand, rank::INT AS rank, round(score, 4) AS score FROM k WHERE rank <= 10"
+)
 def cosine_topk(spark, sf_dir):
-    return similarity.top_k(*_vectors(spark, sf_dir), 10).select("anchor", "cand", "rank", F.round("score", 4).alias("score"))
+    """A search: the embeddings whose number is divisible by 100 against all."""
+    e = table(spark, sf_dir, "embeddings").withColumn("vector", F.col("embedding").cast("array<double>"))
+    queries, rows = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("anchor"), "vector"), e.select(F.col("vec_id").alias("cand"), "vector")
+    return similarity.top_k(queries, rows, 10).select("anchor", "cand", "rank", F.round("score", 4).alias("score"))
 
 
 LABELLED = "SELECT d.doc_id, CASE WHEN coalesce(l.quality, 0) = 0 THEN 'NaR' ELSE 'Quotation' END AS label, CASE WHEN l.toxic = 1 THEN d.source ELSE '' END AS biblical_text FROM documents d LEFT JOIN labels l USING (doc_id)"
@@ -359,20 +527,32 @@ def _labelled(spark, sf_dir) -> DataFrame:
     return rows.select("doc_id", F.when(F.coalesce("quality", F.lit(0)) == 0, "NaR").otherwise("Quotation").alias("label"), F.when(F.col("toxic") == 1, F.col("source")).otherwise("").alias("biblical_text"))
 
 
-@query(f"WITH {SCORES}, x AS ({LABELLED}) SELECT x.doc_id, x.label, CASE WHEN x.label = 'NaR' AND x.biblical_text = '' THEN 'text ' || k.cand ELSE x.biblical_text END AS biblical_text, CASE WHEN x.label = 'NaR' AND x.biblical_text = '' THEN round(k.score, 4) END AS score FROM x JOIN k ON k.anchor = x.doc_id AND k.rank = 1")
+@query(
+    f"WITH {SCORES}, x AS ({LABELLED}) SELECT x.doc_id, x.label, CASE WHEN x.label = 'NaR' AND x.biblical_text = '' THEN 'text ' || k.cand ELSE x.biblical_text END AS biblical_text,"
+    " CASE WHEN x.label = 'NaR' AND x.biblical_text = '' THEN round(k.score, 4) END AS score FROM x LEFT JOIN k ON k.anchor = x.doc_id AND k.rank = 1"
+)
 def cosine_fill(spark, sf_dir):
+    """All documents; those without a vector keep what they have."""
     anchors, cands = _vectors(spark, sf_dir)
-    rows = _labelled(spark, sf_dir).join(anchors, F.col("doc_id") == F.col("anchor"))
+    rows = _labelled(spark, sf_dir).join(anchors, F.col("doc_id") == F.col("anchor"), "left")
     out = similarity.fill_nearest(rows, cands.withColumn("candidate", F.concat(F.lit("text "), "cand")))
     return out.select("doc_id", "label", "biblical_text", F.round("score", 4).alias("score"))
 
 
+@query(f"WITH {SCORES}, x AS ({LABELLED}) SELECT count(k.score) AS n, round(avg(k.score), 4) AS mean_similarity FROM x JOIN k ON k.anchor = x.doc_id AND k.rank = 1 WHERE x.label = 'NaR' AND x.biblical_text = ''")
+def mean_similarity(spark, sf_dir):
+    """The report of filling."""
+    anchors, cands = _vectors(spark, sf_dir)
+    rows = _labelled(spark, sf_dir).join(anchors, F.col("doc_id") == F.col("anchor"), "left")
+    return similarity.mean_similarity(similarity.fill_nearest(rows, cands.withColumn("candidate", F.lit("text"))))
+
+
 @query(
     f"""WITH x AS ({LABELLED}), c AS (SELECT row_number() OVER (ORDER BY item_id) - 1 AS number, text AS candidate FROM benchmark)
  SELECT x.doc_id, x.label, CASE WHEN x.label = 'NaR' AND x.biblical_text = '' THEN c.candidate ELSE x.biblical_text END AS biblical_text FROM x JOIN c ON c.number = ('0x' || substr(md5('s' || x.doc_id), 1, 8))::BIGINT % (SELECT count(*) FROM benchmark)"""
 )
 def random_fill(spark, sf_dir):
-    cands = table(spark, sf_dir, "benchmark").select((F.row_number().over(Window.orderBy("item_id")) - 1).cast("long").alias("number"), F.col("text").alias("candidate"))
+    cands = similarity.numbered(table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("candidate")), "item_id").select("number", "candidate")
     return similarity.fill_random(_labelled(spark, sf_dir), cands, "doc_id", seed="s").select("doc_id", "label", "biblical_text")
 
 
@@ -380,7 +560,7 @@ def random_fill(spark, sf_dir):
     f"""WITH {SCORES}, t AS (SELECT vec_id, 'lab ' || label AS text FROM embeddings),
  n AS (SELECT k.*, (contains(p.text, c.text) OR contains(c.text, p.text)) AS bad FROM k JOIN t p ON p.vec_id = k.anchor JOIN t c ON c.vec_id = k.cand),
  h AS (SELECT anchor, min(rank) FILTER (NOT bad AND rank <= 10) AS hit, min(cand) FILTER (NOT bad) AS other FROM n GROUP BY anchor)
- SELECT h.anchor, n.cand AS negative, round(n.score, 4) AS neg_cos_sim, CASE WHEN hit IS NOT NULL THEN hit - 1 ELSE 10 + (SELECT count(*) FROM t WHERE vec_id >= 50 AND vec_id < h.other) END AS rejected
+ SELECT h.anchor, n.cand AS negative, round(n.score, 4) AS neg_cos_sim, CASE WHEN hit IS NOT NULL THEN hit - 1 ELSE 10 + (SELECT count(*) FROM t WHERE vec_id < h.other) END AS rejected
  FROM h LEFT JOIN n ON n.anchor = h.anchor AND (n.rank = h.hit OR (h.hit IS NULL AND n.cand = h.other))"""
 )
 def hard_negatives(spark, sf_dir):
@@ -391,17 +571,9 @@ def hard_negatives(spark, sf_dir):
     return similarity.hard_negatives(a, c).withColumn("neg_cos_sim", F.round("neg_cos_sim", 4))
 
 
-@query("SELECT d.doc_id, b.item_id FROM documents d, benchmark b WHERE contains(lower(d.text), lower(b.text))")
+@query("SELECT d.doc_id, b.item_id FROM documents d, benchmark b WHERE b.text <> '' AND contains(lower(d.text), lower(b.text))")
 def reuse_detection(spark, sf_dir):
-    """Documents that contain a passage. A document only meets the passages whose longest inner word it has; texts stay where they are."""
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.lower("text").alias("item"))
-    w = F.split("item", r"\s+")
-    inner = F.slice(w, 2, F.greatest(F.size(w) - 2, F.lit(0)))
-    items = items.withColumn("key", F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("w"))))["w"])
-    keys = items.agg(F.collect_set("key").alias("keys"))  # one row, of one word for each passage
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("text")).join(keys, F.lit(True))
-    met = docs.select("doc_id", "text", F.explode(F.array_intersect(F.split("text", r"\s+"), F.col("keys"))).alias("key")).join(items, "key")
-    return met.where(F.contains("text", "item")).select("doc_id", "item_id").distinct()
+    return similarity.containing(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 @query(
@@ -444,15 +616,40 @@ def annotated_sentences(spark, sf_dir):
     return sequence.sentences(_corpus_words(spark, sf_dir)).select("source_file", "sentence_index", "line", "reference", "label")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {TOKENS}, w AS (SELECT *, pos // 5000 AS chunk, pos % 5000 AS i, CASE WHEN pos % 10 < 3 THEN 'Ps ' || (doc_id % 150 + 1) || ':' || ((pos // 10) % 7 + 1) END AS ref, pos // 8 + 1 AS line FROM toks),
+ c AS (SELECT doc_id, chunk, count(*) AS n, coalesce(list(i ORDER BY i) FILTER (word IN ('.', '?', '!', ';')), []) AS ends, coalesce(list(i ORDER BY i) FILTER (word IN (',', ':')), []) AS stops FROM w GROUP BY ALL),
+ s AS (SELECT doc_id, chunk, -1::BIGINT AS a, -1::BIGINT AS b, n, ends, stops FROM c
+  UNION ALL SELECT doc_id, chunk, b + 1, least(n - 1, coalesce(list_min([x FOR x IN ends IF x > b]), n - 1), coalesce(list_min([x FOR x IN stops IF x >= b + 40]), n - 1))::BIGINT, n, ends, stops FROM s WHERE b < n - 1),
+ g AS (SELECT doc_id, chunk, a, b, (row_number() OVER (PARTITION BY doc_id ORDER BY chunk, a) - 1)::INT AS sentence_index FROM s WHERE a >= 0),
+ p AS (SELECT g.doc_id, g.sentence_index, w.pos, w.word, w.ref, w.line FROM g JOIN w ON w.doc_id = g.doc_id AND w.chunk = g.chunk AND w.i BETWEEN g.a AND g.b),
+ f AS (SELECT doc_id, sentence_index, ref, min(pos) AS place FROM p WHERE ref IS NOT NULL GROUP BY ALL), r AS (SELECT doc_id, sentence_index, string_agg(ref, ' ; ' ORDER BY place) AS reference FROM f GROUP BY ALL),
+ t AS (SELECT doc_id, sentence_index, CASE WHEN min(line) = max(line) THEN min(line)::VARCHAR ELSE min(line) || '-' || max(line) END AS line, """
+    r"""regexp_replace(string_agg(word, ' ' ORDER BY pos), '\s+([.,;:?!])', '\1', 'g') AS sentence FROM p GROUP BY ALL)
+ SELECT t.doc_id::VARCHAR AS source_path, t.doc_id::VARCHAR AS source_file, t.sentence_index, t.line, t.sentence, CASE WHEN r.reference IS NULL THEN 'NaR' ELSE 'Quotation' END AS label, coalesce(r.reference, 'o') AS initial_reference, coalesce(r.reference, 'o') AS reference
+ FROM t LEFT JOIN r USING (doc_id, sentence_index)"""
+)
 def annotated_segments(spark, sf_dir):
     return sequence.segments(_corpus_words(spark, sf_dir))
 
 
-@query()
-def triplet_mining(spark, sf_dir):
-    from ..functions.vectors import hashing_encoder
+def _letters(text: str) -> str:
+    return f"[len({text}) - len(replace({text}, c, '')) FOR c IN string_split('a,b,c,d,e,f,g,h,i,j,k,l,m,n,o,p,q,r,s,t,u,v,w,x,y,z', ',')]::DOUBLE[] AS v"
+
 
+FOLDED = "translate(text, 'jv', 'iu')"
+
+
+@query(
+    f"""WITH a AS (SELECT row_number() OVER () AS id, {FOLDED} AS text, {_letters(f"lower({FOLDED})")} FROM conversations WHERE trim(text) <> ''),
+ b AS (SELECT item_id, {FOLDED} AS text, {_letters(f"lower({FOLDED})")} FROM benchmark WHERE trim(text) <> ''),
+ s AS (SELECT a.id, a.text AS anchor, b.item_id, b.text AS negative, list_cosine_similarity(a.v, b.v) AS score, contains(lower(a.text), lower(b.text)) OR contains(lower(b.text), lower(a.text)) AS bad FROM a, b),
+ k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(coalesce(score, -2), 12) DESC, item_id) AS rank FROM s),
+ h AS (SELECT id, min(rank) FILTER (NOT bad AND rank <= 10) AS hit, min(item_id) FILTER (NOT bad) AS other FROM k GROUP BY id)
+ SELECT k.anchor, k.anchor AS positive, k.negative, round(k.score, 4) AS neg_cos_sim FROM h JOIN k USING (id) WHERE k.rank = h.hit OR h.hit IS NULL AND k.item_id = h.other"""
+)
+def triplet_mining(spark, sf_dir):
+    """All turns of the conversations, against the passages, by letter counts."""
     pairs = table(spark, sf_dir, "conversations").select(F.col("text").alias("sentence"), F.col("text").alias("biblical_text"))
     cands = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("cand"), F.col("text").alias("candidate"))
-    return similarity.triplets(pairs, cands, hashing_encoder)
+    return similarity.triplets(pairs, cands, letter_encoder)

@@ -70,3 +70,8 @@ def pairs(spark: SparkSession, path: str, sep: str = ",") -> list[tuple[str, str
 
 def word_list(spark: SparkSession, path: str) -> list[str]:
     return [x.value.strip() for x in spark.read.text(path).collect()]
+
+
+def in_file_order(rows: DataFrame, path: str = "source_path", place: str = "word_index") -> DataFrame:
+    """Rows as a walk through the files by name would meet them."""
+    return rows.orderBy(path, place)

@@ -1,10 +1,18 @@
-"""Sinks."""
+"""Sinks. What is written for one document is one file, which the sources read back."""
 
 from __future__ import annotations
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.fixed_values import ATTACHED_LEFT, ATTACHED_RIGHT
+from ..operators import sequence
+from ..operators.similarity import numbered
+from ..schemas import WORD_FILE
+from ..storage import stored
+
 
 def write_tsv(df: DataFrame, path: str, by: list[str] | None = None, order: list[str] | None = None) -> None:
     """TSV with a header; by: one folder for each value; order: within files."""
@@ -16,19 +24,74 @@ def write_tsv(df: DataFrame, path: str, by: list[str] | None = None, order: list
     (writer.partitionBy(*by) if by else writer).csv(path)
 
 
-def write_texts(df: DataFrame, path: str, name: str, text: str) -> None:
-    """One folder for each document, by its name (which may be a relative path), with its text in one file."""
-    df.select(F.col(name).alias("name"), F.col(text).alias("value")).repartition("name").write.partitionBy("name").option("lineSep", "\n").text(path)
+def write_files(df: DataFrame, path: str, name: str, content: str) -> DataFrame:
+    """Writes one file for each row, by its name (which may be a relative path), with its text or bytes; (name, size) of each.
+
+    path is a folder that all executors reach, or the URI of a store that Arrow
+    knows. A file is written beside its place and then moved there, so a task
+    that runs again leaves the same files.
+    """
+
+    def work(batches):
+        for b in batches:
+            for n, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                store, top = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+                target, data = f"{top}/{n}", c or b""
+                store.create_dir(target.rpartition("/")[0], recursive=True)
+                with store.open_output_stream(f"{target}.part") as out:
+                    out.write(data)
+                store.move(f"{target}.part", target)
+                yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([len(data)], pa.int64())], ["name", "size"])
+
+    rows = df.select(F.col(name).cast("string").alias("name"), F.col(content).cast("binary").alias("content"))
+    written = rows.mapInArrow(work, "name string, size long")
+    return stored(written, "written")
+
+
+def file_name(path: str, extension: str, base: str | None = None):
+    """A document's file name: its path below a base folder, or the last part of it, with another extension."""
+    last = F.element_at(F.split(F.col(path), "/"), -1)
+    name = F.when(F.contains(path, F.lit(f"{base}/")), F.substring_index(path, f"{base}/", -1)).otherwise(last) if base else last
+    return F.concat(F.regexp_replace(name, r"(_reuses)?\.[^./]*$", ""), F.lit(extension))
+
+
+def write_xml(files: DataFrame, path: str, base: str | None = None) -> DataFrame:
+    """Writes (path, xml) as one .xml file for each document."""
+    return write_files(files.select(file_name("path", ".xml", base).alias("name"), "xml"), path, "name", "xml")
+
+
+def write_word_files(words: DataFrame, path: str, base: str | None = None) -> DataFrame:
+    """Writes words as one <document>_reuses.tsv each, which `files.word_files` reads."""
+    names = [f.name for f in WORD_FILE.fields]
+    line = F.to_csv(F.struct(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in names]), {"sep": "\t", "quote": '"', "escape": '"', "emptyValue": ""})
+    rows = words.select("source_path", "word_index", line.alias("row"))
+    whole = rows.groupBy("source_path").agg(F.concat(F.lit("\t".join(names) + "\n"), F.array_join(sequence.in_order(F.col("row"), ["word_index"]), "\n"), F.lit("\n")).alias("content"))
+    return write_files(whole.select(file_name("source_path", "_reuses.tsv", base).alias("name"), "content"), path, "name", "content")
+
+
+def write_raw_texts(words: DataFrame, path: str, base: str | None = None) -> DataFrame:
+    """Writes the running text of each document's words as one .txt file."""
+    whole = sequence.raw_text(words, ["source_path"], "word_index", "word", ATTACHED_LEFT, ATTACHED_RIGHT)
+    return write_files(whole.select(file_name("source_path", ".txt", base).alias("name"), "text"), path, "name", "text")
+
+
+def write_markers(words: DataFrame, marker: str, source: str, path: str, name: str) -> DataFrame:
+    """Writes the distinct (marker, source), sorted, as one text file of lines `marker TAB source`."""
+    lines = distinct_markers(words, marker, source).select(F.concat_ws("\t", marker, source).alias("line"))
+    return write_files(lines.agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("content")).withColumn("name", F.lit(name)), path, "name", "content")
 
 
 def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.json(path)
 
 
-def json_array(df: DataFrame, order: str) -> DataFrame:
-    """A small result as one JSON array, in order."""
-    rows = df.select(F.struct(order, F.struct(*[c for c in df.columns if c != order]).alias("row")).alias("x"))
-    return rows.agg(F.to_json(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["row"])).alias("value"))
+def write_json_array(df: DataFrame, path: str, order: str) -> None:
+    """Writes the rows, in order, as one JSON array over the parts of a folder: laid end to end by name they are the array."""
+    rows = numbered(df, order, "_fx_number")
+    last = rows.count() - 1
+    body = F.to_json(F.struct(*df.columns))
+    line = F.concat(F.when(F.col("_fx_number") == 0, "[").otherwise(""), body, F.when(F.col("_fx_number") == last, "]").otherwise(","))
+    rows.withColumn("value", line).repartitionByRange("_fx_number").sortWithinPartitions("_fx_number").select("value").write.text(path)
 
 
 def distinct_markers(words: DataFrame, marker: str, source: str) -> DataFrame:

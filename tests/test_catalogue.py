@@ -3,6 +3,7 @@
 import math
 
 import duckdb
+import numpy as np
 import pytest
 
 from florilex.plans import catalogue
@@ -37,12 +38,13 @@ def test_query(spark, duck, name):
 
 
 def test_triplets_of_all_turns(spark, tmp_path):
-    from florilex.functions.vectors import hashing_encoder
+    from florilex.functions.vectors import letter_encoder
 
     said = [(c, t, "user" if t % 2 == 0 else "assistant", f"the {w} text about {w} number {c}") for c in range(3) for t, w in enumerate(["sea", "tree", "stone"])]
     items = [(k, f"a passage on {w}s and {w} lore") for k, w in enumerate(["sea", "tree", "stone", "cloud"])]
     spark.createDataFrame([*said, (9, 1, "user", " ")], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    scores = hashing_encoder([x[3] for x in said]) @ hashing_encoder([x[1] for x in items]).T
+    unit = [x / np.linalg.norm(x, axis=1, keepdims=True) for x in (letter_encoder([x[3] for x in said]), letter_encoder([x[1] for x in items]))]
+    scores = unit[0] @ unit[1].T
     want = sorted((x[3], x[3], items[k][1], round(float(s[k]), 4)) for x, s in zip(said, scores, strict=True) for k in [int(s.round(12).argmax())])
     assert sorted(tuple(x) for x in catalogue.QUERIES["triplet_mining"](spark, str(tmp_path)).collect()) == want

@@ -1,5 +1,9 @@
 import json
 
+from pyspark.sql import functions as F
+
+from florilex.functions import vectors
+from florilex.operators import sequence
 from florilex.plans import corpus
 from florilex.sources import files, sinks
 from florilex.streaming import words as stream
@@ -57,14 +61,54 @@ def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("b", 2, 'x"y'), ("a", 1, ""), ("b", 1, "z")], "f string, k int, t string")
     sinks.write_tsv(df, f"{tmp_path}/tsv", by=["f"], order=["k"])
     assert sorted((x.f, x.k, x.t or "") for x in files.tsv(spark, f"{tmp_path}/tsv").collect()) == [("a", "1", ""), ("b", "1", "z"), ("b", "2", 'x"y')]
-    sinks.write_texts(df.where("k = 1"), f"{tmp_path}/txt", "f", "t")
-    assert (tmp_path / "txt/name=b").is_dir()
-    assert json.loads(sinks.json_array(df, "k").first().value)[-1] == {"f": "b", "t": 'x"y'}
+    texts = df.where("k = 1").selectExpr("f || '/' || f as name", "t")
+    assert sorted(tuple(x) for x in sinks.write_files(texts, f"{tmp_path}/txt", "name", "t").collect()) == [("a/a", 0), ("b/b", 1)]
+    assert (tmp_path / "txt/b/b").read_text() == "z"
+    sinks.write_json_array(df.repartition(3).withColumn("at", F.col("k") * 10 + F.length("t")), f"{tmp_path}/array", "at")
+    whole = "".join(p.read_text() for p in sorted((tmp_path / "array").glob("part-*")))
+    assert [x["t"] for x in json.loads(whole)] == ["", "z", 'x"y']
     sinks.write_json_lines(df, f"{tmp_path}/json")
     assert spark.read.json(f"{tmp_path}/json").count() == 3
     assert [tuple(x) for x in sinks.distinct_markers(spark.createDataFrame([("m", "f"), ("m", "f"), ("", "g"), ("a", "g")], "m string, s string"), "m", "s").collect()] == [("a", "g"), ("m", "f")]
 
 
+def test_what_sinks_write_sources_read(spark, tmp_path):
+    rows = [(f"/in/{d}/doc.xml", "doc.xml", k, str(k // 2), w, "NaR", "o", "o") for d in "ab" for k, w in enumerate(["null", 'a "q"', "", ",", "end", "."])]
+    words = spark.createDataFrame(rows, "source_path string, source_file string, word_index int, line string, word string, label string, reference string, `reference normalized` string")
+    sinks.write_word_files(words, f"{tmp_path}/tsv", "/in")
+    back = files.in_file_order(files.word_files(spark, f"{tmp_path}/tsv")).collect()
+    assert [(x.source_path.split("/")[-2], x.source_file, x.word_index, x.line, x.word) for x in back] == [(d, "doc_reuses.tsv", k, str(k // 2), w) for d in "ab" for k, w in enumerate(["null", 'a "q"', "", ",", "end", "."])]
+    sinks.write_raw_texts(words, f"{tmp_path}/raw", "/in")
+    assert (tmp_path / "raw/b/doc.txt").read_text() == 'null a "q" , end.'
+    xml = spark.createDataFrame([("/in/a.docx", "<p>é</p>")], "path string, xml string")
+    sinks.write_xml(xml, f"{tmp_path}/xml")
+    assert [(x.path.rpartition("/")[2], x.xml) for x in files.xml_files(spark, f"{tmp_path}/xml").collect()] == [("a.xml", "<p>é</p>")]
+    sinks.write_markers(words, "word", "source_file", f"{tmp_path}/list", "markers.txt")
+    assert (tmp_path / "list/markers.txt").read_text().split("\n")[0] == ",\tdoc.xml"
+
+
+def test_broken_files_are_named(spark, tmp_path):
+    (tmp_path / "a.docx").write_bytes(package(run("good")))
+    (tmp_path / "b.docx").write_bytes(b"no zip")
+    (tmp_path / "c.xml").write_text("<p>x</q>")
+    (tmp_path / "d.xml").write_text('<p><seg type="biblicalRef" ana="Quotation">Ps 1,1--3</seg></p>')
+    assert [x.word for x in corpus.words_from_docx(spark, str(tmp_path)).collect()] == ["good"]
+    assert sorted((x.path.rpartition("/")[2], x.kind) for x in corpus.bad_files(spark, str(tmp_path)).collect()) == [("b.docx", "docx"), ("c.xml", "xml")]
+
+
+def test_models_are_loaded_once_a_worker(spark):
+    def load(threshold):
+        def segment(texts, own):
+            return [[t[: int(threshold)], t[int(threshold) :]] for t in texts]
+
+        return segment
+
+    words = spark.createDataFrame([("p", "f", k, "1", w, "NaR", "o", "o") for k, w in enumerate(["a", "b", "c"])], "source_path string, source_file string, word_index int, line string, word string, label string, reference string, `reference normalized` string")
+    assert [x.sentence for x in sequence.segments(words, loader=(load, 2)).orderBy("sentence_index").collect()] == ["a", "b c"]
+    vector = spark.createDataFrame([("ab b",), (None,)], "t string").select(vectors.embed(F.col("t"), loader=(lambda size: lambda texts: [[float(len(x))] * size for x in texts], 2), batch=1).alias("v"))
+    assert [x.v for x in vector.collect()] == [[4.0, 4.0], [0.0, 0.0]]
+
+
 def test_stream_of_word_files(spark, tmp_path):
     word_file(tmp_path / "in/a_reuses.tsv", [("1", "a", "NaR", "o", "o"), ("1", ".", "NaR", "o", "o"), ("1", "b", "NaR", "o", "o")])
     for name in ("b", "c"):
