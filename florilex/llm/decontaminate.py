@@ -5,27 +5,33 @@ the item, has a weighted-shingle similarity of at least SIMILAR to it:
 sum of minima over sum of maxima of the counts of five-word shingles. Words are
 what is left between ASCII punctuation and white space, A-Z lower-cased.
 
-A window that is similar at all shares a shingle with the item, so windows are
-drawn around every shingle of the document that some item has. Their
-fingerprints, sums of bits over the shingles of the window, come from running
-sums. A multi-index finds all items of that length within RADIUS bits: the
-64 bits are cut into RADIUS + 1 blocks, one of which must agree. Exact
-similarity then decides. At similarity 0.8 two fingerprints differ in 9.7 bits
-on average, with a deviation of 2.9; RADIUS lies 3.6 deviations above.
+A similar window shares most of its shingles with the item, so windows are
+drawn where enough of a document's shingles are known from items of some length at all. Their
+fingerprints of BITS bits, sums of bits over the shingles of the window, come
+from running sums. A multi-index finds all items of that length within RADIUS
+bits: the bits are cut into so many blocks that one of them differs in at most
+NEAR bits; each block has a table of the items by its value, in which the window's value
+and all its neighbours within NEAR bits are looked up. Exact similarity then
+decides. RADIUS lies three deviations above the bits in which two fingerprints
+differ on average at similarity SIMILAR, by the binomial law (99.87 % of single windows), which gives blocks of
+14 or 15 bits. A block's neighbourhood holds one in 200 of its values, so the blocks together pass about one item in six.
 
 The benchmark is the stated query set. Its size is checked: what exceeds
-MOST_BYTES is taken in blocks, one pass over the documents each. Documents are
-judged row by row, so nothing of them is shuffled.
+MOST_BYTES is taken in blocks, one pass over the documents each, and the driver
+holds one at a time. Documents are judged row by row, so nothing of them is shuffled.
 
 Edge cases: a null or empty text has no hit; a document shorter than an item is
 one window; an item under five words is one shingle; null and wordless items
-are ignored; equal items are reported each. Null doc_id and repeated rows are
-kept. Empty tables give no hits. `clean` keeps all columns whatever their names.
+are ignored; equal items are reported each, with ties the first place. Null
+doc_id and repeated rows are kept and reported each. Very long texts are
+searched in pieces that overlap by the longest item. Empty tables give no hits. `clean` keeps all columns whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +39,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_steps
+from .common import checkpoint, in_steps, stored
+from .simhash import spread
 
-SHINGLE, SIMILAR, RADIUS = 5, 0.8, 20
+SHINGLE, SIMILAR, BITS, NEAR = 5, 0.8, 512, 2
+#: The share of bits in which fingerprints of sets of that similarity differ, and how many that are at most, but for one in 700.
+SHARE = math.acos(2 * SIMILAR / (1 + SIMILAR)) / math.pi
+RADIUS = math.ceil(BITS * SHARE + 3 * math.sqrt(BITS * SHARE * (1 - SHARE)))
 MOST_BYTES = 16 << 20
+#: Bytes of text that are searched at once, and windows whose neighbourhoods are looked up at once.
+PIECE, WINDOWS = 1 << 20, 256
 PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -70,12 +82,12 @@ class Hasher:
 
 
 def bit_rows(h: np.ndarray) -> np.ndarray:
-    return np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    return np.unpackbits(spread(h, BITS // 64).astype(">u8").view(np.uint8).reshape(-1, BITS // 8), axis=1)
 
 
 def prints(sums: np.ndarray, n: int) -> np.ndarray:
-    """Fingerprints from how many of n shingles have each bit."""
-    return np.packbits(2 * sums > n, axis=1).view(">u8").ravel().astype(np.uint64)
+    """Fingerprints, as rows of bits, from how many of n shingles have each bit."""
+    return (2 * sums > n).astype(np.uint8)
 
 
 class SizeClass:
@@ -84,26 +96,47 @@ class SizeClass:
     def __init__(self, size: int, numbers: list[int], shingles: list[np.ndarray]):
         self.size, self.numbers = size, np.array(numbers)
         self.counts = [Counter(s.tolist()) for s in shingles]
-        self.prints = np.array([prints(bit_rows(s).sum(axis=0, dtype=np.int64)[None], len(s))[0] for s in shingles], np.uint64)
-        cut = [64 * k // (RADIUS + 1) for k in range(RADIUS + 2)]
+        self.prints = np.concatenate([prints(bit_rows(s).sum(axis=0, dtype=np.int64)[None], len(s)) for s in shingles])
+        parts = RADIUS // (NEAR + 1) + 1
+        cut = [BITS * k // parts for k in range(parts + 1)]
         self.blocks = []
         for a, b in zip(cut, cut[1:], strict=False):
-            table = np.zeros((1 << (b - a), len(numbers)), bool)
-            table[self.block(self.prints, a, b), np.arange(len(numbers))] = True
-            self.blocks.append((a, b, table))
+            value = self.block(self.prints, a, b)
+            order = np.argsort(value, kind="stable")
+            first = np.searchsorted(value[order], np.arange((1 << (b - a)) + 1)).astype(np.int32)
+            self.blocks.append((a, b, order, first, neighbours(b - a)))
 
     @staticmethod
     def block(x: np.ndarray, a: int, b: int) -> np.ndarray:
-        return (x >> np.uint64(a) & np.uint64((1 << (b - a)) - 1)).astype(np.int64)
+        return x[:, a:b].astype(np.int64) @ (1 << np.arange(b - a - 1, -1, -1))
+
+    def met(self, x: np.ndarray) -> np.ndarray:
+        """(window, item) pairs, as window * items + item, that have a block within NEAR bits."""
+        found = []
+        for a, b, order, first, masks in self.blocks:
+            value = (self.block(x, a, b)[:, None] ^ masks).ravel()
+            lo, n = first[value], first[value + 1] - first[value]
+            hit = np.flatnonzero(n)
+            n = n[hit]
+            at = np.repeat(lo[hit] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            found.append(np.repeat(hit // len(masks), n) * len(self.numbers) + order[at])
+        return np.unique(np.concatenate(found))
 
     def near(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item) within RADIUS bits."""
-        maybe = np.zeros((len(x), len(self.numbers)), bool)
-        for a, b, table in self.blocks:
-            maybe |= table[self.block(x, a, b)]
-        w, i = np.nonzero(maybe)
-        ok = np.bitwise_count(x[w] ^ self.prints[i]) <= RADIUS
-        return w[ok], i[ok]
+        """(window, item) within RADIUS bits, by the multi-index."""
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k in range(0, len(x), WINDOWS):
+            part = x[k : k + WINDOWS]
+            w, i = np.divmod(self.met(part), len(self.numbers))
+            ok = (part[w] != self.prints[i]).sum(axis=1) <= RADIUS
+            left.append(w[ok] + k)
+            right.append(i[ok])
+        return np.concatenate(left), np.concatenate(right)
+
+
+def neighbours(width: int) -> np.ndarray:
+    """What a block's value is XORed with to give all values within NEAR bits."""
+    return np.array([sum(1 << k for k in bits) for n in range(NEAR + 1) for bits in combinations(range(width), n)], np.int64)
 
 
 class Finder:
@@ -128,22 +161,41 @@ class Finder:
 
     def hits(self, text: str | None) -> list[tuple[int, float, int, int]]:
         """(item number, similarity, first word, words) of the best window for each item."""
-        seq = words(text)
         best: dict[int, tuple[float, int, int]] = {}
-        h = self.hasher.shingles(seq)
-        if not len(h) or not len(self.known):
+        if not len(self.known):
             return []
-        self.search(h, len(seq), SHINGLE, best)
-        for n in self.short:  # items that are one short shingle: equal runs of words
-            if n <= len(seq):
-                for c in (c for c in self.classes if c.size == n):
-                    runs = {b" ".join(seq[k : k + n]): k for k in range(len(seq) - n, -1, -1)}
-                    for number in c.numbers.tolist():
-                        at = runs.get(b" ".join(words(self.items[number][1])))
-                        if at is not None:
-                            best[number] = (1.0, at, n)
+        for base, seq in self.pieces(text):
+            h = self.hasher.shingles(seq)
+            if not len(h):
+                continue
+            own: dict[int, tuple[float, int, int]] = {}
+            self.search(h, len(seq), SHINGLE, own)
+            for n in self.short:  # items that are one short shingle: equal runs of words
+                if n <= len(seq):
+                    for c in (c for c in self.classes if c.size == n):
+                        runs = {b" ".join(seq[k : k + n]): k for k in range(len(seq) - n, -1, -1)}
+                        for number in c.numbers.tolist():
+                            at = runs.get(b" ".join(words(self.items[number][1])))
+                            if at is not None:
+                                own[number] = (1.0, at, n)
+            for number, (similar, at, n) in own.items():
+                if similar > best.get(number, (0.0,))[0]:
+                    best[number] = (similar, base + at, n)
         return [(k, *v) for k, v in best.items()]
 
+    def pieces(self, text: str | None):
+        """(place of its first word, words) of the pieces of a text, which overlap by all but one of the words of the longest item."""
+        raw = (text or "").encode("utf-8", "surrogatepass").translate(PLAIN)
+        base, kept, at = 0, [], 0
+        longest = self.classes[-1].size if self.classes else 1
+        while at < len(raw) or not at:
+            end = raw.rfind(b" ", at + 1, at + PIECE) if len(raw) - at > PIECE else len(raw)
+            end = end if end > at else len(raw)
+            seq = kept + raw[at:end].split()
+            yield base, seq
+            kept = seq[max(0, len(seq) - longest + 1) :]
+            base, at = base + len(seq) - len(kept), max(end, 1)
+
     def search(self, h: np.ndarray, total: int, gram: int, best: dict) -> None:
         at = np.flatnonzero(self.seen[(h >> np.uint64(64 - self.bits)).astype(np.int64)])
         lo, hi = np.searchsorted(self.known, h[at], "left"), np.searchsorted(self.known, h[at], "right")
@@ -157,14 +209,16 @@ class Finder:
             n = min(c.size, total) - gram + 1  # shingles of a window
             if c.size < SHINGLE or n < 1:
                 continue
+            # windows with so many known shingles that they may be similar
+            need = math.ceil(SIMILAR * (n + c.size - gram + 1) / (1 + SIMILAR) - 1e-9)
             j = np.array(places)
-            mark = np.zeros(len(h) - n + 2, np.int32)  # windows that hold one of the places
-            np.add.at(mark, np.maximum(j - n + 1, 0), 1)
-            np.add.at(mark, np.minimum(j, len(h) - n) + 1, -1)
-            starts = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
-            for part in np.split(starts, np.flatnonzero(np.diff(starts) > n) + 1):
+            if len(j) < need:
+                continue
+            known = np.concatenate(([0], np.cumsum(np.bincount(j, minlength=len(h)))))
+            starts = np.flatnonzero(known[n:] - known[:-n] >= need)
+            for part in (x[q : q + WINDOWS] for x in np.split(starts, np.flatnonzero(np.diff(starts) > n) + 1) for q in range(0, len(x), WINDOWS)):
                 base = int(part[0])
-                sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(bit_rows(h[base : int(part[-1]) + n]), axis=0, dtype=np.int32)])
+                sums = np.concatenate([np.zeros((1, BITS), np.int32), np.cumsum(bit_rows(h[base : int(part[-1]) + n]), axis=0, dtype=np.int32)])
                 w, i = c.near(prints(sums[part - base + n] - sums[part - base], n))
                 for s, item in zip(part[w].tolist(), i.tolist(), strict=True):
                     x, y = Counter(h[s : s + n].tolist()), c.counts[item]
@@ -175,18 +229,19 @@ class Finder:
                         best[number] = (similar, s, n + gram - 1)
 
 
-def item_blocks(benchmark: DataFrame, most: int = MOST_BYTES) -> list[list[tuple[int, str]]]:
-    """The items in blocks of about the size that a task may hold; one block unless the benchmark is larger than that."""
+def item_blocks(benchmark: DataFrame, most: int = MOST_BYTES):
+    """The items in blocks of about the size that a task may hold, fetched one at a time; one block unless the benchmark is larger than that."""
     rows = benchmark.where("text is not null").select("item_id", "text")
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     parts = max(1, -(-total // most))
-    return [[(x.item_id, x.text) for x in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).orderBy("item_id", "text").collect()] for k in range(parts)]
+    for k in range(parts):
+        yield k + 1 == parts, [(x.item_id, x.text) for x in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).orderBy("item_id", "text").collect()]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, most: int = MOST_BYTES) -> DataFrame:
     """doc_id, item_id, similarity, first_word, n_words: each item's best window in each document that has one."""
     out = None
-    for items in item_blocks(benchmark, most):
+    for last, items in item_blocks(benchmark, most):
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def work(batches, shared=shared):
@@ -197,13 +252,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, most: int = MOST_BYTES)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32()), strict=True)], ["doc_id", "item_id", "similarity", "first_word", "n_words"])
 
         found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, item_id long, similarity double, first_word int, n_words int")
+        if not last:
+            found = checkpoint(found)
+            shared.unpersist()
         out = found if out is None else out.unionByName(found)
     return out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, most: int = MOST_BYTES) -> DataFrame:
     """The rows of docs that no item contaminates, with all their columns."""
-    for items in item_blocks(benchmark, most):
+    for last, items in item_blocks(benchmark, most):
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def work(batches, shared=shared):
@@ -212,6 +270,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, most: int = MOST_BYTES) -> Data
                 yield b.filter(pa.array([not finder.hits(t) for t in b.column("text").to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(work, docs.schema)
+        if not last:
+            docs = stored(docs, "uncontaminated")
+            shared.unpersist()
     return docs
 
 

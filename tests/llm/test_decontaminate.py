@@ -1,6 +1,8 @@
 import random
 from collections import Counter
 
+import numpy as np
+
 from florilex.llm import decontaminate as dc
 
 
@@ -72,3 +74,42 @@ def test_null_ids_and_repeated_rows(spark):
     b = spark.createDataFrame([(7, "a b c d e f g h i j k l"), (8, "a b c d e f g h i j k l")], "item_id long, text string")
     got = sorted(((x.doc_id, x.item_id) for x in dc.op_query(d, b).collect()), key=repr)
     assert got == sorted([(None, 7), (None, 8), (1, 7), (1, 8), (1, 7), (1, 8)], key=repr)
+
+
+def test_very_long_text_and_pieces(spark, monkeypatch):
+    docs, items = tables(6)
+    long = " ".join(t for _, t in docs if t)
+    d = spark.createDataFrame([(1, long)], "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = {x.item_id: (round(x.similarity, 9), x.first_word, x.n_words) for x in dc.op_query(d, b).collect()}
+    finder = dc.Finder(items)
+    monkeypatch.setattr(dc, "PIECE", 900)
+    assert {items[n][0]: (round(s, 9), at, w) for n, s, at, w in finder.hits(long)} == got and len(got) > 15
+    assert [w for base, seq in finder.pieces(long) for w in seq[-1:]][-1] == dc.words(long)[-1]
+
+
+def test_what_the_multi_index_passes():
+    """All fingerprints within the radius, and few others."""
+    r = np.random.default_rng(3)
+    shingles = [r.integers(0, 2**63, 60).astype(np.uint64) for _ in range(400)]
+    c = dc.SizeClass(64, list(range(400)), shingles)
+    assert min(b - a for a, b, *_ in c.blocks) >= 14
+    far = r.integers(0, 2, (300, dc.BITS)).astype(np.uint8)
+    assert len(c.met(far)) < 0.25 * 300 * 400
+    close = c.prints[:300].copy()
+    for k in range(300):
+        close[k, r.choice(dc.BITS, dc.RADIUS, replace=False)] ^= 1
+    w, i = c.near(close)
+    assert {(k, k) for k in range(300)} <= set(zip(w.tolist(), i.tolist(), strict=True))
+
+
+def test_recall_at_the_least_similarity():
+    r, hit, total = random.Random(8), 0, 0
+    for _ in range(300):
+        item = [f"w{r.randrange(5000)}" for _ in range(45)]
+        text = list(item)
+        text[0] = text[1] = text[2] = text[3] = "other"  # four shingles: 37 / 45 = 0.82
+        got = dc.Finder([(1, " ".join(item))]).hits(" ".join(["before"] + text + ["after"]))
+        total += 1
+        hit += bool(got)
+    assert hit >= 0.99 * total
