@@ -13,9 +13,11 @@ give the library's tokens for the whole text:
   end, the weight of the best path between them. As weights are 0 or minus
   infinity only, a row of a max-plus matrix is a set of bits, and the
   matrix product is an OR of rows.
-* Matrices of neighbouring chunks are combined associatively to give the one
-  state at each cut that lies on the path; each chunk is then traced back by
-  itself from the two states at its ends.
+* Matrices of neighbouring chunks are combined associatively, up a tree of
+  RADIX children a node, level by level over all documents at once; then the
+  two states at the ends of each node, from the root down, give those at
+  the ends of its children. No task handles more than RADIX matrices of a
+  document. Each chunk is then traced back by itself from the states at its ends.
 
 Where no piece of the vocabulary has a space after another character, every
 path has a token end before each space that follows another character. There,
@@ -23,14 +25,14 @@ a matrix has rank one, and what lies between a chunk's first and last such
 place is encoded by the library.
 
 Edge cases: null and empty texts have no tokens. Repeated rows are encoded each.
-An empty table gives an empty result. Texts with U+2581, which the model uses
+Very long texts are cut one at a time. An empty table gives an empty result. Texts with U+2581, which the model uses
 for spaces, don't decode to themselves; `exact` is false for those. Columns to
 carry along are named by the caller and may have any name but `ids` and `n_chunks`.
 """
 
 from __future__ import annotations
 
-import json
+import struct
 from functools import cached_property
 from itertools import chain
 
@@ -41,11 +43,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import STEP, in_steps, stored
+from .common import STEP, checkpoint, in_steps, stored
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters from which a text is cut into chunks of about half as many.
 GIANT = 50_000
+#: Children of a node when matrices are combined.
+RADIX = 8
 SPACE = "▁"
 START = (0, 0)
 
@@ -219,19 +223,70 @@ def combine(a: dict, b: dict) -> dict:
     return {"entries": a["entries"], "exits": b["exits"], "rows": rows}
 
 
-def solve(matrices: list[dict]) -> list[tuple[int, int]]:
-    """The state at each cut, from the start to the end of the text."""
-    sums = matrices[:1]
-    for m in matrices[1:]:
-        sums.append(combine(sums[-1], m))
-    reached = [{tuple(x) for k, x in enumerate(m["exits"]) if m["rows"][0] >> k & 1} for m in sums]
-    state = next(x for x in reached[-1] if x[0] == x[1])
-    path = [state]
+def solve(matrices: list[dict], entry: tuple[int, int] = START, leave: tuple[int, int] | None = None) -> list[tuple[int, int]]:
+    """The state at each cut, from the first to the last; at the end of a text the state is the token that ends there."""
+    here, reached = {entry}, []
+    for m in matrices:
+        bits = 0
+        for x, row in zip(m["entries"], m["rows"], strict=True):
+            if tuple(x) in here:
+                bits |= row
+        here = {tuple(x) for k, x in enumerate(m["exits"]) if bits >> k & 1}
+        reached.append(here)
+    path = [leave or next(x for x in here if x[0] == x[1])]
     for k in range(len(matrices) - 1, 0, -1):
         m = matrices[k]
         j = [tuple(x) for x in m["exits"]].index(path[-1])
         path.append(next(tuple(x) for x, row in zip(m["entries"], m["rows"], strict=True) if row >> j & 1 and tuple(x) in reached[k - 1]))
-    return [START, *reversed(path)]
+    return [entry, *reversed(path)]
+
+
+def packed(m: dict) -> bytes:
+    """A transfer matrix as bytes: states, then each row's bits."""
+    width = (len(m["exits"]) + 7) // 8
+    states = np.array([*m["entries"], *m["exits"]], "<u2").reshape(-1, 2)
+    return struct.pack("<HHH", len(m["entries"]), len(m["exits"]), width) + states.tobytes() + b"".join(r.to_bytes(width, "little") for r in m["rows"])
+
+
+def unpacked(blob: bytes) -> dict:
+    n, m, width = struct.unpack_from("<HHH", blob)
+    states = [tuple(x) for x in np.frombuffer(blob, "<u2", 2 * (n + m), 6).reshape(-1, 2).tolist()]
+    at = 6 + 4 * (n + m)
+    return {"entries": states[:n], "exits": states[n:], "rows": [int.from_bytes(blob[at + k * width : at + (k + 1) * width], "little") for k in range(n)]}
+
+
+def scanned(matrices: DataFrame) -> DataFrame:
+    """(_fx_row, _fx_chunk, states) from (_fx_row, _fx_chunk, matrix): the states at both ends of each chunk, by a tree of combinations."""
+    ids = ["_fx_row", "_fx_chunk"]
+    node = F.floor(F.col("_fx_chunk") / RADIX).cast("int").alias("_fx_node")
+    levels = [stored(matrices, "matrices")]
+    most = levels[0].agg(F.max("_fx_chunk")).first()[0] or 0
+
+    def up(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(table.column("_fx_chunk").to_pylist(), table.column("matrix").to_pylist(), strict=True))
+        m = unpacked(rows[0][1])
+        for _, x in rows[1:]:
+            m = combine(m, unpacked(x))
+        return pa.table({"_fx_row": table.column("_fx_row").slice(0, 1), "_fx_chunk": pa.array([rows[0][0] // RADIX], pa.int32()), "matrix": pa.array([packed(m)], pa.binary())})
+
+    while most > 0:
+        levels.append(stored(levels[-1].groupBy("_fx_row", node).applyInArrow(up, "_fx_row long, _fx_chunk int, matrix binary"), "matrices"))
+        most //= RADIX
+
+    def down(table: pa.Table) -> pa.Table:
+        order = np.argsort(table.column("_fx_chunk").to_numpy())
+        ends = table.column("ends")[0].as_py()
+        path = solve([unpacked(table.column("matrix")[int(k)].as_py()) for k in order], START if ends is None else (ends[0], ends[1]), None if ends is None else (ends[2], ends[3]))
+        t = table.select(ids).take(pa.array(order))
+        return t.append_column("states", pa.array([[*x, *y] for x, y in zip(path, path[1:], strict=False)], pa.list_(pa.int32())))
+
+    # a text's ends are known; a text of one chunk is its own node
+    states = levels[-1].select("_fx_row", F.col("_fx_chunk").alias("_fx_node"), F.lit(None).cast("array<int>").alias("ends"))
+    for level in reversed(levels[:-1] or levels):
+        met = level.select(*ids, "matrix", node).join(states, ["_fx_row", "_fx_node"])
+        states = met.groupBy("_fx_row", "_fx_node").applyInArrow(down, "_fx_row long, _fx_chunk int, states array<int>")
+        states = checkpoint(states).select("_fx_row", F.col("_fx_chunk").alias("_fx_node"), F.col("states").alias("ends"))
+    return states.select("_fx_row", F.col("_fx_node").alias("_fx_chunk"), F.col("ends").alias("states"))
 
 
 def cuts(n: int, size: int) -> list[int]:
@@ -270,7 +325,7 @@ def encode(docs: DataFrame, proto: bytes, keep: list[str], giant: int = GIANT) -
     cut_schema = T.StructType([rows.schema["_fx_row"], rows.schema["_fx_keep"], T.StructField("_fx_chunk", T.IntegerType()), T.StructField("_fx_last", T.BooleanType()), T.StructField("_fx_lead", T.IntegerType()), T.StructField("_fx_end", T.IntegerType()), T.StructField("_fx_text", T.StringType())])
 
     def cut(batches):
-        for b in batches:
+        for b in in_steps(batches, "text"):
             for i, t in enumerate(b.column("text").to_pylist()):
                 s = SPACE + t.replace(" ", SPACE)
                 at = cuts(len(s), giant // 2)
@@ -287,24 +342,16 @@ def encode(docs: DataFrame, proto: bytes, keep: list[str], giant: int = GIANT) -
 
     def transfer(batches):
         p = Pieces(model.value)
-        for b in batches:
-            got = [json.dumps(p.transfer(t, a, e, k == 0)) for t, a, e, k in zip(*(b.column(c).to_pylist() for c in ("_fx_text", "_fx_lead", "_fx_end", "_fx_chunk")), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("_fx_row"), b.column("_fx_chunk"), pa.array(got, pa.string())], ["_fx_row", "_fx_chunk", "matrix"])
+        for b in in_steps(batches, "_fx_text"):
+            got = [packed(p.transfer(t, a, e, k == 0)) for t, a, e, k in zip(*(b.column(c).to_pylist() for c in ("_fx_text", "_fx_lead", "_fx_end", "_fx_chunk")), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("_fx_row"), b.column("_fx_chunk"), pa.array(got, pa.binary())], ["_fx_row", "_fx_chunk", "matrix"])
 
     spread = chunks.repartition("_fx_row", "_fx_chunk")
-    matrices = spread.select("_fx_row", "_fx_chunk", "_fx_text", "_fx_lead", "_fx_end").mapInArrow(transfer, "_fx_row long, _fx_chunk int, matrix string")
-
-    def scan(table: pa.Table) -> pa.Table:
-        got = sorted(zip(table.column("_fx_chunk").to_pylist(), table.column("matrix").to_pylist(), strict=True))
-        path = solve([json.loads(m) for _, m in got])
-        flat = [[*x, *y] for x, y in zip(path, path[1:], strict=False)]
-        return pa.table({"_fx_row": table.column("_fx_row"), "_fx_chunk": pa.array([k for k, _ in got], pa.int32()), "states": pa.array(flat, pa.list_(pa.int32()))})
-
-    states = matrices.groupBy("_fx_row").applyInArrow(scan, "_fx_row long, _fx_chunk int, states array<int>")
+    states = scanned(spread.select("_fx_row", "_fx_chunk", "_fx_text", "_fx_lead", "_fx_end").mapInArrow(transfer, "_fx_row long, _fx_chunk int, matrix binary"))
 
     def back(batches):
         p = Pieces(model.value)
-        for b in batches:
+        for b in in_steps(batches, "_fx_text"):
             got = [p.backtrace(t, a, e, (x[0], x[1]), (x[2], x[3])) for t, a, e, x in zip(*(b.column(c).to_pylist() for c in ("_fx_text", "_fx_lead", "_fx_end", "states")), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("_fx_row"), b.column("_fx_keep"), b.column("_fx_chunk"), pa.array(got, pa.list_(pa.int32()))], ["_fx_row", "_fx_keep", "_fx_chunk", "ids"])
 
@@ -328,9 +375,10 @@ def decode(tokens: DataFrame, proto: bytes) -> DataFrame:
     return tokens.mapInArrow(work, T.StructType([*tokens.schema.fields, T.StructField("decoded", T.StringType())]))
 
 
-def op_query(docs: DataFrame, path: str = MODEL) -> DataFrame:
-    """doc_id, n_tokens, n_chunks, ids_hash (of the ids), decoded_sha256, and whether decoding gives the text back."""
+def op_query(docs: DataFrame, path: str = MODEL, keep_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, n_chunks, ids_hash (of the ids), decoded_sha256, and whether decoding gives the text back; the ids, if they are to be kept."""
     proto = model_bytes(docs.sparkSession, path)
     named = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_sha256", F.sha2("text", 256))
     out = decode(encode(named, proto, ["doc_id", "text_sha256"]), proto)
-    return out.select("doc_id", F.size("ids").alias("n_tokens"), "n_chunks", F.xxhash64("ids").alias("ids_hash"), F.sha2("decoded", 256).alias("decoded_sha256"), (F.sha2("decoded", 256) == F.col("text_sha256")).alias("exact"))
+    kept = ["ids"] if keep_ids else []
+    return out.select("doc_id", F.size("ids").alias("n_tokens"), "n_chunks", F.xxhash64("ids").alias("ids_hash"), F.sha2("decoded", 256).alias("decoded_sha256"), (F.sha2("decoded", 256) == F.col("text_sha256")).alias("exact"), *kept)
