@@ -45,10 +45,10 @@ def word_files(spark: SparkSession, path: str, pattern: str = "*_reuses.tsv", re
     )
 
 
-def tsv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """A table with a header, all strings."""
+def tsv(spark: SparkSession, path: str, schema: T.StructType | None = None, infer: bool = False) -> DataFrame:
+    """A table with a header: of a schema, or with types read off the values, or all strings."""
     reader = spark.read.option("sep", "\t").option("header", "true").option("quote", '"').option("escape", '"')
-    return (reader.schema(schema) if schema else reader.option("inferSchema", "false")).csv(path)
+    return (reader.schema(schema) if schema else reader.option("inferSchema", str(infer).lower())).csv(path)
 
 
 def positional(spark: SparkSession, path: str, columns: dict[int, str], width: int) -> DataFrame:

@@ -8,12 +8,12 @@ from ..operators import sequence
 from ..sources import files
 
 
-def stream_sentences(spark: SparkSession, path: str, out: str, checkpoint: str, available_now: bool = True):
+def stream_sentences(spark: SparkSession, path: str, out: str, checkpoint: str, available_now: bool = True, files_at_once: int = 1000):
     """Writes the sentences of word files to Parquet, each file once.
 
-    A file is a document, and arrives whole, so sentences need no state between batches.
+    A file is a document, and arrives whole, so sentences need no state between batches, which have files_at_once files at most.
     """
-    arrivals = spark.readStream.format("binaryFile").option("pathGlobFilter", "*_reuses.tsv").option("recursiveFileLookup", "true").schema("path string, modificationTime timestamp, length long, content binary").load(path)
+    arrivals = spark.readStream.format("binaryFile").option("pathGlobFilter", "*_reuses.tsv").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_at_once).schema("path string, modificationTime timestamp, length long, content binary").load(path)
 
     def handle(batch: DataFrame, number: int) -> None:
         paths = [x.path for x in batch.select("path").collect()]

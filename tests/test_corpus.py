@@ -47,6 +47,7 @@ def test_other_sources(spark, tmp_path):
     (tmp_path / "t.tsv").write_text("a\tb\tc\n1\t2\t3\n4\t5\n")
     assert [tuple(x) for x in files.positional(spark, str(tmp_path / "t.tsv"), {0: "x", 2: "z"}, 3).collect()] == [("1", "3")]
     assert files.tsv(spark, str(tmp_path / "t.tsv")).columns == ["a", "b", "c"]
+    assert [t for _, t in files.tsv(spark, str(tmp_path / "t.tsv"), infer=True).dtypes] == ["int", "int", "int"]
     (tmp_path / "p.csv").write_text("1 Col ,1 Co\n\nA,b,c\n")
     assert files.pairs(spark, str(tmp_path / "p.csv")) == [("1 Col ", "1 Co"), ("A", "b,c")]
     (tmp_path / "w.txt").write_text("et \nin\n")
