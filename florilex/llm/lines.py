@@ -120,20 +120,13 @@ def _paired(rows: DataFrame, key: str, edits: int) -> DataFrame:
     return a.join(b, (a.x == b.y) & ((F.col("delta") > 0) | (F.col("a1") < F.col("b1"))) & close).select("a1", "b1")
 
 
-def _shared(a: Column, b: Column, most: Column, piece) -> Column:
-    """How long a beginning (or end, as piece has it) two strings share, up to most: by halving steps."""
+def _shared(a: Column, b: Column, most: Column) -> Column:
+    """How long a beginning two strings share, up to most: by halving steps."""
+    piece = lambda x, p, s: F.substring(x, p + 1, s)
     step = lambda p, s: F.when((p + s <= most) & (piece(a, p, s) == piece(b, p, s)), p + s).otherwise(p)
     return F.aggregate(F.array(*[F.lit(1 << k) for k in range(30, -1, -1)]), F.lit(0), step)
 
 
-def _begin(x: Column, p: Column, s: Column) -> Column:
-    return F.substring(x, p + 1, s)
-
-
-def _end(x: Column, p: Column, s: Column) -> Column:
-    return F.substring(x, F.octet_length(x) - p - s + 1, s)
-
-
 def _rest(s: str, edits: int) -> Column:
     """A line without the segment that it has at its place at."""
     places = list(_places(edits))
@@ -148,7 +141,7 @@ def _stripped(rows: DataFrame) -> DataFrame:
     """Groups g without what all their lines begin and end with; size is what is left of the indexed ones. rows: g, h1, counts, own, delta, r."""
     rows, back = stored(rows, "rests"), F.reverse("r")
     ends = rows.groupBy("g").agg(F.count("*").alias("n"), F.min(F.length("r") - F.when(F.col("own"), 0).otherwise(F.col("delta"))).alias("size"), F.min("r").alias("a"), F.max("r").alias("b"), F.min(back).alias("c"), F.max(back).alias("d"))
-    ends = ends.withColumn("p", _shared(F.col("a"), F.col("b"), F.col("size"), _begin)).withColumn("q", _shared(F.col("c"), F.col("d"), F.col("size") - F.col("p"), _begin))
+    ends = ends.withColumn("p", _shared(F.col("a"), F.col("b"), F.col("size"))).withColumn("q", _shared(F.col("c"), F.col("d"), F.col("size") - F.col("p")))
     ends = stored(ends.select("g", "n", "p", "q", (F.col("size") - F.col("p") - F.col("q")).alias("size")), "ends")
     return join_counted(rows, ends, ["g"]).select("g", "h1", "counts", "own", "delta", F.substring("r", F.col("p") + 1, F.length("r") - F.col("p") - F.col("q")).alias("r"), "size")
 
@@ -191,6 +184,10 @@ def candidates(rows: DataFrame, edits: int, texts) -> DataFrame:
 
 
 def banded_distance(a: str, b: str, edits: int) -> Column:
+    return F.expr(_walked(a, b, edits))
+
+
+def _walked(a: str, b: str, edits: int) -> str:
     """The edit distance of two binary columns if it is at most edits, else something larger.
 
     Lengths must be at least edits, and differ by edits at most. The columns of
@@ -211,7 +208,7 @@ def banded_distance(a: str, b: str, edits: int) -> Column:
     bound = f"transform(array({match}), x -> transform(array({diagonal}), d -> {step})[0])[0]"
     walk = f"aggregate(sequence(1, n), named_struct('vp', {ones - (1 << t) + 1}L, 'vn', 0L, 's', {t}), (v, j) -> {bound}, v -> v.s)"
     chars = lambda c: f"split(decode({c}, 'ISO-8859-1'), '')"
-    return F.expr(f"transform(array(struct({chars(a)} as p, {chars(b)} as q, octet_length({a}) as m, octet_length({b}) as n)), z -> {_inside(walk)})[0]")
+    return f"transform(array(struct({chars(a)} as p, {chars(b)} as q, octet_length({a}) as m, octet_length({b}) as n)), z -> {_inside(walk)})[0]"
 
 
 def _inside(expression: str) -> str:
@@ -248,11 +245,20 @@ def pairs(docs: DataFrame, first: DataFrame, edits: int = EDITS, min_bytes: int
     # one key may hold many candidates that no other task shares: they are dealt out before they are verified
     both = found.join(left, "a1").join(right, "b1").where((F.abs(F.octet_length("a") - F.octet_length("b")) <= edits) & (F.col("a") != F.col("b"))).repartition("a1", "b1")
     both = both.where(_alike(edits))
-    # the distance of what the common beginning and end leave; at least edits bytes stay
-    room = F.least(F.octet_length("a"), F.octet_length("b")) - edits
-    both = both.withColumn("p", _shared(F.col("a"), F.col("b"), room, _begin)).withColumn("q", _shared(F.col("a"), F.col("b"), room - F.col("p"), _end))
-    middle = lambda c: F.substring(c, F.col("p") + 1, F.octet_length(c) - F.col("p") - F.col("q")).alias(c)
-    return both.select("a1", "a2", "b1", "b2", middle("a"), middle("b")).where(banded_distance("a", "b", edits) <= edits).select("a1", "a2", "b1", "b2")
+    return both.where(_distance(edits) <= edits).select("a1", "a2", "b1", "b2")
+
+
+def _distance(edits: int) -> Column:
+    """The distance of lines a and b, of what their common beginning and end leave; at least edits bytes stay.
+
+    Each step is bound by the array of one element, so that it is taken once.
+    """
+    steps = ", ".join(str(1 << k) for k in range(30, -1, -1))
+    room = f"(least(octet_length(a), octet_length(b)) - {edits})"
+    begin = f"aggregate(array({steps}), 0, (v, s) -> if(v + s <= {room} and substring(a, v + 1, s) = substring(b, v + 1, s), v + s, v))"
+    end = f"aggregate(array({steps}), 0, (v, s) -> if(v + s <= {room} - u and substring(a, octet_length(a) - v - s + 1, s) = substring(b, octet_length(b) - v - s + 1, s), v + s, v))"
+    middle = "named_struct('a', substring(a, u + 1, octet_length(a) - u - w), 'b', substring(b, u + 1, octet_length(b) - u - w))"
+    return F.expr(f"transform(array({begin}), u -> transform(array({end}), w -> transform(array({middle}), y -> {_walked('y.a', 'y.b', edits)})[0])[0])[0]")
 
 
 def removals(docs: DataFrame, edits: int = EDITS, min_bytes: int = MIN_BYTES) -> DataFrame:
@@ -284,7 +290,7 @@ def op_query(docs: DataFrame) -> DataFrame:
         F.countDistinct("_fx_pos").alias("n_removed"),
         F.array_join(F.array_sort(F.collect_set(F.nullif("first._fx_rank", F.lit(LAST)))), ",").alias("first_doc_ids"),
     )
-    n_lines = F.length(F.coalesce("text", F.lit(""))) - F.length(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(""))) + 1
+    n_lines = F.octet_length(F.coalesce("text", F.lit(""))) - F.octet_length(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(""))) + 1
     rows = _identified(docs, "doc_id", n_lines.cast("long").alias("n_lines"))
     return rows.join(gone, DOC, "left").select("doc_id", "n_lines", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed", F.lit("")).alias("removed"), F.coalesce("first_doc_ids", F.lit("")).alias("first_doc_ids"))
 
