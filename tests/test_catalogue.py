@@ -6,7 +6,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from florilex.plans import catalogue
+from florilex.plans import catalogue, file_queries  # noqa: F401 - registers its queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
