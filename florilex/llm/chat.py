@@ -18,8 +18,9 @@ plain.
 Edge cases: a null conversation, turn or identifier links to nothing and is kept
 (pending or orphan). Null arguments, or ones that are not JSON, are invalid. Rows repeated in
 full tie and get the same status. Calls that name unknown or later calls in
-after: the unknown are ignored, the later are waited for. Empty tables give
-empty results. Other columns are ignored.
+after: the unknown are ignored, the later are waited for. Very long texts are
+handled like others. Empty tables give empty results. Other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations

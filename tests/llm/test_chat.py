@@ -77,3 +77,11 @@ def test_query_on_plain_conversations(spark, tmp_path):
     chat.write_lines(out, str(tmp_path / "lines"))
     assert sorted(x.value for x in spark.read.text(str(tmp_path / "lines")).collect()) == sorted(x.json for x in out.collect())
     assert chat.op_query(df.limit(0)).collect() == []
+
+
+def test_very_long_texts_and_names_of_the_result(spark):
+    long = "x" * 3_000_000
+    rows = [call(1, "a", json.dumps({"a": 1, "b": long})), result(2, "a", long), (1, 3, "user", "plain", None, None, None, long, None)]
+    got = run(spark, rows)
+    assert (got[1, 1, "call"].status, got[1, 1, "call"].errors) == ("linked", "b: range")
+    assert json.loads(got[1, 2, "result"].json)["content"] == json.loads(got[1, 3, "plain"].json)["content"] == long
