@@ -235,6 +235,20 @@ def deagglomerate_segments(spark, sf_dir):
     return expand.split_references(_agglomerated(spark, sf_dir), longest=True).select("k", "part_no", "reference", "label")
 
 
+@query(
+    """WITH r AS (SELECT o_orderkey AS k, CASE o_orderkey % 3 WHEN 0 THEN ['Ps ' || o_orderkey || ':1', 'Mt ' || o_orderkey || ':2'] WHEN 1 THEN ['; Ps ' || o_orderkey || ':1'] ELSE ['Ps ' || o_orderkey || ':1', 'Mt ' || o_orderkey || ':2'] END AS refs,
+  CASE o_orderkey % 3 WHEN 0 THEN ['Quotation', 'Quotation'] WHEN 1 THEN [' Quotation'] ELSE ['allusion', 'Quotation'] END AS labels FROM orders)
+ SELECT k, unnest(range(len(refs)))::INT AS part_no, unnest(refs) AS reference, unnest(labels) AS label FROM r"""
+)
+def split_cleanup(spark, sf_dir):
+    """Separators and blanks that are left over go from rows that were split, and stay in all others."""
+    k = F.col("o_orderkey")
+    kind, ps, mt = k % 3, F.concat(F.lit("Ps "), k, F.lit(":1")), F.concat(F.lit("Mt "), k, F.lit(":2"))
+    ref = F.when(kind == 0, F.concat(ps, F.lit(" ;  "), mt)).when(kind == 1, F.concat(F.lit("; "), ps)).otherwise(F.concat(ps, F.lit(" ; ; "), mt))
+    label = F.when(kind == 0, "Quotation").when(kind == 1, " Quotation").otherwise("allusion ;  Quotation ")
+    return expand.split_references(table(spark, sf_dir, "orders").select(k.alias("k"), ref.alias("reference"), label.alias("label"))).select("k", "part_no", "reference", "label")
+
+
 @query("SELECT l_orderkey, l_linenumber, l_partkey, unnest(range(0, 2))::INT AS verse_no, unnest(['P ' || l_orderkey || ':' || l_linenumber, 'P ' || l_orderkey || ':' || (l_linenumber + 1) || '-9']) AS reference FROM lineitem")
 def verse_list_split(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.concat(F.lit("P "), "l_orderkey", F.lit(":"), "l_linenumber", F.lit(". "), F.col("l_linenumber") + 1, F.lit("-9")).alias("reference"))

@@ -32,6 +32,8 @@ def write_files(df: DataFrame, path: str, name: str, content: str) -> DataFrame:
     that runs again leaves the same files.
     """
 
+    path = path.removeprefix("file://").removeprefix("file:")
+
     def work(batches):
         for b in batches:
             for n, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
