@@ -21,11 +21,11 @@ Counts are kept as codes of three bits that differ in as many bits as the counts
 
 Where over CROWDED lines of one length share a segment, it goes on mattering
 what else they have: without that segment, and without what all lines of the group begin and end
-with, they lie within as many edits as before. If only a few bytes are left, as
-of one boilerplate line with numbers in it, these rests are cut into segments and joined in
+with, they lie within as many edits as before. These rests are cut into segments and joined in
 the same way, until groups are small or at most EDITS bytes are left. So
-variants hardly multiply. Groups with longer rests, as of copies of one line that
-are changed in many places, are joined by the counts. The segments that most lines share don't cross the network at all.
+variants of boilerplate, with numbers in it, hardly multiply. Only groups whose
+rows become more and more that way, as of copies of one long line that
+are changed in many places, are joined by the counts at once. The segments that most lines share don't cross the network at all.
 
 Edge cases: null and empty texts have one empty line. A null doc_id ranks last;
 documents without one, or with the same one, rank by a hash of their text. Rows
@@ -48,8 +48,8 @@ from .common import checkpoint, join_counted, stored
 EDITS, MIN_BYTES = 2, 20
 #: Indexed lines under one segment from which on their rests are looked at.
 CROWDED = 32
-#: Bytes of rests that are cut into segments again.
-NARROW = 16
+#: Rests of so many bytes are always cut into segments again; longer ones unless that makes GROWTH times as many rows of them.
+NARROW, GROWTH = 16, 1.5
 #: Segments whose lines are known to be crowded where they lie, as so many of them share it.
 HEAVY = 1000
 #: Signs that are counted, and the codes of 0 to 5: a code's neighbours differ in one bit.
@@ -170,16 +170,17 @@ def candidates(rows: DataFrame, edits: int, texts) -> DataFrame:
     crowd = crowd.where("own").withColumn("delta", F.explode(F.array(*[F.lit(d) for d in range(edits + 1)]))).unionByName(probing)
     crowd = crowd.select(F.xxhash64("k", "delta").alias("g"), "h1", "counts", "own", "delta", _rest("s", edits).alias("r"))
     while not crowd.isEmpty():
-        rest = stored(_stripped(crowd), "narrowed")
-        # at most as many bytes as edits are left: few lines can differ so little, and those of one length are all true pairs
-        narrow = (F.col("size") > edits) & (F.col("size") <= NARROW)
-        out = out.unionByName(checkpoint(_paired(rest.where(~narrow), "g", edits).distinct()))
+        rest = stored(_stripped(crowd), "stripped")
         key = lambda i, off: _key("r", F.col("size"), i, parts, off, F.col("g"))
         chosen = [F.when(F.col("own"), key(i, off) if k in indexed else None).when(F.col("delta") == delta, key(i, off)) for k, (i, delta, off) in enumerate(places)]
-        every = rest.where(narrow).select("h1", "counts", "own", "delta", "r", F.posexplode(F.array(*chosen)).alias("at", "k")).where("k is not null")
+        every = rest.where(F.col("size") > edits).select("g", "h1", "counts", "own", "delta", "r", F.posexplode(F.array(*chosen)).alias("at", "k")).where("k is not null")
         found = stored(_live(every), "shared")
-        out = out.unionByName(checkpoint(_paired(found.where(F.col("n") <= CROWDED), "k", edits).distinct()))
-        crowd = found.where(F.col("n") > CROWDED).select(F.col("k").alias("g"), "h1", "counts", "own", "delta", _rest("r", edits).alias("r"))
+        crowd = found.where(F.col("n") > CROWDED)
+        # at most as many bytes as edits are left: few lines can differ so little, and those of one length are all true pairs
+        whole = rest.groupBy("g").agg(F.count("*").alias("before"), F.first("size").alias("size")).join(crowd.groupBy("g").agg(F.count("*").alias("after")), "g", "left")
+        whole = checkpoint(whole.where((F.col("size") <= edits) | (F.col("size") > NARROW) & (F.col("after") > GROWTH * F.col("before"))).select("g"))
+        out = out.unionByName(checkpoint(_paired(rest.join(whole, "g", "left_semi"), "g", edits).unionByName(_paired(found.where(F.col("n") <= CROWDED).join(whole, "g", "left_anti"), "k", edits)).distinct()))
+        crowd = crowd.join(whole, "g", "left_anti").select(F.col("k").alias("g"), "h1", "counts", "own", "delta", _rest("r", edits).alias("r"))
     return out.distinct()
 
 

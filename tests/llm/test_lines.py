@@ -122,6 +122,21 @@ def test_variants_of_boilerplate(spark):
     assert len(found) < 100 * len(text), len(found) / len(text)
 
 
+def test_copies_of_a_line_changed_in_many_places(spark):
+    r = random.Random(6)
+    base = " ".join(f"word{k}" for k in range(14))
+    rows = []
+    for k in range(220):
+        x = base
+        for _ in range(r.choice([1, 1, 2])):
+            at = r.randrange(len(x))
+            x = x[:at] + "".join(r.choice("xyz") for _ in range(r.choice([0, 1, 3]))) + x[at + r.choice([0, 1]) :]
+        rows.append((k, x))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.n_removed for x in lines.op_query(df).collect()}
+    assert got == {d: len(g) for (d, _), g in zip(rows, expected(rows), strict=True)} and 0 < sum(got.values()) < 220
+
+
 def test_crowded_segments_lose_no_pair(spark):
     r = random.Random(5)
     rows = [(k, f"{r.choice(['alpha', 'beta'])} section {r.randrange(40)}{r.choice(['', '.', 'x'])} of the manual, part {r.randrange(9)} and page {r.choice('abcde')}{r.randrange(12)}") for k in range(260)]
