@@ -11,11 +11,13 @@ document with a smaller doc_id.
 2. Regions. For each remaining anchor, its windows (a run of places) make a
    region of text. Regions are dealt out by the anchor's hash, so all windows
    that can equal one another meet. Equal regions of a batch are merged
-   first: all but those of the least document are removed for certain.
+   first, as a group that most documents share would else meet in one task:
+   all but those of the least document are removed for certain.
 3. Suffix arrays, by two-stage sorting: suffixes smaller than their successors
    are sorted directly (to the depth that matters), all others are induced by
    one scan over the buckets of first bytes. Adjacent common prefixes of at
    least MATCH bytes make the groups, whose least document keeps its copy.
+   Equal regions go into an array once, for the least document that has them.
 4. The removed ranges are joined back to the documents and merged.
 
 Texts cross the network once (both joins use the same exchange), compressed and
@@ -38,6 +40,7 @@ import struct
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -55,6 +58,8 @@ RANGE_BYTES, PIECE = 16 << 20, 1 << 19
 SLICE = 8 << 20
 #: Hash ranges at least.
 LEAST_RANGES = 64
+#: Up to FAN * FAN hash ranges (64 GB of text) anchors cross the network once.
+FAN = 64
 #: A hash range is handled in so many parts, one after another (a power of two).
 SUBRANGES = 4
 #: Region bytes for one suffix array.
@@ -129,47 +134,46 @@ def _halves(match: int) -> tuple[int, int]:
     return half, match - half + 1
 
 
-def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
+def sevens(t: np.ndarray) -> np.ndarray:
+    """Each number of t with the six that follow it, in one word."""
+    wide = np.concatenate((t, np.zeros(8, t.dtype))).astype(np.uint64)
+    two = wide[:-1] << np.uint64(9) | wide[1:]
+    four = two[:-2] << np.uint64(18) | two[2:]
+    return (four[: len(t) + 2] << np.uint64(27) | two[4 : len(t) + 6] << np.uint64(9) | wide[6 : len(t) + 8])[: len(t)]
+
+
+def _next(flags: np.ndarray) -> np.ndarray:
+    """The first flagged place at or after each, or the length."""
+    return np.minimum.accumulate(np.where(flags, np.arange(len(flags)), len(flags))[::-1])[::-1]
+
+
+def suffix_array(t: np.ndarray, depth: int, wanted: np.ndarray | None = None, seven: np.ndarray | None = None) -> np.ndarray:
     """Suffixes of t (numbers under 512, 0 as a separator) in order of their first depth numbers, or as far as a separator.
 
     Two-stage sorting: a suffix is of type B if it is smaller than its
-    successor. Those are sorted directly, seven numbers at a time, and ties on.
+    successor. Those are sorted directly, by their first depth numbers.
     Within the bucket of a first number the others (type A) come first; a scan
     of the buckets in order puts each suffix's predecessor, if of type A, at the
-    next place of its own bucket.
+    next place of its own bucket. wanted: places whose suffixes are asked for;
+    then only those of type B are sorted that they, or their chains of type A, need.
     """
     n = len(t)
-    turn = np.flatnonzero(np.append(t[:-1] != t[1:], True))  # the last suffix is larger than the empty one
-    after = turn[np.searchsorted(turn, np.arange(n))]
+    seven = sevens(t) if seven is None else seven
+    after = _next(np.append(t[:-1] != t[1:], True))  # the last of each run; the last suffix is larger than the empty one
     small = np.append(t, 0)[np.minimum(after + 1, n)] > t[after]
     small[after == n - 1] = False
-    wide = np.concatenate((t, np.zeros(8, t.dtype))).astype(np.uint64)
-    two = wide[:-1] << np.uint64(9) | wide[1:]
-    four = two[:-2] << np.uint64(18) | two[2:]
-    seven = (four[: n + 2] << np.uint64(27) | two[4 : n + 6] << np.uint64(9) | wide[6 : n + 8])[:n]
-    ends = np.append(np.flatnonzero(t == 0), n)
-    close = ends[np.searchsorted(ends, np.arange(n))]  # the separator at or after each place
 
     b = np.flatnonzero(small)
-    b = b[np.argsort(seven[b], kind="stable")]
-    key = seven[b]
-    group = np.cumsum(np.concatenate(([0], key[1:] != key[:-1]))) if len(b) else np.zeros(0, np.int64)
-    for done in range(7, depth, 7):
-        tied = np.concatenate(([False], group[1:] == group[:-1])) if len(b) else np.zeros(0, bool)
-        tied[:-1] |= tied[1:]
-        where = np.flatnonzero(tied & (close[b] - b >= done)) if len(b) else []
-        if not len(where):
-            break
-        part, g = b[where], group[where]
-        key = seven[np.minimum(part + done, n - 1)]
-        order = np.lexsort((key, g))
-        b[where], key, g = part[order], key[order], g[order]
-        # groups keep their number unless they are split
-        step = np.concatenate(([0], (g[1:] != g[:-1]) | (key[1:] != key[:-1])))
-        fine = np.full(len(b), -1)
-        fine[where] = np.cumsum(step)
-        both = np.concatenate(([0], (group[1:] != group[:-1]) | (fine[1:] != fine[:-1])))
-        group = np.cumsum(both)
+    if wanted is not None:
+        need = np.zeros(n + 1, bool)
+        need[_next(small)[wanted]] = True
+        b = np.flatnonzero(need[:n])
+    if n and t.max() < 256:  # as fixed strings of bytes; UTF-8 has no byte 255
+        plain = np.concatenate((t, np.zeros(depth, t.dtype))).astype(np.uint8)
+        b = b[np.argsort(np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(plain, depth)[b]).view(f"S{depth}").ravel())]
+    else:
+        far = np.concatenate((seven, np.zeros(depth, np.uint64)))
+        b = b[np.lexsort([far[b + k] for k in range(0, depth, 7)][::-1])]
     firsts = np.searchsorted(t[b], np.arange(513), side="left")
 
     larger = ~small
@@ -179,6 +183,8 @@ def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
     out = []
     for c in range(int(t.max()) + 1 if n else 0):
         own = heads[c]
+        if not own and firsts[c] == firsts[c + 1]:
+            continue
         front = np.concatenate(own) if own else np.zeros(0, np.int64)
         made = [front]
         while len(front):  # runs of c
@@ -198,7 +204,7 @@ def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
 
 
 def repeated(regions: list[bytes], docs: list[int], match: int = MATCH) -> list[np.ndarray]:
-    """For each region, whether each of its windows also stands in a region of a smaller document."""
+    """For each region, the least document in whose regions each of its windows stands. docs: the least that has each region; match: seven at least."""
     sizes = np.array([len(r) for r in regions])
     data = np.frombuffer(b"".join(regions), np.uint8)
     owner = np.repeat(np.arange(len(regions)), sizes)
@@ -207,22 +213,23 @@ def repeated(regions: list[bytes], docs: list[int], match: int = MATCH) -> list[
     starts = np.cumsum(sizes + 1) - sizes - 1
     whose = np.repeat(np.arange(len(regions)), sizes + 1)
     room = starts[whose] + sizes[whose] - np.arange(len(t)) >= match  # windows
-    sa = suffix_array(t, match)
+    seven = sevens(t)
+    sa = suffix_array(t, match, room, seven)
     sa = sa[room[sa]]
     if not len(sa):
-        return [np.zeros(max(0, s - match + 1), bool) for s in sizes]
+        return [np.full(max(0, s - match + 1), d) for s, d in zip(sizes.tolist(), docs, strict=True)]
     # adjacent common prefixes of at least match numbers
     x, y = sa[:-1], sa[1:]
     same = np.ones(len(x), bool)
-    for k in range(match):
-        live = np.flatnonzero(same) if k % 8 == 0 else live  # noqa: F821
-        same[live] &= t[x[live] + k] == t[y[live] + k]
+    for k in range(0, match, 7):  # seven numbers at a time, the last of them up to the whole length
+        live, k = np.flatnonzero(same), min(k, match - 7)
+        same[live] = seven[x[live] + k] == seven[y[live] + k]
     head = np.flatnonzero(np.concatenate(([True], ~same)))
     rank = np.array(docs, np.int64)[whose[sa]]
     least = np.minimum.reduceat(rank, head)
-    hit = np.zeros(len(t), bool)
-    hit[sa] = rank > np.repeat(least, np.diff(np.append(head, len(sa))))
-    return [hit[s : s + max(0, n - match + 1)] for s, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+    first = np.zeros(len(t), np.int64)
+    first[sa] = np.repeat(least, np.diff(np.append(head, len(sa))))
+    return [first[s : s + max(0, n - match + 1)] for s, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
 
 
 def runs(flags: np.ndarray, at: int, match: int) -> list[tuple[int, int]]:
@@ -250,15 +257,15 @@ def pack_ranges(ends: list[int]) -> bytes:
 
 
 def by_part(batches, done):
-    """Calls done(part, rows) for each run of rows of one part; rows are (key, blob). Batches are sorted by part."""
+    """Calls done(rows) for each run of rows of one part; rows are (key, rank, blob). Batches are sorted by part."""
     part, rows = None, []
     for b in batches:
-        for p, k, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+        for p, *row in zip(*(b.column(c).to_pylist() for c in NAMES), strict=True):
             if p != part and rows:
                 yield from done(rows)
                 rows = []
             part = p
-            rows.append((k, blob))
+            rows.append(row)
     if rows:
         yield from done(rows)
 
@@ -269,8 +276,61 @@ def row_batches(rows, names, kinds, size: int = 256):
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*chunk, strict=True), kinds, strict=True)], names)
 
 
-PACKED = "part int, key long, blob binary"
-NAMES, KINDS = ["part", "key", "blob"], [pa.int32(), pa.int64(), pa.binary()]
+PACKED = "part int, key long, rank long, blob binary"
+NAMES, KINDS = ["part", "key", "rank", "blob"], [pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+
+
+def packed_anchors(h: np.ndarray, key: np.ndarray, first: np.ndarray, n: np.ndarray):
+    """Rows of anchors, packed by their hash range (the upper half of h), by which they are sorted."""
+    part = h >> np.uint64(32)
+    edge = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True]))) if len(h) else []
+    for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+        keys, which = np.unique(key[lo:hi], return_inverse=True)
+        kind = np.uint16 if len(keys) < 2**16 else np.uint32
+        blob = struct.pack("<III", hi - lo, len(keys), int(part[lo])) + keys.astype("<i8").tobytes() + h[lo:hi].astype("<u4").tobytes() + which.astype(kind).tobytes() + first[lo:hi].tobytes() + n[lo:hi].tobytes()
+        yield int(part[lo]), None, None, blob
+
+
+def unpacked_anchors(blob: bytes, sub: int | None = None):
+    """hash, document, first window, number of windows of a blob's anchors, or of those in one part of its range."""
+    size, m, part = struct.unpack_from("<III", blob)
+    kind = np.dtype(np.uint16 if m < 2**16 else np.uint32)
+    at = 12 + 8 * m
+    keys, low = np.frombuffer(blob, "<i8", m, 12), np.frombuffer(blob, "<u4", size, at)
+    own = slice(None) if sub is None else (low & np.uint32(SUBRANGES - 1)) == sub
+    which = np.frombuffer(blob, kind, size, at + 4 * size)[own]
+    at += (4 + kind.itemsize) * size
+    return low[own].astype(np.uint64) | np.uint64(part << 32), keys[which], np.frombuffer(blob, "<u4", size, at)[own], np.frombuffer(blob, np.uint8, size, at + 4 * size)[own]
+
+
+def gathered_anchors(rows: DataFrame, parts: int, fan: int = FAN) -> DataFrame:
+    """Packed anchors of many slices, put together by hash range: where a slice has few anchors in each of very many
+    ranges, they go by groups of fan ranges first, and are packed anew there."""
+    if parts <= fan * fan:
+        return rows
+
+    def work(batches):
+        held, size = [], 0
+
+        def done():
+            h, key, first, n = (np.concatenate(x) for x in zip(*(unpacked_anchors(x) for x in held), strict=True))
+            order = np.lexsort((key, h))
+            return row_batches(packed_anchors(h[order], key[order], first[order], n[order]), NAMES, KINDS)
+
+        for b in batches:
+            single = b.filter(pc.is_valid(b.column("key")))
+            if single.num_rows:
+                yield single
+            for blob in b.filter(pc.is_null(b.column("key"))).column("blob").to_pylist():
+                held.append(blob)
+                size += len(blob)
+                if size >= 4 * SLICE:
+                    yield from done()
+                    held, size = [], 0
+        if held:
+            yield from done()
+
+    return rows.repartition(F.floor(F.col("part") / fan)).mapInArrow(work, PACKED)
 
 
 def anchor_rows(texts: DataFrame, parts: int, match: int) -> DataFrame:
@@ -317,15 +377,9 @@ def anchor_rows(texts: DataFrame, parts: int, match: int) -> DataFrame:
                 a = np.flatnonzero(alone)
                 a = a[np.argsort(key[a], kind="stable")]
                 for piece in np.split(a, np.flatnonzero(np.diff(key[a])) + 1):
-                    yield from row_batches([(int(key[piece[0]] % parts), int(key[piece[0]]), pack(h[piece], first[piece], n[piece] | 2 << 6))], NAMES, KINDS)
+                    yield from row_batches([(int(key[piece[0]] % parts), int(key[piece[0]]), None, pack(h[piece], first[piece], n[piece] | 2 << 6))], NAMES, KINDS)
             h, key, first, n = h[~alone], key[~alone], first[~alone], n[~alone]
-            part = h >> np.uint64(32)
-            for lo, hi in zip(*((np.searchsorted(part, np.arange(parts), side=s)) for s in ("left", "right")), strict=True):
-                if hi > lo:
-                    keys, which = np.unique(key[lo:hi], return_inverse=True)
-                    kind = np.uint16 if len(keys) < 2**16 else np.uint32
-                    blob = struct.pack("<III", hi - lo, len(keys), int(part[lo])) + keys.astype("<i8").tobytes() + h[lo:hi].astype("<u4").tobytes() + which.astype(kind).tobytes() + first[lo:hi].tobytes() + n[lo:hi].tobytes()
-                    yield from row_batches([(int(part[lo]), None, blob)], NAMES, KINDS)
+            yield from row_batches(packed_anchors(h, key, first, n), NAMES, KINDS)
 
     return texts.select("_fx_key", "_fx_text").mapInArrow(work, PACKED)
 
@@ -333,23 +387,12 @@ def anchor_rows(texts: DataFrame, parts: int, match: int) -> DataFrame:
 def shared_anchors(rows: DataFrame, match: int) -> DataFrame:
     """(key, blob): for each document and hash range the anchors that other documents have as well."""
 
-    def entries(blob: bytes, sub: int):
-        """hash, document, first window, number of windows of a blob's anchors in one part of the range."""
-        size, m, part = struct.unpack_from("<III", blob)
-        kind = np.dtype(np.uint16 if m < 2**16 else np.uint32)
-        at = 12 + 8 * m
-        keys, low = np.frombuffer(blob, "<i8", m, 12), np.frombuffer(blob, "<u4", size, at)
-        own = (low & np.uint32(SUBRANGES - 1)) == sub
-        which = np.frombuffer(blob, kind, size, at + 4 * size)[own]
-        at += (4 + kind.itemsize) * size
-        return low[own].astype(np.uint64) | np.uint64(part << 32), keys[which], np.frombuffer(blob, "<u4", size, at)[own], np.frombuffer(blob, np.uint8, size, at + 4 * size)[own]
-
     def done(rows):
-        yield from ((k, blob) for k, blob in rows if k is not None)
-        packed = [blob for k, blob in rows if k is None]
+        yield from ((k, blob) for k, _, blob in rows if k is not None)
+        packed = [blob for k, _, blob in rows if k is None]
         kept = []
         for sub in range(SUBRANGES) if packed else ():
-            h, key, first, n = (np.concatenate(x) for x in zip(*(entries(blob, sub) for blob in packed), strict=True))
+            h, key, first, n = (np.concatenate(x) for x in zip(*(unpacked_anchors(blob, sub) for blob in packed), strict=True))
             if not len(h):
                 continue
             order = np.argsort(h, kind="stable")
@@ -368,7 +411,7 @@ def shared_anchors(rows: DataFrame, match: int) -> DataFrame:
             yield from ((int(key[a]), pack(h[a:b], first[a:b], n[a:b])) for a, b in zip(edge[:-1], edge[1:], strict=False))
 
     def work(batches):
-        yield from row_batches(by_part(batches, done), ["key", "blob"], KINDS[1:], 2000)
+        yield from row_batches(by_part(batches, done), ["key", "blob"], [pa.int64(), pa.binary()], 2000)
 
     return rows.repartition("part").sortWithinPartitions("part").mapInArrow(work, "key long, blob binary")
 
@@ -394,13 +437,13 @@ def region_rows(joined: DataFrame, parts: int, match: int) -> DataFrame:
                             for at in range(first, first + n):
                                 w = text[at : at + match]
                                 merged.setdefault((xxhash.xxh64_intdigest(w) & 0xFFFFFFFFFFFF, w), []).append((rank, key, at))
-            gone: dict[int, list[int]] = {}
+            gone: dict[tuple[int, int], list[int]] = {}
             sent: dict[int, list[tuple]] = {}
             for (h, region), members in merged.items():
                 least = min(members)[0]
                 for rank, key, at in members:
                     if rank > least:
-                        gone.setdefault(key, []).extend((at, at + len(region)))
+                        gone.setdefault((key, rank), []).extend((at, at + len(region)))
                     else:
                         sent.setdefault(h % parts, []).append((h, rank, key, at, region))
             del merged
@@ -408,22 +451,22 @@ def region_rows(joined: DataFrame, parts: int, match: int) -> DataFrame:
                 for k in range(0, len(rows), 5000):
                     h, rank, key, at, region = zip(*rows[k : k + 5000], strict=True)
                     blob = pack(np.array(h, "<u8"), np.array(rank, "<i8"), np.array(key, "<i8"), np.array(at, "<u4"), np.array([len(r) for r in region], "<u1")) + b"".join(region)
-                    yield from row_batches([(part, None, packer.compress(blob))], NAMES, KINDS)
-            yield from row_batches(((k % parts, k, pack_ranges(v)) for k, v in gone.items()), NAMES, KINDS, 2000)
+                    yield from row_batches([(part, None, None, packer.compress(blob))], NAMES, KINDS)
+            yield from row_batches(((k % parts, k, rank, pack_ranges(v)) for (k, rank), v in gone.items()), NAMES, KINDS, 2000)
 
     return joined.mapInArrow(work, PACKED)
 
 
 def removed_ranges(rows: DataFrame, match: int) -> DataFrame:
-    """(key, blob): removed byte ranges, from the suffix arrays of the regions that share an anchor."""
+    """(key, rank, blob): removed byte ranges, from the suffix arrays of the regions that share an anchor."""
 
     def done(rows):
-        yield from ((k, blob) for k, blob in rows if k is not None)
-        packed = [zstandard.ZstdDecompressor().decompress(blob) for k, blob in rows if k is None]
-        gone: dict[int, list[int]] = {}
+        yield from (row for row in rows if row[0] is not None)
+        packed = [zstandard.ZstdDecompressor().decompress(blob) for k, _, blob in rows if k is None]
+        gone: dict[tuple[int, int], list[int]] = {}
         for sub in range(SUBRANGES):
             settle(packed, sub, gone)
-        yield from ((k, pack_ranges(v)) for k, v in gone.items())
+        yield from ((k, rank, pack_ranges(v)) for (k, rank), v in gone.items())
 
     def settle(packed, sub, gone):
         merged: dict[int, dict[bytes, list[tuple[int, int, int]]]] = {}
@@ -438,19 +481,17 @@ def removed_ranges(rows: DataFrame, match: int) -> DataFrame:
 
         def flush():
             least = [min(m)[0] for _, m in block]
-            for (_, members), rank, flags in zip(block, least, repeated([r for r, _ in block], least, match), strict=True):
-                if flags.any():
-                    for r, d, a in members:
-                        if r == rank:
-                            gone.setdefault(d, []).extend(x for run in runs(flags, a, match) for x in run)
+            for (region, members), first in zip(block, repeated([r for r, _ in block], least, match), strict=True):
+                most = first.max()
+                for r, d, a in members:
+                    if r > most:
+                        gone.setdefault((d, r), []).extend((a, a + len(region)))
+                    elif (flags := first < r).any():
+                        gone.setdefault((d, r), []).extend(x for run in runs(flags, a, match) for x in run)
 
         for regions in merged.values():
-            for region, members in regions.items():
-                least = min(members)[0]
-                for r, d, a in members:
-                    if r > least:
-                        gone.setdefault(d, []).extend((a, a + len(region)))
-            if len(regions) > 1:
+            # one region of one document repeats nothing
+            if len(regions) > 1 or len({r for r, _, _ in next(iter(regions.values()))}) > 1:
                 block += regions.items()
                 size += sum(map(len, regions))
                 if size > ARRAY_BYTES:
@@ -460,9 +501,9 @@ def removed_ranges(rows: DataFrame, match: int) -> DataFrame:
             flush()
 
     def work(batches):
-        yield from row_batches(by_part(batches, done), ["key", "blob"], KINDS[1:], 2000)
+        yield from row_batches(by_part(batches, done), NAMES[1:], KINDS[1:], 2000)
 
-    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(work, "key long, blob binary")
+    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(work, "key long, rank long, blob binary")
 
 
 def merge(blobs: list[bytes]) -> list[tuple[int, int]]:
@@ -492,12 +533,14 @@ def spans(docs: DataFrame, match: int = MATCH) -> DataFrame:
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     parts = max(LEAST_RANGES, -(-total // RANGE_BYTES))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("_fx_text")).withColumn("_fx_key", F.xxhash64("doc_id", "_fx_text"))
-    gather = lambda df, name: df.groupBy("key").agg(F.collect_list("blob").alias(name)).withColumnRenamed("key", "_fx_key")
-    shared = gather(shared_anchors(anchor_rows(texts, parts, match), match), "blobs")
+    gather = lambda df, what, name: df.groupBy(F.col("key").alias("_fx_key")).agg(F.collect_list(what).alias(name))
+    shared = gather(shared_anchors(gathered_anchors(anchor_rows(texts, parts, match), parts), match), "blob", "blobs")
     moved = zipped(texts)
     first = moved.join(shared, "_fx_key", "left").select("_fx_key", "doc_id", "_fx_zip", "blobs")
-    gone = gather(removed_ranges(region_rows(first, parts, match), match), "gone")
-    return moved.join(gone, "_fx_key", "left").select("doc_id", "_fx_zip", "gone")
+    gone = gather(removed_ranges(region_rows(first, parts, match), match), F.struct("rank", "blob"), "gone")
+    # documents are known by 64 bits of their text and by their number, so that equal hashes take no bytes from one another
+    mine = F.filter("gone", lambda x: x["rank"] == F.coalesce("doc_id", F.lit(LAST)))
+    return moved.join(gone, "_fx_key", "left").select("doc_id", "_fx_zip", F.transform(mine, lambda x: x["blob"]).alias("gone"))
 
 
 def deduplicated(docs: DataFrame, match: int = MATCH) -> DataFrame:

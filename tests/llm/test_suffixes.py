@@ -31,6 +31,8 @@ def expected(rows, match=50):
 def test_suffix_array(seed):
     r = np.random.default_rng(seed)
     t = r.integers(0, 4, 300).astype(np.uint16)
+    if seed == 2:
+        t = np.where(t == 3, 300, t).astype(np.uint16)
     if seed == 3:
         t = np.concatenate([np.full(40, 2), [0], np.full(30, 2), [3], np.tile([1, 2], 30), [0]]).astype(np.uint16)
     sa = suffixes.suffix_array(t, 400)
@@ -75,3 +77,17 @@ def test_pieces_and_crowded_anchors(spark, monkeypatch):
 
 def test_empty(spark):
     assert suffixes.op_query(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_anchors_by_way_of_groups_of_ranges(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "SLICE", 3000)
+    monkeypatch.setattr(suffixes.gathered_anchors, "__defaults__", (4,))
+    check(spark, corpus(6, 40) + [(1000 + k, f"{k} a very common passage that well over sixty-four documents of this table share {k % 3}") for k in range(80)])
+
+
+def test_very_long_text(spark):
+    r = random.Random(7)
+    long = " ".join(str(r.randrange(10**6)) for _ in range(120_000))
+    check_rows = [(1, long), (2, "own words before " + long[400_000:400_300] + " and after"), (3, long[:1000])]
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans) for x in suffixes.op_query(spark.createDataFrame(check_rows, "doc_id long, text string")).collect()}
+    assert got == {x[0]: tuple(x[1:4]) for x in expected(check_rows)}
