@@ -60,7 +60,7 @@ def words(text: str | None) -> list[bytes]:
 class Hasher:
     """Shingle hashes of word sequences; word hashes are remembered, up to a bound."""
 
-    def __init__(self, limit: int = 200_000):
+    def __init__(self, limit: int = 100_000):
         self.known: dict[bytes, int] = {}
         self.limit = limit
 
@@ -103,8 +103,9 @@ class SizeClass:
         for a, b in zip(cut, cut[1:], strict=False):
             value = self.block(self.prints, a, b)
             order = np.argsort(value, kind="stable")
-            first = np.searchsorted(value[order], np.arange((1 << (b - a)) + 1)).astype(np.int32)
-            self.blocks.append((a, b, order, first, neighbours(b - a)))
+            taken = np.zeros(1 << (b - a), bool)
+            taken[value] = True
+            self.blocks.append((a, b, order, value[order], np.packbits(taken), neighbours(b - a)))
 
     @staticmethod
     def block(x: np.ndarray, a: int, b: int) -> np.ndarray:
@@ -113,12 +114,12 @@ class SizeClass:
     def met(self, x: np.ndarray) -> np.ndarray:
         """(window, item) pairs, as window * items + item, that have a block within NEAR bits."""
         found = []
-        for a, b, order, first, masks in self.blocks:
+        for a, b, order, values, taken, masks in self.blocks:
             value = (self.block(x, a, b)[:, None] ^ masks).ravel()
-            lo, n = first[value], first[value + 1] - first[value]
-            hit = np.flatnonzero(n)
-            n = n[hit]
-            at = np.repeat(lo[hit] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            hit = np.flatnonzero(taken[value >> 3] >> (7 - (value & 7)) & 1)
+            lo = np.searchsorted(values, value[hit])
+            n = np.searchsorted(values, value[hit], side="right") - lo
+            at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
             found.append(np.repeat(hit // len(masks), n) * len(self.numbers) + order[at])
         return np.unique(np.concatenate(found))
 
