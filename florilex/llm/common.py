@@ -2,53 +2,36 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that Python code handles at once.
-STEP = 1 << 20
-BATCH_ROWS = 1000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one where that is unset and Spark is local, as in tests."""
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        path = spark.conf.get("spark.checkpoint.dir", None)
-        if not path and not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="florilex-"))
-    return sc.getCheckpointDir()
-
+from ..storage import checkpoint, shared_dir, spread, stored
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a copy in the shared folder, so that a lost executor costs no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+__all__ = ["bounded_batches", "checkpoint", "gathered", "in_steps", "join_counted", "read", "shared_dir", "stored", "text_bytes"]
 
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it back."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Bytes of text that Python code handles at once.
+STEP = 1 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most BATCH_ROWS rows: texts may be long, and a batch is built in memory. A smaller setting stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, BATCH_ROWS)
+    """Arrow batches of at most BATCH_ROWS rows and about BATCH_BYTES bytes: texts may be long, and a batch is built in memory.
+
+    These are settings of the session, read when a plan runs, so they can't be taken back here; smaller ones stay.
+    """
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{key}", None)
+        if now is not None and not 0 < int(now.rstrip("b")) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", most)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table; documents that one task would read are dealt out to all cores."""
     bounded_batches(spark)
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(df) if table == "documents" else df
 
 
 def join_counted(rows: DataFrame, keyed: DataFrame, on: list[str], n: str = "n", most: int = 1000) -> DataFrame:

@@ -65,7 +65,7 @@ def model_bytes(spark: SparkSession, path: str = MODEL) -> bytes:
 class Pieces:
     """The model and its lattice. A token is its surface; one that isn't in the vocabulary is a single character."""
 
-    def __init__(self, proto: bytes, limit: int = 2_000_000):
+    def __init__(self, proto: bytes, limit: int = 300_000):
         self.sp, self.limit = sentencepiece.SentencePieceProcessor(model_proto=proto), limit
         sp = self.sp
         self.ids = {sp.id_to_piece(i): i for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))}

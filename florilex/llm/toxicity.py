@@ -123,7 +123,7 @@ class Scorer:
 
     def word(self, w: str) -> tuple[float, ...]:
         found = tuple((f, self.weights[f]) for f in features(w) if f in self.weights)
-        if len(self.known) > 200_000:
+        if len(self.known) > 100_000:
             self.known.clear()
         self.known[w] = found
         return found
