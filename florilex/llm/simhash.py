@@ -10,13 +10,14 @@ nodes as soon as its bits exceed the budget.
 Distribution: a pair within the budget agrees on at least one of radius + 1
 blocks of bits, so each word is kept in radius + 1 rotated tries, whose top
 levels (one block, no errors left to spend there) are the shuffle key. Crowded
-keys are divided once more in the same way. A task emits a spanning forest of
+keys are divided further in the same way, as long as they are crowded. A task emits a spanning forest of
 the links that it finds, never all pairs of a group.
 
 Edge cases: a null text counts as empty; texts without words have fingerprint
 zero and are linked like any other; texts with fewer words than a shingle hash
 as one whole sequence. A null doc_id keeps its row and takes the least doc_id
-of its component, null if there is none. Repeated rows share a component. An
+of its component, null if there is none. Repeated rows share a component. Very
+long texts are handled one at a time, their shingles 255 at a time. An
 empty table gives an empty result. Other columns are ignored.
 """
 
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, in_steps
+from .common import checkpoint, in_steps, join_counted
 from .components import components
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -37,7 +38,7 @@ CROWDED = 50_000
 #: Complete keys are joined in chunks of about so many entries.
 CHUNK = 30_000
 #: Groups of more candidates than this under one key are decided in two passes.
-SMALL = 32
+SMALL = 2
 
 
 def shingles(text: bytes, size: int) -> list[bytes]:
@@ -115,38 +116,43 @@ def blocks(bits: int, parts: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def rotated(nodes: DataFrame, words64: int, bits: int, radius: int, carried: list[str] = []) -> DataFrame:  # noqa: B006
-    """(key, rest, width, node, fp, and what is carried): one row for each word of a fingerprint and rotation; rest is the word without the block that is in the key."""
+def rotated(nodes: DataFrame, words64: int, bits: int, radius: int, carried: list[str] = [], check: int | None = None) -> DataFrame:  # noqa: B006
+    """(key, rest, width, node, fp, and what is carried): one row for each word of a fingerprint and rotation; rest is the word without the block that is in the key.
+
+    Words are whole bytes; what is left of the fingerprint makes no word. fp: its last check bytes, or all.
+    """
     cut = blocks(bits, radius + 1)
-    per = 64 // bits
+    size, wide = bits // 8, 8 * words64
 
     def work(batches):
         for b in batches:
             n = b.num_rows
             if not n:
                 continue
-            whole = np.frombuffer(b"".join(b.column("fp").to_pylist()), ">u8").astype(np.uint64).reshape(n, words64)
-            more = [b.column(x) for x in carried]
-            for w in range(words64 * per):
-                word = whole[:, w // per] >> np.uint64(bits * (per - 1 - w % per)) & np.uint64((1 << bits) - 1)
+            whole = np.frombuffer(b"".join(b.column("fp").to_pylist()), np.uint8).reshape(n, wide)
+            more = [pa.array([x.tobytes() for x in whole[:, -check:]], pa.binary()) if check else b.column("fp"), *(b.column(x) for x in carried)]
+            for w in range(wide // size):
+                word = np.zeros(n, np.uint64)
+                for k in range(size):
+                    word = word << np.uint64(8) | whole[:, w * size + k]
                 for r, (low, width) in enumerate(cut):
                     block = word >> np.uint64(low) & np.uint64((1 << width) - 1)
                     rest = word >> np.uint64(low + width) << np.uint64(low) | word & np.uint64((1 << low) - 1)
                     key = block.astype(np.int64) | np.int64(w * (radius + 1) + r) << np.int64(48)
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(rest.view(np.int64)), pa.array(np.full(n, bits - width, np.int32)), b.column("node"), b.column("fp"), *more], ["key", "rest", "width", "node", "fp", *carried])
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(rest.view(np.int64)), pa.array(np.full(n, bits - width, np.int32)), b.column("node"), *more], ["key", "rest", "width", "node", "fp", *carried])
 
     more = "".join(f", {x.name} {x.dataType.simpleString()}" for x in nodes.select(*carried).schema)
     return nodes.select("node", "fp", *carried).mapInArrow(work, "key long, rest long, width int, node long, fp binary" + more)
 
 
-def divided(rows: DataFrame, radius: int, levels: int = 2, carried: list[str] = []) -> DataFrame:  # noqa: B006
-    """Divides keys with over CROWDED entries by further blocks, of which one must agree as well; all else stays."""
-    rows = rows.withColumn("sub", F.lit(0).cast("long"))
-    for _ in range(levels):
-        crowded = checkpoint(rows.groupBy("key", "sub").count().where(F.col("count") > CROWDED).select("key", "sub", F.lit(True).alias("crowded")))
+def divided(rows: DataFrame, radius: int, carried: list[str] = []) -> DataFrame:  # noqa: B006
+    """Divides keys with over CROWDED entries by further blocks, of which one must agree as well, until none is crowded or few bits are left; all else stays."""
+    rows, parts = rows.withColumn("sub", F.lit(0).cast("long")), radius + 1
+    while True:
+        sizes = rows.groupBy("key", "sub").agg(F.count("*").alias("n"), F.max("width").alias("width"))
+        crowded = checkpoint(sizes.where((F.col("n") > CROWDED) & (F.col("width") > parts)).select("key", "sub", F.lit(True).alias("crowded")))
         if crowded.isEmpty():
-            break
-        parts = radius + 1
+            return rows
         cuts = F.array(*[F.floor(F.col("width") * k / parts).cast("int") for k in range(parts + 1)])
         joined = rows.join(crowded, ["key", "sub"], "left").withColumn("cuts", cuts)
         split = joined.withColumn("part", F.explode(F.when(F.col("crowded") & (F.col("width") > parts), F.sequence(F.lit(0), F.lit(radius))).otherwise(F.array(F.lit(-1)))))
@@ -157,7 +163,6 @@ def divided(rows: DataFrame, radius: int, levels: int = 2, carried: list[str] =
             "key", F.when(F.col("part") < 0, F.col("rest")).otherwise(rest).alias("rest"), F.when(F.col("part") < 0, F.col("width")).otherwise(F.col("width") - (high - low)).alias("width"), "node", "fp",
             F.when(F.col("part") < 0, F.col("sub")).otherwise(F.xxhash64("sub", "part", block)).alias("sub"), *carried,
         )
-    return rows
 
 
 def trie_pairs(group: np.ndarray, value: np.ndarray, width: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -323,12 +328,31 @@ def spanning(n: int, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.nda
     return order[taken]
 
 
+def nearest(group: np.ndarray, p: np.ndarray, q: np.ndarray, comp: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Of the pairs (p, q) of nodes of different comp, at distances d, those kept: for each two components in a group, the nearest partner of each node of the one with fewer nodes."""
+    if not len(p):
+        return np.zeros(0, np.int64)
+    swap = comp[p] > comp[q]
+    x, y = np.where(swap, q, p), np.where(swap, p, q)
+    both = np.unique(np.stack([group, comp[x], comp[y]]), axis=1, return_inverse=True)[1].ravel()
+
+    def distinct(node):  # nodes of each two components
+        pairs = np.unique(np.stack([both, node]), axis=1)[0]
+        return np.bincount(pairs, minlength=both.max() + 1)
+
+    own = np.where((distinct(x) <= distinct(y))[both], x, y)
+    order = np.lexsort((d, own, both))
+    first = np.concatenate(([True], (both[order][1:] != both[order][:-1]) | (own[order][1:] != own[order][:-1])))
+    return np.sort(order[first])
+
+
 def candidates(rows: DataFrame, words64: int, radius: int, most: int, similarity: float, second: bool = False) -> DataFrame:
-    """(a, b, all): pairs of nodes within the budget whose set sizes allow the similarity.
+    """(a, b, all): pairs of nodes within the budget whose set sizes allow the similarity. fp has words64 words, of which most bits may differ.
 
     Under one key, groups of up to SMALL nodes give all their pairs, larger
-    ones a shortest spanning tree (all is false). In the second pass each group
-    gives all pairs of different comp.
+    ones a shortest spanning tree (all is false). In the second pass, for each two
+    components that meet under a key, each node of the one with fewer nodes there
+    gives the pair with the nearest node of the other: pairs grow with nodes, not with their square.
     """
 
     def join(t: pa.Table) -> pa.RecordBatch:
@@ -336,7 +360,8 @@ def candidates(rows: DataFrame, words64: int, radius: int, most: int, similarity
         group = np.stack([t.column("key").to_numpy(), t.column("sub").to_numpy()])
         value, width = t.column("rest").to_numpy().view(np.uint64), t.column("width").to_numpy()
         order = np.lexsort((value, group[1], group[0]))
-        node, value, width, group, n, comp = node[order], value[order], width[order], group[:, order], t.column("n").to_numpy()[order], t.column("comp").to_numpy()[order]
+        node, value, width, group, n = node[order], value[order], width[order], group[:, order], t.column("n").to_numpy()[order]
+        comp = t.column("comp").to_numpy()[order] if second else None
         fps = np.frombuffer(b"".join(t.column("fp").to_pylist()), ">u8").astype(np.uint64).reshape(-1, words64)[order]
         fresh = np.concatenate(([True], (group[:, 1:] != group[:, :-1]).any(axis=0)))
         at = np.cumsum(fresh)
@@ -364,7 +389,8 @@ def candidates(rows: DataFrame, words64: int, radius: int, most: int, similarity
             k = end
         p, q, d = np.concatenate(left), np.concatenate(right), np.concatenate(far)
         if second:
-            whole = np.ones(len(p), bool)
+            keep = nearest(at[p], p, q, comp, d)
+            p, q, whole = p[keep], q[keep], np.ones(len(keep), bool)
         else:
             root = forest(len(node), p, q)
             whole = (np.bincount(root, minlength=len(node))[root] <= SMALL)[p]
@@ -402,14 +428,21 @@ def verified(pairs: DataFrame, docs: DataFrame, prints: DataFrame, size: int, si
     return both.select("a", "b", "s", "t").mapInArrow(decide, "a long, b long")
 
 
-def exact_links(docs: DataFrame, prints: DataFrame, nodes: DataFrame, size: int, words64: int, bits: int, radius: int, most: int, similarity: float) -> DataFrame:
-    """(a, b): links of at least the similarity that join all candidates which have it, in two passes."""
+def exact_links(docs: DataFrame, prints: DataFrame, nodes: DataFrame, size: int, words64: int, bits: int, radius: int, most: int, check64: int, similarity: float) -> DataFrame:
+    """(a, b): links of at least the similarity, in two passes.
+
+    The first tests a shortest spanning forest of the candidates under each key;
+    the second what then still lies apart, each node with the nearest of each other
+    component. In a dense group of texts some of whose pairs are similar and
+    most are not, a link can be missed whose ends never are the nearest under any of their keys.
+    """
 
     def found(some: DataFrame, second: bool) -> DataFrame:
-        rows = divided(rotated(some, words64, bits, radius, ["n", "comp"]), radius, carried=["n", "comp"])
-        return checkpoint(candidates(rows, words64, radius, most, similarity, second).groupBy("a", "b").agg(F.max("all").alias("all")))
+        carried = ["n", "comp"] if second else ["n"]
+        rows = divided(rotated(some, words64, bits, radius, carried, 8 * check64), radius, carried)
+        return checkpoint(candidates(rows, check64, radius, most, similarity, second).groupBy("a", "b").agg(F.max("all").alias("all")))
 
-    pairs = found(nodes.withColumn("comp", F.lit(0).cast("long")), False)
+    pairs = found(nodes, False)
     out = checkpoint(verified(pairs, docs, prints, size, similarity))
     part = pairs.where("not all")
     crowd = checkpoint(part.select(F.col("a").alias("node")).unionByName(part.select(F.col("b").alias("node"))).distinct())
@@ -420,28 +453,29 @@ def exact_links(docs: DataFrame, prints: DataFrame, nodes: DataFrame, size: int,
     return checkpoint(out.unionByName(verified(checkpoint(rest), docs, prints, size, similarity)))
 
 
-def near_duplicates(docs: DataFrame, size: int = 3, words64: int = 1, bits: int = 64, radius: int = 2, most: int | None = None, distinct: bool = False, similarity: float | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 3, words64: int = 1, bits: int = 64, radius: int = 2, most: int | None = None, distinct: bool = False, similarity: float | None = None, check64: int = 2) -> DataFrame:
     """doc_id, fp, component_id (the least doc_id reachable, itself included) of each document.
 
     size: words of a shingle. words64: 64-bit words of a fingerprint, cut into
     tries of bits bits each. distinct: each shingle votes once. most: bits in
     which whole fingerprints may differ. similarity: the exact Jaccard
     similarity of the shingle sets that a link must have (shingles are then
-    distinct); without it fingerprints decide alone.
+    distinct, and fingerprints are compared in their last check64 words); without it fingerprints decide alone.
     """
     most = radius if most is None else most
     if similarity is None:
         prints = checkpoint(fingerprints(docs, size, words64, distinct))
-        nodes = checkpoint(prints.groupBy("node").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("least")))
+        nodes = checkpoint(prints.groupBy("node").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("least"), F.count("*").alias("copies")))
         found = links(divided(rotated(nodes, words64, bits, radius), radius), words64, radius, most).distinct()
     else:
         prints = checkpoint(set_fingerprints(docs, size, words64))
-        nodes = checkpoint(prints.groupBy("node").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.min("doc_id").alias("least")))
-        found = exact_links(docs, prints, nodes.select("node", "fp", "n"), size, words64, bits, radius, most, similarity)
+        nodes = checkpoint(prints.groupBy("node").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.min("doc_id").alias("least"), F.count("*").alias("copies")))
+        found = exact_links(docs, prints, nodes.select("node", "fp", "n"), size, words64, bits, radius, most, check64, similarity)
     roots = components(found)
-    rooted = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = nodes.select("node", "least", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(rooted.join(least, "root").select("node", "component_id"), "node").select("doc_id", "fp", "component_id")
+    known = checkpoint(rooted.join(least, "root").select("node", "copies", "component_id"))
+    return join_counted(prints, known, ["node"], "copies").select("doc_id", "fp", "component_id")
 
 
 def representatives(docs: DataFrame, **options) -> DataFrame:

@@ -203,8 +203,11 @@ def suffix_array(t: np.ndarray, depth: int, wanted: np.ndarray | None = None, se
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
-def repeated(regions: list[bytes], docs: list[int], match: int = MATCH) -> list[np.ndarray]:
-    """For each region, the least document in whose regions each of its windows stands. docs: the least that has each region; match: seven at least."""
+def repeated(regions: list[bytes], docs: list[int], match: int = MATCH) -> tuple[np.ndarray, np.ndarray]:
+    """The least document in whose regions each window of the regions stands, and where each region's windows begin (and the last ones end).
+
+    docs: the least document that has each region; match: seven at least.
+    """
     sizes = np.array([len(r) for r in regions])
     data = np.frombuffer(b"".join(regions), np.uint8)
     owner = np.repeat(np.arange(len(regions)), sizes)
@@ -216,8 +219,9 @@ def repeated(regions: list[bytes], docs: list[int], match: int = MATCH) -> list[
     seven = sevens(t)
     sa = suffix_array(t, match, room, seven)
     sa = sa[room[sa]]
+    begins = np.concatenate(([0], np.cumsum(np.maximum(sizes - match + 1, 0))))
     if not len(sa):
-        return [np.full(max(0, s - match + 1), d) for s, d in zip(sizes.tolist(), docs, strict=True)]
+        return np.zeros(0, np.int64), begins
     # adjacent common prefixes of at least match numbers
     x, y = sa[:-1], sa[1:]
     same = np.ones(len(x), bool)
@@ -229,7 +233,7 @@ def repeated(regions: list[bytes], docs: list[int], match: int = MATCH) -> list[
     least = np.minimum.reduceat(rank, head)
     first = np.zeros(len(t), np.int64)
     first[sa] = np.repeat(least, np.diff(np.append(head, len(sa))))
-    return [first[s : s + max(0, n - match + 1)] for s, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+    return first[room], begins
 
 
 def runs(flags: np.ndarray, at: int, match: int) -> list[tuple[int, int]]:
@@ -481,13 +485,14 @@ def removed_ranges(rows: DataFrame, match: int) -> DataFrame:
 
         def flush():
             least = [min(m)[0] for _, m in block]
-            for (region, members), first in zip(block, repeated([r for r, _ in block], least, match), strict=True):
-                most = first.max()
+            first, begins = repeated([r for r, _ in block], least, match)
+            lo, hi = (f.reduceat(first, begins[:-1]).tolist() for f in (np.minimum, np.maximum))
+            for i, (region, members) in enumerate(block):
                 for r, d, a in members:
-                    if r > most:
+                    if r > hi[i]:
                         gone.setdefault((d, r), []).extend((a, a + len(region)))
-                    elif (flags := first < r).any():
-                        gone.setdefault((d, r), []).extend(x for run in runs(flags, a, match) for x in run)
+                    elif r > lo[i]:
+                        gone.setdefault((d, r), []).extend(x for run in runs(first[begins[i] : begins[i + 1]] < r, a, match) for x in run)
 
         for regions in merged.values():
             # one region of one document repeats nothing

@@ -1,9 +1,8 @@
-import numpy as np
 import pytest
 import sentencepiece
 
 import corpus_pipeline as cp
-from florilex.llm import decontaminate, pieces, simhash, toxicity
+from florilex.llm import pieces, simhash, toxicity
 
 from . import brute
 from .test_decontaminate import brute as leaks
@@ -52,13 +51,20 @@ def test_lines(stages):
 
 def test_near_duplicates(stages):
     _, before, after, *_ = stages[2]
-    prints = {d: np.frombuffer(simhash.fingerprint(t.encode(), 5, 8, True), ">u4") for d, t in texts(before)}
+    linked = brute.similar(texts(before), 5, 0.8)
+    assert {x.doc_id for x in after} == set(brute.components(sorted(d for d, _ in texts(before)), lambda a, b: (b, a) in linked).values())
 
-    def linked(a, b):
-        bits = np.bitwise_count(prints[a] ^ prints[b])
-        return bits.min() <= 2 and bits.sum() <= 84
 
-    assert {x.doc_id for x in after} == set(brute.components(sorted(prints), linked).values())
+def test_recall_of_near_duplicates(spark):
+    """All pairs of documents of a table whose exact similarity reaches 0.8: nearly all are in one group, and no group is larger than they make it."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = texts(docs.collect())
+    linked = brute.similar(rows, 5, 0.8)
+    got = {x.doc_id: x.component_id for x in simhash.near_duplicates(docs, **cp.NEAR).collect()}
+    want = brute.components(sorted(got), lambda a, b: (b, a) in linked)
+    found = [got[a] == got[b] for a, b in linked]
+    assert len(found) > 50 and sum(found) >= 0.98 * len(found)
+    assert all(want[d] == want[c] for d, c in got.items())
 
 
 def test_decontamination(spark, stages):
@@ -70,7 +76,7 @@ def test_decontamination(spark, stages):
 def test_tokens(stages):
     _, before, after, *_ = stages[4]
     sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
-    assert {x.doc_id: (x.n_tokens, x.exact) for x in after} == {d: (len(sp.encode(t)), True) for d, t in texts(before)}
+    assert {x.doc_id: (x.ids, x.n_tokens, x.exact) for x in after} == {d: (sp.encode(t), len(sp.encode(t)), True) for d, t in texts(before)}
 
 
 def test_null_and_empty_rows(spark, tmp_path):
@@ -83,3 +89,16 @@ def test_null_and_empty_rows(spark, tmp_path):
             stage(spark, at, SF).write.parquet(path)
             at = spark.read.parquet(path)
         assert sorted((x.doc_id for x in at.collect()), key=repr) == ([] if empty else [1, 3, None])
+
+
+def test_very_long_text_and_further_columns(spark, tmp_path):
+    long = "\n".join(f"line {k} of a text that goes on and on, for {k * k} reasons" for k in range(6_000))
+    rows = [(1, long, "en", "s", len(long)), (2, "quite short", "en", "s", 11), (3, long + "\nx", "en", "t", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "1 as score", "'d' as digest", "2 as _fx_pos", "'n' as node", "3 as h1", "4 as ids")
+    names = docs.columns
+    for k, (_, stage) in enumerate(cp.STAGES):
+        assert k == 0 or docs.columns == names
+        stage(spark, docs, SF).write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+    got = {x.doc_id: x for x in docs.collect()}
+    assert got[1].n_chunks > 5 and got[1].exact and got[2].exact and got[3].n_tokens < 10
