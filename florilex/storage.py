@@ -25,10 +25,10 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it back."""
+def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+    """Writes a table to the shared folder and reads it back. Hashes, which don't compress, need no more than lz4_raw."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
