@@ -139,10 +139,10 @@ def _rest(s: str, edits: int) -> Column:
 
 def _stripped(rows: DataFrame) -> DataFrame:
     """Groups g without what all their lines begin and end with; size is what is left of the indexed ones. rows: g, h1, counts, own, delta, r."""
-    rows, back = stored(rows, "rests"), F.reverse("r")
+    rows, back = stored(rows, "rests", "lz4_raw"), F.reverse("r")
     ends = rows.groupBy("g").agg(F.count("*").alias("n"), F.min(F.length("r") - F.when(F.col("own"), 0).otherwise(F.col("delta"))).alias("size"), F.min("r").alias("a"), F.max("r").alias("b"), F.min(back).alias("c"), F.max(back).alias("d"))
     ends = ends.withColumn("p", _shared(F.col("a"), F.col("b"), F.col("size"))).withColumn("q", _shared(F.col("c"), F.col("d"), F.col("size") - F.col("p")))
-    ends = stored(ends.select("g", "n", "p", "q", (F.col("size") - F.col("p") - F.col("q")).alias("size")), "ends")
+    ends = stored(ends.select("g", "n", "p", "q", (F.col("size") - F.col("p") - F.col("q")).alias("size")), "ends", "lz4_raw")
     return join_counted(rows, ends, ["g"]).select("g", "h1", "counts", "own", "delta", F.substring("r", F.col("p") + 1, F.length("r") - F.col("p") - F.col("q")).alias("r"), "size")
 
 
@@ -157,9 +157,9 @@ def candidates(rows: DataFrame, edits: int, texts) -> DataFrame:
     keys = [_key("line", n - delta, i, parts, off).alias(c) for (i, delta, off), c in zip(places, names, strict=True)]
     keyed = rows.withColumn("line", line).select("h1", "h2", *keys).groupBy("h1", "h2").agg(*[F.max(c).alias(c) for c in names])
     every = keyed.select("h1", F.posexplode(F.array(*names)).alias("at", "k")).where("k is not null").withColumn("own", F.col("at").isin(indexed))
-    found = stored(_live(every), "shared")
+    found = stored(_live(every), "shared", "lz4_raw")
     own = texts(found.select("h1").distinct()).select("h1", _counts(F.col("line")).alias("counts"), F.decode(F.col("line").cast("binary"), "ISO-8859-1").alias("s"))
-    own = stored(own, "sharing")
+    own = stored(own, "sharing", "lz4_raw")
     # what is indexed under a segment probes it as well
     found = found.join(own.select("h1", "counts"), "h1").withColumn("delta", delta_of)
     small = found.where(F.col("n") <= CROWDED)
@@ -170,11 +170,11 @@ def candidates(rows: DataFrame, edits: int, texts) -> DataFrame:
     crowd = crowd.where("own").withColumn("delta", F.explode(F.array(*[F.lit(d) for d in range(edits + 1)]))).unionByName(probing)
     crowd = crowd.select(F.xxhash64("k", "delta").alias("g"), "h1", "counts", "own", "delta", _rest("s", edits).alias("r"))
     while not crowd.isEmpty():
-        rest = stored(_stripped(crowd), "stripped")
+        rest = stored(_stripped(crowd), "stripped", "lz4_raw")
         key = lambda i, off: _key("r", F.col("size"), i, parts, off, F.col("g"))
         chosen = [F.when(F.col("own"), key(i, off) if k in indexed else None).when(F.col("delta") == delta, key(i, off)) for k, (i, delta, off) in enumerate(places)]
         every = rest.where(F.col("size") > edits).select("g", "h1", "counts", "own", "delta", "r", F.posexplode(F.array(*chosen)).alias("at", "k")).where("k is not null")
-        found = stored(_live(every), "shared")
+        found = stored(_live(every), "shared", "lz4_raw")
         crowd = found.where(F.col("n") > CROWDED)
         # at most as many bytes as edits are left: few lines can differ so little, and those of one length are all true pairs
         whole = rest.groupBy("g").agg(F.count("*").alias("before"), F.first("size").alias("size")).join(crowd.groupBy("g").agg(F.count("*").alias("after")), "g", "left")
@@ -265,8 +265,8 @@ def _distance(edits: int) -> Column:
 def removals(docs: DataFrame, edits: int = EDITS, min_bytes: int = MIN_BYTES) -> DataFrame:
     """_fx_key, _fx_key2, _fx_rank, _fx_pos, and first, the place of the earliest line within reach, of each removed line."""
     place = F.struct("_fx_rank", *DOC, "_fx_pos")
-    places = stored(line_rows(docs).drop("line"), "lines")
-    first = stored(places.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")), "first")
+    places = stored(line_rows(docs).drop("line"), "lines", "lz4_raw")
+    first = stored(places.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")), "first", "lz4_raw")
     found = checkpoint(pairs(docs, first, edits, min_bytes))
     both = found.unionByName(found.select(F.col("b1").alias("a1"), F.col("b2").alias("a2"), F.col("a1").alias("b1"), F.col("a2").alias("b2")))
     near = both.join(first.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("first").alias("f")), ["b1", "b2"]).groupBy(F.col("a1").alias("h1"), F.col("a2").alias("h2")).agg(F.min("f").alias("f"))
