@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, lines, media, pieces, shards, simhash, suffixes, toxicity, units
+from . import chat, decontaminate, divergence, lines, media, neighbours, pieces, resample, shards, simhash, suffixes, toxicity, units
 from .common import read
 
 
@@ -50,5 +50,17 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.op_query(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_chat_formatting, op3_unit_dedup, op4_simhash_near_dedup, op5_sharding, op6_line_dedup, op7_media_columns, media_pages, op8_suffix_dedup, op9_benchmark_decontamination, op10_toxicity)}
-ORACLE_SQL = {"op2_chat_formatting": chat.ORACLE, "op6_line_dedup": lines.ORACLE}
+def op11_nearest_neighbours(spark, sf_dir):
+    return neighbours.op_query(read(spark, sf_dir, "embeddings"))
+
+
+def op12_source_divergence(spark, sf_dir):
+    return divergence.op_query(read(spark, sf_dir, "documents"))
+
+
+def op13_importance_resampling(spark, sf_dir):
+    return resample.op_query(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_chat_formatting, op3_unit_dedup, op4_simhash_near_dedup, op5_sharding, op6_line_dedup, op7_media_columns, media_pages, op8_suffix_dedup, op9_benchmark_decontamination, op10_toxicity, op11_nearest_neighbours, op12_source_divergence, op13_importance_resampling)}
+ORACLE_SQL = {"op2_chat_formatting": chat.ORACLE, "op6_line_dedup": lines.ORACLE, "op11_nearest_neighbours": neighbours.ORACLE, "op12_source_divergence": divergence.ORACLE, "op13_importance_resampling": resample.ORACLE}
