@@ -38,6 +38,7 @@ LEAST, SCALE, TOP = 3, 1_000_000_000, 200
 CHUNKS, SLICES, SIDE, WIDTH = 4096, 16, 64, 4096
 #: Counts that a task holds before it hands them on; counts that a tile takes at once, from chunks that follow one another.
 HELD, CELLS = 500_000, 1 << 16
+MOST_TASKS = 20_000
 
 
 def counted(docs: DataFrame) -> DataFrame:
@@ -200,7 +201,8 @@ def audit(docs: DataFrame, least: int = LEAST, top: int = TOP, side: int = SIDE,
     sent = heads.unionByName(packs).join(blocks, "lang").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     sent = sent.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other", "blocks")
     key = ["lang", "i", "j", "slice"]
-    pairs = sent.repartition(*key).sortWithinPartitions(*key, "chunk", "part", "block").mapInArrow(_tiles, "lang string, source string, item string, value long")
+    tiles = groups.groupBy("lang").agg((F.max("block") + 1).alias("b")).agg(F.sum(F.expr(f"b * (b + 1) div 2 * {SLICES}"))).first()[0]
+    pairs = sent.repartition(min(tiles or 1, MOST_TASKS), *key).sortWithinPartitions(*key, "chunk", "part", "block").mapInArrow(_tiles, "lang string, source string, item string, value long")
     ranked = lambda df: df.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), "item")))
     pair = ranked(pairs.groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))).withColumn("part", F.lit("pair"))
 
