@@ -211,6 +211,36 @@ def ref_lookup_range(spark, sf_dir):
     return verses.attach_texts(rows, texts)
 
 
+#: How references are written, of order k, line n: with semicolons and blanks, without any, malformed, and ranges as wide as can be.
+MARKED = """CASE l_partkey % 8 WHEN 0 THEN k || ':' || n || ';' WHEN 1 THEN '; ' || k || ':' || n WHEN 2 THEN ' ' || k || ';:' || n || ' ' WHEN 3 THEN 'o' WHEN 4 THEN k || ':' || n || '-x' WHEN 5 THEN k || ':' || n || '-2147483647' WHEN 6 THEN k || ':1 - ' || n || ';' ELSE ';' END"""
+
+
+@query(
+    f"""WITH {VERSES}, q AS (SELECT row_number() OVER () AS r, l_orderkey AS k, l_linenumber AS n, l_partkey, {MARKED.replace("k ||", "l_orderkey ||").replace("|| n", "|| l_linenumber")} AS reference FROM lineitem),
+ f AS (SELECT r, q.k, q.n, l_partkey, reference, coalesce(string_agg(v.text, ' ' ORDER BY v.n), '') AS biblical_text FROM q LEFT JOIN v ON v.o = q.k AND CASE l_partkey % 8 WHEN 0 THEN v.n = q.n WHEN 2 THEN v.n = q.n WHEN 5 THEN v.n >= q.n WHEN 6 THEN v.n <= q.n ELSE FALSE END GROUP BY ALL)
+ SELECT k, n, l_partkey, reference, biblical_text FROM f"""
+)
+def ref_lookup_marks(spark, sf_dir):
+    """References as they are found in files: semicolons don't count, sentinels and malformed ones have no text, ranges have any width."""
+    texts = _verses(spark, sf_dir).select(F.concat_ws(":", "o", "v").alias("reference"), "text")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), "l_partkey").withColumn("reference", F.expr(MARKED))
+    return verses.attach_texts(rows, texts)
+
+
+@query(
+    f"""WITH {VERSES}, q AS (SELECT o_orderkey AS k, CASE o_orderkey % 3 WHEN 0 THEN '0-2147483647' WHEN 1 THEN '2 - 9000000000' ELSE '3.1.7' END AS verse FROM orders),
+ t AS (SELECT k, string_agg(v.text, ' ' ORDER BY CASE WHEN k % 3 = 2 THEN (v.n * 2) % 3 ELSE v.n END) AS text FROM q JOIN v ON v.o = q.k AND CASE k % 3 WHEN 0 THEN TRUE WHEN 1 THEN v.n >= 2 ELSE v.n IN (3, 1, 7) END GROUP BY k)
+ SELECT k, verse, coalesce(text, '') AS text FROM q LEFT JOIN t USING (k)""".replace("(v.n * 2) % 3", "list_position([3, 1, 7], v.n)")
+)
+def wide_ranges(spark, sf_dir):
+    """Verses of a chapter by ranges that are far wider than it, and by lists."""
+    k = F.col("o_orderkey")
+    verse = F.when(k % 3 == 0, "0-2147483647").when(k % 3 == 1, "2 - 9000000000").otherwise("3.1.7")
+    rows = table(spark, sf_dir, "orders").select(k.alias("k"), F.lit("Mt").alias("book"), k.cast("string").alias("chapter"), verse.alias("verse"))
+    texts = _verses(spark, sf_dir).select(F.lit("Mt").alias("book"), F.col("o").cast("int").alias("chapter"), F.col("v").alias("verse"), "text")
+    return verses.compound_texts(rows.withColumnRenamed("verse", "verse_"), texts, "k", "book", "chapter", "verse_", "text").select("k", F.col("verse_").alias("verse"), "text")
+
+
 AGGLOMERATED = "a AS (SELECT l_orderkey AS k, string_agg('P ' || l_orderkey || ':' || l_linenumber || '.' || (l_linenumber + 1), ' ; ' ORDER BY l_linenumber, l_partkey) AS reference, string_agg(DISTINCT l_returnflag, ' ; ' ORDER BY l_returnflag) AS label FROM lineitem GROUP BY l_orderkey)"
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,3 +37,11 @@ def spread(df: DataFrame) -> DataFrame:
     """A table of fewer partitions than there are cores, dealt out to all of them before something expensive; any other as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def apart_unless(asks: Column, key: Column, columns: list[str]) -> Column:
+    """A join's key for rows that ask for a partner; all others get keys of their own that match nothing, so that they don't meet in one task as null keys do.
+
+    Of a string key: text that begins with a NUL. columns: what tells the rows apart.
+    """
+    return F.when(asks, key.cast("string")).otherwise(F.concat(F.lit("\0"), F.xxhash64(*columns).cast("string")))

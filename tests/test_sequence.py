@@ -120,5 +120,5 @@ def test_expansion_golden(spark):
     ]
     longest = sorted((x.k, x.part_no, x.reference, x.label) for x in expand.split_references(df, longest=True).where("k = 1").collect())
     assert longest == [(1, 0, "Ps 1:1", "Quotation"), (1, 1, "Ps 1:1", "allusion")]
-    numbers = spark.createDataFrame([(v,) for v in ("3", "3 - 5", "6-8.10", "15 16", "5-3", "x")], "v string").select("v", expand.verse_numbers(F.col("v")).alias("n")).collect()
-    assert {x.v: x.n for x in numbers} == {"3": [3], "3 - 5": [3, 4, 5], "6-8.10": [6, 8, 10], "15 16": [15, 16], "5-3": [], "x": []}
+    ranges = spark.createDataFrame([(v,) for v in ("3", "3 - 5", "6-8.10", "15 16", "5-3", "1-99999999999", "x")], "v string").select("v", expand.verse_ranges(F.col("v")).alias("n")).collect()
+    assert {x.v: [tuple(y) for y in x.n] for x in ranges} == {"3": [(3, 3)], "3 - 5": [(3, 5)], "6-8.10": [(6, 6), (8, 8), (10, 10)], "15 16": [(15, 15), (16, 16)], "5-3": [(5, 3)], "1-99999999999": [(1, 99999999999)], "x": []}
