@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import io
 import zipfile
 from xml.sax.saxutils import escape
@@ -14,8 +15,8 @@ from ..functions import refs
 from ..functions import text as fx
 from ..functions.fixed_values import ACCENTS, CORRECTIONS, PUNCTUATION, REFERENCE, REWRITES, SIGNS
 from ..functions.vectors import letter_encoder
-from ..operators import docx, expand, sequence, similarity, tei, verses
-from ..storage import spread
+from ..operators import docx, expand, sequence, similarity, tei, vector_index, verses
+from ..storage import spread, stored
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -563,6 +564,28 @@ def cosine_topk(spark, sf_dir):
     return similarity.top_k(queries, rows, 10).select("anchor", "cand", "rank", F.round("score", 4).alias("score"))
 
 
+def _searched(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    e = table(spark, sf_dir, "embeddings")
+    return e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("anchor"), F.col("embedding").alias("vector")), e.select(F.col("vec_id").alias("cand"), F.col("embedding").alias("vector"))
+
+
+@query(ORACLE_SQL["cosine_topk"])
+def indexed_topk_exact(spark, sf_dir):
+    """The same search by an index: cells that may hold something nearer than what was found are searched too."""
+    anchors, cands = _searched(spark, sf_dir)
+    found = vector_index.search(vector_index.build(cands), anchors, 10, exact=True)
+    return found.select("anchor", "cand", "rank", F.round("score", 4).alias("score"))
+
+
+@query("SELECT count(*) FILTER (vec_id % 100 = 0) AS n_anchors, 10 * count(*) FILTER (vec_id % 100 = 0) AS n_true, 10 * count(*) FILTER (vec_id % 100 = 0) AS n_returned, TRUE AS recall_of_90 FROM embeddings")
+def indexed_topk_recall(spark, sf_dir):
+    """What the index finds of the true neighbours, in the cells that it searches first only."""
+    anchors, cands = _searched(spark, sf_dir)
+    found = stored(vector_index.search(vector_index.build(cands), anchors, 10), "found")
+    measured = vector_index.recall_of(found, similarity.top_k(anchors, cands, 10))
+    return measured.crossJoin(F.broadcast(found.agg(F.count("*").alias("n_returned")))).select("n_anchors", "n_true", "n_returned", (F.col("recall") >= 0.9).alias("recall_of_90"))
+
+
 LABELLED = "SELECT d.doc_id, CASE WHEN coalesce(l.quality, 0) = 0 THEN 'NaR' ELSE 'Quotation' END AS label, CASE WHEN l.toxic = 1 THEN d.source ELSE '' END AS biblical_text FROM documents d LEFT JOIN labels l USING (doc_id)"
 
 
@@ -583,6 +606,15 @@ def cosine_fill(spark, sf_dir):
     return out.select("doc_id", "label", "biblical_text", F.round("score", 4).alias("score"))
 
 
+@query(ORACLE_SQL["cosine_fill"])
+def indexed_fill(spark, sf_dir):
+    """Filling by the index, searched exactly."""
+    anchors, cands = _vectors(spark, sf_dir)
+    rows = _labelled(spark, sf_dir).join(anchors, F.col("doc_id") == F.col("anchor"), "left")
+    out = similarity.fill_nearest(rows, cands.withColumn("candidate", F.concat(F.lit("text "), "cand")), search=functools.partial(vector_index.nearest, exact=True))
+    return out.select("doc_id", "label", "biblical_text", F.round("score", 4).alias("score"))
+
+
 @query(f"WITH {SCORES}, x AS ({LABELLED}) SELECT count(k.score) AS n, round(avg(k.score), 4) AS mean_similarity FROM x JOIN k ON k.anchor = x.doc_id AND k.rank = 1 WHERE x.label = 'NaR' AND x.biblical_text = ''")
 def mean_similarity(spark, sf_dir):
     """The report of filling."""
@@ -660,6 +692,25 @@ def annotated_sentences(spark, sf_dir):
     return sequence.sentences(_corpus_words(spark, sf_dir)).select("source_file", "sentence_index", "line", "reference", "label")
 
 
+@query(ORACLE_SQL["reuse_sets"])
+def scanned_reuse_sets(spark, sf_dir):
+    """The same by a prefix scan over chunks of 500 words."""
+    return sequence.reuse_sets(_corpus_words(spark, sf_dir), 500).select("source_file", "sentence_index", "line", "reuse_tag_set", "reference")
+
+
+@query(ORACLE_SQL["annotated_sentences"])
+def scanned_sentences(spark, sf_dir):
+    return sequence.sentences(_corpus_words(spark, sf_dir), 500).select("source_file", "sentence_index", "line", "reference", "label")
+
+
+@query(ORACLE_SQL["event_runs"])
+def scanned_event_runs(spark, sf_dir):
+    """Runs over an order that is no index: chunks are ranges of users and times."""
+    events = sequence.placed(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"])
+    runs = sequence.mark_runs(events, ["user_id"], ["ts", "event_id"], F.col("event_type"), chunk=F.col("chunk"))
+    return runs.groupBy("user_id", "run").agg(F.first("event_type").alias("event_type"), F.count("*").alias("n"), F.min("event_id").alias("first_event"), F.round(F.sum("value"), 4).alias("total"))
+
+
 @query(
     f"""WITH RECURSIVE {TOKENS}, w AS (SELECT *, pos // 5000 AS chunk, pos % 5000 AS i, CASE WHEN pos % 10 < 3 THEN 'Ps ' || (doc_id % 150 + 1) || ':' || ((pos // 10) % 7 + 1) END AS ref, pos // 8 + 1 AS line FROM toks),
  c AS (SELECT doc_id, chunk, count(*) AS n, coalesce(list(i ORDER BY i) FILTER (word IN ('.', '?', '!', ';')), []) AS ends, coalesce(list(i ORDER BY i) FILTER (word IN (',', ':')), []) AS stops FROM w GROUP BY ALL),

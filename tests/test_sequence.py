@@ -70,6 +70,42 @@ def test_sentences_and_sets_equal_a_walk(spark):
     assert sorted(got) == sorted(sets)
 
 
+def test_scan_equals_windows(spark):
+    """Chunks of one word and more, runs and sentences over many chunks, null keys and parts."""
+    rows = corpus(3)
+    df = spark.createDataFrame(rows, COLUMNS)
+    for size in (1, 7, 1000):
+        for one, two in ((sequence.sentences(df), sequence.sentences(df, size)), (sequence.reuse_sets(df), sequence.reuse_sets(df, size))):
+            assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+    r = random.Random(4)
+    marks = [(r.choice([None, 1, 2]), k, r.choice([None, None, "a", "a", "b"])) for k in range(300)]
+    df = spark.createDataFrame(marks, "p int, k int, v string")
+    by = (["p"], ["k"])
+    for scan, window in (
+        (sequence.mark_runs(df, *by, F.col("v"), chunk=sequence.chunks("k", 9)), sequence.mark_runs(df, *by, F.col("v"))),
+        (sequence.mark_groups(df, *by, F.col("v") == "a", chunk=sequence.chunks("k", 9)), sequence.mark_groups(df, *by, F.col("v") == "a")),
+        (sequence.mark_runs(sequence.placed(df, *by), *by, F.col("v"), chunk=F.col("chunk")).drop("chunk"), sequence.mark_runs(df, *by, F.col("v"))),
+    ):
+        assert sorted(map(str, scan.select(*window.columns).collect())) == sorted(map(str, window.collect()))
+
+
+def test_sums_of_chunks_in_two_levels(spark):
+    ends = spark.createDataFrame([(c % 3, c, c * c % 7) for c in range(200)], "p int, c long, n long").withColumn("_fx_at", sequence._stretch(["p"], F.col("c")))
+    got = {(x["p"], x["c"]): x["b"] for x in sequence._summed(ends, F.col("n"), fan=10).select("_fx_at.parts.p", F.col("_fx_at.chunk").alias("c"), F.col("_fx_before").alias("b")).collect()}
+    assert got == {(c % 3, c): sum(k * k % 7 for k in range(c % 3, c, 3)) for c in range(200)}
+
+
+def test_one_giant_document(spark):
+    """A document of ten million words: a window of the scan sees 5,000 of them, and sums over all are right."""
+    n = 10_000_000
+    words = spark.range(n).select(F.lit("/one").alias("path"), F.col("id").alias("at"), (F.col("id") % 11 == 10).alias("ends"), F.floor(F.col("id") / 25_003).alias("ref"))
+    marked = sequence.mark_groups(words, ["path"], ["at"], F.col("ends"), chunk=sequence.chunks("at"))
+    wrong = marked.where(F.col("sentence_index") != F.floor(F.col("at") / 11)).count()
+    runs = sequence.mark_runs(words, ["path"], ["at"], F.col("ref"), chunk=sequence.chunks("at"))
+    plan = marked._jdf.queryExecution().optimizedPlan().toString()
+    assert wrong == 0 and runs.where(F.col("run") != F.col("ref") + 1).count() == 0 and "windowspecdefinition(_fx_at" in plan and "windowspecdefinition(path" not in plan
+
+
 def test_segments_cover_all_words_and_no_chunk_is_crossed(spark):
     rows = corpus(2)
     out = sequence.segments(spark.createDataFrame(rows, COLUMNS), chunk=37).orderBy("source_path", "sentence_index").collect()
