@@ -45,3 +45,10 @@ def apart_unless(asks: Column, key: Column, columns: list[str]) -> Column:
     Of a string key: text that begins with a NUL. columns: what tells the rows apart.
     """
     return F.when(asks, key.cast("string")).otherwise(F.concat(F.lit("\0"), F.xxhash64(*columns).cast("string")))
+
+
+def sampled(df: DataFrame, key: Column, n: int, total: int) -> DataFrame:
+    """The n rows, of total ones, whose keys have the least hashes; all but about 2 n are left out where they lie."""
+    part = 1 << 40
+    most = min(part, -(-2 * n * part // max(total, 1)))
+    return df.where(F.pmod(F.xxhash64(key), F.lit(part)) < most).orderBy(F.pmod(F.xxhash64(key), F.lit(part)), key).limit(n)
