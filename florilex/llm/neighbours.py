@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..storage import sampled
 from .common import bounded_batches, stored
 
 #: Codebooks, codewords in each, and partial encodings that are kept from one codebook to the next.
@@ -75,10 +76,10 @@ def _means(rows: np.ndarray, words: int, rounds: int, rng: np.random.Generator)
     return centres, rows - centres[near]
 
 
-def fit(rows: DataFrame, width: int, books: int = BOOKS, words: int = WORDS, sample: int = SAMPLE, seed: int = 1) -> np.ndarray:
-    """Codebooks (books x words x width), fitted on the distinct ones of the sample vectors whose ids have the least hashes: a bounded number."""
+def fit(rows: DataFrame, width: int, total: int, books: int = BOOKS, words: int = WORDS, sample: int = SAMPLE, seed: int = 1) -> np.ndarray:
+    """Codebooks (books x words x width), fitted on the distinct ones of the sample vectors, of total ones, whose ids have the least hashes: a bounded number."""
     rng = np.random.default_rng(seed)
-    chosen = rows.orderBy(F.xxhash64(F.lit(seed), "vec_id"), "vec_id", "vector").limit(sample).select("vector").toArrow()
+    chosen = sampled(rows, F.struct("vec_id", "vector"), sample, total).select("vector").toArrow()
     left = np.unique(matrix(pa.concat_arrays(chosen.column("vector").chunks), width, np.float32), axis=0) if len(chosen) else np.zeros((1, width), np.float32)
     out = []
     for _ in range(books):
@@ -240,8 +241,8 @@ def search(entries: DataFrame, books: np.ndarray, queries: DataFrame, k: int = 1
 def neighbours(rows: DataFrame, asked: Column, k: int = 10, **options) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row (vec_id, vector; see `usable`) for which asked holds, among all rows but its own."""
     bounded_batches(rows.sparkSession)
-    width = rows.agg(F.max(F.size("vector"))).first()[0]
-    books = fit(rows, width or 1)
+    width, total = rows.agg(F.max(F.size("vector")), F.count("*")).first()
+    books = fit(rows, width or 1, total)
     return search(index(rows, books, k), books, rows.where(asked), k, **options)
 
 

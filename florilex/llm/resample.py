@@ -35,6 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import sampled
 from .common import bounded_batches, in_steps, stored, text_bytes
 from .terms import Words
 
@@ -205,7 +206,7 @@ def drawn(scores: DataFrame, draw: int, eligible: int) -> DataFrame:
     spark = scores.sparkSession
     keyed = scores.select((-F.col("score")).alias("key"), F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "row")
     ranges = max(1, min(RANGES, eligible // RANGE))
-    sample = sorted(tuple(x) for x in keyed.orderBy(F.xxhash64("row"), "row").limit(SAMPLE).collect()) if ranges > 1 else []
+    sample = sorted(tuple(x) for x in sampled(keyed, F.col("row"), SAMPLE, eligible).collect()) if ranges > 1 else []
     borders = sorted({sample[k * len(sample) // ranges] for k in range(1, ranges)})
     runs = keyed.sortWithinPartitions("key", "doc", "row").mapInArrow(_segments(borders), "number int, run int, key long, doc long, row long, n long, keys binary, docs binary, rows binary")
     runs = stored(runs, "runs", "lz4_raw")
