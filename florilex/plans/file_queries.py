@@ -64,6 +64,44 @@ def datasets_from_word_files(spark, sf_dir):
     return corpus.datasets(files.word_files(spark, path), files.verses(spark, verses))["sentences"].select("source_file", "sentence_index", "line", "sentence", "label", "initial_reference", "reference", "biblical_text")
 
 
+@query(
+    """SELECT 'doc' || n_nationkey || '_reuses.tsv' AS name, CASE n_nationkey % 5 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 0 END AS place, CASE n_nationkey % 5 WHEN 1 THEN 'short' WHEN 2 THEN 'long' ELSE 'header' END AS kind, n_nationkey % 5 = 1 AS is_read
+ FROM nation WHERE n_nationkey % 5 IN (1, 2, 3)"""
+)
+def bad_word_files(spark, sf_dir):
+    """Word files with a short row, a long one, or another header; those of the first kind are read."""
+    path, k = _folder(spark, "words"), F.col("n_nationkey")
+    row = lambda *x: F.concat_ws("\t", *[F.lit(v) if isinstance(v, str) else v for v in x])
+    lines = F.array(
+        F.when(k % 5 == 3, F.lit("a\tb")).otherwise(files.HEADER), row("1", F.col("n_name"), "NaR", "o", "o"), F.when(k % 5 == 1, row("1", "x")).otherwise(F.lit(" ")),
+        row("1", '"a\tb"', "NaR", "o", "o"), F.when(k % 5 == 2, row("1", "y", "NaR", "o", "o", "more")).otherwise(row("1", "z", "NaR", "o", "o")),
+    )
+    made = table(spark, sf_dir, "nation").select(F.concat(F.lit("sub/doc"), k, F.lit("_reuses.tsv")).alias("name"), F.array_join(lines, "\r\n").alias("content"))
+    sinks.write_files(made, path, "name", "content")
+    bad = files.bad_word_files(spark, path)
+    found = files.word_files(spark, path).select(F.col("source_path").alias("path")).distinct().withColumn("is_read", F.lit(True))
+    out = bad.join(found, "path", "left").select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("at").cast("int").alias("place"), "kind", F.coalesce("is_read", F.lit(False)).alias("is_read"))
+    return out
+
+
+@query("SELECT 'nation' || n_nationkey || '.txt' AS name, n_name AS text FROM nation WHERE n_nationkey % 2 = 0")
+def flat_scan(spark, sf_dir):
+    """The files of a folder, without those of its sub-folders."""
+    path, k = _folder(spark, "flat"), F.col("n_nationkey")
+    sinks.write_files(table(spark, sf_dir, "nation").select(F.concat(F.when(k % 2 == 0, "").otherwise("sub/"), F.lit("nation"), k, F.lit(".txt")).alias("name"), "n_name"), path, "name", "n_name")
+    return files.binary_files(spark, path, "*.txt", recursive=False).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.decode("content", "UTF-8").alias("text"))
+
+
+@query("SELECT 'part' || p_partkey AS name, len(p_name) AS size, '<p>' || p_name || '</p>' AS xml FROM part")
+def xml_files(spark, sf_dir):
+    """One TEI file for each part, in folders, written and read back with the sizes that the sink tells."""
+    path = _folder(spark, "tei")
+    rows = table(spark, sf_dir, "part").select(F.concat(F.lit("/in/brand"), F.substring("p_brand", -2, 2), F.lit("/part"), "p_partkey", F.lit(".docx")).alias("path"), F.concat(F.lit("<p>"), "p_name", F.lit("</p>")).alias("xml"))
+    written = sinks.write_xml(rows, path, "/in").select(F.concat(F.lit("/"), "name").alias("at"), (F.col("size") - 7).cast("int").alias("size"))
+    back = files.xml_files(spark, path)
+    return back.join(written, F.substring_index("path", "/", -2) == F.substring("at", 2, 1000)).select(F.regexp_extract("path", r"([^/]*)\.xml$", 1).alias("name"), "size", "xml")
+
+
 @query(f"""WITH {NATION_WORDS} SELECT 'nation' || k || '.txt' AS name, string_agg(CASE WHEN i = 0 OR word IN (',', '.') THEN word ELSE ' ' || word END, '' ORDER BY i) AS text FROM w GROUP BY k""")
 def raw_text_files(spark, sf_dir):
     """Running texts, one file for each document."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..schemas import VERSES, WORD_FILE
 
@@ -23,24 +24,52 @@ def xml_files(spark: SparkSession, path: str) -> DataFrame:
     return binary_files(spark, path, "*.{xml,XML}").select("path", F.decode("content", "UTF-8").alias("xml"))
 
 
-def _lines(spark: SparkSession, path: str, pattern: str, recursive: bool) -> DataFrame:
-    """(path, at, line): the lines of files in order; a file is read whole, as its order counts."""
-    files = spark.read.text(path, wholetext=True, recursiveFileLookup=recursive, pathGlobFilter=pattern)
-    return files.select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")).alias("at", "line"))
+def numbered_lines(spark: SparkSession, path: str, pattern: str, recursive: bool = True) -> DataFrame:
+    """(path, at, line): the lines of files that are not blank, by their place from 0.
+
+    Spark splits large files by bytes; the numbers are those of a prefix scan: each
+    split's lines are counted, and the sums of a file's splits tell where each begins. No file is read whole.
+    """
+    lines = spark.read.text(path, lineSep="\n", recursiveFileLookup=recursive, pathGlobFilter=pattern)
+    lines = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.regexp_replace("value", r"\r$", "").alias("line")).where("trim(line) <> ''")
+    lines = lines.withColumn("id", F.monotonically_increasing_id())
+    splits = lines.groupBy("path", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("path").orderBy("block")) - F.col("n")
+    return lines.join(splits.select("path", "block", "first", before.alias("before")), ["path", "block"]).select("path", (F.col("before") + F.col("id") - F.col("first")).alias("at"), "line")
+
+
+#: Names of a word file's columns, as its header has them.
+HEADER = "\t".join(f.name for f in WORD_FILE.fields)
+
+
+def _checked_lines(spark: SparkSession, path: str, pattern: str, recursive: bool) -> DataFrame:
+    """(path, at, line, kind): kind is null, or what is wrong with a line of a word file: 'header', 'long' or 'short'."""
+    fields = F.size(F.split(F.regexp_replace("line", r'"([^"]|"")*"', ""), "\t"))
+    width = len(WORD_FILE.fields)
+    kind = F.when((F.col("at") == 0) & (F.col("line") != HEADER), "header").when(fields > width, "long").when(fields < width, "short")
+    return numbered_lines(spark, path, pattern, recursive).withColumn("kind", kind)
+
+
+def bad_word_files(spark: SparkSession, path: str, pattern: str = "*_reuses.tsv", recursive: bool = True) -> DataFrame:
+    """(path, at, kind) of the lines that are not as they should be: another 'header', or too many fields ('long'), for which `word_files` leaves the whole file out; too few ('short'), which it fills up with empty ones."""
+    return _checked_lines(spark, path, pattern, recursive).where("kind is not null").select("path", "at", "kind")
 
 
 def word_files(spark: SparkSession, path: str, pattern: str = "*_reuses.tsv", recursive: bool = True) -> DataFrame:
     """The words of all word files: source_path, source_file, word_index and the columns of the files.
 
     Words such as 'null' and 'nan' stay words. Quotes are doubled within quoted
-    fields, which can't hold line ends. Files are told apart by their path.
+    fields, which can't hold line ends. Files are told apart by their path; those that can't be
+    read (`bad_word_files` names them) give no words. Blank lines don't count.
     """
     parsed = F.from_csv("line", ", ".join(f"`{f.name}` STRING" for f in WORD_FILE.fields), {"sep": "\t", "quote": '"', "escape": '"', "mode": "PERMISSIVE"})
-    rows = _lines(spark, path, pattern, recursive).where("at > 0 and line <> ''").withColumn("row", parsed)
+    lines = _checked_lines(spark, path, pattern, recursive)
+    bad = lines.where("kind in ('header', 'long')").select("path").distinct()
+    rows = lines.where("at > 0").join(bad, "path", "left_anti").withColumn("row", parsed)
     return rows.select(
         F.col("path").alias("source_path"),
         F.element_at(F.split("path", "/"), -1).alias("source_file"),
-        (F.col("at") - 1).alias("word_index"),
+        (F.col("at") - 1).cast("int").alias("word_index"),
         *[F.coalesce(F.col("row")[f.name], F.lit("")).alias(f.name) for f in WORD_FILE.fields],
     )
 

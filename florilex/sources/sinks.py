@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
-from pyarrow import fs
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +11,7 @@ from ..functions.fixed_values import ATTACHED_LEFT, ATTACHED_RIGHT
 from ..operators import sequence
 from ..operators.similarity import numbered
 from ..schemas import WORD_FILE
-from ..storage import stored
+from .document_format import DocumentFiles
 
 
 def write_tsv(df: DataFrame, path: str, by: list[str] | None = None, order: list[str] | None = None) -> None:
@@ -24,30 +24,17 @@ def write_tsv(df: DataFrame, path: str, by: list[str] | None = None, order: list
     (writer.partitionBy(*by) if by else writer).csv(path)
 
 
-def write_files(df: DataFrame, path: str, name: str, content: str) -> DataFrame:
+def write_files(df: DataFrame, path: str, name: str, content: str, mode: str = "append") -> DataFrame:
     """Writes one file for each row, by its name (which may be a relative path), with its text or bytes; (name, size) of each.
 
-    path is a folder that all executors reach, or the URI of a store that Arrow
-    knows. A file is written beside its place and then moved there, so a task
-    that runs again leaves the same files.
+    All files appear when the job is done, and none if it fails or two rows share a name; see `document_format`.
+    path is a folder that driver and executors share, or the URI of a store that Arrow knows.
     """
-
-    path = path.removeprefix("file://").removeprefix("file:")
-
-    def work(batches):
-        for b in batches:
-            for n, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                store, top = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-                target, data = f"{top}/{n}", c or b""
-                store.create_dir(target.rpartition("/")[0], recursive=True)
-                with store.open_output_stream(f"{target}.part") as out:
-                    out.write(data)
-                store.move(f"{target}.part", target)
-                yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([len(data)], pa.int64())], ["name", "size"])
-
+    spark, job = df.sparkSession, uuid.uuid4().hex
+    spark.dataSource.register(DocumentFiles)
     rows = df.select(F.col(name).cast("string").alias("name"), F.col(content).cast("binary").alias("content"))
-    written = rows.mapInArrow(work, "name string, size long")
-    return stored(written, "written")
+    rows.write.format(DocumentFiles.name()).mode(mode).option("job", job).save(path)
+    return spark.read.schema("name string, size long").json(f"{path}/_written-{job}")
 
 
 def file_name(path: str, extension: str, base: str | None = None):
