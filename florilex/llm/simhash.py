@@ -328,31 +328,12 @@ def spanning(n: int, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.nda
     return order[taken]
 
 
-def nearest(group: np.ndarray, p: np.ndarray, q: np.ndarray, comp: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Of the pairs (p, q) of nodes of different comp, at distances d, those kept: for each two components in a group, the nearest partner of each node of the one with fewer nodes."""
-    if not len(p):
-        return np.zeros(0, np.int64)
-    swap = comp[p] > comp[q]
-    x, y = np.where(swap, q, p), np.where(swap, p, q)
-    both = np.unique(np.stack([group, comp[x], comp[y]]), axis=1, return_inverse=True)[1].ravel()
-
-    def distinct(node):  # nodes of each two components
-        pairs = np.unique(np.stack([both, node]), axis=1)[0]
-        return np.bincount(pairs, minlength=both.max() + 1)
-
-    own = np.where((distinct(x) <= distinct(y))[both], x, y)
-    order = np.lexsort((d, own, both))
-    first = np.concatenate(([True], (both[order][1:] != both[order][:-1]) | (own[order][1:] != own[order][:-1])))
-    return np.sort(order[first])
-
-
 def candidates(rows: DataFrame, words64: int, radius: int, most: int, similarity: float, second: bool = False) -> DataFrame:
     """(a, b, all): pairs of nodes within the budget whose set sizes allow the similarity. fp has words64 words, of which most bits may differ.
 
     Under one key, groups of up to SMALL nodes give all their pairs, larger
-    ones a shortest spanning tree (all is false). In the second pass, for each two
-    components that meet under a key, each node of the one with fewer nodes there
-    gives the pair with the nearest node of the other: pairs grow with nodes, not with their square.
+    ones a shortest spanning tree (all is false). The second pass gives every pair of
+    nodes of different components (column comp); what is connected already needs no more links.
     """
 
     def join(t: pa.Table) -> pa.RecordBatch:
@@ -389,8 +370,7 @@ def candidates(rows: DataFrame, words64: int, radius: int, most: int, similarity
             k = end
         p, q, d = np.concatenate(left), np.concatenate(right), np.concatenate(far)
         if second:
-            keep = nearest(at[p], p, q, comp, d)
-            p, q, whole = p[keep], q[keep], np.ones(len(keep), bool)
+            whole = np.ones(len(p), bool)
         else:
             root = forest(len(node), p, q)
             whole = (np.bincount(root, minlength=len(node))[root] <= SMALL)[p]
@@ -428,39 +408,39 @@ def verified(pairs: DataFrame, docs: DataFrame, prints: DataFrame, size: int, si
     return both.select("a", "b", "s", "t").mapInArrow(decide, "a long, b long")
 
 
-def exact_links(docs: DataFrame, prints: DataFrame, nodes: DataFrame, size: int, words64: int, bits: int, radius: int, most: int, check64: int, similarity: float) -> DataFrame:
-    """(a, b): links of at least the similarity, in two passes.
+def exact_links(docs: DataFrame, prints: DataFrame, nodes: DataFrame, size: int, words64: int, bits: int, radius: int, most: int, check64: int, whole: int, similarity: float) -> DataFrame:
+    """(a, b): links of at least the similarity, in two passes; together they connect what all candidates would.
 
-    The first tests a shortest spanning forest of the candidates under each key;
-    the second what then still lies apart, each node with the nearest of each other
-    component. In a dense group of texts some of whose pairs are similar and
-    most are not, a link can be missed whose ends never are the nearest under any of their keys.
+    The first tests a shortest spanning forest of the candidates under each key.
+    The second takes the nodes of groups of which not all pairs were tested, and tests every
+    candidate pair of them whose ends still lie in different components, told by whole
+    fingerprints (of which whole bits may differ) and not by a part of them. After that no untested candidate joins two components.
     """
 
-    def found(some: DataFrame, second: bool) -> DataFrame:
-        carried = ["n", "comp"] if second else ["n"]
-        rows = divided(rotated(some, words64, bits, radius, carried, 8 * check64), radius, carried)
-        return checkpoint(candidates(rows, check64, radius, most, similarity, second).groupBy("a", "b").agg(F.max("all").alias("all")))
+    def found(some: DataFrame, carried: list[str], words: int, most: int, second: bool) -> DataFrame:
+        rows = divided(rotated(some, words64, bits, radius, carried, 8 * words), radius, carried)
+        return checkpoint(candidates(rows, words, radius, most, similarity, second).groupBy("a", "b").agg(F.max("all").alias("all")))
 
-    pairs = found(nodes, False)
+    pairs = found(nodes, ["n"], check64, most, False)
     out = checkpoint(verified(pairs, docs, prints, size, similarity))
     part = pairs.where("not all")
     crowd = checkpoint(part.select(F.col("a").alias("node")).unionByName(part.select(F.col("b").alias("node"))).distinct())
     if crowd.isEmpty():
         return out
     again = nodes.join(crowd, "node", "left_semi").join(components(out), "node", "left").select("node", "fp", "n", F.coalesce("root", "node").alias("comp"))
-    rest = found(checkpoint(again), True).join(pairs, ["a", "b"], "left_anti")
+    rest = found(checkpoint(again), ["n", "comp"], words64, whole, True).join(pairs, ["a", "b"], "left_anti")
     return checkpoint(out.unionByName(verified(checkpoint(rest), docs, prints, size, similarity)))
 
 
-def near_duplicates(docs: DataFrame, size: int = 3, words64: int = 1, bits: int = 64, radius: int = 2, most: int | None = None, distinct: bool = False, similarity: float | None = None, check64: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 3, words64: int = 1, bits: int = 64, radius: int = 2, most: int | None = None, distinct: bool = False, similarity: float | None = None, check64: int = 2, whole: int | None = None) -> DataFrame:
     """doc_id, fp, component_id (the least doc_id reachable, itself included) of each document.
 
     size: words of a shingle. words64: 64-bit words of a fingerprint, cut into
     tries of bits bits each. distinct: each shingle votes once. most: bits in
     which whole fingerprints may differ. similarity: the exact Jaccard
     similarity of the shingle sets that a link must have (shingles are then
-    distinct, and fingerprints are compared in their last check64 words); without it fingerprints decide alone.
+    distinct, and fingerprints are compared in their last check64 words, of which most bits may differ, or as a whole,
+    of which whole bits may); without it fingerprints decide alone.
     """
     most = radius if most is None else most
     if similarity is None:
@@ -470,7 +450,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, words64: int = 1, bits: int
     else:
         prints = checkpoint(set_fingerprints(docs, size, words64))
         nodes = checkpoint(prints.groupBy("node").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.min("doc_id").alias("least"), F.count("*").alias("copies")))
-        found = exact_links(docs, prints, nodes.select("node", "fp", "n"), size, words64, bits, radius, most, check64, similarity)
+        found = exact_links(docs, prints, nodes.select("node", "fp", "n"), size, words64, bits, radius, most, check64, words64 * most // check64 if whole is None else whole, similarity)
     roots = components(found)
     rooted = nodes.select("node", "least", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -114,9 +114,15 @@ def test_links_are_those_of_exact_jaccard(spark, monkeypatch):
         assert got == want
 
 
-def test_nearest_partners():
-    comp = np.array([1, 1, 1, 2, 3, 3])
-    p, q, d = np.array([0, 1, 2, 0, 1, 4]), np.array([3, 3, 3, 4, 4, 3]), np.array([5, 3, 4, 9, 8, 1])
-    # components 1 and 2: the one node of 2 with the nearest of 1; 1 and 3: the one node of 3 that is met; 2 and 3: their pair
-    assert simhash.nearest(np.zeros(6, int), p, q, comp, d).tolist() == [1, 4, 5]
-    assert simhash.nearest(np.array([0, 1, 0, 0, 0, 0]), p, q, comp, d).tolist() == [1, 2, 4, 5]
+def test_no_link_of_a_dense_group_is_lost(spark):
+    """250 texts of 300 words, each with 26 words of its own somewhere: hardly any pair reaches 0.8, and all that do are connected."""
+    r = random.Random(5)
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for k in range(250):
+        at = r.randrange(275)
+        rows.append((k, " ".join(base[:at] + [f"d{k}x{i}" for i in range(26)] + base[at + 26 :])))
+    linked = brute.similar(rows, 5, 0.8)
+    want = brute.components([d for d, _ in rows], lambda a, b: (b, a) in linked)
+    got = {x.doc_id: x.component_id for x in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), **NEAR).collect()}
+    assert 100 < len(linked) < 3000 and 10 < len(set(want.values())) < 100 and got == want
