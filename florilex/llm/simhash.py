@@ -39,6 +39,8 @@ CROWDED = 50_000
 CHUNK = 30_000
 #: Groups of more candidates than this under one key are decided in two passes.
 SMALL = 2
+#: Sets of up to so many shingles are also linked with those that have one fewer: fingerprints of few shingles say little.
+FEW = 9
 
 
 def shingles(text: bytes, size: int) -> list[bytes]:
@@ -97,17 +99,17 @@ def fingerprints(docs: DataFrame, size: int, words64: int, distinct: bool) -> Da
 
 
 def set_fingerprints(docs: DataFrame, size: int, words64: int) -> DataFrame:
-    """(doc_id, node, fp, n): node is a long that stands for the shingle set, n the number of its shingles."""
+    """(doc_id, node, fp, n, fewer): node is a long that stands for the shingle set, n the number of its shingles, fewer the nodes of the sets with one shingle less, of sets of up to FEW."""
+    number = lambda h: xxhash.xxh64_intdigest(h.tobytes()) - 2**63
 
     def work(batches):
         for b in in_steps(batches, "text"):
             sets = [shingle_set((t or "").encode("utf-8", "surrogatepass"), size) for t in b.column(1).to_pylist()]
-            nodes = [xxhash.xxh64_intdigest(h.tobytes()) - 2**63 for h in sets]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(nodes, pa.int64()), pa.array([majority(h, words64) for h in sets], pa.binary()), pa.array([len(h) for h in sets], pa.int32())], ["doc_id", "node", "fp", "n"]
-            )
+            fewer = [[number(np.delete(h, k)) for k in range(len(h))] if len(h) <= FEW else [] for h in sets]
+            columns = [pa.array([number(h) for h in sets], pa.int64()), pa.array([majority(h, words64) for h in sets], pa.binary()), pa.array([len(h) for h in sets], pa.int32()), pa.array(fewer, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["doc_id", "node", "fp", "n", "fewer"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, node long, fp binary, n int")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, node long, fp binary, n int, fewer array<long>")
 
 
 def blocks(bits: int, parts: int) -> list[tuple[int, int]]:
@@ -415,14 +417,17 @@ def exact_links(docs: DataFrame, prints: DataFrame, nodes: DataFrame, size: int,
     The second takes the nodes of groups of which not all pairs were tested, and tests every
     candidate pair of them whose ends still lie in different components, told by whole
     fingerprints (of which whole bits may differ) and not by a part of them. After that no untested candidate joins two components.
+    Sets of few shingles are linked with those of one fewer by their numbers.
     """
+    few = nodes.where((F.size("fewer") > 0) & (F.col("n") - 1 >= similarity * F.col("n") - 1e-9)).select("node", F.explode("fewer").alias("a"))
+    subsets = few.join(nodes.where(F.col("n") < FEW).select(F.col("node").alias("a")), "a").select("a", F.col("node").alias("b"))
 
     def found(some: DataFrame, carried: list[str], words: int, most: int, second: bool) -> DataFrame:
         rows = divided(rotated(some, words64, bits, radius, carried, 8 * words), radius, carried)
         return checkpoint(candidates(rows, words, radius, most, similarity, second).groupBy("a", "b").agg(F.max("all").alias("all")))
 
     pairs = found(nodes, ["n"], check64, most, False)
-    out = checkpoint(verified(pairs, docs, prints, size, similarity))
+    out = checkpoint(verified(pairs, docs, prints, size, similarity).unionByName(subsets))
     part = pairs.where("not all")
     crowd = checkpoint(part.select(F.col("a").alias("node")).unionByName(part.select(F.col("b").alias("node"))).distinct())
     if crowd.isEmpty():
@@ -449,8 +454,8 @@ def near_duplicates(docs: DataFrame, size: int = 3, words64: int = 1, bits: int
         found = links(divided(rotated(nodes, words64, bits, radius), radius), words64, radius, most).distinct()
     else:
         prints = checkpoint(set_fingerprints(docs, size, words64))
-        nodes = checkpoint(prints.groupBy("node").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.min("doc_id").alias("least"), F.count("*").alias("copies")))
-        found = exact_links(docs, prints, nodes.select("node", "fp", "n"), size, words64, bits, radius, most, check64, words64 * most // check64 if whole is None else whole, similarity)
+        nodes = checkpoint(prints.groupBy("node").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("fewer").alias("fewer"), F.min("doc_id").alias("least"), F.count("*").alias("copies")))
+        found = exact_links(docs, prints, nodes.select("node", "fp", "n", "fewer"), size, words64, bits, radius, most, check64, words64 * most // check64 if whole is None else whole, similarity)
     roots = components(found)
     rooted = nodes.select("node", "least", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))

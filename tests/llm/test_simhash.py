@@ -126,3 +126,15 @@ def test_no_link_of_a_dense_group_is_lost(spark):
     want = brute.components([d for d, _ in rows], lambda a, b: (b, a) in linked)
     got = {x.doc_id: x.component_id for x in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), **NEAR).collect()}
     assert 100 < len(linked) < 3000 and 10 < len(set(want.values())) < 100 and got == want
+
+
+def test_short_texts_are_compared_exactly(spark):
+    """Texts of up to nine shingles, one of which may be missing at either end."""
+    rows = []
+    for g in range(60):
+        words = [f"g{g}w{i}" for i in range(g % 13 + 1)]
+        rows += [(10 * g, " ".join(words)), (10 * g + 1, " ".join(words[1:])), (10 * g + 2, " ".join(words[:-1])), (10 * g + 3, " ".join([*words, "more"]))]
+    linked = brute.similar(rows, 5, 0.8)
+    want = brute.components([d for d, _ in rows], lambda a, b: (b, a) in linked)
+    got = {x.doc_id: x.component_id for x in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), **NEAR).collect()}
+    assert len(linked) > 60 and got == want
