@@ -402,13 +402,8 @@ def tei_references(spark, sf_dir):
 PATTERNS = """CASE p_partkey % 3 WHEN 0 THEN 'Ps ' || p_partkey || ':1' WHEN 1 THEN 'Ps ' || p_partkey || ':2' ELSE 'Mt ' || p_partkey || ':3' END"""
 
 
-@query(
-    f"""WITH x AS (SELECT p_partkey, {PATTERNS} AS ref, string_split(p_name, ' ') AS l FROM part), w AS (SELECT p_partkey, ref, unnest(range(len(l) + 2)) AS i, unnest(list_concat(list_concat(['ante'], l), ['post'])) AS word, len(l) AS n FROM x)
- SELECT 'p' || p_partkey AS path, i::INT AS pos, word, CASE WHEN i BETWEEN 1 AND n THEN ref END AS reference, CASE WHEN i BETWEEN 1 AND n THEN CASE WHEN p_partkey % 3 = 2 THEN 'Occurrence' ELSE 'allusion' END END AS label,
- CASE WHEN i BETWEEN 1 AND n THEN 'as written' END AS initial_reference, CASE WHEN i > 0 THEN p_partkey::VARCHAR END AS line FROM w"""
-)
-def tei_patterns(spark, sf_dir):
-    """Quotations whose reference stands in a note within them, in one that follows, or in a footnote paragraph."""
+def tei_files(spark, sf_dir) -> DataFrame:
+    """(path, xml): parts as TEI files."""
     k, kind = F.col("p_partkey").cast("string"), F.col("p_partkey") % 3
     seg = lambda verse: F.concat(F.lit('<note><seg type="biblicalRef" ana="allusion"><!--as written-->Ps '), k, F.lit(f":{verse}</seg></note>"))
     quote = F.concat(F.lit('<seg type="biblicalQuotation">'), "p_name")
@@ -418,7 +413,17 @@ def tei_patterns(spark, sf_dir):
         .otherwise(F.concat(quote, F.lit('</seg><note><p rend="footnote text"><!--as written-->Mt '), k, F.lit(":3</p></note>")))
     )
     xml = F.concat(F.lit('<TEI><text><p>ante <lb n="'), k, F.lit('"/>'), body, F.lit(" post</p></text></TEI>"))
-    return tei.tei_words(table(spark, sf_dir, "part").select(F.concat(F.lit("p"), k).alias("path"), xml.alias("xml")))
+    return table(spark, sf_dir, "part").select(F.concat(F.lit("p"), k).alias("path"), xml.alias("xml"))
+
+
+@query(
+    f"""WITH x AS (SELECT p_partkey, {PATTERNS} AS ref, string_split(p_name, ' ') AS l FROM part), w AS (SELECT p_partkey, ref, unnest(range(len(l) + 2)) AS i, unnest(list_concat(list_concat(['ante'], l), ['post'])) AS word, len(l) AS n FROM x)
+ SELECT 'p' || p_partkey AS path, i::INT AS pos, word, CASE WHEN i BETWEEN 1 AND n THEN ref END AS reference, CASE WHEN i BETWEEN 1 AND n THEN CASE WHEN p_partkey % 3 = 2 THEN 'Occurrence' ELSE 'allusion' END END AS label,
+ CASE WHEN i BETWEEN 1 AND n THEN 'as written' END AS initial_reference, CASE WHEN i > 0 THEN p_partkey::VARCHAR END AS line FROM w"""
+)
+def tei_patterns(spark, sf_dir):
+    """Quotations whose reference stands in a note within them, in one that follows, or in a footnote paragraph."""
+    return tei.tei_words(tei_files(spark, sf_dir))
 
 
 @query(

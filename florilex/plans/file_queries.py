@@ -4,17 +4,20 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..functions import models, tables
 from ..functions import text as fx
 from ..functions.fixed_values import NO_REF, NO_REUSE
 from ..operators import docx, sequence, tei
 from ..sources import files, sinks
-from ..storage import shared_dir
+from ..storage import shared_dir, stored
 from . import corpus
-from .catalogue import STYLED, _package, _styled, documents, query, table
+from .catalogue import ORACLE_SQL, RUNS, STYLED, TOKENS, _corpus_words, _package, _styled, documents, query, table, tei_files
 
 
 def _folder(spark, name: str) -> str:
@@ -222,3 +225,66 @@ def _marks_after_letters(text: str, passes: int = 8) -> str:
 @query(f"SELECT doc_id, md5(trim({_marks_after_letters(chr(39).join(['regexp_replace(text, ', chr(92) + 's+', ', ', ' ', ', ', 'g', ')']))})) AS cleaned FROM documents")
 def whitespace_cleaning(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.md5(fx.clean_whitespace(F.col("text"))).alias("cleaned"))
+
+
+@query(
+    f"""WITH s AS ({ORACLE_SQL["annotated_sentences"]}), r AS ({ORACLE_SQL["reuse_sets"]}), v AS (SELECT DISTINCT 'Ps ' || (p_partkey % 75 * 2 + 2) || ':' || (p_size % 7 + 1) AS reference FROM part),
+ x AS (SELECT 'sentences' AS name, unnest(string_split(reference, ' ; ')) AS reference FROM s UNION ALL SELECT 'sets', reference FROM r)
+ SELECT name, count(*) AS n_rows, count(*) FILTER (x.reference <> 'o') AS with_reference, count(v.reference) AS with_text, count(*) FILTER (x.reference <> 'o' AND v.reference IS NULL) AS unresolved FROM x LEFT JOIN v USING (reference) GROUP BY name"""
+)
+def observed_datasets(spark, sf_dir):
+    """What a run reports: the counts of sentences and sets, taken while they are written."""
+    texts = table(spark, sf_dir, "part").select(F.concat(F.lit("Ps "), F.col("p_partkey") % 75 * 2 + 2, F.lit(":"), F.col("p_size") % 7 + 1).alias("reference"), F.lit("text").alias("text")).distinct()
+    data, seen = corpus.observed(corpus.datasets(_corpus_words(spark, sf_dir), texts))
+    seen.pop("segments")
+    for name in seen:
+        data[name].write.parquet(_folder(spark, name))
+    return corpus.report(spark, seen)
+
+
+@query(f"{RUNS}, m AS (SELECT *, coalesce(sum((event_type = 'error')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS sentence_index FROM k) SELECT user_id, event_id, sentence_index, run::INT AS run FROM m")
+def streamed_runs(spark, sf_dir):
+    """Events of each user as words that arrive in three pieces, each with words that belong to others."""
+    from ..streaming.runs import numbered_words
+
+    came, out, state = _folder(spark, "pieces"), _folder(spark, "numbered"), _folder(spark, "state")
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    events = stored(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", place.alias("word_index")), "events")
+    words = events.select(F.col("user_id").cast("string").alias("source_path"), "word_index", F.when(F.col("event_type") == "error", ".").otherwise("x").alias("word"), F.col("event_type").alias("reference"))
+    for k in range(3):
+        words.where(F.col("word_index") % 3 == (k * 2) % 3).coalesce(1 + k).write.mode("append").parquet(came)
+    stream = numbered_words(spark.readStream.schema(words.schema).option("maxFilesPerTrigger", 1).parquet(came))
+    stream.writeStream.option("checkpointLocation", state).trigger(availableNow=True).format("parquet").option("path", out).start().awaitTermination()
+    found = spark.read.schema(stream.schema).parquet(out).select(F.col("source_path").cast("long").alias("user"), F.col("word_index").alias("at"), "sentence_index", "run")
+    return events.join(found, (F.col("user_id") == F.col("user")) & (F.col("word_index") == F.col("at"))).select("user_id", "event_id", "sentence_index", "run")
+
+
+@query(ORACLE_SQL["tei_patterns"])
+def tei_words_by_sql(spark, sf_dir):
+    """The words of TEI files by a table function, in SQL."""
+    tables.register(spark)
+    tei_files(spark, sf_dir).select("path", tei.clean_markup(F.col("xml")).alias("xml")).createOrReplaceTempView("florilex_files")
+    return spark.sql("SELECT f.path, w.* FROM florilex_files f, LATERAL tei_words(f.xml) w")
+
+
+@query(RUNS + " SELECT user_id, run::BIGINT AS run, any_value(event_type) AS event_type, count(*) AS n FROM k GROUP BY user_id, run")
+def runs_by_sql(spark, sf_dir):
+    """Runs of events by a table function that holds no more than the open run."""
+    tables.register(spark)
+    table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type").createOrReplaceTempView("florilex_events")
+    return spark.sql("SELECT part AS user_id, run, value AS event_type, n FROM runs(TABLE(SELECT * FROM florilex_events) PARTITION BY user_id ORDER BY (ts, event_id), 'event_type')")
+
+
+@query(
+    f"""WITH {TOKENS} SELECT doc_id, count(*) AS n_tokens, round(avg(least(length(word), 20)), 9) AS mean_length, round(avg(least(length(word), 20) * least(length(word), 20)), 9) AS mean_square FROM toks GROUP BY doc_id"""
+)
+def model_vectors(spark, sf_dir):
+    """Whole documents by a model of token vectors, loaded once a worker; a token's vector is its length and its square, so that means can be told by SQL."""
+
+    def load(device: str, size: int):
+        known = np.array([[k, k * k] for k in range(size + 1)], float)
+        return models.TokenModel(lambda ids, mask: known[ids])
+
+    docs = documents(spark, sf_dir).select("doc_id", F.transform(fx.tokenize(F.col("text")), lambda w: F.least(F.length(w), F.lit(20))).alias("ids"))
+    found = models.embed_whole(docs, "ids", load, 20, keys=["doc_id"])
+    return found.join(docs.select("doc_id", F.size("ids").cast("long").alias("n_tokens")), "doc_id").select("doc_id", "n_tokens", F.round(F.col("vector")[0], 9).alias("mean_length"), F.round(F.col("vector")[1], 9).alias("mean_square"))
