@@ -7,7 +7,7 @@ from functools import reduce
 
 import pandas as pd
 import regex
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .fixed_values import ACCENTS, CORRECTIONS, LABELS, REFERENCE, REFERENCE_TAGS, REWRITES, SIGNS
@@ -55,6 +55,13 @@ def normalize_ref(initial: Column, rewrites=REWRITES, corrections=CORRECTIONS) -
     return extract_refs(F.coalesce(expand_sequens(ref), initial))
 
 
+def with_normalized(df: DataFrame, initial: str, name: str = "normalized", **tables) -> DataFrame:
+    """Adds the canonical form of a column of references. Each form that occurs is rewritten once, since few forms make up most references, and joined back."""
+    forms = df.select(F.col(initial).alias("_fx_form")).where("_fx_form is not null").distinct()
+    done = forms.select("_fx_form", normalize_ref(F.col("_fx_form"), **tables).alias(name))
+    return df.join(done, F.col(initial) == F.col("_fx_form"), "left").drop("_fx_form")
+
+
 def provenance(initial: Column, normalized: Column) -> Column:
     """The normalised reference, preceded by a comment with the initial one."""
     return F.concat(F.lit("<!--"), F.regexp_replace(F.regexp_replace(initial, r"[\t\n]", ""), "-(?=-|$)", r"-\\\\"), F.lit("-->"), normalized)

@@ -314,7 +314,7 @@ def ref_normalize(spark, sf_dir):
         .when(n % 4 == 2, F.concat(F.lit("Ps "), o % 150 + 1, F.lit(","), n, F.lit("; Rm "), n + 1, F.lit(", "), n, F.lit("."), n + 2))
         .otherwise(F.concat(F.lit("Ps "), o % 150 + 1))
     )
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", initial.alias("initial")).withColumn("normalized", refs.normalize_ref(F.col("initial")))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", initial.alias("initial")).transform(refs.with_normalized, "initial")
 
 
 @query(
@@ -352,14 +352,23 @@ def _replaced(expression: str, table) -> str:
 WRITTEN = """q AS (SELECT l_orderkey, l_linenumber, l_partkey, k, c, v, CASE l_linenumber WHEN 1 THEN k || c || ',' || v WHEN 2 THEN k || c || ',' || v || 's' WHEN 3 THEN k || c || ',' || v || '-' || (v + 1) || 'ss' WHEN 4 THEN k || c || ',' || v || 'sq ; ' || k || c || '.' || v
    WHEN 5 THEN 'cf. ' || k || c || ' , ' || v || '--' || (v + 3) WHEN 6 THEN 'Éz ' || c || ',' || v || ' et ' || k || c || ',' || v || 'etc' ELSE 'Ps 15,11; ' || k || c || ',as' END AS initial
   FROM (SELECT *, KEYS[l_orderkey % LENGTH + 1] AS k, l_orderkey % 150 + 1 AS c, l_partkey % 60 + 1 AS v FROM lineitem))""".replace("KEYS", "[" + ", ".join(f"'{a}'" for a, _ in REWRITES) + "]").replace("LENGTH", str(len(REWRITES)))
-NORMALIZED = rf"""s1 AS (SELECT *, regexp_replace(regexp_replace({_replaced("initial", SIGNS)}, '\s*([.:])', '\1', 'g'), '([.:])\s*', '\1', 'g') AS s FROM q),
+NORMALIZED_BY = rf"""s1 AS (SELECT *, regexp_replace(regexp_replace({_replaced("initial", SIGNS)}, '\s*([.:])', '\1', 'g'), '([.:])\s*', '\1', 'g') AS s FROM q),
  s2 AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, '(^|[^0-9])\.([^0-9]|$)', '\1 \2', 'g'), '([A-Za-z]):', '\1 ', 'g'), '\s+', ' ', 'g'), '\s$', ''), '([A-Za-z])(\d)', '\1 \2', 'g') AS b FROM s1),
- s3 AS (SELECT *, {_replaced(f"regexp_replace({_replaced('b', [*ACCENTS, *REWRITES])}, '([A-Za-z])([0-9])', '{chr(92)}1 {chr(92)}2', 'g')", CORRECTIONS)} AS r FROM s2),
+ s3 AS (SELECT *, CORRECTED AS r FROM s2),
  s4 AS (SELECT *, regexp_replace(r, '(s|sq|ss|etc)$', '') AS bare, regexp_matches(r, '(s|sq|ss|etc)$') AS more FROM s3),
  s5 AS (SELECT *, CASE WHEN more THEN split_part(bare, '-', 1) || '-' || (TRY_CAST(trim(string_split(string_split(bare, ':')[-1], '-')[-1]) AS INT) + 2) ELSE r END AS e FROM s4),
  s6 AS (SELECT *, array_to_string(regexp_extract_all(coalesce(e, initial), '{REFERENCE}'), ' ; ') AS normalized FROM s5)"""
 
 
+def _normalized(corrections) -> str:
+    book = f"regexp_replace({_replaced('b', [*ACCENTS, *REWRITES])}, '([A-Za-z])([0-9])', '{chr(92)}1 {chr(92)}2', 'g')"
+    return NORMALIZED_BY.replace("CORRECTED", _replaced(book, corrections))
+
+
+NORMALIZED = _normalized(CORRECTIONS)
+
+
+
 def _written(spark, sf_dir) -> DataFrame:
     n, keys = F.col("l_linenumber"), F.array(*[F.lit(a) for a, _ in REWRITES])
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.element_at(keys, (F.col("l_orderkey") % len(REWRITES) + 1).cast("int")).alias("k"), (F.col("l_orderkey") % 150 + 1).alias("c"), (F.col("l_partkey") % 60 + 1).alias("v"))
@@ -377,6 +386,16 @@ def ref_rewrites(spark, sf_dir):
     return _written(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey", "initial", refs.normalize_ref(F.col("initial")).alias("normalized"))
 
 
+#: Corrections of whole references, of which the second meets what the first has made.
+OWN = [("Ps 1:", "Ps 150:"), ("Ps 150:2", "Mt 1:2"), ("Gn 10:", "Ex 10:"), ("Lk", "Luc")]
+
+
+@query(f"WITH {WRITTEN}, {_normalized(OWN)} SELECT l_orderkey, l_linenumber, l_partkey, initial, normalized FROM s6")
+def ref_corrections(spark, sf_dir):
+    """References of all books with a table of corrections."""
+    return refs.with_normalized(_written(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey", "initial"), "initial", corrections=OWN)
+
+
 #: Opening tags as written, and as they are after labels are unified.
 TAGS = [
     ('<seg type="biblicalRef">', '<seg type="biblicalRef" ana="Quotation">'),
@@ -532,6 +551,59 @@ def docx_styled_quotations(spark, sf_dir):
     )
 
 
+#: Marks of runs of Word documents: the markup, and the style that it is.
+RUN_MARKS = [
+    ('<w:color w:val="00FF00"/>', "c:00FF00"), ('<w:highlight w:val="yellow"/>', "h:yellow"), ('<w:shd w:fill="D9D9D9"/>', "s:D9D9D9"), ('<w:rStyle w:val="Quote"/>', "st:Quote"),
+    ('<w:highlight w:val="red"/><w:color w:val="auto"/><w:rStyle w:val="Emphasis"/>', "h:red st:Emphasis"), ('<w:color w:val="auto"/><w:highlight w:val="none"/><w:shd w:fill="clear"/>', None),
+]
+
+
+@query(
+    f"""SELECT '/in/part' || p_partkey || '.docx' AS path, [{', '.join('NULL' if b is None else f"'{b}'" for _, b in RUN_MARKS)}][p_partkey % {len(RUN_MARKS)} + 1] AS style,
+ CASE WHEN p_partkey % {len(RUN_MARKS)} = {len(RUN_MARKS) - 1} THEN len(string_split(p_name, ' ')) + 1 ELSE len(string_split(p_name, ' ')) END AS n_words FROM part"""
+)
+def docx_styles(spark, sf_dir):
+    """Quotations marked by colour, highlight, shading, a style, or several of them, and marks that are none."""
+
+    def package(batches):
+        for b in batches:
+            made = []
+            for k, name in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                blob, mark = io.BytesIO(), RUN_MARKS[k % len(RUN_MARKS)][0]
+                with zipfile.ZipFile(blob, "w") as z:
+                    z.writestr("word/document.xml", f"<w:document {WORD}><w:p><w:r><w:t>before </w:t></w:r><w:r><w:rPr>{mark}</w:rPr><w:t>{escape(name)}</w:t></w:r></w:p></w:document>")
+                made.append(blob.getvalue())
+            yield pa.RecordBatch.from_arrays([pa.array([f"/in/part{k}.docx" for k in b.column(0).to_pylist()], pa.string()), pa.array(made, pa.binary())], ["path", "content"])
+
+    found = docx.docx_tokens(table(spark, sf_dir, "part").select("p_partkey", "p_name").mapInArrow(package, "path string, content binary")).where("type = 'text' and trim(content) <> ''")
+    style, plain = F.array_join("style", " "), F.col("p_plain") == F.col("n_all")
+    out = found.groupBy("path").agg(F.max(style).alias("style"), F.count("*").alias("n_all"), F.count_if(F.col("style").isNull()).alias("p_plain"))
+    return out.select("path", "style", F.when(plain, F.col("n_all")).otherwise(F.col("n_all") - F.col("p_plain")).alias("n_words"))
+
+
+#: Markup around a name that cleaning takes away, and what is left of it.
+CLEANED = [
+    ('<seg type="modified">NAME</seg>', "NAME"), ('<seg type="insertion">NAME</seg>', "NAME"), ('<seg type="insertion/modified">NAME</seg>', "NAME"), ("NAME<c>rz</c>", "NAME"), ("NAME&nbsp;", "NAME"), ("NAME&amp;lt;", "NAMElt ;"),
+    ('NAME<seg type="biblicalQuotation">,</seg>', "NAME"), ('NA<pb break="no" edRef="#a" n="1"></pb>ME', "NAME"), ('NA<lb break="no" n="7"></lb>ME', "NAME"),
+]
+
+
+@query(
+    f"""WITH c AS (SELECT n_nationkey AS k, replace(n_name, ' ', '') AS name, unnest(range({len(CLEANED)})) AS kind, unnest([{', '.join(f"'{b}'" for _, b in CLEANED)}]) AS left_over FROM nation)
+ SELECT 'n' || k || '-' || kind AS path, 'ante ' || replace(left_over, 'NAME', name) || ' post' AS words FROM c"""
+)
+def tei_cleanup(spark, sf_dir):
+    """Everything that is taken out of TEI files before they are read: segments, stray characters, entities, and breaks within words."""
+    kinds = F.array(*[F.lit(a) for a, _ in CLEANED])
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", F.replace("n_name", F.lit(" "), F.lit("")).alias("name"), F.posexplode(kinds).alias("kind", "markup"))
+    half = (F.length("name") / 2).cast("int")
+    parted = F.replace(F.replace("markup", F.lit("NAME"), F.col("name")), F.lit("NA<"), F.concat(F.substring(F.col("name"), F.lit(1), half), F.lit("<")))
+    parted = F.replace(parted, F.lit(">ME"), F.concat(F.lit(">"), F.substring(F.col("name"), half + 1, F.length("name"))))
+    xml = F.concat(F.lit("<TEI><text><p>ante "), parted, F.lit(" post</p></text></TEI>"))
+    found = tei.tei_words(rows.select(F.concat(F.lit("n"), "n_nationkey", F.lit("-"), "kind").alias("path"), xml.alias("xml")))
+    return found.groupBy("path").agg(F.array_join(sequence.in_order(F.col("word"), ["pos"]), " ").alias("words"))
+
+
 QUOTED = r"""w AS (SELECT *, regexp_replace(lower(b || ' ' || c || ' ' || a), '[^A-Za-zÀ-ÿ\s.,;:!?''\n]', '', 'g') AS quoted, 'Jn ' || ch || ':' || v || '-' || (v + 2) AS ref, 'Io ' || ch || ',' || v || 's' AS initial FROM x)"""
 
 

@@ -13,11 +13,11 @@ from pyspark.sql.window import Window
 from ..functions import models, tables
 from ..functions import text as fx
 from ..functions.fixed_values import NO_REF, NO_REUSE
-from ..operators import docx, sequence, tei
+from ..operators import docx, sequence, similarity, tei
 from ..sources import files, sinks
 from ..storage import shared_dir, stored
-from . import corpus
-from .catalogue import ORACLE_SQL, RUNS, STYLED, TOKENS, _corpus_words, _package, _styled, documents, query, table, tei_files
+from . import catalogue, corpus
+from .catalogue import ORACLE_SQL, RUNS, STYLED, TOKENS, _corpus_words, _labelled, _package, _styled, documents, query, table, tei_files
 
 
 def _folder(spark, name: str) -> str:
@@ -288,3 +288,22 @@ def model_vectors(spark, sf_dir):
     docs = documents(spark, sf_dir).select("doc_id", F.transform(fx.tokenize(F.col("text")), lambda w: F.least(F.length(w), F.lit(20))).alias("ids"))
     found = models.embed_whole(docs, "ids", load, 20, keys=["doc_id"])
     return found.join(docs.select("doc_id", F.size("ids").cast("long").alias("n_tokens")), "doc_id").select("doc_id", "n_tokens", F.round(F.col("vector")[0], 9).alias("mean_length"), F.round(F.col("vector")[1], 9).alias("mean_square"))
+
+
+@query(ORACLE_SQL["random_fill"].replace("text AS candidate", "regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g') AS candidate"))
+def filled_tsv(spark, sf_dir):
+    """A filled dataset as TSV, one folder for each label, in order within files, read back."""
+    path = _folder(spark, "filled")
+    cands = similarity.numbered(table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace("text", r"[ \t\n\r]+", " ").alias("candidate")), "item_id").select("number", "candidate")
+    sinks.write_tsv(similarity.fill_random(_labelled(spark, sf_dir), cands, "doc_id", seed="s").select("doc_id", "label", "biblical_text"), path, by=["label"], order=["doc_id"])
+    back = files.tsv(spark, path, "doc_id long, biblical_text string, label string")
+    return back.select("doc_id", "label", F.coalesce("biblical_text", F.lit("")).alias("biblical_text"))
+
+
+@query(ORACLE_SQL["parallel_reuses"])
+def parallel_tsv(spark, sf_dir):
+    """The table of reuses of psalms as TSV, in the order of references, read back."""
+    path = _folder(spark, "parallel")
+    sinks.write_tsv(catalogue.parallel_reuses(spark, sf_dir), path, order=["NT_ref", "Ps_ref"])
+    back = files.tsv(spark, path)
+    return back.select(*[F.coalesce(c, F.lit("")).alias(c) for c in back.columns])
