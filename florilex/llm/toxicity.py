@@ -3,9 +3,11 @@
 A document is a bag of sentences. Each sentence has a probability, the logistic
 of a bias and a sum of word weights; the document's is their noisy-or,
 1 - prod(1 - p). Only document labels are needed to train it, and
-the sentence probabilities then say where the offence is. When texts are scored,
-only sentences count whose log-odds lie more than MARGIN above the bias: all
+the sentence probabilities then say where the offence is. Only sentences
+count whose log-odds lie more than MARGIN above the bias: all
 others say no more than that they are sentences, and a text isn't offensive by its length.
+That holds in training as in scoring: after the first half (OPEN) of its rounds, which find out what
+sentences might count for, the likelihood is that of the scores.
 
 The classifier is fitted on at most max_train_docs labelled documents of at
 most max_train_bytes bytes in all (in the order of seeded hashes; both are
@@ -38,6 +40,8 @@ MAX_TRAIN_DOCS = 12_000
 MAX_TRAIN_BYTES = 64 << 20
 #: Log-odds above the bias from which on a sentence counts.
 MARGIN = 4.0
+#: The share of training rounds in which all sentences count.
+OPEN = 0.5
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W_]+")
 #: Word starts of these lengths are features beside the whole word: offensive stems are inflected and compounded.
@@ -70,7 +74,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_docs: int, max_bytes:
 
 
 def fit(rows: list[tuple[str, int]], min_docs: int = 4, rounds: int = 300, rate: float = 0.1, l1: float = 5e-5) -> tuple[dict[str, float], float]:
-    """Feature weights and the bias: full-batch Adam on the documents' log-likelihood under noisy-or, with an L1 shrinkage."""
+    """Feature weights and the bias: full-batch Adam on the documents' log-likelihood under noisy-or, with an L1 shrinkage.
+
+    In the last rounds only those sentences count that would when texts are
+    scored, and of a toxic document that has none of them its worst one, which so may yet become one.
+    """
     if len({y for _, y in rows}) < 2:
         return {}, -math.inf
     toxic, seen = Counter(), Counter()
@@ -104,17 +112,33 @@ def fit(rows: list[tuple[str, int]], min_docs: int = 4, rounds: int = 300, rate:
     m, v, mb, vb = np.zeros(len(vocab)), np.zeros(len(vocab)), 0.0, 0.0
     for t in range(1, rounds + 1):
         z = np.bincount(sent_of, weights=w[idx], minlength=len(doc_of)) + b
-        none = np.bincount(doc_of, weights=np.logaddexp(0, z), minlength=len(rows)) + plain * np.logaddexp(0, b)  # -log of no offence at all
+        if t <= OPEN * rounds:
+            counts, others = np.ones(len(z), bool), plain
+        else:
+            counts, others = z > b + MARGIN, np.zeros(len(rows))
+            counts |= _witnesses(z, doc_of, (y > 0) & (np.bincount(doc_of, weights=counts, minlength=len(rows)) == 0))
+        none = np.bincount(doc_of, weights=counts * np.logaddexp(0, z), minlength=len(rows)) + others * np.logaddexp(0, b)  # -log of no offence at all
         pull = np.where(y > 0, -1 / np.expm1(np.clip(none, 1e-9, 500)), 1.0)
-        dz = pull[doc_of] / (1 + np.exp(-z)) / len(rows)
+        dz = counts * pull[doc_of] / (1 + np.exp(-z)) / len(rows)
         gw = np.bincount(idx, weights=dz[sent_of], minlength=len(vocab)) + l1 * np.sign(w)
-        gb = dz.sum() + (pull * plain).sum() / (1 + math.exp(-b)) / len(rows)
+        gb = dz.sum() + (pull * others).sum() / (1 + math.exp(-b)) / len(rows)
         m, v, mb, vb = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw**2, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb**2
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         b -= rate * (mb / (1 - 0.9**t)) / (math.sqrt(vb / (1 - 0.999**t)) + 1e-8)
     return {f: float(w[k]) for f, k in vocab.items() if abs(w[k]) > 1e-3}, b
 
 
+def _witnesses(z: np.ndarray, doc_of: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Which sentences are the worst one, the first of equals, of some documents. doc_of is in order."""
+    out = np.zeros(len(z), bool)
+    if len(z):
+        first = np.flatnonzero(np.r_[True, doc_of[1:] != doc_of[:-1]])
+        best = np.repeat(np.maximum.reduceat(z, first), np.diff(np.r_[first, len(z)]))
+        at = np.flatnonzero(z == best)
+        out[at[np.r_[True, doc_of[at[1:]] != doc_of[at[:-1]]]]] = True
+    return out & docs[doc_of]
+
+
 class Scorer:
     """Sentence and document probabilities; words' weights are remembered, up to a bound."""
 

@@ -106,3 +106,51 @@ def test_giant_texts_do_not_end_the_sample(spark):
     docs = spark.createDataFrame([(d, "giant " * 1000 if d == first else t) for d, t in rows], "doc_id long, text string")
     got = [len(t) for t, _ in toxicity.training_rows(docs, lab, 200, 4000)]
     assert 3500 < sum(got) <= 4000 and max(got) <= 1000
+
+
+def plain_fit(rows, vocab, rounds, rate=0.1, l1=5e-5):
+    """Training written out, sentence by sentence: first all sentences count, then those beyond the margin, and the worst one of a toxic text without any."""
+    names = lambda s: {f for w in re.findall(r"[^\W_]+", s.lower()) for f in toxicity.features(w)} & set(vocab)
+    bags = [[names(s) for s in re.findall(r"[^.!?\n]+", text)] for text, _ in rows]
+    state = {f: [0.0, 0.0, 0.0] for f in vocab} | {"": [-6.0, 0.0, 0.0]}
+    for t in range(1, rounds + 1):
+        grad = {f: l1 * ((state[f][0] > 0) - (state[f][0] < 0)) for f in vocab} | {"": 0.0}
+        for bag, (_, y) in zip(bags, rows, strict=True):
+            z = [state[""][0] + sum(state[f][0] for f in s) for s in bag]
+            counts = [True] * len(z)
+            if t > rounds / 2:
+                counts = [v > state[""][0] + toxicity.MARGIN for v in z]
+                own = [k for k, s in enumerate(bag) if s]
+                if y and own and not any(counts):
+                    counts[max(own, key=lambda k: (z[k], -k))] = True
+            none = sum(math.log1p(math.exp(v)) for v, c in zip(z, counts, strict=True) if c)
+            pull = -1 / math.expm1(max(none, 1e-9)) if y else 1.0
+            for s, v, c in zip(bag, z, counts, strict=True):
+                for f in [*s, ""] if c else ():
+                    grad[f] += pull / (1 + math.exp(-v)) / len(rows)
+        for f, g in grad.items():
+            x = state[f]
+            x[1], x[2] = 0.9 * x[1] + 0.1 * g, 0.999 * x[2] + 0.001 * g * g
+            x[0] -= rate * (x[1] / (1 - 0.9**t)) / (math.sqrt(x[2] / (1 - 0.999**t)) + 1e-8)
+    return {f: x[0] for f, x in state.items()}
+
+
+def test_fit_against_a_plain_version():
+    found, labels = corpus(150, 6)
+    rows = [(text, toxic) for (_, text), (_, _, toxic) in zip(found, labels, strict=True)]
+    for rounds in (10, 60):
+        weights, bias = toxicity.fit(rows, rounds=rounds)
+        want = plain_fit(rows, list(weights), rounds) if rounds == 10 else None
+        if want:  # features whose weight is no more than 0.001 aren't returned, and all others are
+            assert abs(bias - want[""]) < 1e-6 and all(abs(w - want[f]) < 1e-6 for f, w in weights.items())
+    long = toxicity.Scorer(weights, bias).document(". ".join(t for t, y in rows if not y) * 200)
+    assert len(weights) > 3 and any("nasty".startswith(f.strip("=")) for f in weights) and long[0] < 0.5
+
+
+def test_training_goes_on_with_what_counts():
+    """With more rounds the plain version still agrees, beyond the point from which not all sentences count."""
+    rows = [(f"w{k} is fine. {'a nasty word' if k % 3 == 0 else 'a clean word'}. end {k}", k % 3 == 0) for k in range(60)] + [("nothing to see", 1), ("", 0), (" . ", 1)]
+    weights, bias = toxicity.fit(rows, rounds=80)
+    vocab = {f for f, w in weights.items()}
+    want = plain_fit(rows, vocab, 80)
+    assert len(vocab) > 3 and abs(bias - want[""]) < 1e-6 and all(abs(w - want[f]) < 1e-6 for f, w in weights.items())
