@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .fixed_values import BOUNDARIES, NOT_IN_WORDS, PUNCTUATION_PAIR
+from .fixed_values import ATTACHED_LEFT, ATTACHED_RIGHT, BOUNDARIES, NOT_IN_WORDS, PUNCTUATION_PAIR
 
 
 def tokenize(text: Column) -> Column:
@@ -82,3 +82,25 @@ def overlaps(a: Column, b: Column) -> Column:
     """Whether one text contains the other, regardless of case and outer white space."""
     x, y = lower_strip(a), lower_strip(b)
     return F.contains(x, y) | F.contains(y, x)
+
+
+def _class(marks: list[str]) -> str:
+    return "[" + "".join("\\" + m if m in r"\^-[]&" else m for m in marks) + "]"
+
+
+def sentences_of(words: Column) -> Column:
+    """The sentences of an array of words that hold no blanks, each joined by blanks: what grouping its words by `sequence.mark_groups` gives, without leaving the row."""
+    ends = _class(BOUNDARIES)
+    return F.filter(F.split(F.array_join(words, " "), f"(?<=^{ends}| {ends}) "), lambda x: x != "")
+
+
+def thinned(words: Column, marks: list[str]) -> Column:
+    """`sequence.thin_punctuation` within a row: of each run of marks in an array of words every second is emptied."""
+    one = _class(marks)
+    joined = F.regexp_replace(F.concat(F.lit(" "), F.array_join(words, " ")), f"( {one}) {one}(?= |$)", "$1 ")
+    return F.when(F.size(words) > 0, F.split(F.substring(joined, 2, 2**31 - 1), " ", -1)).otherwise(words)
+
+
+def running_text(words: Column, left: list[str] = ATTACHED_LEFT, right: list[str] = ATTACHED_RIGHT) -> Column:
+    """`sequence.raw_text` within a row: an array of words, that hold no blanks, as running text."""
+    return F.regexp_replace(F.array_join(words, " "), f" (?={_class(left)}(?: |$))|(?<=^{_class(right)}| {_class(right)}) ", "")

@@ -72,8 +72,9 @@ def _sentences(df: DataFrame, part: str, order: list[str], boundary) -> DataFram
 ) SELECT doc_id, sentence_index, count(*) AS n_words, regexp_replace(string_agg(word, ' ' ORDER BY pos), '\s+([.,;:?!])', '\1', 'g') AS sentence FROM marked GROUP BY doc_id, sentence_index"""
 )
 def sentence_segmentation(spark, sf_dir):
-    out = _sentences(tokens(spark, sf_dir), "doc_id", ["pos"], fx.is_boundary(F.col("word")))
-    return out.select("doc_id", "sentence_index", "n_words", fx.attach_punctuation(F.array_join("words", " ")).alias("sentence"))
+    """Sentences of texts that lie in one row each, where nothing needs to be shuffled."""
+    out = documents(spark, sf_dir).select("doc_id", F.posexplode(fx.sentences_of(fx.tokenize(F.col("text")))).alias("sentence_index", "words"))
+    return out.select("doc_id", "sentence_index", F.size(F.split("words", " ")).cast("long").alias("n_words"), fx.attach_punctuation(F.col("words")).alias("sentence"))
 
 
 @query(
@@ -83,8 +84,8 @@ def sentence_segmentation(spark, sf_dir):
  SELECT doc_id, count(*) AS n_words, count(*) FILTER (NOT p OR place % 2 = 1) AS n_kept, md5(string_agg(CASE WHEN NOT p OR place % 2 = 1 THEN word ELSE '' END, ' ' ORDER BY pos)) AS digest FROM k GROUP BY doc_id"""
 )
 def punct_thinning(spark, sf_dir):
-    thin = sequence.thin_punctuation(tokens(spark, sf_dir), ["doc_id"], "pos", "word", PUNCTUATION)
-    return thin.groupBy("doc_id").agg(F.count("*").alias("n_words"), F.count_if(F.col("word") != "").alias("n_kept"), F.md5(F.array_join(sequence.in_order(F.col("word"), ["pos"]), " ")).alias("digest"))
+    thin = documents(spark, sf_dir).select("doc_id", fx.thinned(fx.tokenize(F.col("text")), PUNCTUATION).alias("words")).where(F.size("words") > 0)
+    return thin.select("doc_id", F.size("words").cast("long").alias("n_words"), F.size(F.filter("words", lambda w: w != "")).cast("long").alias("n_kept"), F.md5(F.array_join("words", " ")).alias("digest"))
 
 
 @query(
@@ -92,6 +93,25 @@ def punct_thinning(spark, sf_dir):
  SELECT doc_id, string_agg(CASE WHEN b IS NULL OR b IN ('«', '‹', '(', '[', '{{') OR word IN ('»', '›') OR (length(word) = 1 AND contains('!"#$%&''()*+,-./:;<=>?@[\\]^_`{{|}}~', word)) THEN word ELSE ' ' || word END, '' ORDER BY pos) AS text FROM w GROUP BY doc_id"""
 )
 def raw_text_rebuild(spark, sf_dir):
+    words = fx.tokenize(F.col("text"))
+    return documents(spark, sf_dir).where(F.size(words) > 0).select("doc_id", fx.running_text(words).alias("text"))
+
+
+@query(ORACLE_SQL["sentence_segmentation"])
+def word_table_sentences(spark, sf_dir):
+    """The same sentences, of words that come as rows."""
+    out = _sentences(tokens(spark, sf_dir), "doc_id", ["pos"], fx.is_boundary(F.col("word")))
+    return out.select("doc_id", "sentence_index", "n_words", fx.attach_punctuation(F.array_join("words", " ")).alias("sentence"))
+
+
+@query(ORACLE_SQL["punct_thinning"])
+def word_table_thinning(spark, sf_dir):
+    thin = sequence.thin_punctuation(tokens(spark, sf_dir), ["doc_id"], "pos", "word", PUNCTUATION)
+    return thin.groupBy("doc_id").agg(F.count("*").alias("n_words"), F.count_if(F.col("word") != "").alias("n_kept"), F.md5(F.array_join(sequence.in_order(F.col("word"), ["pos"]), " ")).alias("digest"))
+
+
+@query(ORACLE_SQL["raw_text_rebuild"])
+def word_table_raw_text(spark, sf_dir):
     return sequence.raw_text(tokens(spark, sf_dir), ["doc_id"], "pos", "word")
 
 

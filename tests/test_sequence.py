@@ -158,3 +158,21 @@ def test_expansion_golden(spark):
     assert longest == [(1, 0, "Ps 1:1", "Quotation"), (1, 1, "Ps 1:1", "allusion")]
     ranges = spark.createDataFrame([(v,) for v in ("3", "3 - 5", "6-8.10", "15 16", "5-3", "1-99999999999", "x")], "v string").select("v", expand.verse_ranges(F.col("v")).alias("n")).collect()
     assert {x.v: [tuple(y) for y in x.n] for x in ranges} == {"3": [(3, 3)], "3 - 5": [(3, 5)], "6-8.10": [(6, 6), (8, 8), (10, 10)], "15 16": [(15, 15), (16, 16)], "5-3": [(5, 3)], "1-99999999999": [(1, 99999999999)], "x": []}
+
+
+def test_rows_of_words_and_arrays_of_words_agree(spark):
+    """Sentences, thinning and running text within a row against the operators on words as rows."""
+    r = random.Random(5)
+    marks = [".", ",", ";", ":", "!", "?", "(", ")", "«", "»", "[", "]", "\\", "^", "-", "{", "a", "bc", "é", "a.", "..", "x"]
+    lists = [[r.choice(marks) for _ in range(r.randrange(1, 30))] for _ in range(200)] + [["."], [".", "."], [",", ",", ","], ["(", ")"]]
+    arrays = spark.createDataFrame(list(enumerate(lists)), "d int, w array<string>")
+    rows = arrays.select("d", F.posexplode("w").alias("k", "w"))
+    marked = sequence.mark_groups(rows, ["d"], ["k"], fx.is_boundary(F.col("w"))).groupBy("d", "sentence_index").agg(F.array_join(sequence.in_order(F.col("w"), ["k"]), " ").alias("s"))
+    want = {(x.d, x.sentence_index, x.s) for x in marked.collect()}
+    assert {tuple(x) for x in arrays.select("d", F.posexplode(fx.sentences_of(F.col("w")))).collect()} == want
+    thin = sequence.thin_punctuation(rows, ["d"], "k", "w", [".", ",", ";", ":", "!", "?"]).groupBy("d").agg(sequence.in_order(F.col("w"), ["k"]).alias("w"))
+    assert {x.d: x.w for x in arrays.select("d", fx.thinned(F.col("w"), [".", ",", ";", ":", "!", "?"]).alias("w")).collect()} == {x.d: x.w for x in thin.collect()}
+    raw = {x.d: x.text for x in sequence.raw_text(rows, ["d"], "k", "w").collect()}
+    assert {x.d: x.t for x in arrays.select("d", fx.running_text(F.col("w")).alias("t")).collect()} == raw
+    none = spark.range(1).select(F.array().cast("array<string>").alias("w")).select(fx.sentences_of(F.col("w")).alias("s"), fx.thinned(F.col("w"), ["."]).alias("t"), fx.running_text(F.col("w")).alias("r")).first()
+    assert tuple(none) == ([], [], "")
