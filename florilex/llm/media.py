@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .common import in_steps, join_counted, stored, text_bytes
 
@@ -212,11 +213,15 @@ def _escaped(text):
     return text
 
 
+def digest_of(data):
+    """The SHA-256 of the payload that a column of bytes makes."""
+    return F.sha2(F.rpad(data, F.greatest(F.ceil(F.octet_length(data) / WIDTH), F.lit(1)).cast("int") * WIDTH, F.lit(b"\x00")), 256)
+
+
 def document_pages(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, html: each document as a page, its lines as paragraphs with its payload as a figure amid them."""
     data = text_bytes()
-    size = F.octet_length(data)
-    digest = F.sha2(F.rpad(data, F.greatest(F.ceil(size / WIDTH), F.lit(1)).cast("int") * WIDTH, F.lit(b"\x00")), 256)
+    size, digest = F.octet_length(data), digest_of(data)
     figure = F.concat(F.lit('<figure><img src="sha256:'), digest, F.lit('" alt=""><figcaption>'), size.cast("string"), F.lit(" bytes</figcaption></figure>"))
     lines = F.split(_escaped(F.coalesce("text", F.lit(""))), "\n", -1)
     rows = docs.select("doc_id", size.cast("long").alias("n_bytes"), figure.alias("figure"), lines.alias("lines"))
@@ -232,6 +237,37 @@ def op_query(docs: DataFrame) -> DataFrame:
     return resolved(references, resolved_media(store)).select("doc_id", "n_bytes", *MEDIA_FIELDS, "position", "n_parts", "caption")
 
 
+#: A link of a page, and where it leads.
+LINK = '<a href="([^"]*)">'
+
+
+def linked_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pages whose links are media, and the media: each link becomes an image, with where it leads as its payload and as its caption. (page_id, html) and (doc_id, text), a row for each target."""
+    links = F.array_distinct(F.regexp_extract_all("html", F.lit(LINK), F.lit(1)))
+    image = lambda x: F.concat(F.lit('<img src="sha256:'), digest_of(x.cast("binary")), F.lit('" alt="'), F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit('">'))
+    html = F.aggregate(links, F.col("html"), lambda h, x: F.replace(h, F.concat(F.lit('<a href="'), x, F.lit('">')), image(x)))
+    return pages.select("page_id", html.alias("html")), pages.select(F.explode(links).alias("doc_id")).distinct().withColumn("text", F.col("doc_id"))
+
+
+def links_query(pages: DataFrame) -> DataFrame:
+    """page_id, position, n_parts, kind, text, digest, caption, payload_sha256, payload_bytes of all parts of the web pages whose links are media; the store lacks those that lead nowhere longer than four bytes."""
+    linked, media = linked_pages(pages)
+    store = store_payloads(media.where(F.octet_length("text") > 4))
+    return interleaved(linked, resolved_media(store)).select("page_id", "position", "n_parts", "kind", "text", "digest", "caption", "payload_sha256", "payload_bytes")
+
+
+def references_query(pages: DataFrame) -> DataFrame:
+    """page_id, place (among the references of all pages of that number), digest, caption, payload_sha256, payload_bytes of the references of `links_query`."""
+    place = F.row_number().over(Window.partitionBy("page_id").orderBy("position"))
+    return links_query(pages).where("kind = 'image'").select("page_id", place.alias("place"), "digest", "caption", "payload_sha256", "payload_bytes")
+
+
+REFERENCES_ORACLE = """WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)">', 1)) AS caption, unnest(range(1, len(regexp_extract_all(html, '<a href="([^"]*)">', 1)) + 1))::INT AS place FROM pages),
+ b AS (SELECT DISTINCT caption, strlen(caption) AS n, greatest(1, (strlen(caption) + 63) // 64) * 64 AS padded FROM l),
+ d AS (SELECT caption, n, padded, sha256(unhex(rpad(hex(encode(caption)), (2 * padded)::INT, '0'))) AS digest FROM b)
+ SELECT page_id, place, digest, caption, CASE WHEN n > 4 THEN digest END AS payload_sha256, CASE WHEN n > 4 THEN padded END AS payload_bytes FROM l JOIN d USING (caption)"""
+
+
 def pages_query(pages: DataFrame) -> DataFrame:
     """page_id, position, n_parts, kind, text of all parts of the raw web pages, with the media's fields where the store has them."""
     store = store_payloads(pages.select(F.col("page_id").alias("doc_id"), F.col("html").alias("text")))

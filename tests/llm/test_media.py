@@ -3,6 +3,8 @@ import html
 import re
 import zlib
 
+import duckdb
+
 from florilex.llm import media
 
 
@@ -76,3 +78,25 @@ def test_sequence_order_captions_and_missing(spark):
     got = sorted(media.interleaved(pages, media.resolved_media(store)).collect(), key=lambda x: x.position)
     assert [(x.kind, x.text if x.kind == "text" else x.caption) for x in got] == [("text", "Before & here"), ("text", "more"), ("image", "The cap"), ("text", "mid"), ("image", "b"), ("text", "after"), ("image", None)]
     assert [x.payload_bytes for x in got] == [None, None, 64, None, None, None, None]
+
+
+def test_links_as_media(spark):
+    """The references of web pages whose links are media, by SQL; text parts stay as they are, less the links' tags."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    duck = duckdb.connect()
+    duck.sql("CREATE VIEW pages AS SELECT * FROM '/root/testdata/sf0.001/pages.parquet'")
+    out = media.references_query(pages)
+    got, want = sorted(tuple(x) for x in out.collect()), duck.sql(f"SELECT {', '.join(out.columns)} FROM ({media.REFERENCES_ORACLE})").fetchall()
+    key = lambda x: (x[0], x[1])
+    assert sorted(got, key=key) == sorted(want, key=key) and len(got) > 100
+    assert any(x[4] for x in got) and any(x[4] is None for x in got) and all(x[4] in (None, x[2]) for x in got)
+    text = lambda rows: {(x.page_id, x.text) for x in rows if x.kind == "text"}
+    whole = {p: " ".join(t for q, t in sorted(text(media.links_query(pages).collect())) if q == p) for p in {x[0] for x in got}}
+    assert all(whole.values())
+
+
+def test_links_of_odd_pages(spark):
+    pages = spark.createDataFrame([(1, None), (2, ""), (3, '<a href="">x</a><a href="/longer">y</a><a href="/longer">z</a>'), (3, '<a href="/é&amp;é">'), (None, '<a href="/abc">')], "page_id long, html string").selectExpr("*", "1 AS text", "2 AS digest", "3 AS place")
+    got = sorted((tuple(x) for x in media.references_query(pages).collect()), key=repr)
+    assert sorted(((p, c, b) for p, _, _, c, _, b in got), key=repr) == sorted([(3, "", None), (3, "/longer", 64), (3, "/longer", 64), (3, "/é&amp;é", 64), (None, "/abc", None)], key=repr)
+    assert all(h == (d if b else None) for _, _, d, _, h, b in got)
