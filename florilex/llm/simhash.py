@@ -41,6 +41,8 @@ CHUNK = 30_000
 SMALL = 2
 #: Sets of up to so many shingles are also linked with those that have one fewer: fingerprints of few shingles say little.
 FEW = 9
+#: Nodes of a cluster that are compared with one another in one task; blocks that a cluster may have, beyond which its nodes are dealt out by their keys.
+BLOCK, MOST_BLOCKS = 2048, 80
 
 
 def shingles(text: bytes, size: int) -> list[bytes]:
@@ -414,8 +416,8 @@ def exact_links(docs: DataFrame, prints: DataFrame, nodes: DataFrame, size: int,
     """(a, b): links of at least the similarity, in two passes; together they connect what all candidates would.
 
     The first tests a shortest spanning forest of the candidates under each key.
-    The second takes the nodes of groups of which not all pairs were tested, and tests every
-    candidate pair of them whose ends still lie in different components, told by whole
+    The second takes the nodes of groups of which not all pairs were tested. All candidates of theirs lie in one cluster, as the forests
+    connect them; it tests every pair of a cluster whose ends still lie in different components, told by whole
     fingerprints (of which whole bits may differ) and not by a part of them. After that no untested candidate joins two components.
     Sets of few shingles are linked with those of one fewer by their numbers.
     """
@@ -428,13 +430,52 @@ def exact_links(docs: DataFrame, prints: DataFrame, nodes: DataFrame, size: int,
 
     pairs = found(nodes, ["n"], check64, most, False)
     out = checkpoint(verified(pairs, docs, prints, size, similarity).unionByName(subsets))
-    part = pairs.where("not all")
-    crowd = checkpoint(part.select(F.col("a").alias("node")).unionByName(part.select(F.col("b").alias("node"))).distinct())
-    if crowd.isEmpty():
+    clusters = components(pairs.where("not all").select("a", "b"))
+    sizes = clusters.groupBy(F.col("root").alias("cluster")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    crowd = clusters.select("node", F.col("root").alias("cluster")).join(sizes, "cluster")
+    again = nodes.join(crowd, "node").join(components(out), "node", "left").select("node", "fp", "n", F.coalesce("root", "node").alias("comp"), "cluster", "blocks")
+    again = checkpoint(again)
+    if again.isEmpty():
         return out
-    again = nodes.join(crowd, "node", "left_semi").join(components(out), "node", "left").select("node", "fp", "n", F.coalesce("root", "node").alias("comp"))
-    rest = found(checkpoint(again), ["n", "comp"], words64, whole, True).join(pairs, ["a", "b"], "left_anti")
-    return checkpoint(out.unionByName(verified(checkpoint(rest), docs, prints, size, similarity)))
+    rest = apart(again.where(F.col("blocks") <= MOST_BLOCKS), words64, whole, similarity)
+    giant = again.where(F.col("blocks") > MOST_BLOCKS)
+    if not giant.isEmpty():  # more blocks than a fingerprint has keys: by its keys once more
+        rest = rest.unionByName(found(giant.select("node", "fp", "n", "comp"), ["n", "comp"], words64, whole, True).select("a", "b"))
+    rest = checkpoint(rest.join(pairs, ["a", "b"], "left_anti"))
+    return checkpoint(out.unionByName(verified(rest, docs, prints, size, similarity)))
+
+
+def apart(nodes: DataFrame, words64: int, most: int, similarity: float) -> DataFrame:
+    """(a, b): all pairs of nodes of one cluster and of different components, whose fingerprints differ in at most most bits and whose set sizes allow the similarity.
+
+    A cluster of several blocks is compared block by block: each pair of blocks is a task's, and each pair of nodes is compared once.
+    """
+    own = F.pmod(F.xxhash64("node"), "blocks").cast("int")
+    tiles = nodes.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = tiles.select(F.col("cluster").alias("key"), (F.least("own", "other").cast("long") * (MOST_BLOCKS + 1) + F.greatest("own", "other")).alias("sub"), "own", "node", "fp", "n", "comp")
+
+    def join(t: pa.Table) -> pa.RecordBatch:
+        order = np.lexsort((t.column("sub").to_numpy(), t.column("key").to_numpy()))
+        key, sub, own, node, n, comp = (t.column(c).to_numpy()[order] for c in ("key", "sub", "own", "node", "n", "comp"))
+        fps = np.frombuffer(b"".join(t.column("fp").to_pylist()), ">u8").astype(np.uint64).reshape(-1, words64)[order]
+        edge = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (sub[1:] != sub[:-1]), True])
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            within = sub[a] // (MOST_BLOCKS + 1) == sub[a] % (MOST_BLOCKS + 1)
+            for at in range(a, b, 32):
+                x, y = slice(at, min(at + 32, b)), slice(at if within else a, b)
+                near = comp[x][:, None] != comp[y]
+                near &= (node[x][:, None] < node[y]) | ((node[x][:, None] > node[y]) & (np.arange(y.start, y.stop) >= x.stop)) if within else (own[x][:, None] < own[y])
+                small, large = np.minimum(n[x][:, None], n[y]), np.maximum(n[x][:, None], n[y])
+                p, q = np.nonzero(near & (small >= similarity * large - 1e-9))
+                p, q = p + x.start, q + y.start
+                keep = np.bitwise_count(fps[p] ^ fps[q]).sum(axis=1, dtype=np.int64) <= most
+                left.append(p[keep])
+                right.append(q[keep])
+        p, q = node[np.concatenate(left)], node[np.concatenate(right)]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], ["a", "b"])
+
+    return by_keys(rows, join, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, words64: int = 1, bits: int = 64, radius: int = 2, most: int | None = None, distinct: bool = False, similarity: float | None = None, check64: int = 2, whole: int | None = None) -> DataFrame:

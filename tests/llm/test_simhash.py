@@ -114,7 +114,7 @@ def test_links_are_those_of_exact_jaccard(spark, monkeypatch):
         assert got == want
 
 
-def test_no_link_of_a_dense_group_is_lost(spark):
+def test_no_link_of_a_dense_group_is_lost(spark, monkeypatch):
     """250 texts of 300 words, each with 26 words of its own somewhere: hardly any pair reaches 0.8, and all that do are connected."""
     r = random.Random(5)
     base = [f"w{i}" for i in range(300)]
@@ -124,8 +124,13 @@ def test_no_link_of_a_dense_group_is_lost(spark):
         rows.append((k, " ".join(base[:at] + [f"d{k}x{i}" for i in range(26)] + base[at + 26 :])))
     linked = brute.similar(rows, 5, 0.8)
     want = brute.components([d for d, _ in rows], lambda a, b: (b, a) in linked)
-    got = {x.doc_id: x.component_id for x in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), **NEAR).collect()}
-    assert 100 < len(linked) < 3000 and 10 < len(set(want.values())) < 100 and got == want
+    assert 100 < len(linked) < 3000 and 10 < len(set(want.values())) < 100
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for block, most in ((2048, 80), (40, 80), (40, 1)):  # one block; several; more than may be, so that keys are used once more
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        monkeypatch.setattr(simhash, "MOST_BLOCKS", most)
+        got = {x.doc_id: x.component_id for x in simhash.near_duplicates(df, **NEAR).collect()}
+        assert got == want
 
 
 def test_short_texts_are_compared_exactly(spark):
@@ -138,3 +143,20 @@ def test_short_texts_are_compared_exactly(spark):
     want = brute.components([d for d, _ in rows], lambda a, b: (b, a) in linked)
     got = {x.doc_id: x.component_id for x in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), **NEAR).collect()}
     assert len(linked) > 60 and got == want
+
+
+def test_pairs_of_a_cluster_once(spark, monkeypatch):
+    """All pairs of different components within the budget, by blocks of any size, each once."""
+    monkeypatch.setattr(simhash, "BLOCK", 7)
+    r = np.random.default_rng(4)
+    base = r.integers(0, 2**63, (5, 2), dtype=np.uint64)
+    rows = []
+    for k in range(70):
+        fp = base[k % 5].copy()
+        for bit in r.integers(0, 128, 6):
+            fp[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+        rows.append((int(r.integers(-(2**62), 2**62)), fp.astype(">u8").tobytes(), int(r.integers(80, 120)), k % 11, k % 3, -(-24 // 7)))
+    df = spark.createDataFrame(rows, "node long, fp binary, n int, comp long, cluster long, blocks int")
+    bits = lambda x, y: bin(int.from_bytes(x, "big") ^ int.from_bytes(y, "big")).count("1")
+    want = sorted((min(a[0], b[0]), max(a[0], b[0])) for i, a in enumerate(rows) for b in rows[:i] if a[4] == b[4] and a[3] != b[3] and bits(a[1], b[1]) <= 12 and min(a[2], b[2]) >= 0.8 * max(a[2], b[2]))
+    assert sorted(tuple(x) for x in simhash.apart(df, 2, 12, 0.8).collect()) == want and len(want) > 20
