@@ -268,6 +268,19 @@ REFERENCES_ORACLE = """WITH l AS (SELECT page_id, unnest(regexp_extract_all(html
  SELECT page_id, place, digest, caption, CASE WHEN n > 4 THEN digest END AS payload_sha256, CASE WHEN n > 4 THEN padded END AS payload_bytes FROM l JOIN d USING (caption)"""
 
 
+def payloads_query(docs: DataFrame) -> DataFrame:
+    """The columns of the op7 contract that SQL can tell: all but the feature."""
+    return op_query(docs).select("doc_id", "n_bytes", *(c for c in MEDIA_FIELDS if c != "feature"))
+
+
+PAYLOADS_ORACLE = """WITH c AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+ d AS (SELECT doc_id, strlen(coalesce(text, '')) AS n, greatest(1, (strlen(coalesce(text, '')) + 63) // 64) AS rows, hex(encode(coalesce(text, ''))) AS h FROM documents),
+ p AS (SELECT *, rpad(h, (128 * rows)::INT, '0') AS payload FROM d),
+ x AS (SELECT *, right(payload, 128) AS tail, encode('P5' || chr(10) || '64 ' || rows || chr(10) || '255' || chr(10)) AS head FROM p)
+ SELECT doc_id, n AS n_bytes, 64 * rows AS payload_bytes, sha256(unhex(payload)) AS payload_sha256, octet_length(head) + 64 * rows AS media_bytes, sha256(head || unhex(payload)) AS media_sha256,
+  xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, 65), lambda i: ('0x' || substr(tail, (2 * i - 1)::INT, 2))::BIGINT)), lambda a, y: xor(a >> 8, c.t[(xor(a, y) & 255) + 1])), 4294967295) AS tail_crc32 FROM x, c"""
+
+
 def pages_query(pages: DataFrame) -> DataFrame:
     """page_id, position, n_parts, kind, text of all parts of the raw web pages, with the media's fields where the store has them."""
     store = store_payloads(pages.select(F.col("page_id").alias("doc_id"), F.col("html").alias("text")))

@@ -42,6 +42,14 @@ def media_references(spark, sf_dir):
     return media.references_query(read(spark, sf_dir, "pages"))
 
 
+def media_payloads(spark, sf_dir):
+    return media.payloads_query(read(spark, sf_dir, "documents"))
+
+
+def shard_sizes(spark, sf_dir):
+    return shards.sizes_query(read(spark, sf_dir, "documents"))
+
+
 def op8_suffix_dedup(spark, sf_dir):
     return suffixes.op_query(read(spark, sf_dir, "documents"))
 
@@ -66,5 +74,5 @@ def op13_importance_resampling(spark, sf_dir):
     return resample.op_query(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_chat_formatting, op3_unit_dedup, op4_simhash_near_dedup, op5_sharding, op6_line_dedup, op7_media_columns, media_pages, media_references, op8_suffix_dedup, op9_benchmark_decontamination, op10_toxicity, op11_nearest_neighbours, op12_source_divergence, op13_importance_resampling)}
-ORACLE_SQL = {"op2_chat_formatting": chat.ORACLE, "op6_line_dedup": lines.ORACLE, "media_references": media.REFERENCES_ORACLE, "op11_nearest_neighbours": neighbours.ORACLE, "op12_source_divergence": divergence.ORACLE, "op13_importance_resampling": resample.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_chat_formatting, op3_unit_dedup, op4_simhash_near_dedup, op5_sharding, op6_line_dedup, op7_media_columns, media_pages, media_references, media_payloads, shard_sizes, op8_suffix_dedup, op9_benchmark_decontamination, op10_toxicity, op11_nearest_neighbours, op12_source_divergence, op13_importance_resampling)}
+ORACLE_SQL = {"op2_chat_formatting": chat.ORACLE, "op6_line_dedup": lines.ORACLE, "media_references": media.REFERENCES_ORACLE, "media_payloads": media.PAYLOADS_ORACLE, "shard_sizes": shards.SIZES_ORACLE, "op11_nearest_neighbours": neighbours.ORACLE, "op12_source_divergence": divergence.ORACLE, "op13_importance_resampling": resample.ORACLE}

@@ -126,3 +126,14 @@ def op_query(docs: DataFrame) -> DataFrame:
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+def sizes_query(docs: DataFrame) -> DataFrame:
+    """shard, n_rows, first_slot, last_slot, n_slots of the shards of the op5 contract, and n_docs, the rows of all of them: what SQL can tell of a shuffle."""
+    own = op_query(docs).groupBy("shard").agg(F.count("*").alias("n_rows"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"), F.countDistinct("slot").alias("n_slots"), F.sum("size").alias("n_bytes"))
+    whole = own.agg(F.sum("n_rows").alias("n_docs"), F.sum("n_bytes").alias("all_bytes"))  # of as many rows as there are shards
+    return own.drop("n_bytes").crossJoin(F.broadcast(whole))
+
+
+SIZES_ORACLE = """WITH n AS (SELECT count(*) AS n, coalesce(sum(strlen(coalesce(text, '')) + 1), 0)::BIGINT AS b FROM documents), s AS (SELECT unnest(range(8))::INT AS shard)
+ SELECT shard, (n + 7 - shard) // 8 AS n_rows, 0::BIGINT AS first_slot, (n + 7 - shard) // 8 - 1 AS last_slot, (n + 7 - shard) // 8 AS n_slots, n AS n_docs, b AS all_bytes FROM s, n WHERE (n + 7 - shard) // 8 > 0"""
