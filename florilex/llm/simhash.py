@@ -412,8 +412,8 @@ def verified(pairs: DataFrame, docs: DataFrame, prints: DataFrame, size: int, si
     return both.select("a", "b", "s", "t").mapInArrow(decide, "a long, b long")
 
 
-def exact_links(docs: DataFrame, prints: DataFrame, nodes: DataFrame, size: int, words64: int, bits: int, radius: int, most: int, check64: int, whole: int, similarity: float) -> DataFrame:
-    """(a, b): links of at least the similarity, in two passes; together they connect what all candidates would.
+def exact_components(docs: DataFrame, prints: DataFrame, nodes: DataFrame, size: int, words64: int, bits: int, radius: int, most: int, check64: int, whole: int, similarity: float) -> DataFrame:
+    """(node, root): the components of the links of at least the similarity, in two passes; together they connect what all candidates would.
 
     The first tests a shortest spanning forest of the candidates under each key.
     The second takes the nodes of groups of which not all pairs were tested. All candidates of theirs lie in one cluster, as the forests
@@ -430,19 +430,28 @@ def exact_links(docs: DataFrame, prints: DataFrame, nodes: DataFrame, size: int,
 
     pairs = found(nodes, ["n"], check64, most, False)
     out = checkpoint(verified(pairs, docs, prints, size, similarity).unionByName(subsets))
-    clusters = components(pairs.where("not all").select("a", "b"))
-    sizes = clusters.groupBy(F.col("root").alias("cluster")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    crowd = clusters.select("node", F.col("root").alias("cluster")).join(sizes, "cluster")
-    again = nodes.join(crowd, "node").join(components(out), "node", "left").select("node", "fp", "n", F.coalesce("root", "node").alias("comp"), "cluster", "blocks")
-    again = checkpoint(again)
+    first = checkpoint(components(out))
+    root = lambda df, end: df.join(first.select(F.col("node").alias(end), F.col("root").alias("_fx_root")), end, "left").withColumn(end, F.coalesce("_fx_root", end)).drop("_fx_root")
+    part = checkpoint(pairs.where("not all").select("a", "b"))
+    clusters = components(root(root(part, "a"), "b").select("a", "b")).select(F.col("node").alias("comp"), F.col("root").alias("cluster"))  # of components that meet
+    ends = part.select(F.col("a").alias("node")).unionByName(part.select(F.col("b").alias("node"))).distinct()
+    crowd = ends.withColumn("comp", F.col("node")).transform(root, "comp").join(clusters, "comp")
+    again = nodes.join(crowd, "node").select("node", "fp", "n", "comp", "cluster")
+    sizes = again.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    again = checkpoint(again.join(sizes, "cluster"))
     if again.isEmpty():
-        return out
+        return first
     rest = apart(again.where(F.col("blocks") <= MOST_BLOCKS), words64, whole, similarity)
     giant = again.where(F.col("blocks") > MOST_BLOCKS)
     if not giant.isEmpty():  # more blocks than a fingerprint has keys: by its keys once more
         rest = rest.unionByName(found(giant.select("node", "fp", "n", "comp"), ["n", "comp"], words64, whole, True).select("a", "b"))
     rest = checkpoint(rest.join(pairs, ["a", "b"], "left_anti"))
-    return checkpoint(out.unionByName(verified(rest, docs, prints, size, similarity)))
+    more = checkpoint(root(root(verified(rest, docs, prints, size, similarity), "a"), "b").select("a", "b").distinct())
+    if more.isEmpty():
+        return first
+    second = checkpoint(components(more))  # of components and of nodes that had no link so far
+    whole_ = first.unionByName(second.join(first, "node", "left_anti").select("node", F.col("node").alias("root")))
+    return checkpoint(whole_.join(second.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root")))
 
 
 def apart(nodes: DataFrame, words64: int, most: int, similarity: float) -> DataFrame:
@@ -492,12 +501,11 @@ def near_duplicates(docs: DataFrame, size: int = 3, words64: int = 1, bits: int
     if similarity is None:
         prints = checkpoint(fingerprints(docs, size, words64, distinct))
         nodes = checkpoint(prints.groupBy("node").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("least"), F.count("*").alias("copies")))
-        found = links(divided(rotated(nodes, words64, bits, radius), radius), words64, radius, most).distinct()
+        roots = components(links(divided(rotated(nodes, words64, bits, radius), radius), words64, radius, most).distinct())
     else:
         prints = checkpoint(set_fingerprints(docs, size, words64))
         nodes = checkpoint(prints.groupBy("node").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("fewer").alias("fewer"), F.min("doc_id").alias("least"), F.count("*").alias("copies")))
-        found = exact_links(docs, prints, nodes.select("node", "fp", "n", "fewer"), size, words64, bits, radius, most, check64, words64 * most // check64 if whole is None else whole, similarity)
-    roots = components(found)
+        roots = exact_components(docs, prints, nodes.select("node", "fp", "n", "fewer"), size, words64, bits, radius, most, check64, words64 * most // check64 if whole is None else whole, similarity)
     rooted = nodes.select("node", "least", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     known = checkpoint(rooted.join(least, "root").select("node", "copies", "component_id"))
