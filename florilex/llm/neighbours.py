@@ -10,9 +10,14 @@ pass over the codes adds up table entries for all vectors and finds for each
 query the score of its SHORTLIST-th best; a second pass computes exact
 distances, in double precision, of all vectors that score no worse (ties
 included, so their number has no cap) where these lie, and each task hands on
-the nearest k of a query only. With exact=True a third pass also takes
-everything that the bound by the remainder's length doesn't exclude, so that
-the result is that of brute force.
+the nearest k of a query only. A third pass checks the answer: it takes
+everything that the bound by the remainder's length doesn't exclude, and that
+an inner product in double precision doesn't either, so that the result is
+that of brute force whatever the vectors look like. exact=False leaves it out.
+
+Codes are those of vectors moved to the mean of the sample and scaled by a
+power of two, so that neither an origin far away nor great lengths cost
+precision; distances are taken of the vectors as they are.
 
 Equal vectors are one entry, with the k + 1 smallest ids that it has: no
 search can return more of them. So a vector that a third of all rows share
@@ -28,6 +33,8 @@ columns, whatever their names, are ignored.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -76,16 +83,33 @@ def _means(rows: np.ndarray, words: int, rounds: int, rng: np.random.Generator)
     return centres, rows - centres[near]
 
 
-def fit(rows: DataFrame, width: int, total: int, books: int = BOOKS, words: int = WORDS, sample: int = SAMPLE, seed: int = 1) -> np.ndarray:
-    """Codebooks (books x words x width), fitted on the distinct ones of the sample vectors, of total ones, whose ids have the least hashes: a bounded number."""
+class Codebooks(NamedTuple):
+    """Codebooks (books x words x width) of vectors times factor, less centre."""
+
+    words: np.ndarray
+    centre: np.ndarray
+    factor: float
+
+    def placed(self, x: np.ndarray) -> np.ndarray:
+        return x * self.factor - self.centre
+
+    def sums(self, codes: np.ndarray) -> np.ndarray:
+        """What codes stand for, in double precision."""
+        return sum(book[c] for book, c in zip(self.words.astype(float), codes.T, strict=True))
+
+
+def fit(rows: DataFrame, width: int, total: int, books: int = BOOKS, words: int = WORDS, sample: int = SAMPLE, seed: int = 1) -> Codebooks:
+    """Codebooks, fitted on the distinct ones of the sample vectors, of total ones, whose ids have the least hashes: a bounded number."""
     rng = np.random.default_rng(seed)
     chosen = sampled(rows, F.struct("vec_id", "vector"), sample, total).select("vector").toArrow()
-    left = np.unique(matrix(pa.concat_arrays(chosen.column("vector").chunks), width, np.float32), axis=0) if len(chosen) else np.zeros((1, width), np.float32)
-    out = []
+    x = np.unique(matrix(pa.concat_arrays(chosen.column("vector").chunks), width), axis=0) if len(chosen) else np.zeros((1, width))
+    factor = 2.0 ** -np.clip(np.frexp(np.abs(x).max())[1], -1000, 1000)
+    centre = (x * factor).mean(0)
+    left, out = (x * factor - centre).astype(np.float32), []
     for _ in range(books):
         centres, left = _means(left, words, ROUNDS, rng)
         out.append(centres)
-    return np.stack(out)
+    return Codebooks(np.stack(out), centre, float(factor))
 
 
 def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
@@ -103,9 +127,9 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarr
     return codes[np.arange(n), best], left[np.arange(n), best]
 
 
-def index(rows: DataFrame, books: np.ndarray, k: int = 10) -> DataFrame:
-    """ids (the k + 1 smallest), vector, codes, norm (squared), rest (length of the remainder) of each distinct vector, stored."""
-    spark, width = rows.sparkSession, books.shape[2]
+def index(rows: DataFrame, books: Codebooks, k: int = 10) -> DataFrame:
+    """ids (the k + 1 smallest), vector, codes, norm (squared, of the vector as placed), rest (length of the remainder) of each distinct vector, stored."""
+    spark, width = rows.sparkSession, books.words.shape[2]
     place = F.dense_rank().over(Window.partitionBy("vector").orderBy("vec_id"))
     distinct = rows.withColumn("place", place).where(F.col("place") <= k + 1).groupBy("vector").agg(F.array_sort(F.collect_set("vec_id")).alias("ids"))
     kind = distinct.schema["vector"].dataType.simpleString()
@@ -114,19 +138,20 @@ def index(rows: DataFrame, books: np.ndarray, k: int = 10) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, CHUNK):
                 part = b.slice(at, CHUNK)
-                x = matrix(part.column("vector"), width)
-                codes, left = encode(x.astype(np.float32), books)
-                columns = [part.column("ids"), part.column("vector"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array((x * x).sum(1)), pa.array(np.sqrt((left.astype(float) ** 2).sum(1)))]
+                x = books.placed(matrix(part.column("vector"), width))
+                codes, _ = encode(x.astype(np.float32), books.words)
+                rest = np.sqrt(((x - books.sums(codes)) ** 2).sum(1))
+                columns = [part.column("ids"), part.column("vector"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array((x * x).sum(1)), pa.array(rest)]
                 yield pa.RecordBatch.from_arrays(columns, ["ids", "vector", "codes", "norm", "rest"])
 
     out = stored(distinct.select("ids", "vector").mapInArrow(work, f"ids array<long>, vector {kind}, codes binary, norm double, rest double"), "vectors")
     return out.coalesce(max(spark.sparkContext.defaultParallelism, -(-out.count() // TASK)))
 
 
-def _scored(batches, books: np.ndarray, queries: np.ndarray):
-    """(slice of a batch, its scores): rows of squared distances, without the query's own norm, to all queries by lookups in the table of inner products."""
-    count, words, width = books.shape
-    table = (books.reshape(-1, width) @ queries.T.astype(np.float32)).reshape(count, words, len(queries)) * np.float32(-2)
+def _scored(batches, books: Codebooks, queries: np.ndarray):
+    """(slice of a batch, its codes, its scores): rows of squared distances, without the query's own norm, to all queries (as placed) by lookups in the table of inner products."""
+    count, words, width = books.words.shape
+    table = (books.words.reshape(-1, width) @ queries.T.astype(np.float32)).reshape(count, words, len(queries)) * np.float32(-2)
     for b in batches:
         for at in range(0, b.num_rows, CHUNK):
             part = b.slice(at, CHUNK)
@@ -134,15 +159,15 @@ def _scored(batches, books: np.ndarray, queries: np.ndarray):
             scores = np.repeat(part.column("norm").to_numpy().astype(np.float32)[:, None], len(queries), axis=1)
             for entry, code in zip(table, codes.T, strict=True):
                 scores += entry[code]
-            yield part, scores
+            yield part, codes, scores
 
 
-def _limits(entries: DataFrame, books: np.ndarray, queries: np.ndarray, most: int) -> np.ndarray:
+def _limits(entries: DataFrame, books: Codebooks, queries: np.ndarray, most: int) -> np.ndarray:
     """For each query the most-th smallest score over all entries; infinity where there are fewer."""
 
     def work(batches):
         best = np.zeros((len(queries), 0), np.float32)
-        for _, scores in _scored(batches, books, queries):
+        for _, _, scores in _scored(batches, books, books.placed(queries)):
             best = np.concatenate([best, scores.T], axis=1)
             if best.shape[1] > most:
                 best = np.partition(best, most - 1, axis=1)[:, :most]
@@ -171,23 +196,35 @@ def _nearest(found: list[np.ndarray], k: int) -> list[np.ndarray]:
     return [(at[keep], ids[keep], far[keep])]
 
 
-def _ranked(entries: DataFrame, books: np.ndarray, names: np.ndarray, queries: np.ndarray, k: int, limits: np.ndarray, reach: np.ndarray | None = None) -> DataFrame:
-    """query_id, vec_id, score: exact distances of entries whose scores are within limits; or, with reach, of those beyond them that may lie no farther than reach."""
-    width = books.shape[2]
-    slack = 1e-4 * (1 + (queries * queries).sum(1))  # scores are sums in single precision
-    own = (queries * queries).sum(1)
+def _open(part: pa.RecordBatch, codes: np.ndarray, scores: np.ndarray, books: Codebooks, own: np.ndarray, placed: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """Which pairs of a slice's entries and the queries (placed, of squared lengths own) may lie no farther apart than reach, by bounds that allow for all rounding."""
+    width, reach, sums = books.words.shape[2], reach * (1 + 1e-9), books.sums(codes)
+    norms, rests, hats = part.column("norm").to_numpy(), part.column("rest").to_numpy(), (sums * sums).sum(1)
+    single, double = 1e-7 * (width + len(books.words) + 8), 1e-15 * (width + 8)  # rounding of scores, and of inner products
+    longest = 2 * np.sqrt(own) * np.sqrt((books.words.astype(float) ** 2).sum(2)).max(1).sum()
+    out = np.zeros(scores.shape, bool)
+    for at in range(0, len(scores), CHUNK // 4):
+        rows = slice(at, at + CHUNK // 4)
+        norm = norms[rows, None]
+        square = own + (hats[rows, None] - norm) + scores[rows] - single * (norm + longest) - 1e-40
+        out[rows] = ~(np.sqrt(np.maximum(square, 0)) - rests[rows, None] > reach)
+        some = at + np.flatnonzero(out[rows].any(1))
+        if len(some):
+            x, norm = books.placed(matrix(part.column("vector").take(pa.array(some)), width)), norms[some, None]
+            out[some] &= ~((norm + own) * (1 - double) - 2 * (x @ placed.T) > reach * reach)
+    return out
+
+
+def _ranked(entries: DataFrame, books: Codebooks, names: np.ndarray, queries: np.ndarray, k: int, limits: np.ndarray, reach: np.ndarray | None = None) -> DataFrame:
+    """query_id, vec_id, score: exact distances of entries whose scores are within limits; or, with reach, of those that may lie no farther than reach."""
+    width = books.words.shape[2]
+    placed = books.placed(queries)
+    own = (placed * placed).sum(1)
 
     def work(batches):
         found: list = []
-        for part, scores in _scored(batches, books, queries):
-            near = scores <= limits + slack
-            if reach is not None:
-                x = matrix(part.column("vector"), width)
-                rest, norm = part.column("rest").to_numpy(), part.column("norm").to_numpy()
-                hat = np.frombuffer(b"".join(part.column("codes").to_pylist()), np.uint8 if books.shape[1] <= 256 else np.uint32).reshape(part.num_rows, -1)
-                sums = sum(book[c] for book, c in zip(books.astype(float), hat.T, strict=True))
-                square = own + (sums * sums).sum(1)[:, None] - norm[:, None] + scores
-                near = ~near & (np.sqrt(np.maximum(square - slack, 0)) - rest[:, None] <= reach)
+        for part, codes, scores in _scored(batches, books, placed):
+            near = scores <= limits if reach is None else _open(part, codes, scores, books, own, placed, reach * books.factor)
             rows, at = np.nonzero(near)
             if not len(rows):
                 continue
@@ -215,7 +252,7 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return once.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def search(entries: DataFrame, books: np.ndarray, queries: DataFrame, k: int = 10, shortlist: int = SHORTLIST, block: int = BLOCK, exact: bool = False) -> DataFrame:
+def search(entries: DataFrame, books: Codebooks, queries: DataFrame, k: int = 10, shortlist: int = SHORTLIST, block: int = BLOCK, exact: bool = True) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest entries found for each of queries (vec_id, vector); entries and books are those of `index` and `fit`."""
     spark, out = queries.sparkSession, None
     held = queries.dropDuplicates(["vec_id", "vector"])
@@ -225,7 +262,7 @@ def search(entries: DataFrame, books: np.ndarray, queries: DataFrame, k: int = 1
         mine = held.where(F.col("block") == number).orderBy("vec_id", "vector").select("vec_id", "vector").toArrow()
         if not len(mine):
             continue
-        names, x = mine.column("vec_id").to_numpy(), matrix(pa.concat_arrays(mine.column("vector").chunks), books.shape[2])
+        names, x = mine.column("vec_id").to_numpy(), matrix(pa.concat_arrays(mine.column("vector").chunks), books.words.shape[2])
         limits = _limits(entries, books, x, shortlist + 1)  # the query may be among them
         found = _best(_ranked(entries, books, names, x, k, limits), k)
         if exact:
@@ -250,7 +287,7 @@ def op_query(embeddings: DataFrame) -> DataFrame:
     return neighbours(usable(embeddings), F.col("vec_id") % 100 == 0)
 
 
-#: Brute force; the shortlist holds every vector of a table of up to SHORTLIST of them, so results are equal there.
+#: Brute force.
 ORACLE = """WITH v AS (SELECT DISTINCT vec_id, embedding::DOUBLE[] AS x FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
  s AS (SELECT q.vec_id AS query_id, c.vec_id, min(list_distance(q.x, c.x)) AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id GROUP BY ALL),
  r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)::INT AS rank, vec_id, score FROM s)

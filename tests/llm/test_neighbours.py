@@ -95,3 +95,25 @@ def test_recall_on_the_embeddings(spark):
     found = got(nn.op_query(df))
     hits = sum(len({j for j, _ in found[i]} & {j for j, _ in true[i]}) for i in true)
     assert hits >= 0.98 * sum(map(len, true.values()))
+
+
+def _rows(kind, n=3000, width=24):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(n, width))
+    if kind == "lengths":  # of many magnitudes: codebooks are taken up by the long ones
+        x *= np.exp(4 * rng.normal(size=(n, 1)))
+    elif kind == "clusters":  # of more vectors than a shortlist has
+        x = rng.normal(size=(3, width))[rng.integers(0, 3, n)] + 1e-4 * x
+    elif kind == "far":  # from the origin
+        x += 1e5
+    elif kind == "one huge":
+        x[5] *= 1e200
+    return [(k, v) for k, v in enumerate(x.tolist())]
+
+
+@pytest.mark.parametrize("kind", ["plain", "lengths", "clusters", "far", "one huge"])
+def test_nothing_nearer_is_missed(spark, kind):
+    """On vectors that a short list of codes tells badly apart."""
+    rows = _rows(kind)
+    found = nn.neighbours(nn.usable(frame(spark, rows)), F.col("vec_id") % 100 == 0, shortlist=20)
+    assert close(got(found), brute(rows))
