@@ -90,6 +90,7 @@ class Normalizer:
         self.signs = [(regex.compile(p), r) for p, r in ((r"\s*([.:])", r"\1"), (r"([.:])\s*", r"\1"), (r"(?<!\d)\.(?!\d)", " "), ("(?<=[A-Za-z]):", " "), (r"\s+", " "), (r"\s$", ""), (r"([A-Za-z])(\d)", r"\1 \2"))]
         self.parted, self.tail = regex.compile(r"([A-Za-z])(\d)"), regex.compile("(?:s|sq|ss|etc)$")
         self.found = regex.compile(REFERENCE)
+        self.segments = [(regex.compile(pattern + r"([\s\S]*?)<"), tag) for pattern, tag in REFERENCE_TAGS]
 
     def __call__(self, initial: str) -> str:
         ref = initial
@@ -107,11 +108,11 @@ class Normalizer:
     def rewrite(self, xml: str) -> tuple[str, int]:
         """The text of every reference segment replaced by its normal form, after a comment with the initial one; and how many there were."""
         count = 0
-        for pattern, tag in REFERENCE_TAGS:
+        for pattern, tag in self.segments:
             def put(m, tag=tag):
                 return f"{tag}<!--{as_comment(m[1])}-->{self(m[1])}<"
 
-            xml, n = regex.subn(pattern + r"([\s\S]*?)<", put, xml)
+            xml, n = pattern.subn(put, xml)
             count += n
         return xml, count
 
