@@ -2,17 +2,99 @@
 
 from __future__ import annotations
 
+import os
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..schemas import VERSES, WORD_FILE
+from .document_format import opened
+
+
+#: Bytes and files of a batch that is read at once.
+BATCH_BYTES, BATCH_FILES = 8 << 20, 1000
+
+
+def _listed(path: str, pattern: re.Pattern, recursive: bool) -> Iterator[tuple[str, bool]]:
+    """(path, whether it is a folder) of what lies in a folder, a folder at a time; hidden names don't count, nor do files whose names don't match, or that are empty, as with Spark's own source."""
+    store, top = opened(path)
+    for x in store.get_file_info(fs.FileSelector(top)):
+        if x.base_name.startswith(".") or x.base_name.startswith("_") and "=" not in x.base_name:
+            continue
+        if x.type == fs.FileType.Directory:
+            if recursive:
+                yield x.path, True
+        elif x.size and pattern.fullmatch(x.base_name):
+            yield x.path, False
+
+
+def _local_folder(spark: SparkSession, path: str) -> str | None:
+    """The folder that a path names, if it is one of the local file system without wildcards; else None."""
+    default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:"
+    if not path.startswith("file:") and ("://" in path or not default.startswith("file:")) or re.search(r"[*?\[\]{}\\]", path):
+        return None
+    top = os.path.abspath(opened(path)[1])
+    return top if os.path.isdir(top) else None
 
 
 def binary_files(spark: SparkSession, path: str, pattern: str, recursive: bool = True) -> DataFrame:
-    """(path, content) of all files under a folder whose name matches a pattern."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", pattern).load(path).select("path", "content")
+    """(path, content) of all files under a folder whose name matches a pattern (`*` and alternatives in braces).
+
+    Spark's own source keeps an entry for each file on the driver, over a kilobyte. So the folders of
+    the local (or a mounted, shared) file system are listed and read by tasks, when the rows are asked
+    for, and the driver knows the top only; any other path is left to Spark's source.
+    """
+    top = _local_folder(spark, path)
+    if top is None:
+        return spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", pattern).load(path).select("path", "content")
+    name = re.compile("".join({"*": ".*", "?": ".", "{": "(?:", "}": ")", ",": "|"}.get(c, re.escape(c)) for c in pattern), re.DOTALL)
+    kinds = "path string, folder boolean"
+
+    def batch(found: list[tuple[str, bool]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.bool_())], ["path", "folder"])
+
+    def listed(batches, deep: bool):
+        for b in batches:
+            for at, folder in zip(b.column("path").to_pylist(), b.column("folder").to_pylist(), strict=True):
+                left = [(at, folder)]
+                while left:
+                    at, folder = left.pop()
+                    found = list(_listed(at, name, recursive)) if folder else [(at, False)]
+                    if deep:
+                        left += [x for x in found if x[1]]
+                        found = [x for x in found if not x[1]]
+                    for k in range(0, len(found), BATCH_FILES):
+                        yield batch(found[k : k + BATCH_FILES])
+
+    def contents(batches):
+        paths, held, size = [], [], 0
+
+        def made():
+            return pa.RecordBatch.from_arrays([pa.array([f"file:{x}" for x in paths], pa.string()), pa.array(held, pa.binary())], ["path", "content"])
+
+        for b in batches:
+            for at in b.column("path").to_pylist():
+                with open(at, "rb") as file:
+                    held.append(file.read())
+                paths.append(at)
+                size += len(held[-1])
+                if size >= BATCH_BYTES or len(held) >= BATCH_FILES:
+                    yield made()
+                    paths, held, size = [], [], 0
+        if held:
+            yield made()
+
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # the top by one task, the folders in it by many, and then each file by its own path
+    first = spark.range(1, numPartitions=1).select(F.lit(top).alias("path"), F.lit(True).alias("folder")).mapInArrow(lambda x: listed(x, False), kinds)
+    below = first.repartition(tasks, "path").mapInArrow(lambda x: listed(x, True), kinds) if recursive else first
+    return below.select("path").repartition(tasks, "path").mapInArrow(contents, "path string, content binary")
 
 
 def docx_files(spark: SparkSession, path: str) -> DataFrame:

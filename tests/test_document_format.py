@@ -102,3 +102,20 @@ def test_bad_word_files_are_named(spark, tmp_path):
     got = sorted((x.source_file, x.word_index, x.word, x.label) for x in files.word_files(spark, str(tmp_path)).collect())
     assert got == [("a_reuses.tsv", 0, "x", "NaR"), ("a_reuses.tsv", 1, "x", "NaR"), ("quoted_reuses.tsv", 0, 'a\tb "c"', "NaR"), ("short_reuses.tsv", 0, "x", ""), ("short_reuses.tsv", 1, "x", "NaR")]
     assert {x.source_file for x in files.word_files(spark, str(tmp_path), recursive=False).collect()} <= {"a_reuses.tsv", "quoted_reuses.tsv", "short_reuses.tsv"}
+
+
+def test_the_driver_keeps_no_list_of_files(spark, tmp_path):
+    """The same files as by Spark's own source, whatever their names and folders, and none of them in the plan."""
+    names = ["a.xml", "b.XML", "c.txt", "sub/d e.xml", "sub/deep/é%20.xml", "_hidden/x.xml", ".y.xml", "_z.xml", "_k=2.xml", "empty.xml", "a.xml.bak", "sub/_w/v.xml"]
+    for x in names:
+        (tmp_path / x).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / x).write_bytes(b"" if x == "empty.xml" else x.encode())
+    for path in (str(tmp_path), f"file:{tmp_path}", f"file://{tmp_path}/"):
+        for pattern, deep in (("*.{xml,XML}", True), ("*.xml", False), ("*.none", True)):
+            own = spark.read.format("binaryFile").option("recursiveFileLookup", str(deep).lower()).option("pathGlobFilter", pattern).load(path).select("path", "content")
+            found = files.binary_files(spark, path, pattern, deep)
+            assert sorted(map(tuple, found.collect())) == sorted(map(tuple, own.collect()))
+            assert not found.inputFiles() and found.schema.names == own.schema.names
+    assert files.binary_files(spark, f"{tmp_path}/sub*", "*.xml").count() == 2 and files.binary_files(spark, f"{tmp_path}/a.xml", "*.xml").count() == 1
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        files.binary_files(spark, f"{tmp_path}/missing", "*.xml")
