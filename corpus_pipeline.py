@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from florilex.llm import decontaminate, lines, pieces, simhash, toxicity
-from florilex.llm.common import bounded_batches, read, shared_dir
+from florilex.llm.common import bounded_batches, read, shared_dir, shuffles_released
 
 #: Five-word shingles; candidates have one of 42 words of 24 bits within one bit, and 256 bits within 56 (at a similarity
 #: of 0.8 bits differ with a probability of 0.15: 39 of 256 on average, with a deviation of 6; 155 of all 1,024, with one of 11). Exact shingle sets decide.
@@ -41,7 +41,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
-    return simhash.representatives(docs, **NEAR)
+    with shuffles_released(spark):
+        return simhash.representatives(docs, **NEAR)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

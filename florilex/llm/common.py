@@ -7,9 +7,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import checkpoint, shared_dir, spread, stored
+from ..storage import checkpoint, shared_dir, shuffles_released, spread, stored
 
-__all__ = ["bounded_batches", "checkpoint", "gathered", "in_steps", "join_counted", "read", "shared_dir", "stored", "text_bytes"]
+__all__ = ["bounded_batches", "checkpoint", "gathered", "in_steps", "join_counted", "read", "shared_dir", "shuffles_released", "stored", "text_bytes"]
 
 #: Bytes of text that Python code handles at once.
 STEP = 1 << 20

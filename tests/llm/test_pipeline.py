@@ -102,3 +102,14 @@ def test_very_long_text_and_further_columns(spark, tmp_path):
         docs = spark.read.parquet(f"{tmp_path}/{k}")
     got = {x.doc_id: x for x in docs.collect()}
     assert got[1].n_chunks > 5 and got[1].exact and got[2].exact and got[3].n_tokens < 10
+
+
+def test_near_dedup_deletes_what_it_shuffled(spark, tmp_path, monkeypatch):
+    """The setting holds within the stage, and is as before after it."""
+    import corpus_pipeline
+
+    key, seen = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", []
+    before = spark.conf.get(key)
+    monkeypatch.setattr(corpus_pipeline.simhash, "representatives", lambda docs, **_: seen.append(spark.conf.get(key)) or docs)
+    corpus_pipeline.near_dedup(spark, spark.range(1), "")
+    assert seen == ["true"] and spark.conf.get(key) == before
